@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, token_counts
+from . import chat, fingerprints, mixing, sharding, token_counts
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_mixing": mixing.op7_mixing,
+    "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_token_counts": token_counts.op9_token_counts,
 }
 
 ORACLES = {
     "op3_sharding": sharding.ORACLE,
+    "op6_fingerprints": fingerprints.ORACLE,
     "op7_mixing": mixing.ORACLE,
 }
