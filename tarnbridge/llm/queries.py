@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, mixing, sharding, token_counts
+from . import chat, fingerprints, html_text, mixing, sharding, token_counts
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_mixing": mixing.op7_mixing,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_html_extraction": html_text.op10_html_extraction,
 }
 
 ORACLES = {
