@@ -175,7 +175,7 @@ def extract(source: str | None) -> str:
     threshold = min(density[i] for i in path)
     root = next((i for i in path if page.tags[i] in ("article", "main")), best)
     if root == best:  # a single paragraph inside a block, or inline markup: the block is meant
-        while page.tags[root] not in BLOCK and page.parents[root] > 0:
+        while page.tags[root] not in BLOCK and page.parents[root] >= 0:
             root = page.parents[root]
     inside = [False] * len(page.tags)
     inside[root] = True

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, html_text, mixing, sharding, token_counts
+from . import chat, fingerprints, html_text, mixing, quality, sharding, token_counts
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op3_sharding": sharding.op3_sharding,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_mixing": mixing.op7_mixing,
