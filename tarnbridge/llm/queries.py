@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, html_text, mixing, quality, sharding, token_counts
+from . import chat, fingerprints, html_text, mixing, pieces, quality, sharding, token_counts
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_quality": quality.op2_quality,
     "op3_sharding": sharding.op3_sharding,
     "op6_fingerprints": fingerprints.op6_fingerprints,
