@@ -138,5 +138,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that are predicted to be of label 1."""
+    return docs.filter(score_column(train(docs, labels)) >= 0.5)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, html_text, mixing, ngram_join, pieces, quality, sharding, token_counts
+from . import chat, embedding_dedup, fingerprints, html_text, mixing, ngram_join, pieces, quality, sharding, token_counts
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_quality": quality.op2_quality,
     "op3_sharding": sharding.op3_sharding,
     "op4_ngram_join": ngram_join.op4_ngram_join,
+    "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_mixing": mixing.op7_mixing,
     "op8_chat_formatting": chat.op8_chat_formatting,
@@ -19,6 +20,7 @@ QUERIES = {
 ORACLES = {
     "op3_sharding": sharding.ORACLE,
     "op4_ngram_join": ngram_join.ORACLE,
+    "op5_embedding_dedup": embedding_dedup.ORACLE,
     "op6_fingerprints": fingerprints.ORACLE,
     "op7_mixing": mixing.ORACLE,
 }
