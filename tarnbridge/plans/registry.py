@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import retrieval_queries, text_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+_MODULES = (retrieval_queries, text_queries)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    return retrieval_queries.chunk_rank_global(spark, sf_dir)
