@@ -3,13 +3,15 @@
 Sets are put into size bands whose ends are in the ratio of the threshold, so two similar sets lie
 in one band or in bands next to each other, and a set takes part in its own band's instance and in
 the next one's. In an instance similar sets differ in at most k shingles. The hashed domain of
-shingles is cut into more than k partitions, so similar sets agree on all of some partition: a set
-has a signature for each partition, the hash of its shingles there.
+shingles is cut into more than k / 2 partitions of three thirds, so similar sets differ in at most
+one shingle in some partition and agree on two of its thirds: a set has a signature for each
+partition and pair of thirds, the hash of its shingles there.
 
-A partition empty in both sets would match without saying anything. A set that has shingles in
-more than k partitions shares a non-empty one with every similar set, so empty partitions count
-only where both sets lack that: only such sets, a few, have signatures for empty partitions.
-Hence no link is lost, at any size of set.
+Thirds empty in both sets would match without saying anything. In a partition where two thirds of
+a set have shingles, any pair of thirds says something; a set with more than k / 2 such partitions
+shares a signature that is not empty with every similar set. So empty pairs of thirds count only
+where both sets lack that: only such sets, a few, have signatures for them. Hence no link is lost,
+at any size of set.
 
 Rows with one set of shingles are one class. Classes with a common signature are first linked
 along the sorted members of the signature, linked pairs are verified against the whole sets, and
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, table
+from .common import checkpointed, table, written
 from .graph import components
 from .shingles import WORDS, chunks, mix, shingle_sets
 
@@ -59,11 +61,13 @@ def bands(largest: int, percent: int = PERCENT) -> np.ndarray:
 def instance(first: np.ndarray, band: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """k and the number of partitions of each band's instance.
 
-    Sets a and b with |a & b| >= p |a | b| differ in at most (|a| + |b|) (1 - p) / (1 + p).
+    Sets a and b with |a & b| >= p |a | b| differ in at most (|a| + |b|) (1 - p) / (1 + p), so they
+    differ in at most one shingle in all but k // 2 partitions; some partitions more are spare.
     """
     last = first[band + 1] - 1
     k = 2 * last * (100 - percent) // (100 + percent)
-    return k, np.where(k == 0, 1, (k + 1) * 115 // 100 + 3)
+    few = k // 2
+    return k, few + 1 + np.where(few > 0, 1 + few * 8 // 100, 0)
 
 
 def signatures(row: np.ndarray, shingle: np.ndarray, size: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -81,19 +85,30 @@ def signatures(row: np.ndarray, shingle: np.ndarray, size: np.ndarray, percent:
         r, h = row[some], shingle[some]
         if not len(r):
             continue
-        part = ((h >> _U(32)) * parts[r].astype(np.uint64)) >> _U(32)  # partitions are ranges of the hash
+        # partitions are ranges of the hash, thirds are ranges of a partition
+        third = (((h >> _U(32)) * (3 * parts[r]).astype(np.uint64)) >> _U(32)).astype(np.int64)
         edge = np.ones(len(r), bool)
-        edge[1:] = (r[1:] != r[:-1]) | (part[1:] != part[:-1])
+        edge[1:] = (r[1:] != r[:-1]) | (third[1:] != third[:-1])
         at = np.flatnonzero(edge)
-        summed = np.add.reduceat(mix(h ^ _U(0x5851F42D4C957F2D)), at)
-        label = mix(own[r[at]].astype(np.uint64) * _U(1 << 32) + part[at])
-        rows.append(r[at])
-        values.append(mix(summed + label))
-        held = np.bincount(r[at], minlength=len(size))
-        for x in np.flatnonzero(takes & (held <= k)):  # too few partitions to be sure of a common one
-            empty = np.setdiff1d(np.arange(parts[x], dtype=np.uint64), part[at][r[at] == x])
-            rows.append(np.full(len(empty), x))
-            values.append(mix(mix(_U(own[x]) * _U(1 << 32) + empty)))
+        parts = np.where(takes, parts, 0)
+        base = np.cumsum(parts) - parts
+        sums, counts = np.zeros((int(parts.sum()), 3), np.uint64), np.zeros((int(parts.sum()), 3), np.int64)
+        place = base[r[at]] + third[at] // 3
+        sums[place, third[at] % 3] = np.add.reduceat(mix(h ^ _U(0x5851F42D4C957F2D)), at)
+        counts[place, third[at] % 3] = np.diff(at, append=len(r))
+        who = np.repeat(np.arange(len(size)), parts)
+        label = mix(own[who].astype(np.uint64) * _U(1 << 32) + (np.arange(len(who)) - base[who]).astype(np.uint64))
+        # partitions in which any two thirds have shingles; a set with few of them tells of empty ones, too
+        sound = np.bincount(who[(counts > 0).sum(axis=1) >= 2], minlength=len(size))
+        unsure = (sound <= k // 2)[who]
+        total, n = sums.sum(axis=1, dtype=np.uint64), counts.sum(axis=1)
+        exact = (k == 0)[who]
+        for left_out in range(3):
+            told = ((n - counts[:, left_out] > 0) | unsure) & ~exact
+            rows.append(who[told])
+            values.append(mix((total - sums[:, left_out] + mix(label + _U(left_out + 1)))[told]))
+        rows.append(who[exact])
+        values.append(mix((total + label)[exact]))
     return np.concatenate(rows), np.concatenate(values)
 
 
@@ -108,8 +123,27 @@ def set_keys(row: np.ndarray, shingle: np.ndarray, rows: int) -> tuple[np.ndarra
     return mix(keys[0] + size.astype(np.uint64)), mix(keys[1]), size
 
 
-_PACKED = "bucket long, docs binary, items binary"
-_DOC = np.dtype([("doc_id", "<i8"), ("node", "<u8"), ("node2", "<u8"), ("n", "<i4")])
+def parities(row: np.ndarray, shingle: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parity words of each row's set: how many, all in a row, and folded to PARITY words each.
+
+    Each bit says whether an odd number of the set's shingles hash to it. A shingle that one of two
+    sets has changes one bit, so sets differ in as many shingles at least as bits. There is about
+    a bit a shingle, in a power of two of words; halves fold into each other by exclusive or.
+    """
+    words = np.maximum(PARITY, 1 << np.ceil(np.log2(np.maximum(size, 1) / 64)).clip(0).astype(np.int64))
+    base = np.cumsum(words) - words
+    odd = np.zeros(int(words.sum()), np.uint64)
+    bit = (mix(shingle) >> _U(24)) & (64 * words[row] - 1).astype(np.uint64)
+    np.bitwise_xor.at(odd, base[row] + (bit >> _U(6)).astype(np.int64), _U(1) << (bit & _U(63)))
+    folded = np.zeros((len(size), PARITY), np.uint64)
+    for w in np.unique(words):
+        some = np.flatnonzero(words == w)
+        folded[some] = np.bitwise_xor.reduce(odd[base[some, None] + np.arange(w)].reshape(len(some), -1, PARITY), axis=1)
+    return words, odd, folded
+
+
+_PACKED = "bucket bigint, docs binary, items binary"
+_DOC = np.dtype([("doc_id", "<i8"), ("node", "<u8"), ("node2", "<u8"), ("n", "<i4"), ("words", "<i4"), ("parity", "<u8", (PARITY,))])
 
 
 def _packed(bits: int, percent: int):
@@ -150,9 +184,11 @@ def _packed(bits: int, percent: int):
                 row, shingle = shingle_sets(data, ends)
                 node, node2, size = set_keys(row, shingle, len(ends))
                 docs = np.zeros(len(ends), _DOC)
+                words, odd, docs["parity"] = parities(row, shingle, size)
+                docs["words"] = words
                 docs["doc_id"], docs["node"], docs["node2"], docs["n"] = batch.column(0).slice(at, len(ends)).to_numpy(zero_copy_only=False), node, node2, size
                 turn += 1
-                yield pa.RecordBatch.from_arrays([pa.array([int(mix(node[:1] + _U(turn))[0] >> _U(64 - bits))], pa.int64()), pa.array([docs.tobytes()], pa.binary()), pa.nulls(1, pa.binary())], ["bucket", "docs", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(mix(node[:1] + _U(turn))[0] >> _U(64 - bits))], pa.int64()), pa.array([docs.tobytes()], pa.binary()), pa.array([odd.tobytes()], pa.binary())], ["bucket", "docs", "items"])
                 fresh = np.zeros(len(ends), bool)
                 for i, key in enumerate(node2.tolist()):  # one row a set and task
                     if size[i] and key not in seen:
@@ -173,22 +209,32 @@ def _packed(bits: int, percent: int):
     return run
 
 
-_SHARED = "doc_id bigint, node bigint, node2 bigint, n int, sig bigint, follows bigint"
+_PARITIES = [f"p{i}" for i in range(PARITY)]
+_SHARED = "doc_id bigint, node bigint, node2 bigint, n int, run bigint, follows bigint, wide array<bigint>, " + ", ".join(f"{p} bigint" for p in _PARITIES)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's buckets: the documents' keys, and the signatures that several nodes have.
+    """Of a partition's buckets: the documents' keys, and the nodes that have a signature in common.
 
-    Each of the latter comes with the node that follows in the sorted list of its signature.
+    The nodes of a signature, sorted, are a run. Neighbours in a run are a pair (node, follows).
+    Runs of three and more are told in full (run, node), once where they have the same nodes.
     """
-    names = ["doc_id", "node", "node2", "n", "sig", "follows"]
+    names = ["doc_id", "node", "node2", "n", "run", "follows", "wide", *_PARITIES]
+    kinds = {"n": pa.int32(), "wide": pa.list_(pa.int64())}
+
+    def rows(**columns) -> pa.RecordBatch:
+        count = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[x], kinds.get(x, pa.int64())) if x in columns else pa.nulls(count, kinds.get(x, pa.int64())) for x in names], names)
+
     kept: list[tuple] = []
     for batch in batches:
         for i in range(batch.num_rows):
             if batch.column(1)[i].is_valid:
                 docs = np.frombuffer(batch.column(1)[i].as_buffer(), _DOC)
-                none = pa.nulls(len(docs), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(docs["doc_id"]), pa.array(docs["node"].view(np.int64)), pa.array(docs["node2"].view(np.int64)), pa.array(docs["n"]), none, none], names)
+                signed = lambda x: np.ascontiguousarray(x).view(np.int64)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(docs["words"])]), pa.int32())
+                wide = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(batch.column(2)[i].as_buffer(), np.int64)), mask=pa.array(docs["words"] <= PARITY))
+                yield rows(doc_id=docs["doc_id"], node=signed(docs["node"]), node2=signed(docs["node2"]), n=docs["n"], wide=wide, **{p: signed(docs["parity"][:, j]) for j, p in enumerate(_PARITIES)})
             else:
                 blob = batch.column(2)[i].as_buffer()
                 n, m = np.frombuffer(blob, "<u4", 2).tolist()
@@ -203,20 +249,26 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while to < len(kept) and kept[to][0] == kept[at][0]:
             to += 1
         sig, node = np.concatenate([x[1] for x in kept[at:to]]), np.concatenate([x[2] for x in kept[at:to]])
+        at = to
         order = np.lexsort((node, sig))
         sig, node = sig[order], node[order]
         distinct = np.ones(len(sig), bool)
         distinct[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
         sig, node = sig[distinct], node[distinct]
-        same = np.zeros(len(sig) + 1, bool)
-        same[1:-1] = sig[1:] == sig[:-1]
-        several = np.flatnonzero(same[:-1] | same[1:])
-        follows = pa.array(np.append(node[1:], _U(0)).view(np.int64)[several], mask=~same[1:][several])
-        none = pa.nulls(len(several), pa.int64())
-        key = mix(sig[several] + _U(kept[at][0]) * _U(1 << 40))
-        if len(several):
-            yield pa.RecordBatch.from_arrays([none, pa.array(node[several].view(np.int64)), none, pa.nulls(len(several), pa.int32()), pa.array(key.view(np.int64)), follows], names)
-        at = to
+        first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        size = np.diff(first, append=len(sig))
+        pair = np.flatnonzero(sig[1:] == sig[:-1])
+        if not len(pair):
+            continue
+        pairs = np.unique(np.stack([node[pair], node[pair + 1]]), axis=1)
+        yield rows(node=pairs[0].view(np.int64), follows=pairs[1].view(np.int64))
+        name = mix(np.add.reduceat(mix(node), first) + size.astype(np.uint64))
+        _, once = np.unique(name, return_index=True)
+        once = once[size[once] > 2]
+        if len(once):
+            run = np.repeat(name[once], size[once])
+            member = np.repeat(first[once] - (np.cumsum(size[once]) - size[once]), size[once]) + np.arange(len(run))
+            yield rows(run=run.view(np.int64), node=node[member].view(np.int64))
 
 
 def _sets(wanted: np.ndarray):
@@ -242,32 +294,38 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], ["at", "word"])
 
-    found = ids.mapInArrow(bits, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
+    found = ids.mapInArrow(bits, "at bigint, word bigint").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
     words = np.zeros(FILTER_WORDS, np.uint64)
     words[found["at"].to_numpy(np.int64)] = found["word"].to_numpy(np.int64).view(np.uint64)
     return words
 
 
 def _shingle_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, its sorted shingles and, in each of PARITY words, the parities of hashed shingles."""
+    """doc_id and its sorted shingles."""
     for batch in batches:
         for at, data, ends in chunks(batch.column(1)):
             row, shingle = shingle_sets(data, ends)
-            n = np.bincount(row, minlength=len(ends))
-            bit = (mix(shingle) >> _U(40)) % _U(64 * PARITY)
-            odd = np.zeros((len(ends), PARITY), np.uint64)
-            np.bitwise_xor.at(odd, (row, (bit >> _U(6)).astype(np.int64)), _U(1) << (bit & _U(63)))
-            arrays = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(shingle.view(np.int64)))
-            parity = [pa.array(np.ascontiguousarray(odd[:, i]).view(np.int64)) for i in range(PARITY)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ends)), arrays, *parity], ["rep", "shingles", *[f"p{i}" for i in range(PARITY)]])
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    narrow = sets.select("rep", "shingles")
-    both = pairs.join(narrow.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(narrow.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(ends)))])
+            arrays = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(shingle.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ends)), arrays], ["rep", "shingles"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough; texts are read again for these only."""
+    pairs = checkpointed(pairs)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.mapInArrow(_sets(_filter_of(ids)), "doc_id bigint, text string")
+    sets = checkpointed(texts.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(_shingle_arrays, "rep bigint, shingles array<bigint>"))
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return checkpointed(both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+
+
+def _maybe(left: _of, right: _of, percent: int):
+    """Whether two classes can be similar, by their sizes and parities."""
+    fits = 100 * F.least(left["n"], right["n"]) >= percent * F.greatest(left["n"], right["n"])
+    differ = sum((F.bit_count(left[p].bitwiseXOR(right[p])) for p in _PARITIES[1:]), F.bit_count(left["p0"].bitwiseXOR(right["p0"])))
+    return fits & ((100 + percent) * differ <= (100 - percent) * (left["n"] + right["n"]))
 
 
 def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -278,47 +336,58 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     buckets = max(64, named.count() // BUCKET_DOCS)
     bits = min(20, (buckets - 1).bit_length())
     packed = named.mapInArrow(_packed(bits, percent), _PACKED).repartition(F.col("bucket"))
-    found = checkpointed(packed.mapInArrow(_shared, _SHARED))
-    keys = found.filter("sig is null").select("doc_id", "node", "node2", "n")
-    classes = checkpointed(keys.filter("n > 0").groupBy("node", "node2", "n").agg(F.min("doc_id").alias("rep")))
-    shared = found.filter("sig is not null").select("sig", "node", "follows")
-
-    # the classes that have a signature in common with another, and their sets
-    some = shared.select("node").distinct()
-    candidates = checkpointed(classes.join(some, "node").select("node", "rep", "n"))
-    wanted = _filter_of(candidates.select("rep"))
-    texts = named.mapInArrow(_sets(wanted), "doc_id bigint, text string")
-    chosen = texts.join(candidates.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = checkpointed(chosen.mapInArrow(_shingle_arrays, "rep bigint, shingles array<bigint>, " + ", ".join(f"p{i} bigint" for i in range(PARITY))))
-
-    # neighbours in a signature's list
-    rep = candidates.select("node", "rep", "n")
-    near = shared.filter("follows is not null").select("node", "follows").distinct()
-    near = near.join(rep.select("node", F.col("rep").alias("x"), F.col("n").alias("nx")), "node").join(rep.select(F.col("node").alias("follows"), F.col("rep").alias("y"), F.col("n").alias("ny")), "follows")
-    fits = lambda p, q: 100 * F.least(p, q) >= percent * F.greatest(p, q)
-    near = near.filter((F.col("x") != F.col("y")) & fits(F.col("nx"), F.col("ny"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = checkpointed(_verified(near, sets, percent))
+    found = written(packed.mapInArrow(_shared, _SHARED))
+    keys = found.filter("doc_id is not null").select("doc_id", "node", "node2", "n", *_PARITIES)
+    classes = keys.filter("n > 0").groupBy("node", "node2", "n").agg(F.min("doc_id").alias("rep"), *[F.min(p).alias(p) for p in _PARITIES])
+    classes = checkpointed(classes)
+    pairs = found.filter("follows is not null").select("node", "follows").distinct()
+    runs = found.filter("run is not null").select("run", "node").distinct()
+
+    # neighbours in runs
+    x, y = classes.alias("x"), classes.withColumnRenamed("node", "follows").alias("y")
+    near = pairs.join(x, "node").join(y, "follows").filter((F.col("x.rep") != F.col("y.rep")) & _maybe(_of("x"), _of("y"), percent))
+    near = checkpointed(near.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
+    wide = found.filter("doc_id is not null").select("doc_id", "n", "wide")
+    links = _verified(_narrowed(near, wide, percent), named, percent)
     joined = checkpointed(components(links))
 
-    # all classes of a signature that aren't connected yet
-    member = rep.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    member = shared.select("sig", "node").join(member, "node").select("sig", "rep", "n", "c")
-    open_ = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig")
-    open_ = checkpointed(member.join(open_, "sig").distinct().join(sets.drop("shingles"), "rep"))
-    left, right = (open_.select("sig", *[F.col(x).alias(f"{x}_{side}") for x in ("rep", "n", "c", *[f"p{i}" for i in range(PARITY)])]) for side in ("l", "r"))
-    differ = sum((F.bit_count(F.col(f"p{i}_l").bitwiseXOR(F.col(f"p{i}_r"))) for i in range(1, PARITY)), F.bit_count(F.col("p0_l").bitwiseXOR(F.col("p0_r"))))
-    most = (F.col("n_l") + F.col("n_r")) * (100 - percent) / (100 + percent)
-    apart = left.join(right, (left["sig"] == right["sig"]) & (F.col("c_l") < F.col("c_r")) & fits(F.col("n_l"), F.col("n_r")) & (differ <= most))
-    apart = apart.select(F.least("rep_l", "rep_r").alias("a"), F.greatest("rep_l", "rep_r").alias("b")).distinct()
-    more = checkpointed(_verified(apart.join(near, ["a", "b"], "left_anti"), sets, percent))
-    joined = checkpointed(components(links.unionAll(more))) if more.limit(1).count() else joined
+    # all classes of a run that aren't connected yet
+    member = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", "n", F.coalesce("component", "rep").alias("c"), *_PARITIES)
+    member = runs.join(member, "node").drop("node")
+    several = member.groupBy("run").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("run")
+    member = member.join(several, "run", "left_semi")
+    apart = member.alias("x").join(member.alias("y"), (F.col("x.run") == F.col("y.run")) & (F.col("x.c") < F.col("y.c")) & _maybe(_of("x"), _of("y"), percent))
+    apart = apart.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
+    joined = checkpointed(components(links.unionAll(_verified(_narrowed(apart, wide, percent), named, percent))))
 
     label = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("node", "node2", "n", F.coalesce("component", "rep").alias("component_id"))
-    rows = keys.join(label, ["node", "node2", "n"], "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = keys.drop(*_PARITIES).join(label, ["node", "node2", "n"], "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     nameless = docs.filter("doc_id is null").select("doc_id", "text").mapInArrow(_sizes, "doc_id bigint, n_shingles bigint, component_id bigint")
     return rows.unionByName(nameless)
 
 
+def _narrowed(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """The pairs that can be similar by all their parity words."""
+    a, b = (wide.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in "ab")
+    xor = lambda x, y: F.zip_with(x, y, lambda u, v: u.bitwiseXOR(v))
+    half = lambda x: xor(F.slice(x, F.lit(1), F.floor(F.size(x) / 2).cast("int")), F.slice(x, F.floor(F.size(x) / 2).cast("int") + 1, F.size(x)))
+    x = F.when(F.size("wa") > F.size("wb"), half(F.col("wa"))).otherwise(F.col("wa"))
+    y = F.when(F.size("wb") > F.size("wa"), half(F.col("wb"))).otherwise(F.col("wb"))
+    differ = F.aggregate(xor(x, y), F.lit(0), lambda s, v: s + F.bit_count(v))
+    fits = F.col("wa").isNull() | F.col("wb").isNull() | ((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb")))
+    return pairs.join(a, "a").join(b, "b").filter(fits).select("a", "b").distinct()
+
+
+class _of:
+    """The columns of one side of a join, by name."""
+
+    def __init__(self, side: str):
+        self.side = side
+
+    def __getitem__(self, name: str):
+        return F.col(f"{self.side}.{name}")
+
+
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, data, ends in chunks(batch.column(1)):
