@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import retrieval_queries, rule_queries, text_queries
+from . import retrieval_queries, rule_queries, text_queries, warehouse_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (retrieval_queries, rule_queries, text_queries)
+_MODULES = (retrieval_queries, rule_queries, text_queries, warehouse_queries)
 
 
 def queries() -> dict[str, Query]:
