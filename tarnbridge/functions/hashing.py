@@ -37,7 +37,7 @@ def point_id(text: pd.Series) -> pd.Series:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def int_or_null(x: Column) -> Column:

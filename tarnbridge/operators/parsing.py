@@ -49,7 +49,7 @@ def parse_riders(body: str | None) -> list[dict]:
     lines = [x.strip() for x in (body or "").splitlines() if x.strip()]
     starts = [i for i, x in enumerate(lines) if _label(x) == "age"]
     out = []
-    for start, end in zip(starts, [*starts[1:], len(lines)], strict=True):
+    for start, end in zip(starts, [*starts[1:], len(lines)], strict=False):
         record: dict = dict.fromkeys(RIDER.names)
         record["name"] = next((lines[j] for j in range(start - 1, -1, -1) if not _boundary(lines[j])), None)
         i = start + 1
