@@ -38,7 +38,7 @@ def embedding_text(spark: SparkSession, d: str) -> DataFrame:
     both = docs.join(labels, "doc_id", "left")
     return both.select("doc_id", F.concat_ws(
         " | ", part("Rider", F.col("doc_id").cast("string")), part("Event", F.col("source")), part("Location", F.col("lang")),
-        part("Quality", F.col("quality").cast("string")), part("Text", F.substring(F.trim("text"), 1, 300)),
+        part("Quality", F.col("quality").cast("string")), part("Text", F.trim("text")),
     ).alias("embedding_text"))
 
 
@@ -75,7 +75,7 @@ def stable_ids(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select(
         "doc_id", H.content_hash(c("source"), c("text")).alias("content_hash"), H.answer_hash(c("text")).alias("answer_hash"),
         H.cache_key(c("source"), c("lang"), F.lit("model"), F.lit(8)).alias("cache_key"), H.stable_id("gt", c("text")).alias("stable_id"),
-        X.slug(F.substring("text", 1, 40)).alias("slug"), X.without_year(F.substring("text", 1, 40)).alias("without_year"), X.normal_question(F.substring("text", 1, 80)).alias("question"),
+        X.slug(c("text")).alias("slug"), X.without_year(c("text")).alias("without_year"), X.normal_question(c("text")).alias("question"),
     )
 
 
@@ -101,18 +101,19 @@ def is_social(domain: Column) -> Column:
 
 
 def event_text_norm(spark: SparkSession, d: str) -> DataFrame:
-    """Titles (first 80 characters) in both normal forms; Unicode decomposition has no SQL form."""
-    t = F.substring("text", 1, 80)
+    """Texts in both normal forms; Unicode decomposition has no SQL form."""
+    t = F.col("text")
     return _docs(spark, d).select("doc_id", X.title_words(t).alias("title_words"), X.letters_and_digits(t).alias("letters"))
 
 
 def title_match(spark: SparkSession, d: str) -> DataFrame:
-    """Documents' second words and first lines as titles, matched with their benchmark text."""
-    docs = _docs(spark, d).select("doc_id", F.trim(F.regexp_replace(F.lower(F.substring("text", 1, 60)), "[^a-z0-9]+", " ")).alias("a"))
-    other = table(spark, d, "benchmark").select("item_id", F.trim(F.regexp_replace(F.lower(F.substring("text", 1, 12)), "[^a-z0-9]+", " ")).alias("b"))
-    pair = docs.withColumn("item_id", F.col("doc_id") % 40).join(other, "item_id")
+    """Parts' names as titles, matched with the types of the same size as events."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    p = table(spark, d, "part")
+    types = p.select("p_size", plain("p_type").alias("b")).distinct()
+    pair = p.select("p_partkey", "p_size", plain("p_name").alias("a")).join(types, "p_size")
     a, b = F.col("a"), F.col("b")
-    return pair.select("doc_id", "item_id", X.titles_match(a, b).alias("fuzzy"), X.title_exact(a, b).alias("exact"), (F.round(X.token_jaccard(a, b), 6) + 0.0).alias("jaccard"))
+    return pair.select("p_partkey", "b", X.titles_match(a, b).alias("fuzzy"), X.title_exact(a, b).alias("exact"), (F.round(X.token_jaccard(a, b), 6) + 0.0).alias("jaccard"))
 
 
 def html_links(spark: SparkSession, d: str) -> DataFrame:
@@ -129,7 +130,7 @@ p0 AS (
   SELECT doc_id, list_filter(parts, lambda p, i: list_position(list_transform(parts, lambda q: lower(q)), lower(p)) = i) AS ph FROM p0
 )"""
 _TOKENS = "CASE WHEN {0} IS NULL OR length(" + _STRIP + ") = 0 THEN 0 ELSE greatest(1, length(" + _STRIP + ") // 4) END::BIGINT"
-_NORM = "trim(regexp_replace(lower(substring({0}, 1, {1})), '[^a-z0-9]+', ' ', 'g'))"
+_NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 _TOK = "list_distinct(list_filter(string_split({0}, ' '), lambda t: t <> ''))"
 
 QUERIES = {
@@ -154,7 +155,7 @@ SELECT *, {_TOKENS.format('chunk_text')} AS chunk_tokens FROM p3""",
     "chunk_tokens": f"SELECT doc_id, {_TOKENS.format('text')} AS tokens FROM documents",
     "embedding_text": """
 SELECT doc_id, concat_ws(' | ', 'Rider: ' || doc_id, 'Event: ' || nullif(source, ''), 'Location: ' || nullif(lang, ''), 'Quality: ' || quality,
-  'Text: ' || nullif(substring(trim(text), 1, 300), '')) AS embedding_text FROM documents LEFT JOIN labels USING (doc_id)""",
+  'Text: ' || nullif(trim(text), '')) AS embedding_text FROM documents LEFT JOIN labels USING (doc_id)""",
     "payload_summary": """
 SELECT doc_id, coalesce(CASE WHEN length(text) <= 60 THEN nullif(trim(text), '') END,
   concat_ws(' | ', 'lang=' || lang, 'source=' || source, 'quality=' || quality, 'toxic=' || toxic)) AS summary FROM documents LEFT JOIN labels USING (doc_id)""",
@@ -177,20 +178,20 @@ SELECT doc_id, {_STRIP.format("regexp_replace(t, chr(10) || '{3,}', chr(10) || c
 SELECT doc_id, sha256({_STRIP.format("coalesce(source, '')")} || chr(10) || {_STRIP.format("coalesce(text, '')")}) AS content_hash, sha256({_STRIP.format('text')}) AS answer_hash,
   substring(sha256(concat_ws('|', lower({_STRIP.format("coalesce(source, '')")}), lower({_STRIP.format("coalesce(lang, '')")}), 'model', '8')), 1, 16) AS cache_key,
   'gt_' || substring(sha256(text), 1, 12) AS stable_id,
-  regexp_replace(regexp_replace(lower(trim(substring(text, 1, 40))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
-  trim(regexp_replace(substring(text, 1, 40), '\s*\b20\d{{2}}\b\s*', ' ', 'g')) AS without_year,
-  translate({_STRIP.format(r"regexp_replace(lower(substring(text, 1, 80)), '[\s\x0B\x85\p{Z}]+', ' ', 'g')")}, '’–—', '''--') AS question FROM documents""",
+  regexp_replace(regexp_replace(lower(trim(text)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
+  trim(regexp_replace(text, '\s*\b20\d{{2}}\b\s*', ' ', 'g')) AS without_year,
+  translate({_STRIP.format(r"regexp_replace(lower(text), '[\s\x0B\x85\p{Z}]+', ' ', 'g')")}, '’–—', '''--') AS question FROM documents""",
     "url_parts": f"""
 WITH u AS (SELECT page_id, url, lower(split_part(regexp_replace(url, '^https?://', ''), '/', 1)) AS domain, coalesce(nullif(regexp_extract(url, '^(https?://[^/]+)', 1), ''), url) AS base FROM pages)
 SELECT page_id, regexp_replace(url, '[?#].*$', '') AS canonical, domain, base, regexp_replace(base, '/+$', '') || '/rules' AS rules_url,
   {' OR '.join(f"contains(domain, '{s}')" for s in SOCIAL)} AS social FROM u""",
     "title_match": f"""
-WITH p AS (
-  SELECT doc_id, item_id, {_NORM.format('d.text', 60)} AS a, {_NORM.format('b.text', 12)} AS b FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id
+WITH n AS (SELECT p_partkey, p_size, {_NORM.format('p_name')} AS a, {_NORM.format('p_type')} AS b FROM part), p AS (
+  SELECT p_partkey, a, y.b FROM n JOIN (SELECT DISTINCT p_size, b FROM n) y USING (p_size)
 ), t AS (
   SELECT *, {_TOK.format('a')} AS x, {_TOK.format('b')} AS y FROM p
 )
-SELECT doc_id, item_id,
+SELECT p_partkey, b,
   a <> '' AND b <> '' AND (a = b OR len(list_filter(x, lambda v: NOT list_contains(y, v))) = 0 OR len(list_filter(y, lambda v: NOT list_contains(x, v))) = 0 OR contains(a, b) OR contains(b, a)) AS fuzzy,
   a <> '' AND b <> '' AND contains(' ' || a || ' ', ' ' || b || ' ') AS exact,
   CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE round(len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))), 6) END::DOUBLE AS jaccard FROM t""",
