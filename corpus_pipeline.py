@@ -14,6 +14,7 @@ from tarnbridge.llm.mixing import mixed_stream
 from tarnbridge.llm.ngram_join import first_of_each
 from tarnbridge.llm.pieces import encode_documents
 from tarnbridge.llm.quality import keep_good
+from tarnbridge.session import prepared
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(prepared(spark), sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):

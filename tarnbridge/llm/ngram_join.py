@@ -41,7 +41,7 @@ from .shingles import WORDS, chunks, mix, shingle_sets
 PERCENT = 80
 #: Documents a bucket of signatures; signatures held by a task before they are sent.
 BUCKET_DOCS = 2000
-HELD = 2_000_000
+HELD = 1_000_000
 #: Words of 64 bits in the filters of candidate documents (1 MB, whatever the input).
 FILTER_WORDS = 1 << 17
 #: Parity words of a set in the bound that candidate pairs are tested with.
@@ -160,7 +160,7 @@ def _packed(bits: int, percent: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, count, nodes
-            if held:
+            if count:
                 node = np.concatenate([x[0] for x in held])
                 who = np.concatenate([x[1] + b for x, b in zip(held, np.cumsum([0] + [len(x[0]) for x in held[:-1]]), strict=True)]).astype(np.uint16)
                 sig = np.concatenate([x[2] for x in held])

@@ -31,8 +31,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
 SEED = 1
 #: Lattices kept by a worker, and characters sampled at a time.
-KEPT = 250_000
-CHARS = 2_000_000
+KEPT = 100_000
+CHARS = 500_000
 #: Logarithm of the weight of a character that no piece covers.
 UNCOVERED = -20.0
 
@@ -273,7 +273,7 @@ def encode_batch(keys: np.ndarray, texts: list[str | None], path: str = MODEL, a
         at = to
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
     values = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32())
-    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([t is None for t in texts]))
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([t is None for t in texts], pa.bool_()))
 
 
 def encode_documents(docs: DataFrame, seed: int = SEED, path: str = MODEL, alpha: float = ALPHA) -> DataFrame:
@@ -287,6 +287,7 @@ def encode_documents(docs: DataFrame, seed: int = SEED, path: str = MODEL, alpha
                 ids = encode_batch(row_keys(part.column(0), seed), part.column(1).to_pylist(), path, alpha)
                 same = pc.equal(own.decode_batch(ids), part.column(1).cast(pa.large_string())).fill_null(True)
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, ids.value_lengths().fill_null(0), same], ["doc_id", "ids", "n_tokens", "lossless"])
+        own.clear()  # a worker that serves other tasks next need not keep the lattices
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids array<int>, n_tokens int, lossless boolean")
 

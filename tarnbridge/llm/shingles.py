@@ -9,7 +9,7 @@ import pyarrow as pa
 
 WORDS = 5
 #: Bytes of text worked on at a time; a longer text is taken alone.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 _U = np.uint64
 _A, _B, _C, _K = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0xD6E8FEB86659FD93)
