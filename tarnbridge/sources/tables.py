@@ -3,7 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def by_id(rows: DataFrame, key: str, value: int | str) -> DataFrame:
+    """Rows whose key is the value, as a number or as text."""
+    return rows.filter(F.col(key).cast("string") == F.lit(str(value)))
+
+
+def repeated_keys(rows: DataFrame, key: str) -> DataFrame:
+    """Keys that more than one row has: empty if the key is unique."""
+    return rows.groupBy(key).count().filter("count > 1")
+
+
+def missing_tables(spark: SparkSession, wanted: list[str]) -> list[str]:
+    """Of some tables those that the catalog doesn't have."""
+    return [name for name in wanted if not spark.catalog.tableExists(name)]
+
+
+def jdbc(spark: SparkSession, url: str, name: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 1, **options: str) -> DataFrame:
+    """A table of a relational database, read in parts of a numeric key."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
+    if key:
+        reader = reader.options(partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts))
+    return reader.load()
