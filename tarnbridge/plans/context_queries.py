@@ -71,8 +71,8 @@ def unproven_contexts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embed_missing(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of documents without one, by the offline embedding; hashing has no SQL form."""
-    known = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    """Vectors of documents that have no label yet, by the offline embedding; hashing has no SQL form."""
+    known = table(spark, d, "labels").select("doc_id")
     rows = B.to_embed(table(spark, d, "documents").select("doc_id", "text"), known, "doc_id", "text")
     return B.embedded_once(rows, "doc_id", "text", B.hashed_words(64), 64).select("doc_id", F.size("embedding").alias("dim"), tidy(norm(F.col("embedding")), 4).alias("length"))
 
