@@ -17,7 +17,7 @@ from tarnbridge.operators import intent as I
 from tarnbridge.operators import rerank as R
 from tarnbridge.operators.metrics import metrics
 from tarnbridge.plans import retrieval_queries as Q
-from tarnbridge.sources.tables import table
+from tarnbridge.sources.tables import spread, table
 
 PHRASES = (
     "gravel race in the mountain, 2.2 tubeless and Schwalbe G-One tyres, GRX 1x11, frame bag",
@@ -40,7 +40,7 @@ def chosen(values: Sequence[str], by: Column) -> Column:
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.concat_ws(" ", "text", chosen(PHRASES, F.col("doc_id"))).alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.concat_ws(" ", "text", chosen(PHRASES, F.col("doc_id"))).alias("text"))
 
 
 def keyword_flags(spark: SparkSession, d: str) -> DataFrame:

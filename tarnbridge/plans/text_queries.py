@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tarnbridge.functions import hashing as H
 from tarnbridge.functions import text as X
-from tarnbridge.sources.tables import table
+from tarnbridge.sources.tables import spread, table
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def phrases_split(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows for work that takes long per row: dealt to all cores where a small file has put them into few tasks."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def by_id(rows: DataFrame, key: str, value: int | str) -> DataFrame:
     """Rows whose key is the value, as a number or as text."""
     return rows.filter(F.col(key).cast("string") == F.lit(str(value)))
