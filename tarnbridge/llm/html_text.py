@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnbridge.sources.tables import spread
+
 from .common import table
 
 #: Element names and name parts with a meaning in HTML or in common use on pages.
@@ -216,7 +218,7 @@ def extract_pages(pages: DataFrame, source: str = "html") -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
 
-    return pages.select("page_id", "url", F.col(source).alias("html")).mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return spread(pages.select("page_id", "url", F.col(source).alias("html"))).mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

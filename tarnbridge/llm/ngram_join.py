@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnbridge.sources.tables import spread
+
 from .common import checkpointed, table, written
 from .graph import components
 from .shingles import WORDS, chunks, mix, shingle_sets
@@ -335,7 +337,7 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = docs.filter("doc_id is not null")
     buckets = max(64, named.count() // BUCKET_DOCS)
     bits = min(20, (buckets - 1).bit_length())
-    packed = named.mapInArrow(_packed(bits, percent), _PACKED).repartition(F.col("bucket"))
+    packed = spread(named).mapInArrow(_packed(bits, percent), _PACKED).repartition(F.col("bucket"))
     found = written(packed.mapInArrow(_shared, _SHARED))
     keys = found.filter("doc_id is not null").select("doc_id", "node", "node2", "n", *_PARITIES)
     classes = keys.filter("n > 0").groupBy("node", "node2", "n").agg(F.min("doc_id").alias("rep"), *[F.min(p).alias(p) for p in _PARITIES])

@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnbridge.sources.tables import spread
+
 from .common import table
 
 #: A SentencePiece model file with byte fallback; on every executor.
@@ -289,7 +291,7 @@ def encode_documents(docs: DataFrame, seed: int = SEED, path: str = MODEL, alpha
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, ids.value_lengths().fill_null(0), same], ["doc_id", "ids", "n_tokens", "lossless"])
         own.clear()  # a worker that serves other tasks next need not keep the lattices
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids array<int>, n_tokens int, lossless boolean")
+    return spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, "doc_id bigint, ids array<int>, n_tokens int, lossless boolean")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

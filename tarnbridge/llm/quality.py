@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnbridge.sources.tables import spread
+
 from .common import table
 
 DIMENSIONS = 1 << 18
@@ -134,13 +136,13 @@ def score_column(model: tuple[np.ndarray, float], text: str = "text") -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    scored = docs.select("doc_id", "text").withColumn("score", score_column(train(docs, labels)))
+    scored = spread(docs.select("doc_id", "text")).withColumn("score", score_column(train(docs, labels)))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, with all their columns, that are predicted to be of label 1."""
-    return docs.filter(score_column(train(docs, labels)) >= 0.5)
+    return spread(docs).filter(score_column(train(docs, labels)) >= 0.5)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnbridge.sources.tables import spread
+
 from .common import table
 
 #: A ranks file of byte-pair merges, one base64 token and rank a line; on every executor.
@@ -47,7 +49,7 @@ def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "te
             lengths = [len(encode(t)) if t else 0 for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int64())], ["n_tokens"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(count, "n_tokens bigint")
+    return spread(docs.select(F.col(text).alias("text"))).mapInArrow(count, "n_tokens bigint")
 
 
 def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
