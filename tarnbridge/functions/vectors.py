@@ -24,3 +24,8 @@ def cosine(a: Column, b: Column) -> Column:
 def tidy(x: Column, digits: int = 6) -> Column:
     """Rounded, without a negative zero."""
     return F.round(x, digits) + F.lit(0.0)
+
+
+def literal(vector: list[float], digits: int = 8) -> Column:
+    """A vector as an array column, rounded as in its text form."""
+    return F.array(*[F.lit(round(float(x), digits)) for x in vector])

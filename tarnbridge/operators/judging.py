@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,3 +58,20 @@ def report(rows: DataFrame, score: str, web: str, *by: str) -> DataFrame:
     """How many rows, their mean score and the percentage that used web tools; 0 where there are none."""
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), zero(F.avg(score)).alias("avg_score"), zero(100 * F.avg(F.col(web).cast("int"))).alias("pct_web"))
+
+
+def judged(rows: DataFrame, prompt: Column, judge) -> DataFrame:
+    """Adds the verdict of a judge, a function of a list of prompts that gives their raw answers.
+
+    Answers that are no object are kept with valid = false, for a reject table.
+    """
+    @F.pandas_udf("string")
+    def ask(x: pd.Series) -> pd.Series:
+        return pd.Series(judge(x.tolist()), dtype=object)
+
+    return rows.withColumn("raw", ask(prompt)).withColumns(verdict(F.col("raw")))
+
+
+def serialized(value: Column) -> Column:
+    """A record or list as JSON, a text as it is."""
+    return F.to_json(value)

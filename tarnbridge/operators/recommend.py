@@ -100,3 +100,14 @@ def answer(event: Column, summary: Column, setup: dict[str, Column]) -> Column:
     """A recommendation as lines."""
     lines = [F.when(~blank(v), F.concat(F.lit(f"{k}: "), v)) for k, v in setup.items()]
     return F.concat_ws("\n", F.concat(F.lit("Event: "), event), summary, *lines)
+
+
+def counters(rows: DataFrame, fields: Sequence[str], *by: str) -> DataFrame:
+    """Mean coverage and, for each field, how many rows have it."""
+    filled = [(~blank(F.col(c).cast("string"))).cast("int") for c in fields]
+    return rows.groupBy(*by).agg(F.avg(sum(filled, F.lit(0))).alias("avg_coverage"), *[F.count_if(~blank(F.col(c).cast("string"))).alias(c) for c in fields])
+
+
+def enough_evidence(rows: DataFrame, covered: str, least: int = 2, of: int = 2) -> DataFrame:
+    """query_id and whether at least so many riders cover at least so many fields."""
+    return rows.groupBy("query_id").agg((F.count_if(F.col(covered) >= of) >= least).alias("enough"))

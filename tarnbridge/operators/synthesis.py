@@ -79,3 +79,16 @@ def questions(events: DataFrame, templates: Sequence[str], suffixes: Sequence[st
     rows = picked.withColumn("question", F.when(F.col("n") > 1, F.concat_ws(" ", text, suffix)).otherwise(text))
     rows = first_by(rows.withColumn("_normal", normal_question(F.col("question"))), ["_normal"], F.struct("event", "n"))
     return rows.withColumn("id", stable_id("gt", F.concat_ws("|", "event", "year", "question"))).drop("_key", "_normal", "form", "template")
+
+
+def eval_queries(events: DataFrame, pools: dict[str, Sequence[str]], forms: Sequence[str], per_event: int, seed: int) -> DataFrame:
+    """qid, event and query: per_event queries for each event, every part chosen by a hash.
+
+    A form holds {event} and the names of pools; the hash is of event, number, pool and seed.
+    """
+    rows = events.select("event").distinct().withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(per_event))))
+    pick = lambda name, pool: F.element_at(F.array(*map(F.lit, pool)), (F.pmod(F.xxhash64(F.lit(seed), "event", "n", F.lit(name)), F.lit(len(pool))) + 1).cast("int"))
+    query = F.replace(pick("form", forms), F.lit("{event}"), F.col("event"))
+    for name, pool in pools.items():
+        query = F.replace(query, F.lit("{" + name + "}"), pick(name, pool))
+    return rows.withColumn("query", query).withColumn("qid", stable_id("q", F.concat_ws("|", "event", F.col("n").cast("string"), "query"))).select("qid", "event", "query")

@@ -82,3 +82,17 @@ def context_text(context: Column, results: Column, official_url: Column, tracker
         first = F.slice(F.coalesce(results, F.array()), 1, RESULTS_IN_TEXT)
         parts = F.concat(parts, F.flatten(F.transform(first, lambda r: F.array(r["title"], r["snippet"]))), F.array(official_url, tracker_url))
     return F.array_join(F.filter(F.transform(parts, strip), lambda p: p != ""), "\n")
+
+
+def resolved(events: DataFrame, cache: DataFrame, fetched: DataFrame, now: float, ttl: float) -> DataFrame:
+    """Each event's context: from the cache if that is fresh and useful, else as fetched.
+
+    events has key; cache and fetched have key, created_at and the context's columns c, r, o, t.
+    Adds from_cache; fetched rows that are useful are what goes into the cache next.
+    """
+    useful = is_useful(F.col("c"), F.col("o"), F.col("t"), F.col("r"))
+    valid = (F.col("created_at") == 0) | (F.lit(now) - F.col("created_at") <= ttl)
+    known = first_by(cache.filter(useful & valid), ["key"], -F.col("created_at"))
+    hit = events.join(known, "key").withColumn("from_cache", F.lit(True))
+    rest = events.join(known.select("key"), "key", "left_anti").join(first_by(fetched, ["key"], -F.col("created_at")), "key", "left")
+    return hit.unionByName(rest.withColumn("from_cache", F.lit(False)))

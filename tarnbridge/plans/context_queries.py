@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tarnbridge.functions import text as X
 from tarnbridge.functions.vectors import norm, tidy
+from tarnbridge.operators import chunks as C
 from tarnbridge.operators import embedding as B
 from tarnbridge.operators import event_names as N
 from tarnbridge.operators import intent as I
 from tarnbridge.operators import recommend as R
+from tarnbridge.operators import search as P
 from tarnbridge.operators import synthesis as S
 from tarnbridge.operators import web_context as W
 from tarnbridge.plans import retrieval_queries as Q
@@ -131,9 +133,38 @@ def gt_questions(spark: SparkSession, d: str) -> DataFrame:
     return S.questions(e, TEMPLATES, SUFFIXES, 2, 7).select("id", "event", "year", "question")
 
 
+def rider_chunk_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as riders, their segment and name as key items."""
+    c = table(spark, d, "customer")
+    r = c.select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.concat(F.col("c_mktsegment"), F.lit(" bike"))).alias("bike"), F.concat_ws(", ", "c_name", "c_mktsegment", "c_name").alias("key_items"), F.when(F.col("c_custkey") % 3 == 0, "steel").alias("frame_material"), (F.col("c_acctbal") > 0).alias("electronic_shifting"))
+    return C.rider_chunks(r, "c_custkey")
+
+
+def ranked_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best owners of each query after reranking."""
+    asked = U.R.constraints(U.chosen(U.PHRASES, F.floor(F.col("query_id") / Q.EVERY)))
+    rows = P.rank_candidates(Q._hits(spark, d, 50), 10, asked, U._hit_columns(F.col("chunk_id")))
+    return rows.select("query_id", "owner_id", "pos", "place", tidy(F.col("total")).alias("total"))
+
+
+def similar_search(spark: SparkSession, d: str) -> DataFrame:
+    """The whole search: scoped by label for queries of even labels, anywhere for the others."""
+    v = Q._vectors(spark, d)
+    q = v.filter(F.col("id") % Q.EVERY == 0).withColumn("label", F.when(F.col("label") % 2 == 0, F.col("label")))
+    factor = F.when(F.col("owner_id") % 3 == 0, 1.15).when(F.col("owner_id") % 3 == 1, 0.92).otherwise(1.0)
+    rows = P.similar_owners(v, q, F.floor(F.col("id") / Q.OWNER), "label", factor=factor)
+    return rows.select("query_id", "owner_id", "scope", "place", tidy(F.col("final")).alias("final"))
+
+
+def coverage_counters(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    out = R.counters(rows, ["lang", "quality", "toxic"], "source")
+    return out.withColumn("avg_coverage", tidy(F.col("avg_coverage"), 5))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (search_merge, site_candidates, context_pages, context_texts, unproven_contexts, embed_missing, event_names, two_attempts, default_setup, fill_component, postprocess, gt_expectations, gt_questions)
+    for f in (rider_chunk_rows, ranked_candidates, similar_search, coverage_counters, search_merge, site_candidates, context_pages, context_texts, unproven_contexts, embed_missing, event_names, two_attempts, default_setup, fill_component, postprocess, gt_expectations, gt_questions)
 }
 
 _RES = "r AS (SELECT page_id // 10 AS event, (page_id % 10)::INTEGER AS rank, regexp_replace(url, '[?#].*$', '') AS url FROM pages)"
@@ -158,7 +189,19 @@ _TAG = lambda words, tag: f"CASE WHEN {U._has('l', words)} THEN '{tag}' END"  #
 _W = lambda cond, *words: ", ".join(f"CASE WHEN {cond} THEN '{w}' END" for w in words)
 _UNIQUE = "list_filter(list_filter({0}, lambda v: v IS NOT NULL), lambda v, i: list_position(list_filter({0}, lambda v: v IS NOT NULL), v) = i)"
 
+_RR = U._RERANKED.replace(Q._h(30), Q._dedup(50)).replace("FROM h\n), c AS", "FROM (SELECT * EXCLUDE (pos, place), place AS pos FROM l)\n), c AS")
 ORACLES = {
+    "rider_chunk_rows": f"""WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment || ' bike' END AS bike, c_name, c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN 'frame_material=steel' END AS fm, c_acctbal > 0 AS el FROM customer),
+t AS (SELECT c_custkey, 'bike' AS chunk_kind, 0 AS chunk_ix, 'Bike: ' || bike || ' (' || concat_ws(', ', fm, 'electronic_shifting=' || CASE WHEN el THEN 'True' ELSE 'False' END) || ')' AS chunk_text FROM r WHERE bike IS NOT NULL
+  UNION ALL SELECT c_custkey, 'key_items', 0, 'Key items: ' || c_name || '; ' || c_mktsegment FROM r) SELECT *, greatest(1, length(chunk_text) // 4)::BIGINT AS chunk_tokens FROM t""",
+    "ranked_candidates": f"WITH {_RR} SELECT query_id, owner_id, pos::INTEGER AS pos, place::INTEGER AS place, {Q._R('total')} AS total FROM y WHERE place <= 10",
+    "similar_search": f"""WITH {Q._ALL}, {Q._h(80, True, 'hs')}, {Q._h(80, False, 'hg')}, {Q._owners('hs', 5, 'os')}, {Q._owners('hg', 5, 'og')}, ev AS (SELECT query_id FROM q WHERE q_label % 2 = 0),
+x AS (SELECT * FROM os SEMI JOIN ev USING (query_id)), m AS (SELECT query_id, owner_id, 'exact' AS scope, 1 / (1 + best_distance) AS w FROM x
+  UNION ALL SELECT query_id, owner_id, 'similar', 1 / (1 + best_distance) * {Q.R.SIMILAR_WEIGHT} FROM og ANTI JOIN x USING (query_id, owner_id)),
+f AS (SELECT *, w * CASE owner_id % 3 WHEN 0 THEN 1.15 WHEN 1 THEN 0.92 ELSE 1.0 END AS final FROM m)
+SELECT query_id, owner_id, scope, row_number() OVER (PARTITION BY query_id ORDER BY scope = 'exact' DESC, round(final, 9) DESC, owner_id)::INTEGER AS place, {Q._R('final')} AS final FROM f QUALIFY place <= 5""",
+    "coverage_counters": """SELECT source, (round(avg((lang <> '')::INTEGER + (quality IS NOT NULL)::INTEGER + (toxic IS NOT NULL)::INTEGER), 5) + 0.0) AS avg_coverage,
+  count(*) FILTER (WHERE lang <> '') AS lang, count(quality) AS quality, count(toxic) AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""",
     "search_merge": f"""WITH {_RES}, b AS (SELECT event, 1 AS s, rank, url FROM r WHERE rank < 7 UNION ALL SELECT event, 2, rank - 4, url FROM r WHERE rank >= 4),
 o AS (SELECT * FROM b WHERE trim(url) <> '' QUALIFY row_number() OVER (PARTITION BY event, url ORDER BY s, rank) = 1) SELECT event, row_number() OVER (PARTITION BY event ORDER BY s, rank, url)::INTEGER AS rank, url FROM o""",
     "site_candidates": f"WITH {_CAND} SELECT t.event, tracker_url, place::INTEGER AS place, url FROM t LEFT JOIN c ON t.event = c.event",

@@ -64,3 +64,19 @@ def config(text: str, known: set[str]) -> dict:
     if unknown := set(found) - known:
         raise ValueError(f"unknown settings: {sorted(unknown)}")
     return found
+
+
+def last_named(files: DataFrame, kinds: tuple[str, ...] = (".json", ".jsonl")) -> DataFrame:
+    """The lexicographically last path of some kinds."""
+    wanted = files.filter(F.regexp_extract("path", r"(\.[^./]+)$", 1).isin(*kinds))
+    return wanted.agg(F.max("path").alias("path"))
+
+
+def run_id(time):
+    """A name for a run: its time in UTC, to the second."""
+    return F.date_format(time, "yyyyMMdd_HHmmss")
+
+
+def first_rows(rows: DataFrame, order: str, most: int | None) -> DataFrame:
+    """The first rows by an ordinal, or all."""
+    return rows if most is None else rows.orderBy(order).limit(most)

@@ -54,3 +54,13 @@ def checked_vectors(rows: DataFrame, size: int, column: str = "embedding") -> Da
 
 def table_exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)
+
+
+def dry_run(rows: DataFrame, *keys: str) -> DataFrame:
+    """What would be written: how many rows, and how many have each key; nothing is."""
+    return rows.agg(F.count(F.lit(1)).alias("rows"), *[F.count(k).alias(k) for k in keys])
+
+
+def append_log(rows: DataFrame, path: str, keep) -> None:
+    """Append the rows worth keeping to a log of JSON lines."""
+    write_json(rows.filter(keep), path, append=True)

@@ -79,3 +79,14 @@ def test_incremental_equals_batch(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("latest").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp2")).start()
     query.awaitTermination()
     assert spark.table("latest").count() == 3
+
+
+def test_small_sources_and_sinks(spark, tmp_path):
+    paths = spark.createDataFrame([("a.json",), ("b.jsonl",), ("c.txt",)], "path string")
+    assert files.last_named(paths).collect()[0]["path"] == "b.jsonl"
+    rows = spark.createDataFrame([(1, None), (2, "x")], "id int, v string")
+    assert tuple(sinks.dry_run(rows, "id", "v").collect()[0]) == (2, 2, 1)
+    sinks.append_log(rows, str(tmp_path / "log"), F.col("v").isNotNull())
+    assert [r["id"] for r in spark.read.json(str(tmp_path / "log")).collect()] == [2]
+    assert files.first_rows(rows, "id", 1).count() == 1 and files.first_rows(rows, "id", None).count() == 2
+    assert spark.range(1).select(files.run_id(F.timestamp_seconds(F.lit(0)))).collect()[0][0] == "19700101_000000"

@@ -80,3 +80,74 @@ def test_tables(spark):
     assert [r["v"] for r in tables.by_id(rows, "id", "2").collect()] == ["c"] == [r["v"] for r in tables.by_id(rows, "id", 2).collect()]
     assert [r["id"] for r in tables.repeated_keys(rows, "id").collect()] == [1]
     assert tables.missing_tables(spark, ["nothing_of_this_name"]) == ["nothing_of_this_name"]
+
+
+def test_rank_candidates_and_lists(spark):
+    from tarnbridge.operators import search
+
+    hits = spark.createDataFrame([(1, 5, 0.9, 1), (1, 6, 0.8, 2), (1, 5, 0.7, 3), (1, 7, 0.6, 4)], "query_id int, owner_id int, score double, pos int")
+    ranked = search.rank_candidates(hits, 2)
+    assert [(r["place"], r["owner_id"]) for r in ranked.orderBy("place").collect()] == [(1, 5), (2, 6)]
+    assert [[c["owner_id"] for c in r["candidates"]] for r in search.candidate_lists(ranked, ["owner_id", "total"]).collect()] == [[5, 6]]
+
+
+def test_similar_owners_stay_empty_in_an_unknown_scope(spark):
+    from tarnbridge.operators import search
+
+    v = spark.createDataFrame([(i, [1.0, float(i)], i % 2) for i in range(8)], "id bigint, vector array<double>, label int")
+    q = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [1.0, 1.0], None), (2, [1.0, 2.0], 77)], "id bigint, vector array<double>, label int")
+    rows = search.similar_owners(v, q, F.col("id"), "label", search.Limits(3, 4, 1)).collect()
+    assert {r["query_id"] for r in rows} == {0, 1}
+    assert [r["scope"] for r in sorted(rows, key=lambda r: r["place"]) if r["query_id"] == 0] == ["exact"] * 3 + ["similar"]
+    assert {r["scope"] for r in rows if r["query_id"] == 1} == {"similar"}
+
+
+def test_chunks(spark):
+    from tarnbridge.operators import chunks
+
+    riders = spark.createDataFrame([(1, " Trek ", "steel", True, "tent; quilt"), (2, " ", None, None, None), (3, "Own", None, None, "")], "id int, bike string, frame_material string, electronic_shifting boolean, key_items string")
+    got = sorted((r["id"], r["chunk_kind"], r["chunk_ix"], r["chunk_text"]) for r in chunks.rider_chunks(riders, "id").collect())
+    assert got == [(1, "bike", 0, "Bike: Trek (frame_material=steel, electronic_shifting=True)"), (1, "key_items", 0, "Key items: tent; quilt"), (3, "bike", 0, "Bike: Own")]
+
+
+def test_trace(spark):
+    from tarnbridge.tracing import Trace
+
+    trace = Trace()
+    double = trace.traced("double")(lambda x: 2 * x)
+    assert double(2) == 4
+    with pytest.raises(TypeError):
+        double(None)
+    rows = trace.as_table(spark).collect()
+    assert [(r["tool"], r["args"]) for r in rows] == [("double", "[[2], {}]"), ("double", "[[null], {}]")] and "error" in rows[1]["result"]
+
+
+def test_judged(spark):
+    from tarnbridge.operators import judging
+
+    rows = spark.createDataFrame([(1, "a"), (2, "bad")], "id int, q string")
+    out = judging.judged(rows, F.col("q"), lambda prompts: ['{"score": 5}' if p == "a" else "none" for p in prompts])
+    assert {r["id"]: (r["score"], r["valid"]) for r in out.collect()} == {1: (5, True), 2: (None, False)}
+
+
+def test_resolved_contexts(spark):
+    kind = "key string, created_at double, c struct<summary:string,surface:string,route_character:string,climate_notes:string,resupply_notes:string,constraints:array<string>,distance_km:double,total_climbing_m:int>, r array<struct<title:string,snippet:string>>, o string, t string"
+    row = lambda key, at, o: (key, at, None, None, o, None)
+    cache = spark.createDataFrame([row("a", 95.0, "old"), row("a", 99.0, "new"), row("b", 10.0, "stale"), row("c", 99.0, "")], kind)
+    fetched = spark.createDataFrame([row("a", 100.0, "f"), row("b", 100.0, "f"), row("c", 100.0, "f")], kind)
+    events = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "key string")
+    got = {r["key"]: (r["o"], r["from_cache"]) for r in web_context.resolved(events, cache, fetched, 100.0, 10.0).collect()}
+    assert got == {"a": ("new", True), "b": ("f", False), "c": ("f", False), "d": (None, False)}
+
+
+def test_eval_queries(spark):
+    events = spark.createDataFrame([("A",), ("B",), ("A",)], "event string")
+    make = lambda seed: sorted(map(tuple, synthesis.eval_queries(events, {"kit": ["tent", "bivy"], "goal": ["fast", "slow"]}, ["{event}: {kit}, {goal}", "for {event} {goal} {kit}"], 5, seed).collect()))
+    assert make(3) == make(3) and len({q for q, _, _ in make(3)}) == 10 and all("{" not in t for _, _, t in make(3))
+
+
+def test_counters_and_evidence(spark):
+    rows = spark.createDataFrame([(1, 2, "x", None), (1, 2, " ", "y"), (2, 0, "z", "z")], "query_id int, cov int, a string, b string")
+    out = recommend.counters(rows, ["a", "b"]).collect()[0]
+    assert (out["a"], out["b"]) == (2, 2) and out["avg_coverage"] == pytest.approx(4 / 3)
+    assert {r["query_id"]: r["enough"] for r in recommend.enough_evidence(rows, "cov").collect()} == {1: True, 2: False}
