@@ -9,8 +9,17 @@ from pyspark.sql import SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Rows in an Arrow batch: texts can be long, and a batch is held as a whole on both sides.
+BATCH_ROWS = "1000"
+
+
 def prepared(spark: SparkSession) -> SparkSession:
-    """Let the executors' Python workers find this package where the driver has it."""
+    """Let the executors' Python workers find this package where the driver has it.
+
+    Arrow batches get BATCH_ROWS rows, unless the session has set another number than the default.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(":")
     if ROOT not in paths:
