@@ -19,21 +19,24 @@ from tarnbridge.session import prepared
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be good."""
-    return keep_good(docs, table(spark, sf_dir, "labels"))
+    return keep_good(docs, table(prepared(spark), sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    prepared(spark)
     return first_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources in order of virtual finish time; a document can come twice."""
+    prepared(spark)
     return mixed_stream(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document in the mix."""
+    prepared(spark)
     return encode_documents(docs)
 
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +47,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system: its worker may idle while others need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library can be told
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def hex_int(hexed, first: int, length: int):
     """Some hexadecimal digits of a digest, as a bigint column (at most 15 digits)."""
     return F.conv(F.substring(hexed, first, length), 16, 10).cast("bigint")

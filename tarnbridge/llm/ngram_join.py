@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 
 from tarnbridge.sources.tables import spread
 
-from .common import checkpointed, table, written
+from .common import checkpointed, release, table, written
 from .graph import components
 from .shingles import WORDS, chunks, mix, shingle_sets
 
@@ -207,6 +207,7 @@ def _packed(bits: int, percent: int):
                 if count > HELD:
                     yield from flush()
         yield from flush()
+        release()
 
     return run
 
@@ -271,6 +272,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             run = np.repeat(name[once], size[once])
             member = np.repeat(first[once] - (np.cumsum(size[once]) - size[once]), size[once]) + np.arange(len(run))
             yield rows(run=run.view(np.int64), node=node[member].view(np.int64))
+    kept.clear()
+    release()
 
 
 def _sets(wanted: np.ndarray):

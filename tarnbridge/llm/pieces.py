@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tarnbridge.sources.tables import spread
 
-from .common import table
+from .common import release, table
 
 #: A SentencePiece model file with byte fallback; on every executor.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -290,6 +290,7 @@ def encode_documents(docs: DataFrame, seed: int = SEED, path: str = MODEL, alpha
                 same = pc.equal(own.decode_batch(ids), part.column(1).cast(pa.large_string())).fill_null(True)
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, ids.value_lengths().fill_null(0), same], ["doc_id", "ids", "n_tokens", "lossless"])
         own.clear()  # a worker that serves other tasks next need not keep the lattices
+        release()
 
     return spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, "doc_id bigint, ids array<int>, n_tokens int, lossless boolean")
 
