@@ -6,6 +6,9 @@ equal texts have equal fingerprints, and a paragraph is put in or taken out by a
 subtracting its vector (``insert``, ``delete``). The first DENSE lanes take a part of every
 paragraph's digest; the SPARSE lanes after them take each paragraph in only one lane that its
 digest picks, so the share of equal sparse lanes tells how much two documents have in common.
+That share falls to 0 for long documents, where few lanes have no changed paragraph. ``level_lanes``
+has sparse lanes at LEVELS sampling rates and ``level_likeness`` compares documents at the level
+that suits their length; the registered query keeps the one level that its SQL has.
 
 All columns are DataFrame functions. A null text counts as empty; an empty text has one empty
 paragraph. Documents follow each other by descending doc_id (null last), then by text; after the
@@ -23,6 +26,9 @@ from .common import hex_int, table
 DENSE = 32
 SPARSE = 64
 MOD = 2**32
+#: Levels of sparse lanes; a level takes half of the paragraphs of the one before. Most lanes in use at the level that is compared.
+LEVELS = 16
+MOST_USED = 24
 #: Rows a bucket of neighbouring doc_ids, and the most buckets (a square, for two-step lookup).
 BUCKET_ROWS = 1000
 MAX_BUCKETS = 128 * 128
@@ -72,11 +78,52 @@ def written(vector: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """1 for equal fingerprints, else the share of used sparse lanes in which they agree."""
-    pairs = F.zip_with(F.slice(a, DENSE + 1, SPARSE), F.slice(b, DENSE + 1, SPARSE), lambda x, y: F.when((x == 0) & (y == 0), 0).when(x == y, 1).otherwise(2))
-    share = F.transform(F.array(pairs), lambda p: F.size(F.filter(p, lambda v: v == 1)) / F.greatest(F.size(F.filter(p, lambda v: v > 0)), F.lit(1))).getItem(0)
+    return F.when(a == b, F.lit(1.0)).otherwise(_share(F.slice(a, DENSE + 1, SPARSE), F.slice(b, DENSE + 1, SPARSE)))
+
+
+def level_lanes(text: Column) -> Column:
+    """array<bigint> of LEVELS * SPARSE lanes: sparse lanes of all paragraphs, of half of them, and so on.
+
+    Level j takes the paragraphs whose digest has j zero bits in a row at a place of its own, so
+    lanes are sums as before: they are added and subtracted lane by lane modulo MOD.
+    """
+    digests = F.transform(F.split(text, "\n", -1), lambda p: F.sha2(F.concat(F.sha2(p, 256), F.lit("0")), 256))
+    picked = F.transform(digests, lambda d: F.struct((hex_int(d, 1, 2) % SPARSE).alias("lane"), hex_int(d, 9, 8).alias("v"), hex_int(d, 17, 8).alias("draw")))
+
+    def summed(picked: Column) -> Column:
+        levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+        return F.flatten(F.transform(levels, lambda j: F.transform(F.array(F.filter(picked, lambda x: x["draw"] % F.pow(F.lit(2), j).cast("bigint") == 0)), _level).getItem(0)))
+
+    return F.transform(F.array(picked), summed).getItem(0)
+
+
+def _level(picked: Column) -> Column:
+    zero = F.lit(0).cast("bigint")
+    each = F.sequence(F.lit(0), F.lit(SPARSE - 1))
+    return F.transform(each, lambda i: F.aggregate(F.filter(picked, lambda x: x["lane"] == i), zero, lambda a, x: a + x["v"]) % MOD)
+
+
+def level_likeness(a: Column, b: Column) -> Column:
+    """The share of used lanes that agree, at the first level where MOST_USED at most are in use in both.
+
+    a and b are of level_lanes. Documents of equal lanes have 1.
+    """
+    def at(v: Column, j: Column) -> Column:
+        return F.slice(v, j * SPARSE + 1, F.lit(SPARSE))
+
+    used = lambda v: F.size(F.filter(v, lambda x: x != 0))
+    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    fits = F.filter(levels, lambda j: F.greatest(used(at(a, j)), used(at(b, j))) <= MOST_USED)
+    level = F.coalesce(F.get(fits, F.lit(0)), F.lit(LEVELS - 1))
+    share = F.transform(F.array(level), lambda j: _share(at(a, j), at(b, j))).getItem(0)
     return F.when(a == b, F.lit(1.0)).otherwise(share)
 
 
+def _share(a: Column, b: Column) -> Column:
+    pairs = F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), 0).when(x == y, 1).otherwise(2))
+    return F.transform(F.array(pairs), lambda p: F.size(F.filter(p, lambda v: v == 1)) / F.greatest(F.size(F.filter(p, lambda v: v > 0)), F.lit(1))).getItem(0)
+
+
 def _bucket(bounds: list[int]) -> Column:
     """How many of the sorted bounds lie below doc_id, in two steps of the square root each."""
     step = max(1, round(len(bounds) ** 0.5))

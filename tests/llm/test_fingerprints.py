@@ -69,3 +69,21 @@ def test_odd_rows(docs, monkeypatch):
     one = P.fingerprint_documents(docs([(1, "abc")])).collect()
     assert [(r["edited_sha256"], r["near_next"]) for r in one] == [(hashlib.sha256(b"aba").hexdigest(), 1.0)]
     assert P.fingerprint_documents(docs([])).count() == 0
+
+
+def test_likeness_of_long_documents(spark):
+    texts = []
+    for n in (40, 400, 3000):
+        lines = [f"line {i}" for i in range(n)]
+        half, tenth = (lines[: n - n // k] + [f"new {i}" for i in range(n // k)] for k in (2, 10))
+        texts += [(n, "half", lines, half), (n, "tenth", lines, tenth), (n, "other", lines, [f"other {i}" for i in range(n)])]
+    rows = spark.createDataFrame([(n, k, "\n".join(a), "\n".join(b)) for n, k, a, b in texts], "n int, k string, a string, b string")
+    found = rows.select("n", "k", P.level_likeness(P.level_lanes(F.col("a")), P.level_lanes(F.col("b"))).alias("x")).collect()
+    bounds = {"half": (0.12, 0.6), "tenth": (0.55, 0.99), "other": (0.0, 0.1)}
+    assert all(bounds[r["k"]][0] <= r["x"] <= bounds[r["k"]][1] for r in found), found
+
+
+def test_level_lanes_are_additive(spark):
+    rows = spark.createDataFrame([("x\ny", "z\nx", "z\nx\ny\nx")], "a string, b string, c string")
+    a, b, whole = rows.select(*[P.level_lanes(F.col(c)) for c in "abc"]).collect()[0]
+    assert [(x + y) % P.MOD for x, y in zip(a, b, strict=True)] == whole and len(a) == P.LEVELS * P.SPARSE
