@@ -1,8 +1,10 @@
 """Op 10: main text of web pages by composite text density.
 
-A page is parsed into a tree. Elements that are boilerplate by their nature (menus, page headers
-and footers, sidebars, notices, adverts, forms, scripts, comments and the like, by tag, role,
-class or id) are left out. Every other node gets its composite text density, characters per tag
+A page is parsed into a tree. Scripts, controls and the like are left out. Elements that are
+boilerplate by their nature (menus, page headers and footers, sidebars, notices, adverts, forms,
+comments and the like, by tag, role, or whole words of class or id) are left out, too, unless they
+hold the main element, the page's only article, or, where no such element is left otherwise, most
+of the page's characters outside links. Every other node gets its composite text density, characters per tag
 adjusted for the share of links, and the node whose children's densities sum to the most is the
 article; where it lies in an article or main element, that whole element is. The least density on
 the path from the node up to the body is the threshold: link-dominated subtrees below it go.
@@ -37,9 +39,11 @@ CLOSES_P = BLOCK - frozenset("html body caption tbody td tfoot th thead tr".spli
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 DROPPED = frozenset(
-    "head title script style noscript template nav footer aside form menu search dialog button select textarea input label option datalist "
-    "iframe object embed applet svg math canvas audio video map noembed noframes xmp".split()
+    "head title script style noscript template button select textarea input label option datalist iframe object embed applet svg math "
+    "canvas audio video map noembed noframes xmp".split()
 )
+#: Boilerplate, unless the page's text is in it.
+DOUBTFUL = frozenset("nav footer aside form menu search dialog".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot sponsor sponsored promo promotion banner cookie cookies "
@@ -48,28 +52,38 @@ DROPPED_NAMES = frozenset(
     "recommendations comment comments commentlist disqus respond replies reply widget widgets".split()
 )
 HEADER_NAMES = frozenset(("header",))
+#: Parts that a word of a class or id may have beside a listed one: cookie-notice and sidebar-left are listed, has-sidebar is not.
+NEUTRAL_PARTS = frozenset("area block body bottom box button container form global inner item items left link links list main outer page right section site text title top wrap wrapper".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
 _NAME = re.compile(r"[a-z]+")
 
 
-def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in DROPPED or (tag == "header" and not in_article):
+def _listed(value: str, names: frozenset) -> bool:
+    """Whether a word of a class or id consists of listed names and neutral parts."""
+    for word in value.split():
+        parts = set(_NAME.findall(word))
+        if parts & names and not parts - names - NEUTRAL_PARTS:
+            return True
+    return False
+
+
+def _doubtful(tag: str, attributes: str, in_article: bool) -> bool:
+    if tag in DOUBTFUL or (tag == "header" and not in_article):
         return True
     if not attributes or tag in ("html", "body", "main"):
         return False
+    found: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in DROPPED_ROLES):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id"):
-            names = set(_NAME.findall(value))
-            if names & DROPPED_NAMES or (not in_article and names & HEADER_NAMES):
-                return True
-    return False
+        if m[1]:
+            found.setdefault(m[1].lower(), (m[2] or "").strip("\"'").lower())
+    if "hidden" in found or found.get("aria-hidden") == "true" or DROPPED_ROLES.intersection(found.get("role", "").split()):
+        return True
+    if re.search(r"display\s*:\s*none", found.get("style", "")):
+        return True
+    names = DROPPED_NAMES if in_article else DROPPED_NAMES | HEADER_NAMES
+    return any(_listed(found.get(name, ""), names) for name in ("class", "id"))
 
 
 class Page:
@@ -77,6 +91,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.pieces = ["#root"], [-1], []
+        self.doubtful: set[int] = set()
         stack, dropped_at, at, end = [0], 0, 0, len(source)
         articles = 0
         while at < end:
@@ -116,8 +131,48 @@ class Page:
                 continue
             stack.append(len(self.tags) - 1)
             articles += tag in ("article", "main")
-            if not dropped_at and _dropped(tag, m[3] or m[6] or "", articles > 0):
+            if dropped_at:
+                continue
+            if tag in DROPPED:
                 dropped_at = len(stack) - 1
+            elif _doubtful(tag, m[3] or m[6] or "", articles > 0):
+                self.doubtful.add(stack[-1])
+        if self.doubtful:
+            self._settle()
+
+    def _settle(self) -> None:
+        """Takes out the text of doubtful elements, but for those that hold the page's text."""
+        n = len(self.tags)
+        in_link = [False] * n
+        for i in range(1, n):
+            in_link[i] = self.tags[i] == "a" or in_link[self.parents[i]]
+        chars = [0] * n
+        plain = [0] * n
+        for node, text in self.pieces:
+            c = len(" ".join(text.split()))
+            chars[node] += c
+            plain[node] += 0 if in_link[node] else c
+        mains, articles = [0] * n, [0] * n  # below a node, not the node itself
+        for i in range(n - 1, 0, -1):
+            p = self.parents[i]
+            chars[p] += chars[i]
+            plain[p] += plain[i]
+            counts = chars[i] and i not in self.doubtful
+            mains[p] += mains[i] + (counts and self.tags[i] == "main")
+            articles[p] += articles[i] + (counts and self.tags[i] == "article")
+        holds = {i for i in self.doubtful if mains[i] or (articles[i] and articles[0] == 1 and not mains[0])}
+        gone = self._below(self.doubtful - holds)
+        if not any(chars[i] and not gone[i] for i, t in enumerate(self.tags) if t in ("article", "main")):
+            holds |= {i for i in self.doubtful if 2 * plain[i] > plain[0]}
+            gone = self._below(self.doubtful - holds)
+        # a block that is left out still ends the text before it
+        self.pieces = [(node, text) if not gone[node] else (node, "") for node, text in self.pieces]
+
+    def _below(self, tops: set[int]) -> list[bool]:
+        inside = [False] * len(self.tags)
+        for i in range(1, len(inside)):
+            inside[i] = i in tops or inside[self.parents[i]]
+        return inside
 
     def _close(self, stack: list[int], tags: tuple, scope: tuple) -> None:
         """An open element that the next one ends, unless another element holds it."""
