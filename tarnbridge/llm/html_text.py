@@ -5,9 +5,12 @@ boilerplate by their nature (menus, page headers and footers, sidebars, notices,
 comments and the like, by tag, role, or whole words of class or id) are left out, too, unless they
 hold the main element, the page's only article, or, where no such element is left otherwise, most
 of the page's characters outside links. Every other node gets its composite text density, characters per tag
-adjusted for the share of links, and the node whose children's densities sum to the most is the
-article; where it lies in an article or main element, that whole element is. The least density on
-the path from the node up to the body is the threshold: link-dominated subtrees below it go.
+adjusted for the share of links. The least density on the path from the body to the node whose
+children's densities sum to the most is the threshold. From the body down, every subtree at or
+above it counts, by its node of the greatest sum. What lies between two such siblings, headings
+before them and the paragraphs and lists around an article split over several belong to them.
+Where the greatest node lies in an article or main element, these elements are taken whole and what
+lies outside of them is left out. Link-dominated subtrees below the threshold go.
 
 Text blocks are joined by two newlines, white space inside a block is one space, and character
 references are decoded. A null or empty page has the empty text; nothing else is dropped or cut.
@@ -51,6 +54,8 @@ DROPPED_NAMES = frozenset(
     "navigation menu menus breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar share sharing social related recommended "
     "recommendations comment comments commentlist disqus respond replies reply widget widgets".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+FLOW = HEADINGS | frozenset("p blockquote pre ul ol dl table figure".split())
 HEADER_NAMES = frozenset(("header",))
 #: Parts that a word of a class or id may have beside a listed one: cookie-notice and sidebar-left are listed, has-sidebar is not.
 NEUTRAL_PARTS = frozenset("area block body bottom box button container form global inner item items left link links list main outer page right section site text title top wrap wrapper".split())
@@ -230,18 +235,53 @@ def extract(source: str | None) -> str:
     while page.parents[path[-1]] >= 0 and page.tags[path[-1]] != "body":
         path.append(page.parents[path[-1]])
     threshold = min(density[i] for i in path)
-    root = next((i for i in path if page.tags[i] in ("article", "main")), best)
-    if root == best:  # a single paragraph inside a block, or inline markup: the block is meant
-        while page.tags[root] not in BLOCK and page.parents[root] >= 0:
-            root = page.parents[root]
+    linked = [2 * links[i] > chars[i] and density[i] < threshold for i in range(len(page.tags))]
+    roots = _roots(page, path[-1], best, threshold, density, sums, chars, linked)
     inside = [False] * len(page.tags)
-    inside[root] = True
-    for i in range(root + 1, len(page.tags)):
-        linked = 2 * links[i] > chars[i] and density[i] < threshold and page.tags[i] in ("ul", "ol", "div", "section", "table", "dl")
-        inside[i] = inside[page.parents[i]] and not linked
+    for i in range(len(page.tags)):
+        pruned = linked[i] and page.tags[i] in ("ul", "ol", "div", "section", "table", "dl")
+        inside[i] = i in roots or (i > 0 and inside[page.parents[i]] and not pruned)
     return _blocks(page, inside)
 
 
+def _roots(page: Page, top: int, best: int, threshold: float, density: list[float], sums: list[float], chars: list[int], linked: list[bool]) -> set[int]:
+    """The nodes whose subtrees are the main text."""
+    tags, parents, n = page.tags, page.parents, len(page.tags)
+    whole = [-1] * n  # the article or main element that a node lies in
+    for i in range(1, n):
+        whole[i] = i if tags[i] in ("article", "main") else whole[parents[i]]
+    greatest = list(range(n))  # of each subtree: the node with the greatest sum
+    for i in range(n - 1, 0, -1):
+        p = parents[i]
+        if sums[greatest[i]] >= sums[greatest[p]] and sums[greatest[i]] > sums[p]:
+            greatest[p] = greatest[i]
+    walked = [False] * n
+    for i in range(top, n):
+        walked[i] = i == top or (walked[parents[i]] and chars[i] > 0 and density[i] >= threshold)
+    found = {best} | {greatest[i] for i in range(top + 1, n) if walked[i]}
+    if whole[best] >= 0:
+        return {whole[i] for i in found if whole[i] >= 0}
+    found = {i if whole[i] < 0 else whole[i] for i in found}
+    home = [0] * n  # a single paragraph inside a block, or inline markup: the block is meant
+    for i in range(1, n):
+        home[i] = i if tags[i] in BLOCK or whole[i] == i else home[parents[i]]
+    roots = {home[i] for i in found}
+    children: dict[int, list[int]] = {}
+    kept = {parents[i] for i in roots}
+    for i in range(1, n):
+        if parents[i] in kept:
+            children.setdefault(parents[i], []).append(i)
+    for parent, nodes in children.items():
+        at = [k for k, i in enumerate(nodes) if i in roots]
+        titles = [k for k, i in enumerate(nodes[: at[0]]) if tags[i] in HEADINGS]
+        start = min(titles + at[:1])
+        split = len(at) > 1 and tags[parent] not in ("body", "#root")
+        for k, i in enumerate(nodes):
+            if not linked[i] and (start <= k <= at[-1] or (split and tags[i] in FLOW)):
+                roots.add(i)
+    return roots
+
+
 def _blocks(page: Page, inside: list[bool]) -> str:
     home = [0] * len(page.tags)
     for i in range(1, len(home)):

@@ -34,6 +34,33 @@ def test_link_lists_in_an_article_stay_or_go_by_density():
     assert "link number" not in text and text.count("Some words") == 32
 
 
+@pytest.mark.parametrize("sections, paragraphs", [(2, 5), (4, 10), (3, 1), (10, 2)])
+@pytest.mark.parametrize("tag", ["section", "div"])
+def test_article_split_over_sections(sections, paragraphs, tag):
+    words = ("Some words of this article that goes on. " * 13)[:500]
+    lines = [[f"Part {i}", *(f"{i} {k} {words}".strip() for k in range(paragraphs))] for i in range(sections)]
+    parts = "".join(f"<{tag}><h2>{x[0]}</h2>" + "".join(f"<p>{p}</p>" for p in x[1:]) + f"</{tag}>" for x in lines)
+    menu = "<ul>" + "".join(f'<li><a href="/{i}">Other page {i}</a></li>' for i in range(20)) + "</ul>"
+    page = f'<body><div class="links">{menu}</div><div class="content"><h1>Title</h1><p>A short intro.</p>{parts}<p>The end.</p></div><div>{menu}</div></body>'
+    assert H.extract(page) == "\n\n".join(["Title", "A short intro.", *sum(lines, []), "The end."])
+
+
+def test_sections_of_unlike_length():
+    long, short = "Words of a long paragraph of the text. " * 30, "Words of a shorter one here. " * 12
+    page = f"<body><section><p>{long}</p><p>{long}</p></section><section><p>{short}</p><p>{short}</p></section><section><p>{long}</p></section></body>"
+    assert H.extract(page) == "\n\n".join(x.strip() for x in (long, long, short, short, long))
+
+
+def test_all_articles_of_a_page():
+    words = [f"{i} {'Words of the text of this article. ' * 12}".strip() for i in range(10)]
+    one, two = ("<article>" + "".join(f"<p>{w}</p>" for w in part) + "</article>" for part in (words[:5], words[5:]))
+    assert H.extract(f"<body><p>Hello</p>{one}{two}<p>Bye</p></body>") == "\n\n".join(words)
+
+
+def test_many_open_inline_elements():
+    assert H.extract("<p>a " + "<font>b <i class=x>" * 20_000).split() == ["a"] + ["b"] * 20_000
+
+
 TEXT = "<h1>Title</h1><p>" + "Words of the text of this page. " * 5 + "</p>"
 WANTED = "Title\n\n" + ("Words of the text of this page. " * 5).strip()
 
