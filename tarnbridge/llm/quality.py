@@ -28,7 +28,7 @@ from .common import table
 DIMENSIONS = 1 << 18
 REPEATS = 5
 SAMPLE = 2500
-#: Added to each count; bound of the dual variables; share of the fitted weights in the model.
+#: Added to each count; upper bound of the dual variables; share of the fitted weights in the model.
 SMOOTHING, COST, FITTED = 1.0, 1.0, 0.75
 EPOCHS = 12
 #: Slope of the logistic curve that makes a score of a margin.
@@ -76,12 +76,12 @@ def fit(texts: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]
     # texts of any length weigh the same: a row is scaled to length 1
     rows = [(ids, ratio[ids] / max(1e-9, float(np.sqrt((ratio[ids] ** 2).sum())))) for ids in texts]
     dual, order = np.zeros(len(rows)), np.random.default_rng(7)
-    norm = 1.0 + 1.0 + 0.5 / COST
+    norms = [1.0 + float(x @ x) for _, x in rows]
     for _ in range(EPOCHS):
         for i in order.permutation(len(rows)):
             ids, x = rows[i]
-            step = y[i] * (float(w[ids] @ x) + bias) - 1 + dual[i] * 0.5 / COST
-            new = max(0.0, dual[i] - step / norm)
+            step = y[i] * (float(w[ids] @ x) + bias) - 1
+            new = min(COST, max(0.0, dual[i] - step / norms[i]))
             if new != dual[i]:
                 w[ids] += (new - dual[i]) * y[i] * x
                 bias += (new - dual[i]) * y[i]

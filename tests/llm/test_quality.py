@@ -42,3 +42,9 @@ def test_odd_rows(docs, spark):
     for none in (labels.limit(0), labels.filter("quality = 1")):
         assert {r["predicted"] for r in Q.classify(docs(ODD), none).collect()} == {1}
     assert Q.classify(docs([]), labels).count() == 0
+
+
+def test_fit_is_of_the_hinge_loss():
+    """Three texts against one with the same feature: the margin is 1, where the squared hinge has 0.47."""
+    model, bias = Q.fit([np.array([5], np.int32)] * 4, np.array([1, 1, 1, 0]))
+    assert abs(bias - 0.5) < 1e-6 and np.isfinite(model).all()
