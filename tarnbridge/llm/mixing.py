@@ -10,7 +10,8 @@ a target stops at PASSES times its source's tokens and the excess is shared agai
 
 Cumulative sums run within hash buckets of a source, then over the buckets, and the cut is found
 from a histogram of finish times, then exactly within one bin: no task holds a source.
-A null text has size 0; a null source is a source; repeated rows are documents of their own;
+A null text, or one without words, has size 0; the stream has such a document once where its first
+serving lies before the cut; a null source is a source; repeated rows are documents of their own;
 an empty table gives an empty mix.
 """
 
@@ -127,7 +128,7 @@ def mixed_stream(docs: DataFrame) -> DataFrame:
     keep = [c for c in names if c != "doc_id"]
     queued = queue(docs, keep)
     edge, last = cut(checkpointed(queued.drop(*[f"_keep_{c}" for c in keep])))
-    mixed = servings(queued).filter(_is_in(F.col("finish"), F.col("serving"), edge, last) & (F.col("size") > 0))
+    mixed = servings(queued).filter(_is_in(F.col("finish"), F.col("serving"), edge, last) & ((F.col("size") > 0) | (F.col("serving") == 1)))
     return mixed.sort("finish", "skey", "serving", "k").select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_keep_{c}").alias(c) for c in names])
 
 

@@ -65,3 +65,19 @@ def test_odd_rows(docs):
     assert {r["size"] for r in rows if r["doc_id"] in (1, 2, 3)} == {0}
     assert M.mix_documents(docs([])).count() == 0 and M.mixed_stream(docs([])).count() == 0
     assert {r["taken"] for r in M.mix_documents(docs([(1, ""), (2, None)])).collect()} == {0}
+
+
+def test_stream_has_documents_of_size_zero_once(docs):
+    empty = [(1000, None, "s0"), (1001, "", "s1"), (1002, " \n", "s2"), (1003, "", "only empty")]
+    d = docs([(i, "w " * (1 + i % 5), f"s{i % 3}") for i in range(200)] + empty)
+    got = [r["doc_id"] for r in M.mixed_stream(d).collect()]
+    want, total = [], 0
+    for r in sorted(M.servings(M.queue(d)).collect(), key=lambda r: (r["finish"], r["skey"], r["serving"], r["k"])):
+        total += r["size"]
+        if total > r["budget"]:
+            break
+        if r["serving"] == 1 and not r["size"]:
+            want.append(r["doc_id"])
+    want.sort()
+    assert 1003 in want and sorted(i for i in got if i >= 1000) == want
+    assert sorted(r["doc_id"] for r in M.mixed_stream(docs(empty)).collect()) == [1000, 1001, 1002, 1003]
