@@ -19,7 +19,8 @@ only classes that are not connected yet are then compared with each other, all o
 classes of a group of copies are thus never expanded into pairs.
 
 Empty and null texts, or texts without words, have no shingles and link with nothing. Rows that
-repeat a doc_id count as copies where the texts are equal; a row with a null doc_id links with
+repeat a doc_id count as copies where the sets are equal and as documents of their own where they
+are not: a class goes by its least doc_id and its set's hash. A row with a null doc_id links with
 nothing and has a null component. An empty table gives an empty result.
 """
 
@@ -306,22 +307,33 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
 
 
 def _shingle_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id and its sorted shingles."""
+    """doc_id, node and sorted shingles; all rows of a doc_id are in one task, each set of it comes once."""
+    seen: set = set()
     for batch in batches:
         for at, data, ends in chunks(batch.column(1)):
             row, shingle = shingle_sets(data, ends)
+            ids, nodes = batch.column(0).slice(at, len(ends)), set_keys(row, shingle, len(ends))[0].view(np.int64)
+            fresh = []
+            for key in zip(ids.to_pylist(), nodes.tolist(), strict=True):
+                fresh.append(key not in seen)
+                seen.add(key)
             offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(ends)))])
             arrays = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(shingle.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ends)), arrays], ["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes), arrays], ["doc_id", "node", "shingles"]).filter(pa.array(fresh))
+
+
+def _key(doc_id: str = "doc_id"):
+    """A class: the least doc_id of its rows and the hash of its set."""
+    return F.struct(F.col(doc_id).alias("doc_id"), F.col("node").alias("node"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough; texts are read again for these only."""
     pairs = checkpointed(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = pairs.select(F.explode(F.array("a.doc_id", "b.doc_id")).alias("doc_id")).distinct()
     texts = docs.mapInArrow(_sets(_filter_of(ids)), "doc_id bigint, text string")
-    sets = checkpointed(texts.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(_shingle_arrays, "rep bigint, shingles array<bigint>"))
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
+    sets = checkpointed(texts.join(ids, "doc_id", "left_semi").repartition("doc_id").mapInArrow(_shingle_arrays, "doc_id bigint, node bigint, shingles array<bigint>"))
+    both = pairs.join(sets.select(_key().alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(_key().alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return checkpointed(both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
 
@@ -337,6 +349,14 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document; a row's component is the least
     doc_id that links lead to from its document, itself included."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = _labelled(docs, percent).select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.col("component.doc_id").alias("component_id"))
+    nameless = docs.filter("doc_id is null").select("doc_id", "text").mapInArrow(_sizes, "doc_id bigint, n_shingles bigint, component_id bigint")
+    return rows.unionByName(nameless)
+
+
+def _labelled(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, node, n and component (the key of its least class) of every row with a doc_id."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     named = docs.filter("doc_id is not null")
     buckets = max(64, named.count() // BUCKET_DOCS)
     bits = min(20, (buckets - 1).bit_length())
@@ -344,36 +364,34 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = written(packed.mapInArrow(_shared, _SHARED))
     keys = found.filter("doc_id is not null").select("doc_id", "node", "node2", "n", *_PARITIES)
     classes = keys.filter("n > 0").groupBy("node", "node2", "n").agg(F.min("doc_id").alias("rep"), *[F.min(p).alias(p) for p in _PARITIES])
-    classes = checkpointed(classes)
+    classes = checkpointed(classes.withColumn("key", _key("rep")).drop("rep"))
     pairs = found.filter("follows is not null").select("node", "follows").distinct()
     runs = found.filter("run is not null").select("run", "node").distinct()
 
     # neighbours in runs
     x, y = classes.alias("x"), classes.withColumnRenamed("node", "follows").alias("y")
-    near = pairs.join(x, "node").join(y, "follows").filter((F.col("x.rep") != F.col("y.rep")) & _maybe(_of("x"), _of("y"), percent))
-    near = checkpointed(near.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
-    wide = found.filter("doc_id is not null").select("doc_id", "n", "wide")
+    near = pairs.join(x, "node").join(y, "follows").filter((F.col("x.key") != F.col("y.key")) & _maybe(_of("x"), _of("y"), percent))
+    near = checkpointed(near.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct())
+    wide = found.filter("doc_id is not null").select(_key().alias("key"), "n", "wide")
     links = _verified(_narrowed(near, wide, percent), named, percent)
     joined = checkpointed(components(links))
 
     # all classes of a run that aren't connected yet
-    member = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", "n", F.coalesce("component", "rep").alias("c"), *_PARITIES)
+    member = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").select("node", "key", "n", F.coalesce("component", "key").alias("c"), *_PARITIES)
     member = runs.join(member, "node").drop("node")
-    several = member.groupBy("run").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("run")
+    several = member.groupBy("run").agg(*[f(f"c.{x}").alias(f"{n}_{x}") for x in ("doc_id", "node") for n, f in (("lo", F.min), ("hi", F.max))]).filter("lo_doc_id <> hi_doc_id or lo_node <> hi_node").select("run")
     member = member.join(several, "run", "left_semi")
     apart = member.alias("x").join(member.alias("y"), (F.col("x.run") == F.col("y.run")) & (F.col("x.c") < F.col("y.c")) & _maybe(_of("x"), _of("y"), percent))
-    apart = apart.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
+    apart = apart.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
     joined = checkpointed(components(links.unionAll(_verified(_narrowed(apart, wide, percent), named, percent))))
 
-    label = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("node", "node2", "n", F.coalesce("component", "rep").alias("component_id"))
-    rows = keys.drop(*_PARITIES).join(label, ["node", "node2", "n"], "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    nameless = docs.filter("doc_id is null").select("doc_id", "text").mapInArrow(_sizes, "doc_id bigint, n_shingles bigint, component_id bigint")
-    return rows.unionByName(nameless)
+    label = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").select("node", "node2", "n", F.coalesce("component", "key").alias("component"))
+    return keys.drop(*_PARITIES).join(label, ["node", "node2", "n"], "left").select("doc_id", "node", "n", F.coalesce("component", _key()).alias("component"))
 
 
 def _narrowed(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
     """The pairs that can be similar by all their parity words."""
-    a, b = (wide.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in "ab")
+    a, b = (wide.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in "ab")
     xor = lambda x, y: F.zip_with(x, y, lambda u, v: u.bitwiseXOR(v))
     half = lambda x: xor(F.slice(x, F.lit(1), F.floor(F.size(x) / 2).cast("int")), F.slice(x, F.floor(F.size(x) / 2).cast("int") + 1, F.size(x)))
     x = F.when(F.size("wa") > F.size("wb"), half(F.col("wa"))).otherwise(F.col("wa"))
@@ -401,10 +419,29 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([none, pa.array(n, pa.int64()), none], ["doc_id", "n_shingles", "component_id"])
 
 
+def _nodes(text: str):
+    """The hash of the set of shingles of a text column."""
+
+    @F.arrow_udf("bigint")
+    def node(texts: pa.Array) -> pa.Array:
+        parts = [set_keys(*shingle_sets(data, ends), len(ends))[0].view(np.int64) for _, data, ends in chunks(texts)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+
+    return node(F.col(text))
+
+
 def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents without near copies: of each component the row whose doc_id is least."""
-    kept = similar_documents(docs, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    whole = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
+    """The documents without near copies: of each component the row whose doc_id is least.
+
+    Of a doc_id with several sets, each set counts for itself; their rows are told apart by hashing again.
+    """
+    rows = checkpointed(_labelled(docs, percent).select("doc_id", "node", (F.col("component") == _key()).alias("first")).distinct())
+    each = rows.groupBy("doc_id").agg((F.min("node") != F.max("node")).alias("several"), F.max("first").alias("any"))
+    named = docs.filter("doc_id is not null")
+    plain = named.join(each.filter("any and not several").select("doc_id"), "doc_id", "left_semi")
+    mixed = named.join(each.filter("any and several").select("doc_id"), "doc_id", "left_semi").withColumn("_node", _nodes("text"))
+    mixed = mixed.join(rows.filter("first").select("doc_id", F.col("node").alias("_node")), ["doc_id", "_node"], "left_semi").drop("_node")
+    whole = plain.unionByName(mixed)
     once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.col("text"))
     whole = whole.withColumn("_copy", F.row_number().over(once)).filter("_copy = 1").drop("_copy")
     return whole.unionByName(docs.filter("doc_id is null"))

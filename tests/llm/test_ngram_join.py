@@ -118,3 +118,12 @@ def test_components_of_paths_and_stars(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(1, 201)} | {1000 + i: 1000 for i in range(1, 50)} | {7001: 7000}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_one_id_with_two_texts(docs):
+    one, two = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    near = lambda t: t + " more"
+    rows = [(5, one), (5, two), (7, near(one)), (9, near(two)), (3, near(two) + " yet")]
+    got = sorted(tuple(x) for x in N.similar_documents(docs(rows)).select("doc_id", "component_id").collect())
+    assert got == [(3, 3), (5, 3), (5, 5), (7, 5), (9, 3)]
+    assert sorted((r["doc_id"], r["text"]) for r in N.first_of_each(docs(rows)).collect()) == [(3, rows[4][1]), (5, one)]
