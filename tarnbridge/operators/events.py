@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnbridge.functions.text import title_exact, title_words
+from tarnbridge.sources.tables import BROADCAST_ROWS, is_small
+
 #: Shares of a curated link, of the cosine and of the common words in a likeness.
 SHARES = (0.5, 0.3, 0.2)
 #: Enough exact owners for an exact scope, and how many similar events are used.
@@ -13,16 +16,39 @@ ENOUGH_EXACT = 4
 MOST_SIMILAR = 4
 
 
-def first_in_lexicon(texts: DataFrame, lexicon: DataFrame, text: str = "text", longest: bool = False) -> DataFrame:
-    """The entry of a lexicon (ord, key, alias) that occurs in each text: the least ord, or the longest alias.
+#: Characters of an alias by which it is looked up in texts where the lexicon is large.
+GRAM = 8
+
+
+def occurrences(texts: DataFrame, text: str, lexicon: DataFrame, alias: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Every pair of a text and an alias, not empty, that occurs in it.
+
+    A small lexicon is broadcast and each text meets every alias. A larger one is joined by its
+    aliases' first characters with the runs of characters of the texts.
+    """
+    lexicon = lexicon.filter(F.col(alias) != "")
+    if is_small(lexicon, most):
+        return texts.join(F.broadcast(lexicon), F.col(text).contains(F.col(alias)))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.transform(starts, lambda i: F.substring(F.col(text), i, n))))
+    rows = texts.withColumn("_gram", F.explode(F.array_distinct(grams)))
+    keyed = lexicon.withColumn("_gram", F.substring(alias, 1, GRAM))
+    return rows.join(keyed, "_gram").filter(F.col(text).contains(F.col(alias))).drop("_gram")
+
+
+def first_in_lexicon(texts: DataFrame, lexicon: DataFrame, text: str = "text", longest: bool = False, whole: bool = False, key: str = "doc_id") -> DataFrame:
+    """key and alias of the entry of a lexicon (ord, key, alias) that occurs in each text: the least ord, or the longest alias.
 
-    The lexicon is a small dimension; it is broadcast, and each text meets every alias.
+    whole asks for aliases between blanks or at an end of the text, as normalised texts have them.
+    Equally long aliases go by the alphabet, then by ord. Texts without an entry have nulls.
     """
-    hit = texts.join(F.broadcast(lexicon), F.col(text).contains(F.col("alias")), "left")
-    pick = F.struct(-F.length("alias"), "alias", "ord", "key") if longest else F.struct("ord", "alias", "key")
-    others = [c for c in texts.columns if c != text]
-    best = hit.groupBy(*others).agg(F.min(F.when(F.col("alias").isNotNull(), pick)).alias("_best"))
-    return best.select(*others, F.col("_best.key").alias("key"), F.col("_best.alias").alias("alias"))
+    bounded = lambda c: F.concat(F.lit(" "), c, F.lit(" ")) if whole else c
+    entries = lexicon.filter("alias <> ''").select(F.col("ord").alias("_ord"), F.col("key").alias("_key"), bounded(F.col("alias")).alias("_alias"))
+    rows = texts.select(F.col(key).alias("_id"), bounded(F.col(text)).alias("_text"))
+    pick = F.struct(-F.length("_alias"), "_alias", "_ord", "_key") if longest else F.struct("_ord", "_alias", "_key")
+    best = occurrences(rows, "_text", entries, "_alias").groupBy("_id").agg(F.min(pick).alias("_best"))
+    best = best.select(F.col("_id").alias(key), F.col("_best._key").alias("key"), (F.trim("_best._alias") if whole else F.col("_best._alias")).alias("alias"))
+    return texts.drop(text).join(best, key, "left")
 
 
 def whole_alias(text: Column, alias: Column) -> Column:
@@ -43,8 +69,81 @@ def similar_events(pairs: DataFrame, most: int = MOST_SIMILAR) -> DataFrame:
 
 
 def scope(exact_owners: Column, similar: Column, enough: int = ENOUGH_EXACT) -> Column:
-    """What a search is held to, from the counts of exact owners and of similar events."""
-    return (
-        F.when(exact_owners >= enough, "exact_event").when((exact_owners > 0) & (similar > 0), "exact_plus_similar").when(exact_owners > 0, "exact_event")
-        .when(similar > 0, "similar_events").otherwise("global")
-    )
+    """What a search is held to, from the counts of exact owners and of similar events.
+
+    Too few exact owners are filled up even where no similar event is known.
+    """
+    return F.when(exact_owners >= enough, "exact_event").when(exact_owners > 0, "exact_plus_similar").when(similar > 0, "similar_events").otherwise("global")
+
+
+def ground(queries: DataFrame, articles: DataFrame, owners: DataFrame, similar: DataFrame, enough: int = ENOUGH_EXACT) -> DataFrame:
+    """What each query's search is held to: its event, the event's own articles, similar events, the scope.
+
+    queries has query_id, query and hint (an event that keywords tell of, or null); articles has
+    article_id and title; owners has article_id and owner_id; similar has event (a hint) and title,
+    the events like it that are known, already cut to those to be used.
+
+    Only articles with owners and a title count. The hint of a query is the longest title whose
+    normal form occurs in the query's, else the one given. Exact articles are those whose title is
+    the hint or has it as a run of whole words; where there are none, the given hint is tried. An
+    event with too few owners gets similar events, too. Equally long titles go by the alphabet.
+
+    Gives query_id, hint, exact_articles (sorted ids), exact_owners, needs_similar, similar_titles
+    (sorted) and scope, a row a query. Queries without a hint search anywhere.
+    """
+    kept = articles.filter(F.trim("title") != "").join(owners.filter("owner_id is not null").select("article_id"), "article_id", "left_semi")
+    kept = kept.select("article_id", "title", title_words(F.col("title")).alias("norm")).distinct()
+    asked = queries.select("query_id", "hint", title_words(F.col("query")).alias("q"))
+    names = kept.filter("norm <> ''").select("title", "norm").distinct()
+    pick = F.min(F.struct((-F.length("title")).alias("l"), "title"))
+    named = occurrences(asked.select("query_id", "q"), "q", names, "norm").groupBy("query_id").agg(pick.alias("n")).select("query_id", F.col("n.title").alias("from_title"))
+    asked = asked.join(named, "query_id", "left").select("query_id", F.col("hint").alias("given"), F.coalesce("from_title", F.nullif("hint", F.lit(""))).alias("hint"))
+
+    # a hint is looked up by its first word among the words of the titles
+    wanted = asked.select(F.explode(F.array("hint", "given")).alias("h")).filter("h <> ''").distinct().withColumn("hn", title_words(F.col("h"))).filter("hn <> ''")
+    words = kept.withColumn("w", F.explode(F.array_distinct(F.split("norm", " ")))).filter("w <> ''")
+    found = wanted.withColumn("w", F.substring_index("hn", " ", 1)).join(words, "w").filter(title_exact(F.col("norm"), F.col("hn"))).select("h", "article_id").distinct()
+    has = found.select("h").distinct().withColumn("known", F.lit(True))
+    asked = asked.join(has.withColumnRenamed("h", "hint"), "hint", "left").withColumnRenamed("known", "own")
+    asked = asked.join(has.withColumnRenamed("h", "given"), "given", "left")
+    asked = asked.select("query_id", F.when(F.col("own").isNull() & F.col("known").isNotNull(), F.col("given")).otherwise(F.col("hint")).alias("hint"))
+
+    exact = found.groupBy(F.col("h").alias("hint")).agg(F.array_sort(F.collect_set("article_id")).alias("exact_articles"))
+    counts = found.join(owners, "article_id").groupBy(F.col("h").alias("hint")).agg(F.count_distinct("owner_id").alias("n"))
+    like = similar.filter("event is not null").groupBy(F.col("event").alias("hint")).agg(F.array_sort(F.collect_set("title")).alias("titles"))
+    out = asked.join(exact, "hint", "left").join(counts, "hint", "left").join(like, "hint", "left")
+    n = F.coalesce("n", F.lit(0))
+    needs = F.col("hint").isNotNull() & (n < enough)
+    titles = F.when(needs, F.coalesce("titles", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    out = out.select("query_id", "hint", F.coalesce("exact_articles", F.array().cast("array<bigint>")).alias("exact_articles"), n.alias("exact_owners"), needs.alias("needs_similar"), titles.alias("similar_titles"))
+    return out.withColumn("scope", scope(F.col("exact_owners"), F.size("similar_titles"), enough))
+
+
+#: A family of events, what a title of the asked family adds, and what a title adds by the surface that is asked for and the first surface that it has.
+FAMILY, FAMILY_BONUS = "granguanche", 0.08
+SUBTYPES = {
+    "road": (("road", 0.16), ("gravel", -0.04), ("trail", -0.08)),
+    "gravel": (("gravel", 0.16), ("trail", 0.04), ("road", -0.05)),
+    "trail": (("trail", 0.16), ("gravel", 0.04), ("road", -0.08)),
+}
+
+
+def subtype_bonus(title: Column, hint: Column, query: Column) -> Column:
+    """What the surface and the family of an event's title add to a score; all three normalised by title_words()."""
+    has = lambda c, w: F.concat(F.lit(" "), F.coalesce(c, F.lit("")), F.lit(" ")).contains(f" {w} ")
+    first = lambda c, options: _first_case([(has(c, w), F.lit(x)) for w, x in options])
+    bonus = F.when(has(title, FAMILY) & has(hint, FAMILY), FAMILY_BONUS).otherwise(0.0)
+    return bonus + _first_case([(has(query, asked), first(title, options)) for asked, options in SUBTYPES.items()])
+
+
+def _first_case(cases: list[tuple[Column, Column]]) -> Column:
+    out = F.when(*cases[0])
+    for condition, value in cases[1:]:
+        out = out.when(condition, value)
+    return out.otherwise(0.0)
+
+
+def is_known(title: Column) -> Column:
+    """Whether an owner's event is named."""
+    plain = F.lower(F.trim(title))
+    return F.coalesce((plain != "") & (plain != "unknown event"), F.lit(False))

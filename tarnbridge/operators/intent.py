@@ -145,8 +145,7 @@ def bike_type(text: Column) -> Column:
 
 def setup_detail(text: Column, patterns: Sequence[str]) -> Column:
     """What the first pattern that matches finds, as it is written in the text."""
-    found = [F.regexp_extract(text, f"(?i){p}", 0) for p in patterns]
-    return F.coalesce(*[F.when(x != "", x) for x in found])
+    return F.coalesce(*[F.regexp_substr(text, F.lit(f"(?i){p}")) for p in patterns])
 
 
 def component_hit(text: Column, terms: Sequence[str]) -> Column:

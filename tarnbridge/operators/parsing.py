@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -85,25 +86,26 @@ def riders_of(body: pd.Series) -> pd.Series:
 
 
 class _Text(HTMLParser):
-    """The texts of a page's nodes, by whether they are in main, body or a first-level heading."""
+    """The texts of a page's nodes, each with the elements it is in: the first of a tag by its name, others as name and number."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[str] = []
+        self.open: list[tuple[str, str]] = []
         self.texts: list[tuple[str, frozenset]] = []
-        self.seen: set[str] = set()
+        self.seen: Counter[str] = Counter()
 
     def handle_starttag(self, tag, attrs):
-        self.seen.add(tag)
+        self.seen[tag] += 1
         if tag not in ("br", "img", "hr", "input", "meta", "link"):
-            self.open.append(tag)
+            self.open.append((tag, tag if self.seen[tag] == 1 else f"{tag} {self.seen[tag]}"))
 
     def handle_endtag(self, tag):
-        if tag in self.open:
-            del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
+        if at is not None:
+            del self.open[at:]
 
     def handle_data(self, data):
-        inside = frozenset(self.open)
+        inside = frozenset(x for names in self.open for x in names if x == names[1] or x in ("script", "style"))
         if data.strip() and not inside & {"script", "style"}:
             self.texts.append((data.strip(), inside))
 
@@ -112,13 +114,13 @@ ARTICLE = T.StructType([T.StructField("title", T.StringType()), T.StructField("b
 
 
 def parse_article(html: str | None) -> tuple[str, str, str]:
-    """Title (first heading), text of the article element, text of main, else body, else all."""
+    """Title (the first first-level heading, its parts joined), text of the first article element, text of the first main, else body, else all."""
     page = _Text()
     page.feed(html or "")
     page.close()
     part = lambda tag: [t for t, inside in page.texts if tag in inside]
     best = next((tag for tag in ("main", "body") if tag in page.seen), None)
-    return " ".join(part("h1")), "\n".join(part("article")), "\n".join(part(best) if best else [t for t, _ in page.texts])
+    return "".join(part("h1")), "\n".join(part("article")), "\n".join(part(best) if best else [t for t, _ in page.texts])
 
 
 @F.pandas_udf(ARTICLE)

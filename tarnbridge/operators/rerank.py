@@ -15,6 +15,8 @@ from tarnbridge.functions.text import contains_any, strip
 OTHER_NAVIGATION = ("wahoo", "hammerhead", "bryton", "karoo", "coros")
 PUNCTURE = ("tubeless", "sealant", "plugs", "dynaplug", "dart", "cushcore", "inserts")
 WIDE_GEARING = ("10-52", "10-50", "11-51", "11-50", "11-46", "11-42", "mullet")
+#: Terms of a query and the event key that they hint at, first match counts.
+EVENT_HINTS = (("transcontinental", "transcontinental"), ("tcr", "transcontinental"), ("gb duro", "gbd"), ("gbduro", "gbd"))
 
 
 @dataclass(frozen=True)
@@ -49,13 +51,18 @@ def constraints(query: Column) -> dict[str, Column]:
     no_suspension = contains_any(q, ["avoid suspension", "no suspension"])
     both = r"(?i)(\d{2})\s*[-–]\s*(\d{2})\s*mm"
     low, high, least = (F.regexp_extract(q, p, i).try_cast("int") for p, i in ((both, 1), (both, 2), (r"(?i)(\d{2})\s*mm\+", 1)))
+    inches = r"""(?i)(\d(?:\.\d)?)\s*[-–]\s*(\d(?:\.\d)?)\s*['"]"""
+    low_inch, high_inch = (F.regexp_extract(q, inches, i).try_cast("double") for i in (1, 2))
+    hint = F.lit(None).cast("string")
+    for term, key in reversed(EVENT_HINTS):
+        hint = F.when(q.contains(term), key).otherwise(hint)
     return {
         "avoid_electronic": contains_any(q, ["avoid electronic", "no electronic"]) | mechanical,
         "require_garmin": contains_any(q, ["garmin only", "navigation: garmin", "nav: garmin"]),
         "rigid": q.contains("rigid") | no_suspension,
         "puncture": contains_any(q, ["puncture", "flat"]),
         "wide_gearing": contains_any(q, ["wide range gearing", "steep climbs", "wide gear range"]),
-        "tyre_min": F.coalesce(low, least), "tyre_max": high,
+        "tyre_min": F.coalesce(low, least), "tyre_max": high, "tyre_min_inch": low_inch, "tyre_max_inch": high_inch, "event_hint": hint,
     }
 
 
@@ -74,8 +81,8 @@ def tyre_range(width: Column) -> tuple[Column, Column]:
 def rule_deltas(asked: dict[str, Column], hit: dict[str, Column], w: Weights) -> dict[str, Column]:
     """Change for each rule that applies, 0 for the others.
 
-    hit has text, event_key, frame_type, tyre_width, wheel_size and electronic; asked may have
-    event_hint besides what constraints() gives.
+    hit has text, event_key, frame_type, tyre_width, wheel_size and electronic; asked is what
+    constraints() gives.
     """
     text, frame = F.lower(F.coalesce(hit["text"], F.lit(""))), F.lower(F.coalesce(hit["frame_type"], F.lit("")))
     low, high = tyre_range(F.coalesce(hit["tyre_width"], F.lit("")))

@@ -69,8 +69,13 @@ def mode(rows: DataFrame, keys: list[str], value: str, order: Column) -> DataFra
     return n.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(*keys, value, "n")
 
 
-def pairwise_jaccard(lists: DataFrame) -> DataFrame:
-    """query_a, query_b, jaccard of the id lists of all pairs of queries (query_id, ids)."""
+#: Fixed value: of how many queries the lists are compared.
+COMPARED = 30
+
+
+def pairwise_jaccard(lists: DataFrame, first: int = COMPARED) -> DataFrame:
+    """query_a, query_b, jaccard of the id lists (query_id, ids) of the first queries, all pairs of them."""
+    lists = lists.orderBy("query_id").limit(first)
     a = lists.select(F.col("query_id").alias("query_a"), F.array_distinct("ids").alias("x"))
     b = lists.select(F.col("query_id").alias("query_b"), F.array_distinct("ids").alias("y"))
     common = F.size(F.array_intersect("x", "y")) / F.greatest(F.size(F.array_union("x", "y")), F.lit(1))

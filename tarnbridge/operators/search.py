@@ -53,3 +53,24 @@ def similar_owners(vectors: DataFrame, queries: DataFrame, owner: Column, scope:
     final = F.col("weighted") * factor if factor is not None else F.col("weighted")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.col("scope") == "exact"), F.desc(F.round("final", 9)), "owner_id")
     return merged.withColumn("final", final).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limits.owners)
+
+
+def filled(*fields: Column) -> Column:
+    """How many of some texts aren't blank."""
+    return sum((F.coalesce((F.trim(c) != "").cast("int"), F.lit(0)) for c in fields), F.lit(0))
+
+
+def final_rank(owners: DataFrame, k: int, component_asked: Column | None = None) -> DataFrame:
+    """Adds place, and keeps the k first owners of each query.
+
+    owners has query_id, owner_id, same_event, exact_scope, known_event and component_hit (booleans),
+    score (weighted, with surface factor and subtype bonus), coverage, year and text_length. Owners
+    of the same event come first and the others fill up; then those found in the exact scope; then,
+    where the query asks for a component, those that have it; then known events, and the greater
+    score, coverage, year and length. Nulls count as false and 0; equals go by owner_id.
+    """
+    hit = F.col("component_hit") & (component_asked if component_asked is not None else F.lit(True))
+    flags = [F.coalesce(c, F.lit(False)) for c in (F.col("same_event"), F.col("exact_scope"), hit, F.col("known_event"))]
+    sizes = [F.coalesce(c, F.lit(0)) for c in (F.round("score", 9), F.col("coverage"), F.col("year"), F.col("text_length"))]
+    order = Window.partitionBy("query_id").orderBy(*[c.desc() for c in (*flags, *sizes)], "owner_id")
+    return owners.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)

@@ -92,12 +92,17 @@ def not_done(rows: DataFrame, done: DataFrame, key: str, also: str, order: Colum
     return first_by(first_by(left, [key], order), [also], order)
 
 
-def by_priority(rows: DataFrame, *sources: tuple[DataFrame, str, Column], fallback: Column) -> DataFrame:
-    """Adds truth and found_by: the first source (a value by key) that knows a row, else the fallback."""
+def by_priority(rows: DataFrame, *sources: tuple[DataFrame, str, Column], fallback: Column, order: str = "pos") -> DataFrame:
+    """Adds truth and found_by: the first source (a value by key) that knows a row, else the fallback.
+
+    Of a key that a source has several times the last by its column order counts (the greatest
+    value where it has no such column), so a row stays one row.
+    """
     names = []
     for i, (source, value, key) in enumerate(sources):
         names.append(f"_truth_{i}")
-        right = source.select(F.col("key").alias(f"_key_{i}"), F.col(value).alias(names[-1]))
+        last = F.max_by(value, order) if order in source.columns else F.max(value)
+        right = source.filter(F.col("key").isNotNull() & F.col(value).isNotNull()).groupBy(F.col("key").alias(f"_key_{i}")).agg(last.alias(names[-1]))
         rows = rows.join(right, key == F.col(f"_key_{i}"), "left").drop(f"_key_{i}")
     by = F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(i + 1)) for i, n in enumerate(names)], F.lit(0))
     return rows.withColumns({"truth": F.coalesce(*map(F.col, names), fallback), "found_by": by}).drop(*names)

@@ -69,11 +69,10 @@ def questions(events: DataFrame, templates: Sequence[str], suffixes: Sequence[st
     seed, so a run can be repeated and extended; every question after the first has a suffix.
     """
     once = first_by(events.withColumn("_key", F.concat_ws("__", slug(F.col("event")), F.col("year").cast("string"))), ["_key"], F.col("event"))
-    spark = events.sparkSession
-    forms = spark.createDataFrame(list(enumerate(templates)), "template int, form string")
     h = lambda *c: F.xxhash64(F.lit(seed), F.col("_key"), *c)
     order = Window.partitionBy("_key").orderBy(h(F.col("template")), "template")
-    picked = once.crossJoin(F.broadcast(forms)).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_event)
+    forms = F.posexplode(F.array(*map(F.lit, templates))).alias("template", "form")
+    picked = once.select("*", forms).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_event)
     suffix = F.element_at(F.array(*map(F.lit, suffixes)), (F.pmod(h(F.lit("suffix"), F.col("n")), F.lit(len(suffixes))) + 1).cast("int"))
     text = F.replace(F.replace("form", F.lit("{event}"), F.col("event")), F.lit("{year}"), F.col("year").cast("string"))
     rows = picked.withColumn("question", F.when(F.col("n") > 1, F.concat_ws(" ", text, suffix)).otherwise(text))

@@ -15,6 +15,7 @@ from tarnbridge.operators import recommend as R
 from tarnbridge.operators import search as P
 from tarnbridge.operators import synthesis as S
 from tarnbridge.operators import web_context as W
+from tarnbridge.operators.parsing import article_of
 from tarnbridge.plans import retrieval_queries as Q
 from tarnbridge.plans import rule_queries as U
 from tarnbridge.sources.tables import table
@@ -43,11 +44,10 @@ def site_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Each event's first candidate or its site's first rule page that has a text; texts are the urls' lengths."""
+    """Each event's first candidate or its site's first rule page that has a text, and that text; parsing has no SQL form."""
     chosen = W.candidates(_results(spark, d), **KINDS).filter("place = 1").select("event", "url")
-    pages = table(spark, d, "pages").filter("page_id % 3 = 0").select(X.canonical_url(F.col("url")).alias("url"), F.length("html").cast("string").alias("text"))
-    site = pages.union(chosen.select(F.concat(X.base_site(F.col("url")), F.lit("/faq")).alias("url"), F.lit("faq").alias("text")).distinct())
-    return W.context_pages(chosen, site).select("event", "page_url")
+    pages = table(spark, d, "pages").select(X.canonical_url(F.col("url")).alias("url"), article_of(F.col("html")).getField("page_text").alias("text"))
+    return W.context_pages(chosen, pages).select("event", "page_url", "text")
 
 
 def _contexts(spark: SparkSession, d: str) -> DataFrame:
@@ -205,9 +205,6 @@ SELECT query_id, owner_id, scope, row_number() OVER (PARTITION BY query_id ORDER
     "search_merge": f"""WITH {_RES}, b AS (SELECT event, 1 AS s, rank, url FROM r WHERE rank < 7 UNION ALL SELECT event, 2, rank - 4, url FROM r WHERE rank >= 4),
 o AS (SELECT * FROM b WHERE trim(url) <> '' QUALIFY row_number() OVER (PARTITION BY event, url ORDER BY s, rank) = 1) SELECT event, row_number() OVER (PARTITION BY event ORDER BY s, rank, url)::INTEGER AS rank, url FROM o""",
     "site_candidates": f"WITH {_CAND} SELECT t.event, tracker_url, place::INTEGER AS place, url FROM t LEFT JOIN c ON t.event = c.event",
-    "context_pages": f"""WITH {_CAND}, f AS (SELECT event, url FROM c WHERE place = 1), p AS (SELECT regexp_replace(url, '[?#].*$', '') AS page_url FROM pages WHERE page_id % 3 = 0 UNION SELECT {_BASE.format('url')} || '/faq' FROM f),
-u AS (SELECT event, url AS page_url, 0 AS pos FROM f UNION ALL SELECT event, regexp_replace({_BASE.format('url')}, '/+$', '') || '/' || regexp_replace(path, '^/+', ''), ord FROM f,
-  (VALUES {', '.join(f"('{p}', {i + 1})" for i, p in enumerate(W.RULE_PATHS))}) v(path, ord)) SELECT event, page_url FROM u SEMI JOIN p USING (page_url) QUALIFY row_number() OVER (PARTITION BY event ORDER BY pos) = 1""",
     "context_texts": f"""WITH {_CTX} SELECT doc_id, coalesce(summary <> '', false) OR surface IS NOT NULL OR cs IS NOT NULL OR km OR up OR o IS NOT NULL OR title IS NOT NULL AS useful,
   concat_ws(chr(10), nullif(summary, ''), surface, cs, nullif(title, ''), snippet, o) AS text, concat_ws(chr(10), nullif(summary, ''), surface, cs) AS notes FROM x""",
     "unproven_contexts": "SELECT doc_id FROM documents WHERE doc_id % 4 = 0 AND doc_id % 8 <> 0",

@@ -6,15 +6,16 @@ are the chunks of one owner, labels are the scopes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnbridge.functions.text import token_jaccard
+from tarnbridge.functions.text import title_exact, title_words, token_jaccard, year_in
 from tarnbridge.functions.vectors import cosine, tidy
 from tarnbridge.operators import events as E
 from tarnbridge.operators import metrics as M
 from tarnbridge.operators import retrieval as R
+from tarnbridge.operators import search as S
 from tarnbridge.operators.nearest import nearest
 from tarnbridge.sources.tables import table
 
@@ -143,6 +144,11 @@ def overlap_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("query_a", "query_b", tidy(F.col("jaccard")).alias("jaccard"))
 
 
+def overlap_average(spark: SparkSession, d: str) -> DataFrame:
+    lists = _hits(spark, d, 20).groupBy("query_id").agg(F.collect_set("owner_id").alias("ids"))
+    return R.pairwise_jaccard(lists).agg(F.count(F.lit(1)).alias("pairs"), tidy(F.avg("jaccard"), 5).alias("average"))
+
+
 def top_frequent(spark: SparkSession, d: str) -> DataFrame:
     return R.most_common(_hits(spark, d, 20), "owner_id", 10)
 
@@ -179,26 +185,60 @@ def event_scope(spark: SparkSession, d: str) -> DataFrame:
     return q.select("query_id", n.alias("exact_owners"), E.scope(n, F.col("label") % 2).alias("scope"))
 
 
+TITLES = ("Granguanche Audax Road", "Granguanche Audax Trail 2024", "Highland Trail 550", "Unknown Event", "", "Gravel Birds 2023", "All Road Ultra")
+ASKED = ("granguanche road setup", "trail tyres for the granguanche", "gravel", "what to pack")
+HINTS = ("Granguanche Audax", "", "Gravel Birds")
+
+
+def _chosen(values: tuple[str, ...], by: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(by, F.lit(len(values))) + 1).cast("int"))
+
+
 def final_rank_tuple(spark: SparkSession, d: str) -> DataFrame:
-    """Merged owners ordered by scope, then the score with a surface factor, then fields filled."""
+    """Merged owners by the whole rank: event, scope, component, score with its changes, fields filled, year, length.
+
+    Each owner has one of TITLES as its event; each query asks one of ASKED about one of HINTS.
+    """
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("owner_id"), "lang", "source", "n_chars")
-    rows = _merged(spark, d).join(docs, "owner_id", "left")
+    asked = F.floor(F.col("query_id") / EVERY)
+    rows = _merged(spark, d).join(docs, "owner_id", "left").withColumns({"title": _chosen(TITLES, F.col("owner_id")), "t": title_words(_chosen(TITLES, F.col("owner_id"))), "h": title_words(_chosen(HINTS, asked)), "q": title_words(_chosen(ASKED, asked))})
     factor = F.when(F.col("lang") == "en", 1.15).when(F.col("lang") == "de", 0.72).when(F.col("lang") == "fr", 0.92).otherwise(1.0)
-    coverage = sum((F.coalesce((F.trim(c) != "").cast("int"), F.lit(0)) for c in ("lang", "source")), F.lit(0))
-    rows = rows.withColumns({"final": F.col("weighted") * factor, "coverage": coverage})
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.col("scope") == "exact"), F.desc(F.round("final", 9)), F.desc("coverage"), F.desc(F.coalesce("n_chars", F.lit(0))), "owner_id")
-    return rows.withColumn("place", F.row_number().over(order)).filter("place <= 5").select("query_id", "owner_id", "scope", "place", "coverage", tidy(F.col("final")).alias("final"))
+    rows = rows.withColumns({
+        "same_event": title_exact(F.col("t"), F.col("h")), "exact_scope": F.col("scope") == "exact", "known_event": E.is_known(F.col("title")), "component_hit": F.pmod("owner_id", F.lit(3)) == 0,
+        "score": F.col("weighted") * factor + E.subtype_bonus(F.col("t"), F.col("h"), F.col("q")), "coverage": S.filled(F.col("lang"), F.col("source"), F.col("title")),
+        "year": year_in(F.col("title")), "text_length": F.col("n_chars"),
+    })
+    ranked = S.final_rank(rows, 5, F.pmod(asked, F.lit(2)) == 0)
+    return ranked.select("query_id", "owner_id", "scope", "place", "same_event", "coverage", tidy(F.col("score")).alias("final"))
+
+
+def event_grounding(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as articles, suppliers as their owners, customers' questions; each event is like the next two."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("article_id"), "n_name")
+    articles = n.select("article_id", F.concat("n_name", F.lit(" Race "), (F.lit(2020) + F.col("article_id") % 5).cast("string")).alias("title"))
+    owners = table(spark, d, "supplier").select(F.col("s_nationkey").cast("bigint").alias("article_id"), F.col("s_suppkey").alias("owner_id"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), F.col("c_nationkey").cast("bigint").alias("article_id"), F.col("c_custkey").alias("k")).join(n, "article_id", "left")
+    text = F.when(F.col("k") % 3 == 0, F.concat(F.lit("setup for the "), "n_name", F.lit(" race 2019?"))).when(F.col("k") % 3 == 1, F.concat(F.lit("what to pack for "), "n_name")).otherwise("which tyres")
+    hint = F.when(F.col("k") % 4 == 0, F.concat(F.lit("NATION_"), (F.col("article_id") + 1).cast("string"))).when(F.col("k") % 4 == 1, "")
+    queries = c.select("query_id", text.alias("query"), hint.alias("hint"))
+    like = articles.select("article_id", F.col("title").alias("other"))
+    after = articles.withColumn("to", F.explode(F.array(F.col("article_id") + 1, F.col("article_id") + 2))).join(like.withColumnRenamed("article_id", "to"), "to")
+    similar = after.select(F.col("title").alias("event"), F.col("other").alias("title")).unionAll(after.select(F.regexp_extract("title", "^(\\S+)", 1), "other"))
+    out = E.ground(queries, articles, owners, similar)
+    return out.select("query_id", "hint", F.array_join("exact_articles", ",").alias("exact_articles"), "exact_owners", "needs_similar", F.array_join("similar_titles", "|").alias("similar_titles"), "scope")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         chunk_rank_global, chunk_rank_scoped, chunk_rank_for_ids, scope_merge_weighted, vector_topk_meta_left, vector_filtered_or_global, hits_grouped, hits_deduped, cosine_guarded, metrics_at_ks,
-        metrics_summary, rerank_safe_fallback, worst_queries, overlap_jaccard, top_frequent, qrels_from_labels, similar_events, event_scope, final_rank_tuple,
+        metrics_summary, rerank_safe_fallback, worst_queries, overlap_jaccard, overlap_average, top_frequent, qrels_from_labels, similar_events, event_scope, event_grounding, final_rank_tuple,
     )
 }
 
 _R = lambda x, n=6: f"(round({x}, {n}) + 0.0)"
+_norm = lambda x: rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '\b(?:19|20)\d{{2}}\b', ' ', 'g'), '[''’`]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+_pick = lambda values, by: "([" + ", ".join(f"'{v}'" for v in values) + f"])[({by}) % {len(values)} + 1]"
 _ALL = f"""
 e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 q AS (SELECT vec_id AS query_id, label AS q_label, v AS qv FROM e WHERE vec_id % {EVERY} = 0),
@@ -275,7 +315,9 @@ SELECT query_id, owner_id, place::INTEGER AS place, rn::INTEGER AS rn, chunk_id,
   SELECT b.query_id, b.hitrate AS bh, b.mrr AS bm, x.hitrate AS xh, x.mrr AS xm, x.hitrate < b.hitrate OR (x.hitrate = b.hitrate AND x.mrr + 1e-12 < b.mrr) AS fallback FROM b JOIN x USING (query_id))
 SELECT query_id, fallback, {_R('bh')} AS base_hitrate, {_R('bm')} AS base_mrr, {_R('xh')} AS reranked_hitrate, {_R('xm')} AS reranked_mrr, {_R('CASE WHEN fallback THEN bh ELSE xh END')} AS final_hitrate, {_R('CASE WHEN fallback THEN bm ELSE xm END')} AS final_mrr FROM y""",
     "worst_queries": f"WITH {_ALL}, {_dedup(100)}, {_LIST}, {_QRELS}, {_metrics('g', 'm', '(10)')} SELECT query_id, {_R('mrr')} AS mrr FROM m ORDER BY round(m.mrr, 9), query_id LIMIT 10",
-    "overlap_jaccard": f"""WITH {_ALL}, {_h(20)}, s AS (SELECT query_id, list(DISTINCT owner_id) AS ids FROM h GROUP BY query_id)
+    "overlap_average": f"""WITH {_ALL}, {_h(20)}, s AS (SELECT query_id, list(DISTINCT owner_id) AS ids FROM h GROUP BY query_id ORDER BY query_id LIMIT {R.COMPARED})
+SELECT count(*) AS pairs, {_R('avg(len(list_intersect(x.ids, y.ids))::DOUBLE / greatest(len(list_distinct(list_concat(x.ids, y.ids))), 1))', 5)} AS average FROM s x JOIN s y ON x.query_id < y.query_id""",
+    "overlap_jaccard": f"""WITH {_ALL}, {_h(20)}, s AS (SELECT query_id, list(DISTINCT owner_id) AS ids FROM h GROUP BY query_id ORDER BY query_id LIMIT {R.COMPARED})
 SELECT x.query_id AS query_a, y.query_id AS query_b, {_R('len(list_intersect(x.ids, y.ids))::DOUBLE / greatest(len(list_distinct(list_concat(x.ids, y.ids))), 1)')} AS jaccard FROM s x JOIN s y ON x.query_id < y.query_id""",
     "top_frequent": f"WITH {_ALL}, {_h(20)}, s AS (SELECT owner_id, count(*) AS n, min(query_id * 1000000 + pos) AS f FROM h GROUP BY owner_id) SELECT owner_id, n FROM s ORDER BY n DESC, f, owner_id LIMIT 10",
     "qrels_from_labels": """
@@ -291,11 +333,39 @@ f AS (SELECT * FROM p WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY ev
 SELECT event, other, row_number() OVER (PARTITION BY event ORDER BY round(score, 9) DESC, other)::INTEGER AS place, {_R('score', 5)} AS score FROM f QUALIFY place <= {E.MOST_SIMILAR}""",
     "event_scope": f"""
 WITH p AS (SELECT label, count(*) AS n FROM (SELECT vec_id // {OWNER} AS o, min(label) AS label FROM embeddings GROUP BY o HAVING min(label) = max(label)) GROUP BY label)
-SELECT vec_id AS query_id, coalesce(n, 0)::BIGINT AS exact_owners, CASE WHEN coalesce(n, 0) >= {E.ENOUGH_EXACT} THEN 'exact_event' WHEN coalesce(n, 0) > 0 AND label % 2 > 0 THEN 'exact_plus_similar'
-  WHEN coalesce(n, 0) > 0 THEN 'exact_event' WHEN label % 2 > 0 THEN 'similar_events' ELSE 'global' END AS scope FROM embeddings LEFT JOIN p USING (label) WHERE vec_id % {EVERY} = 0""",
-    "final_rank_tuple": f"""WITH {_ALL}, {_MERGED}, f AS (
-  SELECT m.*, n_chars, weighted * CASE lang WHEN 'en' THEN 1.15 WHEN 'de' THEN 0.72 WHEN 'fr' THEN 0.92 ELSE 1.0 END AS final,
-    coalesce((trim(lang) <> '')::INTEGER, 0) + coalesce((trim(source) <> '')::INTEGER, 0) AS coverage FROM m LEFT JOIN documents ON doc_id = owner_id)
-SELECT query_id, owner_id, scope, row_number() OVER (PARTITION BY query_id ORDER BY scope = 'exact' DESC, round(final, 9) DESC, coverage DESC, coalesce(n_chars, 0) DESC, owner_id)::INTEGER AS place,
-  coverage::INTEGER AS coverage, {_R('final')} AS final FROM f QUALIFY place <= 5""",
+SELECT vec_id AS query_id, coalesce(n, 0)::BIGINT AS exact_owners, CASE WHEN coalesce(n, 0) >= {E.ENOUGH_EXACT} THEN 'exact_event' WHEN coalesce(n, 0) > 0 THEN 'exact_plus_similar' WHEN label % 2 > 0 THEN 'similar_events' ELSE 'global' END AS scope FROM embeddings LEFT JOIN p USING (label) WHERE vec_id % {EVERY} = 0""",
+    "event_grounding": rf"""
+WITH a AS (SELECT n_nationkey::BIGINT AS article_id, n_name || ' Race ' || (2020 + n_nationkey % 5) AS title, n_name FROM nation),
+o AS (SELECT s_nationkey::BIGINT AS article_id, s_suppkey AS owner_id FROM supplier),
+k AS (SELECT *, {_norm('title')} AS norm FROM a SEMI JOIN o USING (article_id)),
+c AS (
+  SELECT c_custkey AS query_id, CASE c_custkey % 3 WHEN 0 THEN 'setup for the ' || n_name || ' race 2019?' WHEN 1 THEN 'what to pack for ' || n_name ELSE 'which tyres' END AS query,
+    CASE c_custkey % 4 WHEN 0 THEN 'NATION_' || (c_nationkey + 1) END AS given FROM customer JOIN nation ON n_nationkey = c_nationkey),
+h AS (SELECT *, (SELECT title FROM k WHERE norm <> '' AND contains({_norm('query')}, norm) ORDER BY length(title) DESC, title LIMIT 1) AS named FROM c),
+m AS (SELECT *, coalesce(named, given) AS h1, (SELECT count(*) FROM k WHERE contains(' ' || norm || ' ', ' ' || {_norm('coalesce(named, given)')} || ' ')) AS n1,
+  (SELECT count(*) FROM k WHERE contains(' ' || norm || ' ', ' ' || {_norm('given')} || ' ')) AS n2 FROM h),
+f AS (SELECT query_id, CASE WHEN n1 = 0 AND n2 > 0 THEN given ELSE h1 END AS hint FROM m),
+x AS (SELECT query_id, hint, article_id FROM f JOIN k ON contains(' ' || norm || ' ', ' ' || {_norm('hint')} || ' ')),
+e AS (SELECT query_id, list(article_id ORDER BY article_id) AS ids FROM x GROUP BY query_id),
+n AS (SELECT query_id, count(DISTINCT owner_id) AS n FROM x JOIN o USING (article_id) GROUP BY query_id),
+l AS (SELECT p.title AS event, q.title, p.n_name FROM a p JOIN a q ON q.article_id IN (p.article_id + 1, p.article_id + 2)),
+s AS (SELECT event, list(DISTINCT title ORDER BY title) AS titles FROM (SELECT event, title FROM l UNION ALL SELECT n_name, title FROM l) GROUP BY event),
+r AS (SELECT f.query_id, hint, coalesce(array_to_string(ids, ','), '') AS exact_articles, coalesce(n, 0) AS exact_owners, hint IS NOT NULL AND coalesce(n, 0) < {E.ENOUGH_EXACT} AS needs_similar, titles
+  FROM f LEFT JOIN e USING (query_id) LEFT JOIN n USING (query_id) LEFT JOIN s ON s.event = f.hint)
+SELECT query_id, hint, exact_articles, exact_owners, needs_similar, CASE WHEN needs_similar THEN coalesce(array_to_string(titles, '|'), '') ELSE '' END AS similar_titles,
+  CASE WHEN exact_owners >= {E.ENOUGH_EXACT} THEN 'exact_event' WHEN exact_articles <> '' THEN 'exact_plus_similar' WHEN needs_similar AND len(titles) > 0 THEN 'similar_events' ELSE 'global' END AS scope FROM r""",
+    "final_rank_tuple": f"""WITH {_ALL}, {_MERGED}, g AS (
+  SELECT m.*, n_chars, lang, source, {_pick(TITLES, 'owner_id')} AS title, query_id // {EVERY} AS asked FROM m LEFT JOIN documents ON doc_id = owner_id
+), t AS (SELECT *, ' ' || {_norm('title')} || ' ' AS t, ' ' || {_norm(_pick(HINTS, 'asked'))} || ' ' AS h, ' ' || {_norm(_pick(ASKED, 'asked'))} || ' ' AS q FROM g
+), f AS (
+  SELECT *, trim(h) <> '' AND contains(t, h) AS same_event, trim(title) NOT IN ('', 'Unknown Event') AS known, asked % 2 = 0 AND owner_id % 3 = 0 AS hit,
+    weighted * CASE lang WHEN 'en' THEN 1.15 WHEN 'de' THEN 0.72 WHEN 'fr' THEN 0.92 ELSE 1.0 END
+      + CASE WHEN contains(t, ' granguanche ') AND contains(h, ' granguanche ') THEN 0.08 ELSE 0 END
+      + CASE WHEN contains(q, ' road ') THEN CASE WHEN contains(t, ' road ') THEN 0.16 WHEN contains(t, ' gravel ') THEN -0.04 WHEN contains(t, ' trail ') THEN -0.08 ELSE 0 END
+             WHEN contains(q, ' gravel ') THEN CASE WHEN contains(t, ' gravel ') THEN 0.16 WHEN contains(t, ' trail ') THEN 0.04 WHEN contains(t, ' road ') THEN -0.05 ELSE 0 END
+             WHEN contains(q, ' trail ') THEN CASE WHEN contains(t, ' trail ') THEN 0.16 WHEN contains(t, ' gravel ') THEN 0.04 WHEN contains(t, ' road ') THEN -0.08 ELSE 0 END ELSE 0 END AS final,
+    coalesce((trim(lang) <> '')::INTEGER, 0) + coalesce((trim(source) <> '')::INTEGER, 0) + (trim(title) <> '')::INTEGER AS coverage,
+    coalesce(try_cast(regexp_extract(title, '(19|20)\\d{{2}}') AS INTEGER), 0) AS year FROM t)
+SELECT query_id, owner_id, scope, row_number() OVER (PARTITION BY query_id ORDER BY same_event DESC, scope = 'exact' DESC, hit DESC, known DESC, round(final, 9) DESC, coverage DESC, year DESC, coalesce(n_chars, 0) DESC, owner_id)::INTEGER AS place,
+  same_event, coverage::INTEGER AS coverage, {_R('final')} AS final FROM f QUALIFY place <= 5""",
 }

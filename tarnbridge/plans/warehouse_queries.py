@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,8 @@ from tarnbridge.operators import judging as J
 from tarnbridge.operators import parsing as P
 from tarnbridge.operators import sync as S
 from tarnbridge.operators.retrieval import mode
-from tarnbridge.sources.tables import table
+from tarnbridge.session import shared_folder
+from tarnbridge.sources.tables import small_side, table
 from tarnbridge.streaming.incremental import ingest, windowed_counts
 
 NOW, TTL = 1_706_745_600.0, 7 * 86_400.0
@@ -62,7 +62,7 @@ def missing_chunks(spark: SparkSession, d: str) -> DataFrame:
 def event_articles(spark: SparkSession, d: str) -> DataFrame:
     """Customers of some nations that have orders."""
     c, o, n = table(spark, d, "customer"), table(spark, d, "orders"), table(spark, d, "nation")
-    wanted = c.join(F.broadcast(n.filter(F.trim("n_name") != "").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")), "c_nationkey")
+    wanted = c.join(small_side(n.filter(F.trim("n_name") != "").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")), "c_nationkey")
     return wanted.join(o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey", "c_name", "n_name").distinct()
 
 
@@ -115,7 +115,7 @@ def resume_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def tool_calls(spark: SparkSession, d: str) -> DataFrame:
     """Traces made of conversations: a message each, some with tool calls; and a scan of their text."""
-    c = table(spark, d, "conversations").filter("conv_id is not null and turn is not null")
+    c = table(spark, d, "conversations")
     name = F.concat(F.lit("tool_"), F.pmod(F.length("text"), F.lit(4)).cast("string"))
     message = F.to_json(F.struct(F.when(F.col("role") == "user", name).alias("tool_name"), F.when(F.col("role") != "user", F.array(F.struct(F.struct(name.alias("name")).alias("function")))).alias("tool_calls")))
     trace = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))), lambda x: x["m"]), ",").alias("ms"))
@@ -162,9 +162,7 @@ def parsed_riders(spark: SparkSession, d: str) -> DataFrame:
 def incremental_stream(spark: SparkSession, d: str) -> DataFrame:
     """Events read by a stream once, then counted by day; the same as over the table."""
     schema = table(spark, d, "events").schema
-    context = spark.sparkContext
-    base = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tarnbridge-stream-")
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
     ingest(spark, d, "events.parquet", ddl, f"{folder}/checkpoint", lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}"))
     rows = spark.read.parquet(f"{folder}/rows").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -183,7 +181,7 @@ QUERIES = {
 _P = """p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url, length(html) AS size FROM pages), o AS (SELECT *, 1 AS version FROM p WHERE page_id % 3 <> 1),
 n AS (SELECT page_id, url, size + 1 AS size, 2 AS version FROM p WHERE page_id % 3 <> 0)"""
 _CALLS = """
-m AS (SELECT conv_id, turn, 'tool_' || length(text) % 4 AS t FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL), l AS (SELECT conv_id, list(t ORDER BY turn) AS ts FROM m GROUP BY conv_id),
+m AS (SELECT conv_id, turn, 'tool_' || length(text) % 4 AS t FROM conversations), l AS (SELECT conv_id, list(t ORDER BY turn NULLS FIRST) AS ts FROM m GROUP BY conv_id),
 c AS (SELECT conv_id, list_filter(ts, lambda t, i: list_position(ts, t) = i) AS ts FROM l),
 k AS (SELECT conv_id, array_to_string(ts, ',') AS calls, array_to_string(list_filter(['tool_1', 'tool_9', 'tool_3'], lambda t: list_contains(ts, t)), ',') AS words, list_contains(ts, 'tool_2') AS web FROM c)"""
 ORACLES = {

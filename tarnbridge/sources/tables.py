@@ -10,12 +10,35 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Bytes that a table may have, by the planner's estimate, to be dealt out again.
+SPREAD_BYTES = 128 << 20
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows for work that takes long per row: dealt to all cores where a small file has put them into few tasks."""
+    """Rows for work that takes long per row: dealt to all cores where one small file has put them into few tasks.
+
+    Files that are larger stay as the scan splits them, so no table of size is shuffled for this.
+    """
+    if int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+#: Rows of a table that is broadcast at most; a larger one is joined by its key.
+BROADCAST_ROWS = 10_000
+
+
+def is_small(rows: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has so many rows at most; it reads no more than one row beyond."""
+    return rows.limit(most + 1).count() <= most
+
+
+def small_side(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The side of an equi-join: broadcast where it is small, else left to a shuffled join."""
+    return F.broadcast(rows) if is_small(rows, most) else rows
+
+
 def by_id(rows: DataFrame, key: str, value: int | str) -> DataFrame:
     """Rows whose key is the value, as a number or as text."""
     return rows.filter(F.col(key).cast("string") == F.lit(str(value)))

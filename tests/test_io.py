@@ -75,10 +75,15 @@ def test_incremental_equals_batch(spark, tmp_path):
     assert got.count() == 100 and got.select("batch").distinct().count() == 2
     count = lambda df: sorted(map(tuple, windowed_counts(df, "ts", "1 day", "1 day", "kind").select("w.start", "kind", "n", "value").collect()))
     assert count(got.drop("batch")) == count(rows)
-    stream = latest_by_key(spark.readStream.schema(schema).parquet(folder), "kind", "ts", "365 days")
-    query = stream.writeStream.format("memory").queryName("latest").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp2")).start()
-    query.awaitTermination()
-    assert spark.table("latest").count() == 3
+    last = latest_by_key(spark.readStream.schema(schema).parquet(folder), "kind", "ts", F.col("id") < 90)
+    held = {}
+    query = last.writeStream.outputMode("update").foreachBatch(lambda df, _: held.update({r["kind"]: r["id"] for r in df.collect()})).option("checkpointLocation", str(tmp_path / "cp2"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    assert held == {"0": 87, "1": 88, "2": 89} == {r["kind"]: r["id"] for r in latest_by_key(rows, "kind", "ts", F.col("id") < 90).collect()}
+    rows.filter("id = 3").withColumn("ts", F.timestamp_seconds(F.lit(10**9))).write.mode("append").parquet(folder)
+    query.trigger(availableNow=True).start().awaitTermination()
+    assert held == {"0": 3, "1": 88, "2": 89}
+    assert latest_by_key(rows, "kind", "ts").columns == rows.columns
 
 
 def test_small_sources_and_sinks(spark, tmp_path):

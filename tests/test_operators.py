@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnbridge.operators import judging, metrics, nearest, parsing, rerank, retrieval, sync
+from tarnbridge.functions.text import title_words
+from tarnbridge.operators import events, judging, metrics, nearest, parsing, rerank, retrieval, search, sync
 
 
 def test_nearest_is_exact(spark):
@@ -154,3 +155,87 @@ def test_articles_and_riders(spark):
     people = spark.createDataFrame([(1, None, "Bo", " 41 "), (2, "Al", None, "x")], "id int, name string, rider_name string, age string")
     out = sync.riders(people, {"name": ["name", "rider_name"], "age": ["age"], "bike": ["bike"]})
     assert sorted(map(tuple, out.select("id", "name", "age", "bike").collect())) == [(1, "Bo", 41, None), (2, "Al", None, None)]
+
+
+@pytest.mark.parametrize("exact, similar, expected", [(5, 0, "exact_event"), (4, 3, "exact_event"), (2, 0, "exact_plus_similar"), (1, 3, "exact_plus_similar"), (0, 1, "similar_events"), (0, 0, "global")])
+def test_scope(spark, exact, similar, expected):
+    assert spark.range(1).select(events.scope(F.lit(exact), F.lit(similar))).collect()[0][0] == expected
+
+
+def test_first_heading_and_article():
+    page = "<body><h1>Fir<b>st</b></h1><article><p>a</p><article>b</article><script>x</script></article><h1>Second</h1><article>c</article><main>m</main><main>n</main></body>"
+    assert parsing.parse_article(page) == ("First", "a\nb", "m")
+    assert parsing.parse_article("<p>x</p>") == ("", "", "x") and parsing.parse_article(None) == ("", "", "")
+
+
+def test_priority_keeps_rows_and_takes_the_last(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "id int, name string")
+    by_id = spark.createDataFrame([(1, "old", 1), (1, "new", 2), (2, None, 1), (None, "never", 1)], "key int, truth string, pos int")
+    by_name = spark.createDataFrame([("b", "x"), ("b", "y"), ("a", "z")], "key string, truth string")
+    out = sync.by_priority(rows, (by_id, "truth", F.col("id")), (by_name, "truth", F.col("name")), fallback=F.lit("none"))
+    assert sorted((r["id"], r["truth"], r["found_by"]) for r in out.collect()) == [(1, "new", 1), (2, "y", 2), (3, "none", 0), (4, "none", 0)]
+
+
+@pytest.mark.parametrize("query, least, most, hint", [
+    ("TCR setup, 2.1-2.4\" tyres", 2.1, 2.4, "transcontinental"), ("the GB Duro with 2 - 2.2' rubber", 2.0, 2.2, "gbd"), ("GBDuro or Transcontinental", None, None, "transcontinental"), ("28-32mm", None, None, None),
+])
+def test_constraints(spark, query, least, most, hint):
+    c = rerank.constraints(F.lit(query))
+    assert tuple(spark.range(1).select(c["tyre_min_inch"], c["tyre_max_inch"], c["event_hint"]).collect()[0]) == (least, most, hint)
+
+
+def test_event_rule_applies(spark):
+    hits = spark.createDataFrame([(1, 0.5, 1, "gbd-2023"), (1, 0.5, 2, "transcontinental-9")], "query_id int, score double, pos int, event_key string")
+    hit = {c: F.lit(None).cast("string") for c in ("text", "frame_type", "tyre_width", "wheel_size")} | {"event_key": F.col("event_key"), "electronic": F.lit(None).cast("boolean")}
+    out = rerank.rerank(hits, rerank.constraints(F.lit("what for the tcr")), hit)
+    assert {r["pos"]: r["place"] for r in out.collect()} == {1: 2, 2: 1}
+
+
+@pytest.mark.parametrize("most", [10_000, 2])
+def test_lexicon_small_and_large(spark, monkeypatch, most):
+    """Order of the entries, the longest alias and whole words, by either way of joining."""
+    monkeypatch.setattr(events.occurrences, "__defaults__", (most,))
+    texts = spark.createDataFrame([(1, "a mountain bike race"), (2, "mountains of mountain bikes"), (3, "nothing"), (4, ""), (5, None), (6, "ab")], "doc_id int, text string")
+    lexicon = spark.createDataFrame([(0, "m", "mountain"), (1, "b", "mountain bike"), (2, "r", "race"), (3, "a", "ab"), (4, "e", "")], "ord int, key string, alias string")
+    got = lambda **k: {r["doc_id"]: r["alias"] for r in events.first_in_lexicon(texts, lexicon, **k).collect()}
+    none = {3: None, 4: None, 5: None, 6: "ab"}
+    assert got() == {1: "mountain", 2: "mountain"} | none
+    assert got(longest=True) == {1: "mountain bike", 2: "mountain bike"} | none
+    assert got(longest=True, whole=True) == {1: "mountain bike", 2: "mountain"} | none
+
+
+def test_grounding(spark):
+    articles = spark.createDataFrame([(1, "Tour Divide 2023"), (2, "Tour Divide 2024"), (3, "Silk Road"), (4, "Nobody's"), (5, " ")], "article_id bigint, title string")
+    owners = spark.createDataFrame([(1, 10), (1, 11), (2, 11), (2, 12), (2, 13), (3, 20), (5, 9), (4, None)], "article_id bigint, owner_id bigint")
+    similar = spark.createDataFrame([("Silk Road", "Tour Divide 2023"), ("Far Away", "Silk Road"), ("Tour Divide 2024", "never used")], "event string, title string")
+    queries = spark.createDataFrame([
+        (1, "Wheels for the TOUR DIVIDE?", None), (2, "the silk-road, please", "x"), (3, "what to pack", "Tour Divide"), (4, "nobodys race", None), (5, "bags", "Far Away"), (6, "bags", "divide"), (7, None, ""),
+        (8, "silk roads", "Unheard Of"),
+    ], "query_id int, query string, hint string")
+    out = {r["query_id"]: tuple(r)[1:] for r in events.ground(queries, articles, owners, similar).collect()}
+    assert out == {
+        1: ("Tour Divide 2023", [1, 2], 4, False, [], "exact_event"), 2: ("Silk Road", [3], 1, True, ["Tour Divide 2023"], "exact_plus_similar"), 3: ("Tour Divide", [1, 2], 4, False, [], "exact_event"),
+        4: (None, [], 0, False, [], "global"), 5: ("Far Away", [], 0, True, ["Silk Road"], "similar_events"), 6: ("divide", [1, 2], 4, False, [], "exact_event"), 7: (None, [], 0, False, [], "global"),
+        8: ("Silk Road", [3], 1, True, ["Tour Divide 2023"], "exact_plus_similar"),
+    }
+
+
+@pytest.mark.parametrize("title, hint, query, bonus", [
+    ("Granguanche Road", "granguanche", "a road bike", 0.24), ("Granguanche Trail", "granguanche", "road", 0.0), ("Gravel and Road", None, "gravel", 0.16), ("X Trail", "x", "gravel", 0.04),
+    ("X Road", "x", "trail", -0.08), ("X Gravel", "x", "trail", 0.04), ("X Gravel", "x", "road", -0.04), ("Offroad", "x", "road", 0.0), (None, "granguanche", "road", 0.0), ("X Road", "x", "none", 0.0),
+])
+def test_subtype_bonus(spark, title, hint, query, bonus):
+    t, h, q = (title_words(F.lit(x).cast("string")) for x in (title, hint, query))
+    assert spark.range(1).select(events.subtype_bonus(t, h, q)).collect()[0][0] == pytest.approx(bonus)
+
+
+def test_final_rank(spark):
+    names = "query_id int, owner_id int, same_event boolean, exact_scope boolean, component_hit boolean, known_event boolean, score double, coverage int, year int, text_length int"
+    rows = [
+        (1, 1, False, True, True, True, 0.9, 9, 2024, 9), (1, 2, True, False, False, False, 0.1, 0, None, None), (1, 3, False, True, False, True, 0.95, 0, 0, 0), (1, 4, False, True, False, True, 0.95, 1, 0, 0),
+        (1, 5, False, True, False, True, 0.95, 1, 2020, 0), (1, 6, False, True, False, False, 0.99, 9, 2024, 9), (1, 7, False, False, True, True, 1.0, 9, 2024, 9), (1, 8, False, True, False, True, 0.95, 1, 2020, 0),
+    ]
+    owners = spark.createDataFrame(rows, names)
+    of = lambda asked: [r["owner_id"] for r in search.final_rank(owners, 7, asked).orderBy("place").collect()]
+    assert of(F.lit(False)) == [2, 5, 8, 4, 3, 1, 6]
+    assert of(None) == [2, 1, 5, 8, 4, 3, 6]
