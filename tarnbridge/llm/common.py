@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import shutil
-import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnbridge.session import shared_folder
+
 #: A word: a maximal run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,30 +21,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir, which all executors share.
-
-    Only where that is unset (tests in one process) a local folder is made.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        own = tempfile.mkdtemp(prefix="tarnbridge-checkpoint-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or own)
-    return context.getCheckpointDir()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder: smaller than a checkpoint."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+@contextlib.contextmanager
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """Cut the lineage with a Parquet table in the shared folder, which goes when the block ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this that the frame, whatever the case of its names, doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def release() -> None:

@@ -36,19 +36,24 @@ from pyspark.sql.window import Window
 
 from tarnbridge.sources.tables import spread
 
-from .common import checkpointed, release, table, written
+from .common import checkpointed, release, table, unused, written
 from .graph import components
 from .shingles import WORDS, chunks, mix, shingle_sets
 
 #: Sets link when PERCENT of their union is common to both.
 PERCENT = 80
 #: Documents a bucket of signatures; signatures held by a task before they are sent.
-BUCKET_DOCS = 2000
+BUCKET_DOCS = 500
 HELD = 1_000_000
+#: Bits of a bucket's number at most: a signature has 64, of which 40 are kept beside it.
+MOST_BITS = 24
 #: Words of 64 bits in the filters of candidate documents (1 MB, whatever the input).
 FILTER_WORDS = 1 << 17
-#: Parity words of a set in the bound that candidate pairs are tested with.
+#: Parity words of a set at least.
 PARITY = 8
+#: Members of a run that a worker holds while the others stream past; pairs compared at a time.
+BLOCK = 4096
+PAIRS = 1 << 18
 
 _U = np.uint64
 
@@ -126,8 +131,8 @@ def set_keys(row: np.ndarray, shingle: np.ndarray, rows: int) -> tuple[np.ndarra
     return mix(keys[0] + size.astype(np.uint64)), mix(keys[1]), size
 
 
-def parities(row: np.ndarray, shingle: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Parity words of each row's set: how many, all in a row, and folded to PARITY words each.
+def parities(row: np.ndarray, shingle: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity words of each row's set: how many, and all in a row.
 
     Each bit says whether an odd number of the set's shingles hash to it. A shingle that one of two
     sets has changes one bit, so sets differ in as many shingles at least as bits. There is about
@@ -138,15 +143,54 @@ def parities(row: np.ndarray, shingle: np.ndarray, size: np.ndarray) -> tuple[np
     odd = np.zeros(int(words.sum()), np.uint64)
     bit = (mix(shingle) >> _U(24)) & (64 * words[row] - 1).astype(np.uint64)
     np.bitwise_xor.at(odd, base[row] + (bit >> _U(6)).astype(np.int64), _U(1) << (bit & _U(63)))
-    folded = np.zeros((len(size), PARITY), np.uint64)
-    for w in np.unique(words):
-        some = np.flatnonzero(words == w)
-        folded[some] = np.bitwise_xor.reduce(odd[base[some, None] + np.arange(w)].reshape(len(some), -1, PARITY), axis=1)
-    return words, odd, folded
+    return words, odd
+
+
+class Sets:
+    """Size and parity words of some sets, one after the other."""
+
+    def __init__(self, n: np.ndarray, words: np.ndarray, at: np.ndarray, odd: np.ndarray):
+        self.n, self.words, self.at, self.odd = n, words, at, odd
+
+    @classmethod
+    def of(cls, n: np.ndarray, parity: pa.Array) -> Sets:
+        ends = np.frombuffer(parity.buffers()[1], np.int32)[parity.offset : parity.offset + len(parity) + 1].astype(np.int64)
+        odd = np.frombuffer(parity.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint64) if len(parity) else np.zeros(0, np.uint64)
+        return cls(n.astype(np.int64), np.diff(ends) // 8, (ends[:-1] - ends[0]) // 8, odd)
+
+    def folded(self, i: np.ndarray, words: int, to: int) -> np.ndarray:
+        """The words of sets i, all of which have so many, folded to fewer."""
+        return np.bitwise_xor.reduce(self.odd[self.at[i, None] + np.arange(words)].reshape(len(i), -1, to), axis=1)
+
+    def short(self) -> np.ndarray:
+        """PARITY words of every set, in columns."""
+        out = np.zeros((PARITY, len(self.n)), np.uint64)
+        for w in np.unique(self.words).tolist():
+            own = np.flatnonzero(self.words == w)
+            out[:, own] = self.folded(own, w, PARITY).T
+        return out
+
+    def __getitem__(self, some: slice) -> Sets:
+        return Sets(self.n[some], self.words[some], self.at[some], self.odd)
+
+
+def can_be_similar(x: Sets, i: np.ndarray, y: Sets, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sets i of x and j of y, pair by pair, can be similar by their sizes and parities."""
+    a, b = x.n[i], y.n[j]
+    out = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+    some = np.flatnonzero(out)
+    shape = x.words[i[some]] * 2**32 + y.words[j[some]]
+    for kind in np.unique(shape).tolist():
+        left, right = divmod(kind, 2**32)
+        own = some[shape == kind]
+        to = min(left, right)
+        differ = np.bitwise_count(x.folded(i[own], left, to) ^ y.folded(j[own], right, to)).sum(axis=1, dtype=np.int64)
+        out[own] = (100 + percent) * differ <= (100 - percent) * (a[own] + b[own])
+    return out
 
 
 _PACKED = "bucket bigint, docs binary, items binary"
-_DOC = np.dtype([("doc_id", "<i8"), ("node", "<u8"), ("node2", "<u8"), ("n", "<i4"), ("words", "<i4"), ("parity", "<u8", (PARITY,))])
+_DOC = np.dtype([("doc_id", "<i8"), ("node", "<u8"), ("node2", "<u8"), ("n", "<i4"), ("words", "<i4")])
 
 
 def _packed(bits: int, percent: int):
@@ -187,8 +231,7 @@ def _packed(bits: int, percent: int):
                 row, shingle = shingle_sets(data, ends)
                 node, node2, size = set_keys(row, shingle, len(ends))
                 docs = np.zeros(len(ends), _DOC)
-                words, odd, docs["parity"] = parities(row, shingle, size)
-                docs["words"] = words
+                docs["words"], odd = parities(row, shingle, size)
                 docs["doc_id"], docs["node"], docs["node2"], docs["n"] = batch.column(0).slice(at, len(ends)).to_numpy(zero_copy_only=False), node, node2, size
                 turn += 1
                 yield pa.RecordBatch.from_arrays([pa.array([int(mix(node[:1] + _U(turn))[0] >> _U(64 - bits))], pa.int64()), pa.array([docs.tobytes()], pa.binary()), pa.array([odd.tobytes()], pa.binary())], ["bucket", "docs", "items"])
@@ -213,47 +256,26 @@ def _packed(bits: int, percent: int):
     return run
 
 
-_PARITIES = [f"p{i}" for i in range(PARITY)]
-_SHARED = "doc_id bigint, node bigint, node2 bigint, n int, run bigint, follows bigint, wide array<bigint>, " + ", ".join(f"{p} bigint" for p in _PARITIES)
+_SHARED = "doc_id bigint, node bigint, node2 bigint, n int, run bigint, follows bigint, parity binary"
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's buckets: the documents' keys, and the nodes that have a signature in common.
+    """Of buckets, one after the other: the documents' keys, and the nodes that have a signature in common.
 
     The nodes of a signature, sorted, are a run. Neighbours in a run are a pair (node, follows).
-    Runs of three and more are told in full (run, node), once where they have the same nodes.
+    Runs of three and more are told in full (run, node), once a bucket where they have the same nodes.
     """
-    names = ["doc_id", "node", "node2", "n", "run", "follows", "wide", *_PARITIES]
-    kinds = {"n": pa.int32(), "wide": pa.list_(pa.int64())}
+    names = ["doc_id", "node", "node2", "n", "run", "follows", "parity"]
+    kinds = {"n": pa.int32(), "parity": pa.binary()}
 
     def rows(**columns) -> pa.RecordBatch:
         count = len(next(iter(columns.values())))
-        return pa.RecordBatch.from_arrays([pa.array(columns[x], kinds.get(x, pa.int64())) if x in columns else pa.nulls(count, kinds.get(x, pa.int64())) for x in names], names)
+        kind = lambda x: kinds.get(x, pa.int64())
+        as_array = lambda x, v: v if isinstance(v, pa.Array) else pa.array(v, kind(x))
+        return pa.RecordBatch.from_arrays([as_array(x, columns[x]) if x in columns else pa.nulls(count, kind(x)) for x in names], names)
 
-    kept: list[tuple] = []
-    for batch in batches:
-        for i in range(batch.num_rows):
-            if batch.column(1)[i].is_valid:
-                docs = np.frombuffer(batch.column(1)[i].as_buffer(), _DOC)
-                signed = lambda x: np.ascontiguousarray(x).view(np.int64)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(docs["words"])]), pa.int32())
-                wide = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(batch.column(2)[i].as_buffer(), np.int64)), mask=pa.array(docs["words"] <= PARITY))
-                yield rows(doc_id=docs["doc_id"], node=signed(docs["node"]), node2=signed(docs["node2"]), n=docs["n"], wide=wide, **{p: signed(docs["parity"][:, j]) for j, p in enumerate(_PARITIES)})
-            else:
-                blob = batch.column(2)[i].as_buffer()
-                n, m = np.frombuffer(blob, "<u4", 2).tolist()
-                low = np.frombuffer(blob, "<u4", n, 8).astype(np.uint64)
-                high = np.frombuffer(blob, np.uint8, n, 8 + 4 * n).astype(np.uint64)
-                place = np.frombuffer(blob, "<u2", n, 8 + 5 * n)
-                kept.append((batch.column(0)[i].as_py(), (high << _U(32)) | low, np.frombuffer(blob, "<u8", m, 8 + 7 * n)[place]))
-    kept.sort(key=lambda x: x[0])
-    at = 0
-    while at < len(kept):
-        to = at
-        while to < len(kept) and kept[to][0] == kept[at][0]:
-            to += 1
-        sig, node = np.concatenate([x[1] for x in kept[at:to]]), np.concatenate([x[2] for x in kept[at:to]])
-        at = to
+    def told(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sig, node = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((node, sig))
         sig, node = sig[order], node[order]
         distinct = np.ones(len(sig), bool)
@@ -263,7 +285,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(first, append=len(sig))
         pair = np.flatnonzero(sig[1:] == sig[:-1])
         if not len(pair):
-            continue
+            return
         pairs = np.unique(np.stack([node[pair], node[pair + 1]]), axis=1)
         yield rows(node=pairs[0].view(np.int64), follows=pairs[1].view(np.int64))
         name = mix(np.add.reduceat(mix(node), first) + size.astype(np.uint64))
@@ -273,7 +295,29 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             run = np.repeat(name[once], size[once])
             member = np.repeat(first[once] - (np.cumsum(size[once]) - size[once]), size[once]) + np.arange(len(run))
             yield rows(run=run.view(np.int64), node=node[member].view(np.int64))
-    kept.clear()
+
+    bucket, parts = None, []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            if batch.column(1)[i].is_valid:
+                docs = np.frombuffer(batch.column(1)[i].as_buffer(), _DOC)
+                signed = lambda x: np.ascontiguousarray(x).view(np.int64)
+                offsets = np.concatenate([[0], 8 * np.cumsum(docs["words"])]).astype(np.int32)
+                parity = pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer(offsets), batch.column(2)[i].as_buffer()])
+                yield rows(doc_id=docs["doc_id"], node=signed(docs["node"]), node2=signed(docs["node2"]), n=docs["n"], parity=parity)
+            else:
+                if batch.column(0)[i].as_py() != bucket:
+                    if parts:
+                        yield from told(parts)
+                    bucket, parts = batch.column(0)[i].as_py(), []
+                blob = batch.column(2)[i].as_buffer()
+                n, m = np.frombuffer(blob, "<u4", 2).tolist()
+                low = np.frombuffer(blob, "<u4", n, 8).astype(np.uint64)
+                high = np.frombuffer(blob, np.uint8, n, 8 + 4 * n).astype(np.uint64)
+                place = np.frombuffer(blob, "<u2", n, 8 + 5 * n)
+                parts.append(((high << _U(32)) | low, np.frombuffer(blob, "<u8", m, 8 + 7 * n)[place]))
+    if parts:
+        yield from told(parts)
     release()
 
 
@@ -338,11 +382,119 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return checkpointed(both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
 
 
-def _maybe(left: _of, right: _of, percent: int):
-    """Whether two classes can be similar, by their sizes and parities."""
-    fits = 100 * F.least(left["n"], right["n"]) >= percent * F.greatest(left["n"], right["n"])
-    differ = sum((F.bit_count(left[p].bitwiseXOR(right[p])) for p in _PARITIES[1:]), F.bit_count(left["p0"].bitwiseXOR(right["p0"])))
-    return fits & ((100 + percent) * differ <= (100 - percent) * (left["n"] + right["n"]))
+_PAIR = "a struct<doc_id: bigint, node: bigint>, b struct<doc_id: bigint, node: bigint>"
+
+
+def _near(percent: int):
+    """Of rows (a, b, size and parity of a, of b) the pairs that can be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (Sets.of(batch.column(i).to_numpy(zero_copy_only=False), batch.column(i + 1)) for i in (2, 4))
+            i = np.arange(batch.num_rows)
+            yield batch.filter(pa.array(can_be_similar(x, i, y, i, percent))).select(["a", "b"])
+
+    return run
+
+
+class _Members:
+    """Keys, components, sets and short parities of some members of a run."""
+
+    def __init__(self, key: np.ndarray, component: np.ndarray, in_top: np.ndarray, sets: Sets, short: np.ndarray):
+        self.key, self.component, self.in_top, self.sets, self.short = key, component, in_top, sets, short
+
+    def __getitem__(self, some: slice) -> _Members:
+        return _Members(self.key[:, some], self.component[:, some], self.in_top[some], self.sets[some], self.short[:, some])
+
+    def __len__(self) -> int:
+        return len(self.in_top)
+
+    @classmethod
+    def joined(cls, parts: list[_Members]) -> _Members:
+        base = np.cumsum([0] + [len(p.sets.odd) for p in parts[:-1]])
+        own = [getattr(p.sets, k) for k in ("n", "words") for p in parts]
+        n, words, at = np.concatenate(own[: len(parts)]), np.concatenate(own[len(parts) :]), np.concatenate([p.sets.at + b for p, b in zip(parts, base, strict=True)])
+        sets = Sets(n, words, at, np.concatenate([p.sets.odd for p in parts]))
+        return cls(*(np.concatenate([getattr(p, k) for p in parts], axis=-1) for k in ("key", "component", "in_top")), sets, np.concatenate([p.short for p in parts], axis=1))
+
+
+def _candidates(x: _Members, y: _Members, percent: int) -> np.ndarray | None:
+    """Pairs of a member of x, none of which is in the largest component, and one of y of another component."""
+    differ = np.zeros((len(x), len(y)), np.uint16)
+    for u, v in zip(x.short, y.short, strict=True):
+        differ += np.bitwise_count(u[:, None] ^ v)
+    most = (100 - percent) * x.sets.n[:, None] + (100 - percent) * y.sets.n
+    i, j = np.nonzero((100 + percent) * differ.astype(np.int32) <= most)
+    a, b = x.component[:, i], y.component[:, j]
+    after = y.in_top[j] | (a[0] < b[0]) | ((a[0] == b[0]) & (a[1] < b[1]))
+    i, j = i[after], j[after]
+    if not len(i):
+        return None
+    near = can_be_similar(x.sets, i, y.sets, j, percent)
+    a, b = x.key[:, i[near]], y.key[:, j[near]]
+    swap = (a[0] > b[0]) | ((a[0] == b[0]) & (a[1] > b[1]))
+    return np.concatenate([np.where(swap, b, a), np.where(swap, a, b)])
+
+
+def _apart(percent: int):
+    """Pairs of different components that can be similar, from rows sorted by run, block and side.
+
+    A block's rows of side 0 are held, those of side 1 stream past them. A pair of components
+    outside the run's largest one counts in one of its two directions.
+    """
+
+    def told(found: list[np.ndarray]) -> pa.RecordBatch:
+        ends = np.unique(np.concatenate(found, axis=1), axis=1)
+        keys = [pa.StructArray.from_arrays([pa.array(ends[k]), pa.array(ends[k + 1])], ["doc_id", "node"]) for k in (0, 2)]
+        return pa.RecordBatch.from_arrays(keys, ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, found, count = None, [], [], 0
+        for batch in batches:
+            column = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(9)]
+            sets = Sets.of(column[8], batch.column(9))
+            rows = _Members(np.stack(column[3:5]), np.stack(column[5:7]), column[7].astype(bool), sets, sets.short())
+            group = np.stack([c.astype(np.int64) for c in column[:3]])
+            cuts = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if (group[0, a], group[1, a]) != key:
+                    key, held = (group[0, a], group[1, a]), []
+                if group[2, a] == 0:
+                    held.append(rows[a:b])
+                    continue
+                held = [_Members.joined(held)] if len(held) > 1 else held
+                for at in range(a, b, max(1, PAIRS // max(1, len(held[0])))) if held else ():
+                    pairs = _candidates(held[0], rows[at : min(b, at + max(1, PAIRS // len(held[0])))], percent)
+                    if pairs is not None:
+                        found.append(pairs)
+                        count += pairs.shape[1]
+            if count > PAIRS:
+                yield told(found)
+                found, count = [], 0
+        if count:
+            yield told(found)
+        release()
+
+    return run
+
+
+def _compared(runs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of a run whose components differ and that can be similar.
+
+    classes have node, key, n, parity and component. Within a run only the members outside its
+    largest component are compared with all members. They are dealt out in blocks of BLOCK; the
+    workers give back the pairs that the parities don't tell apart.
+    """
+    component = runs.join(classes.select("node", "key", "component"), "node")
+    sizes = component.groupBy("run", "component").count().groupBy("run").agg(F.sum("count").alias("k"), F.max(F.struct("count", "component")).alias("top"))
+    several = sizes.filter(F.col("k") > F.col("top.count")).select("run", F.col("top.component").alias("top"), F.ceil((F.col("k") - F.col("top.count")) / BLOCK).cast("int").alias("blocks"))
+    member = runs.join(several, "run").join(classes, "node").withColumn("in_top", F.col("component") == F.col("top"))
+    place = lambda block, side: F.struct(block.alias("block"), F.lit(side).alias("side"))
+    as_right = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: place(b, 1))
+    as_left = F.array(place(F.pmod(F.xxhash64("key", "run"), F.col("blocks")).cast("int"), 0))
+    dealt = member.withColumn("at", F.explode(F.when(F.col("in_top"), as_right).otherwise(F.concat(as_left, as_right))))
+    dealt = dealt.select("run", "at.block", "at.side", "key.doc_id", "key.node", F.col("component.doc_id").alias("c_doc"), F.col("component.node").alias("c_node"), "in_top", "n", "parity")
+    return dealt.repartition("run", "block").sortWithinPartitions("run", "block", "side").mapInArrow(_apart(percent), _PAIR).distinct()
 
 
 def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -359,56 +511,31 @@ def _labelled(docs: DataFrame, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     named = docs.filter("doc_id is not null")
     buckets = max(64, named.count() // BUCKET_DOCS)
-    bits = min(20, (buckets - 1).bit_length())
-    packed = spread(named).mapInArrow(_packed(bits, percent), _PACKED).repartition(F.col("bucket"))
-    found = written(packed.mapInArrow(_shared, _SHARED))
-    keys = found.filter("doc_id is not null").select("doc_id", "node", "node2", "n", *_PARITIES)
-    classes = keys.filter("n > 0").groupBy("node", "node2", "n").agg(F.min("doc_id").alias("rep"), *[F.min(p).alias(p) for p in _PARITIES])
-    classes = checkpointed(classes.withColumn("key", _key("rep")).drop("rep"))
-    pairs = found.filter("follows is not null").select("node", "follows").distinct()
-    runs = found.filter("run is not null").select("run", "node").distinct()
-
-    # neighbours in runs
-    x, y = classes.alias("x"), classes.withColumnRenamed("node", "follows").alias("y")
-    near = pairs.join(x, "node").join(y, "follows").filter((F.col("x.key") != F.col("y.key")) & _maybe(_of("x"), _of("y"), percent))
-    near = checkpointed(near.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct())
-    wide = found.filter("doc_id is not null").select(_key().alias("key"), "n", "wide")
-    links = _verified(_narrowed(near, wide, percent), named, percent)
-    joined = checkpointed(components(links))
-
-    # all classes of a run that aren't connected yet
-    member = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").select("node", "key", "n", F.coalesce("component", "key").alias("c"), *_PARITIES)
-    member = runs.join(member, "node").drop("node")
-    several = member.groupBy("run").agg(*[f(f"c.{x}").alias(f"{n}_{x}") for x in ("doc_id", "node") for n, f in (("lo", F.min), ("hi", F.max))]).filter("lo_doc_id <> hi_doc_id or lo_node <> hi_node").select("run")
-    member = member.join(several, "run", "left_semi")
-    apart = member.alias("x").join(member.alias("y"), (F.col("x.run") == F.col("y.run")) & (F.col("x.c") < F.col("y.c")) & _maybe(_of("x"), _of("y"), percent))
-    apart = apart.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
-    joined = checkpointed(components(links.unionAll(_verified(_narrowed(apart, wide, percent), named, percent))))
-
-    label = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").select("node", "node2", "n", F.coalesce("component", "key").alias("component"))
-    return keys.drop(*_PARITIES).join(label, ["node", "node2", "n"], "left").select("doc_id", "node", "n", F.coalesce("component", _key()).alias("component"))
-
-
-def _narrowed(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
-    """The pairs that can be similar by all their parity words."""
-    a, b = (wide.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in "ab")
-    xor = lambda x, y: F.zip_with(x, y, lambda u, v: u.bitwiseXOR(v))
-    half = lambda x: xor(F.slice(x, F.lit(1), F.floor(F.size(x) / 2).cast("int")), F.slice(x, F.floor(F.size(x) / 2).cast("int") + 1, F.size(x)))
-    x = F.when(F.size("wa") > F.size("wb"), half(F.col("wa"))).otherwise(F.col("wa"))
-    y = F.when(F.size("wb") > F.size("wa"), half(F.col("wb"))).otherwise(F.col("wb"))
-    differ = F.aggregate(xor(x, y), F.lit(0), lambda s, v: s + F.bit_count(v))
-    fits = F.col("wa").isNull() | F.col("wb").isNull() | ((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb")))
-    return pairs.join(a, "a").join(b, "b").filter(fits).select("a", "b").distinct()
-
-
-class _of:
-    """The columns of one side of a join, by name."""
-
-    def __init__(self, side: str):
-        self.side = side
-
-    def __getitem__(self, name: str):
-        return F.col(f"{self.side}.{name}")
+    bits = min(MOST_BITS, (buckets - 1).bit_length())
+    packed = spread(named).mapInArrow(_packed(bits, percent), _PACKED).repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    with written(packed.mapInArrow(_shared, _SHARED)) as found:
+        keys = found.filter("doc_id is not null")
+        classes = keys.filter("n > 0").groupBy("node", "node2", "n").agg(F.min("doc_id").alias("rep"), F.min("parity").alias("parity"))
+        classes = checkpointed(classes.withColumn("key", _key("rep")).drop("rep"))
+        pairs = found.filter("follows is not null").select("node", "follows").distinct()
+        runs = found.filter("run is not null").select("run", "node").distinct()
+
+        # neighbours in runs
+        x, y = classes.select("node", F.col("key").alias("kx"), F.col("n").alias("nx"), F.col("parity").alias("px")), classes.select(F.col("node").alias("follows"), F.col("key").alias("ky"), F.col("n").alias("ny"), F.col("parity").alias("py"))
+        near = pairs.join(x, "node").join(y, "follows").filter("kx <> ky")
+        near = near.select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b"), "nx", "px", "ny", "py")
+        near = checkpointed(near.mapInArrow(_near(percent), _PAIR).distinct())
+        links = _verified(near, named, percent)
+        joined = checkpointed(components(links))
+
+        # classes of a run that aren't connected yet
+        labelled = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        apart = _compared(runs, labelled.select("node", "key", "n", "parity", "component"), percent).join(near, ["a", "b"], "left_anti")
+        joined = checkpointed(components(links.unionAll(_verified(apart, named, percent))))
+
+        label = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").select("node", "node2", "n", F.coalesce("component", "key").alias("component"))
+        rows = keys.select("doc_id", "node", "node2", "n").join(label, ["node", "node2", "n"], "left")
+        return checkpointed(rows.select("doc_id", "node", "n", F.coalesce("component", _key()).alias("component")))
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,13 +565,14 @@ def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = checkpointed(_labelled(docs, percent).select("doc_id", "node", (F.col("component") == _key()).alias("first")).distinct())
     each = rows.groupBy("doc_id").agg((F.min("node") != F.max("node")).alias("several"), F.max("first").alias("any"))
     named = docs.filter("doc_id is not null")
+    node, copy = unused(docs, "node"), unused(docs, "copy")
     plain = named.join(each.filter("any and not several").select("doc_id"), "doc_id", "left_semi")
-    mixed = named.join(each.filter("any and several").select("doc_id"), "doc_id", "left_semi").withColumn("_node", _nodes("text"))
-    mixed = mixed.join(rows.filter("first").select("doc_id", F.col("node").alias("_node")), ["doc_id", "_node"], "left_semi").drop("_node")
+    mixed = named.join(each.filter("any and several").select("doc_id"), "doc_id", "left_semi").withColumn(node, _nodes("text"))
+    mixed = mixed.join(rows.filter("first").select("doc_id", F.col("node").alias(node)), ["doc_id", node], "left_semi").drop(node)
     whole = plain.unionByName(mixed)
     once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.col("text"))
-    whole = whole.withColumn("_copy", F.row_number().over(once)).filter("_copy = 1").drop("_copy")
-    return whole.unionByName(docs.filter("doc_id is null"))
+    whole = whole.withColumn(copy, F.row_number().over(once)).filter(F.col(copy) == 1).drop(copy)
+    return whole.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,11 +84,25 @@ def test_parities_are_a_bound():
     for n in (3, 60, 700, 5000):
         a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
         b = np.unique(np.concatenate([a[n // 3 :], r.integers(0, 2**63, n // 2).astype(np.uint64)]))
-        words, odd, folded = N.parities(np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b]), np.array([len(a), len(b)]))
-        differ = len(np.setxor1d(a, b))
-        assert sum(bin(int(x)).count("1") for x in folded[0] ^ folded[1]) <= differ
-        if words[0] == words[1]:
-            assert sum(bin(int(x)).count("1") for x in odd[: words[0]] ^ odd[words[0] :]) <= differ
+        size = np.array([len(a), len(b)])
+        words, odd = N.parities(np.repeat([0, 1], size), np.concatenate([a, b]), size)
+        sets = N.Sets.of(size, pa.array([odd[: words[0]].tobytes(), odd[words[0] :].tobytes()], pa.binary()))
+        to = int(words.min())
+        x, y = (sets.folded(np.array([i]), int(words[i]), to) for i in (0, 1))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_similar_sets_pass_the_parities():
+    r = np.random.default_rng(3)
+    for n in (10, 90, 510, 516, 1030, 3000):  # around the sizes at which the number of words doubles
+        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        for b in (a[n // 5 :], np.concatenate([a, r.integers(0, 2**63, len(a) // 4).astype(np.uint64)]), r.integers(0, 2**63, n).astype(np.uint64)):
+            size = np.array([len(a), len(b)])
+            words, odd = N.parities(np.repeat([0, 1], size), np.concatenate([a, b]), size)
+            sets = N.Sets.of(size, pa.array(["", odd[: words[0]].tobytes(), odd[words[0] :].tobytes()], pa.binary()).slice(1))
+            common = len(np.intersect1d(a, b))
+            similar = 100 * common >= 80 * (len(a) + len(b) - common)
+            assert N.can_be_similar(sets, np.array([0]), sets, np.array([1]), 80)[0] == similar
 
 
 def test_shingles_by_chunk():
@@ -127,3 +141,27 @@ def test_one_id_with_two_texts(docs):
     got = sorted(tuple(x) for x in N.similar_documents(docs(rows)).select("doc_id", "component_id").collect())
     assert got == [(3, 3), (5, 3), (5, 5), (7, 5), (9, 3)]
     assert sorted((r["doc_id"], r["text"]) for r in N.first_of_each(docs(rows)).collect()) == [(3, rows[4][1]), (5, one)]
+
+
+def test_family_of_texts_around_the_limit(docs, monkeypatch):
+    """Many texts of one template at a similarity of 0.3 to 0.9, some of them long, in blocks of a few."""
+    monkeypatch.setattr(N, "BLOCK", 7)
+    r = np.random.default_rng(8)
+    rows, doc_id = [], 100
+    for words, copies in ((150, 90), (2600, 24)):
+        base = [f"w{int(x)}" for x in r.integers(0, 10**6, words)]
+        for _ in range(copies):
+            text = list(base)
+            for at in r.choice(words, int(words * r.uniform(0, 0.09)), replace=False):
+                text[at] = f"x{int(r.integers(0, 10**6))}"
+            rows.append((doc_id, " ".join(text)))
+            doc_id -= 1
+    got = sorted(tuple(x) for x in N.similar_documents(docs(rows)).collect())
+    assert got == brute(rows)
+    assert 10 < len({c for _, _, c in got}) < len(rows) - 20
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a b c d e f", 1, "p"), (2, "a b c d e f", 2, "q"), (3, None, 3, "r")]
+    kept = N.first_of_each(spark.createDataFrame(rows, "doc_id bigint, text string, _copy int, node string").withColumnRenamed("_copy", "copy"))
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
