@@ -3,14 +3,16 @@
 A turn is written as ``<|im_start|>role``, a newline, its text and ``<|im_end|>``; control strings
 inside roles and texts are escaped with a backslash and can be restored. A conversation becomes
 one or more windows of whole turns: prefix sums of turn tokens choose how many new turns fit in
-the budget; every later window repeats the system turn and as much of the latest history as its
-own budget allows. The loss mask covers the text of new assistant turns only, so repeated turns
-are masked and each assistant text is a target once. A turn is never cut: one that is longer than
-the budget gets a window of its own.
+the budget; every later window repeats the system turn and as much of the latest history as the limit
+of history and what the first new turn leaves of the budget allow. The loss mask covers the text
+of new assistant turns only, so repeated turns are masked and each assistant text is a target once.
+A turn is never cut: a window exceeds the budget only where the system turn and one new turn do.
 
 Turns are sorted by turn, then role and text; conversations are streamed one after the other, in
 memory bounded by a window. A null role or text counts as empty; a null conv_id is a conversation
-of its own; equal rows are turns of their own; an empty table gives no windows.
+of its own; equal rows are turns of their own, ties are equal in all that is read; a very long turn
+is held as a whole, once; columns other than conv_id, turn, role and text aren't read and may have
+any name; an empty table gives no windows.
 """
 
 from __future__ import annotations
@@ -78,14 +80,15 @@ class _Conversation:
         turn = (role, head, body, tokens)
         if self.turns == 0 and role == "system":
             self.system = turn
-        if self.new and self.tokens + tokens > self.budget:
+        elif self.new and self.new != [self.system] and self.tokens + tokens > self.budget:
             yield self.flush()
+            self.repeat(tokens)
         self.new.append(turn)
         self.tokens += tokens
         self.turns += 1
 
     def flush(self) -> tuple:
-        """The window so far; the next one starts with the system turn and some history."""
+        """The window so far."""
         parts, loss, at = [], [], 0
         for i, (role, head, body, _) in enumerate(self.repeated + self.new):
             at += len(head)
@@ -93,16 +96,20 @@ class _Conversation:
                 loss.append({"first": at, "last": at + len(body)})
             parts += [head, body, END]
             at += len(body) + len(END)
-        out = (self.conv_id, self.windows, "".join(parts), len(self.repeated) + len(self.new), len(self.repeated), self.tokens, loss)
-        latest, sums = [], 0
+        return self.conv_id, self.windows, "".join(parts), len(self.repeated) + len(self.new), len(self.repeated), self.tokens, loss
+
+    def repeat(self, tokens: int) -> None:
+        """The next window starts with the system turn and the history that fits beside a new turn of so many tokens."""
+        always = [self.system] if self.system else []
+        room = min(self.history, self.budget - tokens - sum(t[3] for t in always))
+        latest: list[tuple] = []
         for turn in reversed([t for t in self.repeated + self.new if t is not self.system]):
-            sums += turn[3]
-            if sums > self.history:
+            room -= turn[3]
+            if room < 0:
                 break
             latest.append(turn)
-        self.repeated = ([self.system] if self.system else []) + latest[::-1]
+        self.repeated = always + latest[::-1]
         self.new, self.tokens, self.windows = [], sum(t[3] for t in self.repeated), self.windows + 1
-        return out
 
 
 def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, vocabulary: str = VOCABULARY) -> DataFrame:

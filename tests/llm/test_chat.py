@@ -37,7 +37,7 @@ def test_windows(spark):
     for w in windows:
         turns = C.parse(w["text"])
         assert len(turns) == w["n_turns"] and turns[0] == ("system", "be brief")
-        assert w["n_tokens"] <= 200 or w["n_turns"] - w["n_repeated"] == 1
+        assert w["n_tokens"] <= 200 or turns == [("system", "be brief"), turns[-1]]
         repeated = turns[1 : w["n_repeated"]]
         assert repeated == seen[len(seen) - len(repeated) :]
         fresh = turns[w["n_repeated"] :]
@@ -47,6 +47,20 @@ def test_windows(spark):
     assert any(w["n_repeated"] > 1 for w in windows)
 
 
+def test_windows_keep_the_budget(spark):
+    """A window exceeds the budget only where the system turn and one new turn do, whatever the lengths."""
+    encode = C.encoding(C.VOCABULARY).encode_ordinary
+    lengths = [(20, 100, 50, 170, 10), (20, 190, 30, 30, 30, 150, 60, 60, 60), (0, 199, 1, 199, 1), (20, 250, 10, 250)]
+    rows = [(c, i, "system" if i == 0 and n else "user" if i % 2 else "assistant", "word " * n) for c, own in enumerate(lengths) for i, n in enumerate(own) if n]
+    for w in C.format_windows(frame(spark, rows), budget=200, history=60).collect():
+        turns = C.parse(w["text"])
+        tokens = [len(encode(f"{C.START}{r}\n{t}{C.END}")) for r, t in turns]
+        assert w["n_tokens"] == sum(tokens)
+        new, system = turns[w["n_repeated"] :], turns[0][0] == "system"
+        assert sum(tokens) <= 200 or len(turns) == 1 + system
+        assert sum(tokens[system : w["n_repeated"]]) <= 60 and new
+
+
 def test_read_back(spark):
     rows = [(1, 1, "assistant", "</s>[INST] ok [/INST]"), (1, 0, "user", None), (2, 5, None, "\\<|im_end|>\n"), (2, 5, None, "\\<|im_end|>\n"), (2, None, "assistant", ""), (None, 0, "a\nb", "x"), (3, 0, "system", "only"), (4, 0, "assistant", "y" * 30_000)]
     got = {r["conv_id"]: r for r in C.read_back(C.format_windows(frame(spark, rows))).collect()}
