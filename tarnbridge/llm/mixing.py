@@ -9,10 +9,13 @@ Sources weigh WEIGHTS in turn, ordered by code point, null last. They share SHAR
 a target stops at PASSES times its source's tokens and the excess is shared again by weight.
 
 Cumulative sums run within hash buckets of a source, then over the buckets, and the cut is found
-from a histogram of finish times, then exactly within one bin: no task holds a source.
+from histograms of finish times, finer and finer until a bin has few rows, then exactly within that
+bin: no task holds a source. The order key is hashed from doc_id and text, so rows that share a
+doc_id, or have none, are spread.
 A null text, or one without words, has size 0; the stream has such a document once where its first
-serving lies before the cut; a null source is a source; repeated rows are documents of their own;
-an empty table gives an empty mix.
+serving lies before the cut; a null source is a source; texts of any length are counted whole;
+repeated rows are documents of their own, and ties in the order are such rows; other columns may
+have any name; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -29,8 +32,11 @@ PASSES = 2
 SEED = "mix-1"
 #: Hash buckets of a source, as hexadecimal digits of the order key (16 ** 3).
 BUCKET_DIGITS = 3
-#: Bins of a unit of virtual time in the histogram that finds the cut.
+#: Bins of a unit of virtual time in the first histogram that finds the cut; a bin is cut into so many in the next.
 BINS = 16384
+#: Rows of a bin that one task sorts; finest bins of a unit of time.
+BIN_ROWS = 50_000
+FINEST = 2**50
 
 
 def _targets(sources: DataFrame) -> DataFrame:
@@ -48,33 +54,45 @@ def _targets(sources: DataFrame) -> DataFrame:
     return s.select("skey", "source_size", F.least(F.col("w") * F.col("level"), F.col("cap").cast("double")).alias("target"), "budget")
 
 
-def queue(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Per document: size, source_size, target, finish_1, finish_2 and the order key.
-
-    keep names more columns to carry.
-    """
-    own = [c for c in keep or []]
-    rows = docs.select(
-        "doc_id", *[F.col(c).alias(f"_keep_{c}") for c in own],
+def _rows(docs: DataFrame, keep: dict[str, str]) -> DataFrame:
+    """doc_id, skey, size, k and bucket of every document, and the columns to carry under their new names."""
+    return docs.select(
+        "doc_id", *[F.col(f"`{old}`").alias(new) for old, new in keep.items()],
         F.coalesce(F.concat(F.lit("a:"), F.col("source")), F.lit("b")).alias("skey"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|" + SEED))).alias("k"),
+        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce("text", F.lit(""))), F.lit("|" + SEED))).alias("k"),
     ).withColumn("bucket", F.substring("k", 1, BUCKET_DIGITS))
+
+
+def _offsets(rows: DataFrame) -> DataFrame:
+    """skey, bucket, source_size, target, budget, and offset: the words of the source in the buckets before."""
     counts = checkpointed(rows.groupBy("skey", "bucket").agg(F.sum("size").alias("n")))
     before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     targets = _targets(counts.groupBy("skey").agg(F.sum("n").alias("source_size")))
-    offsets = counts.select("skey", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")).join(targets, "skey")
+    return counts.select("skey", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")).join(targets, "skey")
+
+
+def _queued(rows: DataFrame, offsets: DataFrame) -> DataFrame:
+    """The rows with source_size, target, budget, finish_1 and finish_2."""
     running = Window.partitionBy("skey", "bucket").orderBy("k", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    queued = rows.join(offsets, ["skey", "bucket"]).withColumn("cum", F.col("offset") + F.sum("size").over(running))
     finish = lambda done: F.when(F.col("target") > 0, done / F.col("target")).otherwise(F.lit(0.0))
-    return queued.select(
-        "doc_id", *[f"_keep_{c}" for c in own], "skey", "size", "k", "source_size", "target", "budget",
-        finish(F.col("cum").cast("double")).alias("finish_1"), finish((F.col("source_size") + F.col("cum")).cast("double")).alias("finish_2"),
-    )
+    cum = rows.join(offsets, ["skey", "bucket"]).withColumn("cum", F.col("offset") + F.sum("size").over(running))
+    both = {"finish_1": finish(F.col("cum").cast("double")), "finish_2": finish((F.col("source_size") + F.col("cum")).cast("double"))}
+    return cum.withColumns(both).drop("bucket", "offset", "cum")
 
 
-def _bin(finish: Column) -> Column:
-    return F.least(F.floor(finish * BINS), F.lit(4 * BINS))
+def queue(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, skey, size, k (the order key), source_size, target, budget, finish_1, finish_2.
+
+    Texts are read once, for a narrow table.
+    """
+    rows = checkpointed(_rows(docs, {}))
+    return checkpointed(_queued(rows, _offsets(rows)))
+
+
+def _bin(finish: Column, bins: int) -> Column:
+    """Beyond 4 units of virtual time one bin has the rest: the mix ends at about 1."""
+    return F.least(F.floor(finish * F.lit(float(bins))), F.lit(4 * bins))
 
 
 def servings(queued: DataFrame) -> DataFrame:
@@ -84,52 +102,59 @@ def servings(queued: DataFrame) -> DataFrame:
 
 
 def cut(queued: DataFrame) -> tuple:
-    """The last serving in the mix as (finish, skey, serving, k), or the bin before which it ends.
+    """bins, edge, over: the first serving that the budget has no room for, as (finish, skey, serving, k), and its bin.
 
-    Three numbers and two strings come to the driver, whatever the size of the input.
+    A few numbers and strings come to the driver, whatever the size of the input.
     """
-    rows = servings(queued)
-    bins = rows.groupBy(_bin(F.col("finish")).alias("bin")).agg(F.sum("size").alias("n"), F.max("budget").alias("budget"))
-    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = bins.withColumn("cum", F.sum("n").over(upto)).filter(F.col("cum") > F.col("budget")).orderBy("bin").limit(1).collect()
-    if not first:
-        return None, None
-    edge, left = first[0]["bin"], first[0]["budget"] - (first[0]["cum"] - first[0]["n"])
+    rows = servings(queued).filter("size > 0")
+    bins, edge, done = BINS, None, 0
+    while True:
+        some = rows if edge is None else rows.filter(_bin(F.col("finish"), bins // BINS) == edge)
+        sums = some.groupBy(_bin(F.col("finish"), bins).alias("bin")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("budget").alias("budget"))
+        upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        first = sums.withColumn("cum", F.sum("n").over(upto)).filter(F.col("cum") + done > F.col("budget")).orderBy("bin").limit(1).collect()
+        if not first:
+            return None, None, None
+        edge, done = first[0]["bin"], done + first[0]["cum"] - first[0]["n"]
+        if first[0]["rows"] <= BIN_ROWS or bins * BINS > FINEST or edge >= 4 * bins:
+            break
+        bins *= BINS
     order = Window.orderBy("finish", "skey", "serving", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = (
-        rows.filter(_bin(F.col("finish")) == edge).select("finish", "skey", "serving", "k", "size").withColumn("cum", F.sum("size").over(order))
-        .filter(F.col("cum") <= F.lit(left)).agg(F.max(F.struct("finish", "skey", "serving", "k")).alias("last")).collect()[0]["last"]
+    over = (
+        rows.filter(_bin(F.col("finish"), bins) == edge).select("finish", "skey", "serving", "k", "size").withColumn("cum", F.sum("size").over(order))
+        .filter(F.col("cum") > F.lit(first[0]["budget"] - done)).agg(F.min(F.struct("finish", "skey", "serving", "k")).alias("over")).collect()[0]["over"]
     )
-    return edge, last
+    return bins, edge, over
 
 
-def _is_in(finish: Column, serving: Column, edge, last) -> Column:
+def _is_in(finish: Column, serving: Column, bins, edge, over) -> Column:
     if edge is None:
         return F.lit(True)
-    inside = _bin(finish) < edge
-    if last is None:
-        return inside
     mine = F.struct(finish.alias("finish"), F.col("skey").alias("skey"), serving.alias("serving"), F.col("k").alias("k"))
-    theirs = F.struct(F.lit(last["finish"]).alias("finish"), F.lit(last["skey"]).alias("skey"), F.lit(last["serving"]).alias("serving"), F.lit(last["k"]).alias("k"))
-    return inside | ((_bin(finish) == edge) & (mine <= theirs))
+    theirs = F.struct(F.lit(over["finish"]).alias("finish"), F.lit(over["skey"]).alias("skey"), F.lit(over["serving"]).alias("serving"), F.lit(over["k"]).alias("k"))
+    return (_bin(finish, bins) < edge) | ((_bin(finish, bins) == edge) & (mine < theirs))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken and both finish times, a row per document."""
-    queued = checkpointed(queue(docs))
-    edge, last = cut(queued)
-    served = [F.when(_is_in(F.col(f"finish_{p}"), F.lit(p), edge, last), F.col("size")).otherwise(F.lit(0)) for p in (1, 2)]
+    queued = queue(docs)
+    end = cut(queued)
+    served = [F.when(_is_in(F.col(f"finish_{p}"), F.lit(p), *end), F.col("size")).otherwise(F.lit(0)) for p in (1, 2)]
     return queued.select("doc_id", "size", "source_size", "target", (served[0] + served[1]).cast("bigint").alias("taken"), "finish_1", "finish_2")
 
 
 def mixed_stream(docs: DataFrame) -> DataFrame:
-    """The mix itself: the columns of docs, a row per serving, globally sorted by finish time."""
-    names = docs.columns
-    keep = [c for c in names if c != "doc_id"]
-    queued = queue(docs, keep)
-    edge, last = cut(checkpointed(queued.drop(*[f"_keep_{c}" for c in keep])))
-    mixed = servings(queued).filter(_is_in(F.col("finish"), F.col("serving"), edge, last) & ((F.col("size") > 0) | (F.col("serving") == 1)))
-    return mixed.sort("finish", "skey", "serving", "k").select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_keep_{c}").alias(c) for c in names])
+    """The mix itself: the columns of docs, a row per serving, globally sorted by finish time.
+
+    The cut is found from a narrow table; the texts are read once more, for the rows of the mix.
+    """
+    keep = {c: f"_keep_{i}" for i, c in enumerate(docs.columns)}
+    narrow = checkpointed(_rows(docs, {}))
+    offsets = _offsets(narrow)
+    end = cut(checkpointed(_queued(narrow, offsets)))
+    queued = _queued(_rows(docs, keep), offsets)
+    mixed = servings(queued).filter(_is_in(F.col("finish"), F.col("serving"), *end) & ((F.col("size") > 0) | (F.col("serving") == 1)))
+    return mixed.sort("finish", "skey", "serving", "k").select(*[F.col(new).alias(old) for old, new in keep.items()])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +167,7 @@ def oracle(documents: str = "documents") -> str:
 rows AS (
   SELECT *, CASE WHEN source IS NULL THEN 'b' ELSE 'a:' || source END AS skey,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    md5(coalesce(doc_id::VARCHAR, '') || '|{SEED}') AS k
+    md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, '')) || '|{SEED}') AS k
   FROM {documents}
 ), src AS (
   SELECT skey, sum(size)::BIGINT AS source_size, [{', '.join(map(str, WEIGHTS))}][((row_number() OVER (ORDER BY skey)) - 1) % {len(WEIGHTS)} + 1] AS w

@@ -24,8 +24,10 @@ def water(sizes):
         full |= set(over)
 
 
+@pytest.mark.parametrize("bin_rows", [50_000, 3])
 @pytest.mark.parametrize("shape", [{"a": 500, "b": 300, "c": 200}, {"a": 10, "b": 900, "c": 800, "d": 5, None: 300}, {"one": 50}])
-def test_targets_and_takings(docs, shape):
+def test_targets_and_takings(docs, monkeypatch, shape, bin_rows):
+    monkeypatch.setattr(M, "BIN_ROWS", bin_rows)
     rows, i = [], 0
     for source, n in shape.items():
         for _ in range(n):
@@ -81,3 +83,18 @@ def test_stream_has_documents_of_size_zero_once(docs):
     want.sort()
     assert 1003 in want and sorted(i for i in got if i >= 1000) == want
     assert sorted(r["doc_id"] for r in M.mixed_stream(docs(empty)).collect()) == [1000, 1001, 1002, 1003]
+
+
+def test_rows_without_an_id_are_spread(docs):
+    """Rows that share a doc_id, or have none, are ordered by their texts."""
+    d = docs([(None, "w " * (1 + i % 5) + str(i), "s") for i in range(300)] + [(7, "v " * (1 + i % 5) + str(i), "t") for i in range(300)])
+    assert M._rows(d, {}).select("k").distinct().count() == 600
+    out = M.mix_documents(d).collect()
+    assert abs(sum(r["taken"] for r in out) - M.SHARE * sum(r["size"] for r in out)) <= 12
+
+
+def test_clashing_names(spark):
+    rows = [(i, "w " * (i % 4), "s", i, i, "x", "y", "z") for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string, size int, _keep_0 int, skey string, k string, `a.b` string")
+    got = M.mixed_stream(d)
+    assert got.columns == d.columns and set(map(tuple, got.collect())) <= set(rows)
