@@ -3,7 +3,10 @@
 Documents are aggregated by encoded length; suffix sums over the histogram then answer totals,
 quantiles and truncated totals for any context limit without touching the documents again.
 
-A null or empty text has length 0. An empty table gives an empty histogram.
+A null or empty text has length 0; texts are encoded whole, one at a time, however long. Repeated
+rows count as often as they come and rows of equal length share a row of the histogram, so there
+are no ties in it. Only the text column is read; others may have any name. An empty table gives an
+empty histogram, no totals and a null quantile.
 """
 
 from __future__ import annotations
@@ -18,12 +21,14 @@ from pyspark.sql.window import Window
 
 from tarnbridge.sources.tables import spread
 
-from .common import table
+from .common import checkpointed, table
 
 #: A ranks file of byte-pair merges, one base64 token and rank a line; on every executor.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Lengths are summed in blocks of so many, then over blocks.
-BLOCK = 4096
+BLOCK = 256
+#: Context limits that can be asked for at once.
+MOST_LIMITS = 10_000
 
 _encodings: dict = {}
 
@@ -53,8 +58,11 @@ def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "te
 
 
 def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """n_tokens, n_docs: how many documents have each encoded length."""
-    return token_lengths(docs, vocabulary).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    """n_tokens, n_docs: how many documents have each encoded length.
+
+    A checkpoint, so that whatever is asked of it later encodes no text again.
+    """
+    return checkpointed(token_lengths(docs, vocabulary).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")))
 
 
 def with_suffix_sums(histogram: DataFrame) -> DataFrame:
@@ -88,12 +96,13 @@ def with_suffix_sums(histogram: DataFrame) -> DataFrame:
 
 def totals_at(sums: DataFrame, limits: list[int]) -> DataFrame:
     """For any context limits: docs_over, tokens_kept (every document cut there), tokens_lost."""
-    spark = sums.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in limits], "context_limit bigint")
+    if len(limits) > MOST_LIMITS:
+        raise ValueError(f"{len(limits)} context limits; {MOST_LIMITS} at most")
+    asked = F.explode(F.array(*[F.lit(int(x)).cast("bigint") for x in dict.fromkeys(limits)]) if limits else F.array().cast("array<bigint>")).alias("context_limit")
     over = F.col("n_tokens") > F.col("context_limit")
     lost = F.when(over, (F.col("n_tokens") - F.col("context_limit")) * F.col("n_docs")).otherwise(0)
     kept = F.least("n_tokens", "context_limit") * F.col("n_docs")
-    return sums.select("n_tokens", "n_docs").crossJoin(F.broadcast(asked)).groupBy("context_limit").agg(
+    return sums.select("n_tokens", "n_docs", asked).groupBy("context_limit").agg(
         F.sum(F.when(over, F.col("n_docs")).otherwise(0)).alias("docs_over"), F.sum(kept).alias("tokens_kept"), F.sum(lost).alias("tokens_lost")
     )
 
