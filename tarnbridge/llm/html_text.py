@@ -14,6 +14,9 @@ lies outside of them is left out. Link-dominated subtrees below the threshold go
 
 Text blocks are joined by two newlines, white space inside a block is one space, and character
 references are decoded. A null or empty page has the empty text; nothing else is dropped or cut.
+Pages of any length and depth are taken whole, in time that grows with their length; between nodes
+whose sums tie the first in the page counts; repeated rows are extracted each on its own; only
+page_id, url and html are read, so other columns may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -57,6 +60,8 @@ DROPPED_NAMES = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 FLOW = HEADINGS | frozenset("p blockquote pre ul ol dl table figure".split())
 HEADER_NAMES = frozenset(("header",))
+#: Elements of running text: an id with a number there is the key of a passage, not the kind of a block.
+PASSAGES = HEADINGS | frozenset("p blockquote pre li dt dd td th figcaption a abbr b cite code em i mark q s small span strong sub sup u".split())
 #: Parts that a word of a class or id may have beside a listed one: cookie-notice and sidebar-left are listed, has-sidebar is not.
 NEUTRAL_PARTS = frozenset("area block body bottom box button container form global inner item items left link links list main outer page right section site text title top wrap wrapper".split())
 
@@ -88,7 +93,8 @@ def _doubtful(tag: str, attributes: str, in_article: bool) -> bool:
     if re.search(r"display\s*:\s*none", found.get("style", "")):
         return True
     names = DROPPED_NAMES if in_article else DROPPED_NAMES | HEADER_NAMES
-    return any(_listed(found.get(name, ""), names) for name in ("class", "id"))
+    own_id = "" if tag in PASSAGES and any(c.isdigit() for c in found.get("id", "")) else found.get("id", "")
+    return _listed(found.get("class", ""), names) or _listed(own_id, names)
 
 
 class Page:

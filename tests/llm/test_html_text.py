@@ -69,6 +69,7 @@ WANTED = "Title\n\n" + ("Words of the text of this page. " * 5).strip()
     '<div class="content-sidebar-wrap"><main>{}</main><aside>Side</aside></div>', '<div class="page has-sidebar"><div>{}</div></div>', '<article class="post comments-open">{}</article>',
     '<form id="aspnetForm"><main>{}</main></form>', '<div class="sidebar-wrapper"><article>{}</article></div><div class="sidebar-left">Side</div>', '<div class="widget"><div>{}</div></div><footer>f</footer>',
     '<div id="modal" aria-hidden="true"><main>{}</main></div>', '<article>{}</article><div class="comments"><p>' + "A long comment. " * 60 + "</p></div>",
+    '<div class="content with-sidebar">{}</div>', '<article class="post no-comments">{}</article>', '<div id="ad-3">Buy this</div><div>{}</div>',
     '<article>{}</article><aside><article class=teaser>Other</article></aside>', '<nav><div>Menu</div></nav><div class="sidebar-left">' + "Side " * 9 + "</div><div>{}</div>",
 ])
 def test_text_in_elements_of_listed_names(page):
@@ -77,7 +78,7 @@ def test_text_in_elements_of_listed_names(page):
 
 @pytest.mark.parametrize("attributes", [
     'href="/hidden/path"', 'title="the hidden valley"', 'data-hidden="false"', 'href="/x?id=comment"', 'data-id="ad-3"', 'data-role="banner"', "data-class=sidebar", 'title="a class=comments b"',
-    'alt=\'style="display:none"\'', 'aria-hidden="false"', 'class="has-sidebar unshared"', "x-style='display:none'",
+    'class="share-price"', 'id="ad-1066"', 'class="related-work"', 'data-id="menu"', 'href="/p?id=menu"', 'alt=\'style="display:none"\'', 'aria-hidden="false"', 'class="has-sidebar unshared"', "x-style='display:none'",
 ])
 def test_attributes_by_whole_name(attributes):
     assert H.extract(f"<body><div><p>One two three.</p><p {attributes}>Four five.</p><p>Six <a {attributes}>seven</a>.</p></div></body>") == "One two three.\n\nFour five.\n\nSix seven."
