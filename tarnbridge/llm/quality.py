@@ -1,15 +1,18 @@
 """Op 2: quality classifier with naive Bayes support vectors.
 
-A text's features are indicators of its n-grams: of 1 to 3 characters, hashed to DIMENSIONS, and
-of one word 2 to REPEATS times in a row. Each indicator is scaled by the log-ratio of its counts in
-the two classes, and a linear model of the hinge loss is fitted by dual coordinate descent, then
-drawn towards the mean scale as naive Bayes would have it.
+A text's features are indicators of its n-grams: of 1 to 3 characters, of one and two words (both
+hashed to DIMENSIONS) and of the shapes of two to SHAPE_WORDS words, which tell only whether each
+word is the one before it again. Each indicator is scaled by the log-ratio of its counts in the two classes, and a linear
+model of the hinge loss is fitted by dual coordinate descent, then drawn towards the mean scale as
+naive Bayes would have it.
 
 The model is fitted on the driver on at most SAMPLE labelled texts a class, chosen by a hash of
-doc_id, never of rows held out; every whole text is scored on the executors.
+doc_id, never of rows held out; every whole text, however long, is scored on the executors.
 A null text counts as empty; an empty text has no features and the score of the bias alone. A
-document with several labels has their mean. With labels of fewer than two classes the bias says
-which class there is (1 without any). An empty table gives no rows.
+document with several labels has their mean, a tie counting as 1; of a doc_id that many documents
+share one text is learned from, the least by its hash; each row is scored on its own. With labels
+of fewer than two classes the bias says which class there is (1 without any). Only doc_id and text,
+of labels doc_id and quality, are read; other columns may have any name. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,9 +27,13 @@ from pyspark.sql import functions as F
 from tarnbridge.sources.tables import spread
 
 from .common import table
+from .shingles import mix, word_hashes
 
+#: Numbers that n-grams of characters are hashed to, and as many of words; shapes come after these.
 DIMENSIONS = 1 << 18
-REPEATS = 5
+#: Words of the longest shape; shapes of 2 words and more are as many as the numbers of so many bits.
+SHAPE_WORDS = 5
+FEATURES = 2 * DIMENSIONS + 2**SHAPE_WORDS - 2
 SAMPLE = 2500
 #: Added to each count; upper bound of the dual variables; share of the fitted weights in the model.
 SMOOTHING, COST, FITTED = 1.0, 1.0, 0.75
@@ -35,7 +42,7 @@ EPOCHS = 12
 SLOPE = 2.0
 
 _MULTIPLIERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-_last = np.zeros(DIMENSIONS + REPEATS, np.int32)
+_last = np.zeros(FEATURES, np.int32)
 
 
 def features(text: str | None) -> np.ndarray:
@@ -50,12 +57,15 @@ def features(text: str | None) -> np.ndarray:
         value = (value[: len(code) - n] + code[n:] + np.uint64(1)) * m
         value ^= value >> np.uint64(29)
         found.append((value >> np.uint64(40)).astype(np.int64) & (DIMENSIONS - 1))
-    words = text.split()
-    run = most = 1
-    for a, b in zip(words, words[1:], strict=False):
-        run = run + 1 if a == b else 1
-        most = max(most, run)
-    found.append(np.arange(DIMENSIONS, DIMENSIONS + min(most, REPEATS) - 1))
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    word = word_hashes(data, np.array([len(data)]))[1]
+    for value in (word, mix(word[:-1] * _MULTIPLIERS[0] + word[1:])):
+        found.append(DIMENSIONS + (value >> np.uint64(40)).astype(np.int64) % DIMENSIONS)
+    same = (word[1:] == word[:-1]).astype(np.int64)
+    shape = np.zeros(len(word), np.int64)
+    for n in range(2, SHAPE_WORDS + 1):
+        shape = 2 * shape[:-1] + same[n - 2 :]
+        found.append(2 * DIMENSIONS + 2 ** (n - 1) - 2 + shape)
     ids = np.concatenate(found).astype(np.int32)
     at = np.arange(len(ids), dtype=np.int32)
     _last[ids] = at  # one of equal numbers stays
@@ -64,7 +74,7 @@ def features(text: str | None) -> np.ndarray:
 
 def fit(texts: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights by feature number and the bias."""
-    size = DIMENSIONS + REPEATS
+    size = FEATURES
     if len(set(labels.tolist())) < 2:
         return np.zeros(size), 1.0 if not len(labels) or labels[0] else -1.0
     counts = {k: np.full(size, SMOOTHING) for k in (0, 1)}
@@ -114,13 +124,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     chosen = marked.filter("label = 0").orderBy(*by_hash).limit(sample).unionAll(marked.filter("label = 1").orderBy(*by_hash).limit(sample))
     chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["label"]) for r in chosen.collect()], "doc_id bigint, label int")
 
+    # one text a doc_id, so no more than the chosen ones come to the driver
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "label", "t.text")
+
     def extract(batches):
         for batch in batches:
             ids = [features(t).tolist() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "label", "ids"])
 
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(extract, "doc_id bigint, label int, ids array<int>")
-    rows = sorted(((r["doc_id"], r["label"], r["ids"]) for r in found.toLocalIterator()), key=lambda r: (r[0], r[1], len(r[2])))
+    found = texts.mapInArrow(extract, "doc_id bigint, label int, ids array<int>")
+    rows = sorted(((r["doc_id"], r["label"], r["ids"]) for r in found.toLocalIterator()), key=lambda r: r[0])
     return fit([np.asarray(r[2], np.int32) for r in rows], np.asarray([r[1] for r in rows], int))
 
 
