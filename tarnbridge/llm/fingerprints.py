@@ -1,18 +1,21 @@
 """Op 6: document fingerprints by a homomorphic multiset hash.
 
-Each paragraph (line) is hashed to a wide vector and a document's fingerprint is the sum of its
-paragraphs' vectors modulo 2**32 in each lane. Hence the order of the paragraphs doesn't matter,
-equal texts have equal fingerprints, and a paragraph is put in or taken out by adding or
-subtracting its vector (``insert``, ``delete``). The first DENSE lanes take a part of every
-paragraph's digest; the SPARSE lanes after them take each paragraph in only one lane that its
-digest picks, so the share of equal sparse lanes tells how much two documents have in common.
-That share falls to 0 for long documents, where few lanes have no changed paragraph. ``level_lanes``
-has sparse lanes at LEVELS sampling rates and ``level_likeness`` compares documents at the level
-that suits their length; the registered query keeps the one level that its SQL has.
+Each paragraph (line) is hashed to a wide vector and a document's fingerprint begins with the sum of
+its paragraphs' vectors, each lane modulo 2**48. Hence the order of the paragraphs doesn't matter,
+equal texts have equal fingerprints, and a paragraph is put in or taken out by adding or subtracting
+its vector (``insert``, ``delete``).
+
+How alike two documents are is read from the rest of the fingerprint, sums as well: SPARSE lanes at
+each of LEVELS sampling rates. A unit (a piece between line breaks and marks that end sentences, so
+that a text of one line has several) adds to one lane that its digest picks: at level 0 every unit,
+at each further level a quarter of those before. Documents are compared at the level that suits the
+larger one's number of units: the share of used lanes that agree. Only lanes that aren't 0 are kept.
 
 All columns are DataFrame functions. A null text counts as empty; an empty text has one empty
-paragraph. Documents follow each other by descending doc_id (null last), then by text; after the
-last comes the first. A table of one row has itself as the next; an empty table gives no rows.
+paragraph and no units. Documents follow each other by descending doc_id (null last), then by text;
+equal rows have one fingerprint, whichever comes first; after the last comes the first. Texts of any
+length are hashed whole. Columns but doc_id and text aren't read. A table of one row has itself as
+the next; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,105 +26,102 @@ from pyspark.sql.window import Window
 
 from .common import hex_int, table
 
-DENSE = 32
-SPARSE = 64
-MOD = 2**32
-#: Levels of sparse lanes; a level takes half of the paragraphs of the one before. Most lanes in use at the level that is compared.
-LEVELS = 16
-MOST_USED = 24
+#: Lanes of a paragraph's vector, and hexadecimal digits of each.
+DENSE, DIGITS = 21, 12
+MOD = 16**DIGITS
+#: Lanes of each level, levels, and what a level's share of the one before is; units that a level should have at most.
+SPARSE, LEVELS, RATE, UNITS = 64, 6, 4, 32
+SPARSE_MOD = 2**16
+#: What ends a unit.
+ENDS = "[.!?\n]"
 #: Rows a bucket of neighbouring doc_ids, and the most buckets (a square, for two-step lookup).
 BUCKET_ROWS = 1000
 MAX_BUCKETS = 128 * 128
 
 
-def _digest(paragraph: Column) -> Column:
-    """256 hexadecimal digits: one hash of the paragraph, widened by hashing it again."""
-    own = F.sha2(paragraph, 256)
-    return F.transform(F.array(own), lambda d: F.concat(*[F.sha2(F.concat(d, F.lit(str(i))), 256) for i in range(DENSE // 8)])).getItem(0)
-
-
-def lanes(text: Column) -> Column:
-    """array<bigint> of DENSE + SPARSE lanes: the sum of the vectors of the text's paragraphs."""
-    digests = F.transform(F.split(text, "\n", -1), _digest)
-    zero = F.lit(0).cast("bigint")
-
-    def dense(hashes: Column, i: int) -> Column:
-        return F.aggregate(hashes, zero, lambda a, d: a + hex_int(d, i * 8 + 1, 8)) % MOD
-
-    def summed(hashes: Column) -> Column:
-        low = [dense(hashes, i) for i in range(DENSE)]
-        # the lane of a paragraph and what it adds there: other digits of the digest
-        picked = F.transform(hashes, lambda d: F.struct((hex_int(d, 1, 2) % SPARSE).alias("lane"), hex_int(d, 9, 8).alias("v")))
-        return F.concat(F.array(*low), F.transform(F.array(picked), sparse).getItem(0))
-
-    def sparse(picked: Column) -> Column:
-        each = F.sequence(F.lit(0), F.lit(SPARSE - 1))
-        return F.transform(each, lambda j: F.aggregate(F.filter(picked, lambda x: x["lane"] == j), zero, lambda a, x: a + x["v"]) % MOD)
+def _named(value: Column, use) -> Column:
+    """use(value), with the value made once."""
+    return F.transform(F.array(value), use).getItem(0)
 
-    return F.transform(F.array(digests), summed).getItem(0)
 
+def _vector(paragraph: Column) -> Column:
+    """DENSE numbers: one hash of the paragraph, widened by hashing it again."""
+    wide = lambda d: F.concat(*[F.sha2(F.concat(d, F.lit(str(i))), 256) for i in range(4)])
+    return _named(F.sha2(paragraph, 256), lambda d: _named(wide(d), lambda w: F.array(*[hex_int(w, i * DIGITS + 1, DIGITS) for i in range(DENSE)])))
 
-def insert(vector: Column, text: Column) -> Column:
-    """The lanes after the paragraphs of text have been put in."""
-    return F.zip_with(vector, lanes(text), lambda a, b: (a + b) % MOD)
 
+def _picked(text: Column) -> Column:
+    """(lane, v) of every unit at every level that takes it; lanes are numbered through all levels."""
+    units = F.filter(F.split(text, ENDS, -1), lambda u: u != "")
+    hashed = F.transform(units, lambda u: _named(F.md5(u), lambda d: F.struct((hex_int(d, 1, 2) % SPARSE).alias("lane"), hex_int(d, 3, 4).alias("v"), hex_int(d, 7, 8).alias("draw"))))
+    return F.flatten(F.transform(hashed, lambda u: F.transform(F.sequence(F.lit(0), _last_level(u["draw"])), lambda j: F.struct((u["lane"] + j * SPARSE).alias("lane"), u["v"].alias("v")))))
 
-def delete(vector: Column, text: Column) -> Column:
-    """The lanes after the paragraphs of text have been taken out."""
-    return F.zip_with(vector, lanes(text), lambda a, b: (a - b + MOD) % MOD)
-
-
-def written(vector: Column) -> Column:
-    """The lanes as one string, eight hexadecimal digits each."""
-    return F.array_join(F.transform(vector, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
+def _last_level(draw: Column) -> Column:
+    """The last level that takes a unit."""
+    out = F.when(draw % RATE != 0, 0)
+    for j in range(1, LEVELS - 1):
+        out = out.when(draw % RATE ** (j + 1) != 0, j)
+    return out.otherwise(LEVELS - 1)
 
-def likeness(a: Column, b: Column) -> Column:
-    """1 for equal fingerprints, else the share of used sparse lanes in which they agree."""
-    return F.when(a == b, F.lit(1.0)).otherwise(_share(F.slice(a, DENSE + 1, SPARSE), F.slice(b, DENSE + 1, SPARSE)))
 
+def _summed(picked: Column) -> Column:
+    """lane * SPARSE_MOD + sum, in order, for the lanes whose sum isn't 0."""
+    none = F.array().cast("array<bigint>")
+    start = F.struct(none.alias("done"), F.lit(-1).cast("bigint").alias("lane"), F.lit(0).cast("bigint").alias("sum"))
+    closed = lambda a: F.when(a["sum"] == 0, a["done"]).otherwise(F.array_append(a["done"], a["lane"] * SPARSE_MOD + a["sum"]))
 
-def level_lanes(text: Column) -> Column:
-    """array<bigint> of LEVELS * SPARSE lanes: sparse lanes of all paragraphs, of half of them, and so on.
+    def add(a: Column, x: Column) -> Column:
+        same = F.struct(a["done"].alias("done"), a["lane"].alias("lane"), ((a["sum"] + x["v"]) % SPARSE_MOD).alias("sum"))
+        return F.when(a["lane"] == x["lane"], same).otherwise(F.struct(closed(a).alias("done"), x["lane"].cast("bigint").alias("lane"), (x["v"] % SPARSE_MOD).alias("sum")))
 
-    Level j takes the paragraphs whose digest has j zero bits in a row at a place of its own, so
-    lanes are sums as before: they are added and subtracted lane by lane modulo MOD.
-    """
-    digests = F.transform(F.split(text, "\n", -1), lambda p: F.sha2(F.concat(F.sha2(p, 256), F.lit("0")), 256))
-    picked = F.transform(digests, lambda d: F.struct((hex_int(d, 1, 2) % SPARSE).alias("lane"), hex_int(d, 9, 8).alias("v"), hex_int(d, 17, 8).alias("draw")))
+    return F.aggregate(F.array_sort(picked), start, add, closed)
 
-    def summed(picked: Column) -> Column:
-        levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
-        return F.flatten(F.transform(levels, lambda j: F.transform(F.array(F.filter(picked, lambda x: x["draw"] % F.pow(F.lit(2), j).cast("bigint") == 0)), _level).getItem(0)))
 
-    return F.transform(F.array(picked), summed).getItem(0)
+def lanes(text: Column) -> Column:
+    """struct(dense, units, sparse): sums over the text's paragraphs, the number of units, sums over these."""
+    zeros = F.array_repeat(F.lit(0).cast("bigint"), DENSE)
+    vectors = F.transform(F.split(text, "\n", -1), _vector)
+    dense = F.aggregate(vectors, zeros, lambda a, v: F.zip_with(a, v, lambda x, y: (x + y) % MOD))
+    return _named(_picked(text), lambda p: F.struct(dense.alias("dense"), F.size(F.filter(p, lambda x: x["lane"] < SPARSE)).cast("bigint").alias("units"), _summed(p).alias("sparse")))
+
+
+def _combined(vector: Column, text: Column, sign: int) -> Column:
+    of = lambda codes, factor: F.transform(codes, lambda c: F.struct(F.floor(c / SPARSE_MOD).alias("lane"), (c % SPARSE_MOD * factor + (SPARSE_MOD if factor < 0 else 0)).alias("v")))
+    both = lambda own: F.struct(
+        F.zip_with(vector["dense"], own["dense"], lambda a, b: (a + sign * b + MOD) % MOD).alias("dense"), (vector["units"] + sign * own["units"]).alias("units"),
+        _summed(F.concat(of(vector["sparse"], 1), of(own["sparse"], sign))).alias("sparse"),
+    )
+    return _named(lanes(text), both)
 
 
-def _level(picked: Column) -> Column:
-    zero = F.lit(0).cast("bigint")
-    each = F.sequence(F.lit(0), F.lit(SPARSE - 1))
-    return F.transform(each, lambda i: F.aggregate(F.filter(picked, lambda x: x["lane"] == i), zero, lambda a, x: a + x["v"]) % MOD)
+def insert(vector: Column, text: Column) -> Column:
+    """The lanes after the paragraphs of text have been put in."""
+    return _combined(vector, text, 1)
 
 
-def level_likeness(a: Column, b: Column) -> Column:
-    """The share of used lanes that agree, at the first level where MOST_USED at most are in use in both.
+def delete(vector: Column, text: Column) -> Column:
+    """The lanes after the paragraphs of text have been taken out."""
+    return _combined(vector, text, -1)
 
-    a and b are of level_lanes. Documents of equal lanes have 1.
-    """
-    def at(v: Column, j: Column) -> Column:
-        return F.slice(v, j * SPARSE + 1, F.lit(SPARSE))
 
-    used = lambda v: F.size(F.filter(v, lambda x: x != 0))
-    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
-    fits = F.filter(levels, lambda j: F.greatest(used(at(a, j)), used(at(b, j))) <= MOST_USED)
-    level = F.coalesce(F.get(fits, F.lit(0)), F.lit(LEVELS - 1))
-    share = F.transform(F.array(level), lambda j: _share(at(a, j), at(b, j))).getItem(0)
-    return F.when(a == b, F.lit(1.0)).otherwise(share)
+def written(vector: Column) -> Column:
+    """The lanes as one string of hexadecimal digits: dense ones, the number of units, sparse ones with their places."""
+    digits = lambda a, n: F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), n, "0")), "")
+    return F.concat_ws(".", digits(vector["dense"], DIGITS), F.lower(F.hex(vector["units"])), digits(vector["sparse"], 7))
 
 
-def _share(a: Column, b: Column) -> Column:
-    pairs = F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), 0).when(x == y, 1).otherwise(2))
-    return F.transform(F.array(pairs), lambda p: F.size(F.filter(p, lambda v: v == 1)) / F.greatest(F.size(F.filter(p, lambda v: v > 0)), F.lit(1))).getItem(0)
+def likeness(a: Column, b: Column) -> Column:
+    """1 for equal fingerprints, else the share of lanes used in either that agree, at the level that suits both."""
+    most = F.greatest(a["units"], b["units"])
+    level = F.when(most <= UNITS, 0)
+    for j in range(1, LEVELS - 1):
+        level = level.when(most <= UNITS * RATE**j, j)
+    at = lambda v, j: F.filter(v["sparse"], lambda c: F.floor(c / (SPARSE_MOD * SPARSE)) == j)
+    lanes_of = lambda v: F.transform(v, lambda c: F.floor(c / SPARSE_MOD))
+    share = lambda x: F.size(F.array_intersect(x["a"], x["b"])) / F.greatest(F.size(F.array_union(lanes_of(x["a"]), lanes_of(x["b"]))), F.lit(1))
+    both = _named(level.otherwise(LEVELS - 1), lambda j: F.struct(at(a, j).alias("a"), at(b, j).alias("b")))
+    return F.when(a == b, F.lit(1.0)).otherwise(_named(both, share))
 
 
 def _bucket(bounds: list[int]) -> Column:
@@ -181,23 +181,33 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+_WIDE = " || ".join(f"sha256(d || '{i}')" for i in range(4))
+_TAKEN = " ".join(f"WHEN u.draw % {RATE ** (j + 1)} <> 0 THEN {j}" for j in range(LEVELS - 1))
+_LEVEL = "CASE " + " ".join(f"WHEN greatest({{0}}.units, {{1}}.units) <= {UNITS * RATE**j} THEN {j}" for j in range(LEVELS - 1)) + f" ELSE {LEVELS - 1} END"
+
+
 def _lanes_sql(text: str) -> str:
-    digest = " || ".join(f"sha256(sha256(p) || '{i}')" for i in range(DENSE // 8))
-    return f"""list_transform([list_transform(string_split({text}, chr(10)), lambda p: {digest})], lambda ds:
-      list_concat(
-        list_transform(range({DENSE}), lambda i: (list_sum(list_transform(ds, lambda d: ('0x' || d[i * 8 + 1:i * 8 + 8])::BIGINT)) % {MOD})::BIGINT),
-        list_transform(range({SPARSE}), lambda j: (coalesce(list_sum(list_transform(list_filter(ds, lambda d: ('0x' || d[1:2])::BIGINT % {SPARSE} = j), lambda d: ('0x' || d[9:16])::BIGINT)), 0) % {MOD})::BIGINT)))[1]"""
+    """A struct of dense, units and sparse, as lanes() has them."""
+    hashed = f"list_transform(list_filter(string_split_regex({text}, '{ENDS}'), lambda u: u <> ''), lambda u: md5(u))"
+    units = f"list_transform({hashed}, lambda d: {{lane: ('0x' || d[1:2])::BIGINT % {SPARSE}, v: ('0x' || d[3:6])::BIGINT, draw: ('0x' || d[7:14])::BIGINT}})"
+    picked = f"flatten(list_transform({units}, lambda u: list_transform(range(CASE {_TAKEN} ELSE {LEVELS - 1} END + 1), lambda j: {{lane: u.lane + j * {SPARSE}, v: u.v}})))"
+    total = f"(list_sum(list_transform(list_filter(p, lambda x: x.lane = l), lambda x: x.v)) % {SPARSE_MOD})::BIGINT"
+    sparse = f"list_filter(list_transform(list_sort(list_distinct(list_transform(p, lambda x: x.lane))), lambda l: l * {SPARSE_MOD} + {total}), lambda c: c % {SPARSE_MOD} <> 0)"
+    wide = f"list_transform(list_transform(string_split({text}, chr(10)), lambda p: sha256(p)), lambda d: {_WIDE})"
+    dense = f"list_transform([{wide}], lambda ws: list_transform(range({DENSE}), lambda i: (list_sum(list_transform(ws, lambda w: ('0x' || w[i * {DIGITS} + 1:i * {DIGITS} + {DIGITS}])::BIGINT)) % {MOD})::BIGINT))[1]"
+    return f"list_transform([{picked}], lambda p: {{dense: {dense}, units: len(list_filter(p, lambda x: x.lane < {SPARSE}))::BIGINT, sparse: {sparse}}})[1]"
 
 
-_HEX = "array_to_string(list_transform({0}, lambda x: lpad(lower(to_hex(x)), 8, '0')), '')"
+def _written_sql(v: str) -> str:
+    digits = lambda a, n: f"array_to_string(list_transform({a}, lambda x: lpad(lower(to_hex(x)), {n}, '0')), '')"
+    return f"{digits(f'{v}.dense', DIGITS)} || '.' || lower(to_hex({v}.units)) || '.' || {digits(f'{v}.sparse', 7)}"
 
 
 def _near_sql(a: str, b: str) -> str:
-    both = f"list_zip({a}[{DENSE + 1}:], {b}[{DENSE + 1}:])"
-    return (
-        f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE ELSE len(list_filter({both}, lambda z: z[1] = z[2] AND z[1] <> 0))::DOUBLE"
-        f" / greatest(len(list_filter({both}, lambda z: z[1] <> 0 OR z[2] <> 0)), 1) END"
-    )
+    level = _LEVEL.format(a, b)
+    at = lambda v: f"list_filter({v}.sparse, lambda c: c // {SPARSE_MOD * SPARSE} = {level})"
+    places = lambda v: f"list_transform({at(v)}, lambda c: c // {SPARSE_MOD})"
+    return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE ELSE len(list_intersect({at(a)}, {at(b)}))::DOUBLE / greatest(len(list_distinct(list_concat({places(a)}, {places(b)}))), 1) END"
 
 
 ORACLE = f"""
@@ -211,7 +221,7 @@ WITH d AS (
 ), v AS (
   SELECT *, {_lanes_sql('text')} AS v, {_lanes_sql('edited')} AS ev, {_lanes_sql('next_text')} AS nv FROM e
 )
-SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, {_HEX.format('v')} AS fingerprint,
-  {_HEX.format('ev')} AS edited_fingerprint, {_near_sql('v', 'ev')} AS near_edited, {_near_sql('v', 'nv')} AS near_next
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, {_written_sql('v')} AS fingerprint,
+  {_written_sql('ev')} AS edited_fingerprint, {_near_sql('v', 'ev')} AS near_edited, {_near_sql('v', 'nv')} AS near_next
 FROM v
 """
