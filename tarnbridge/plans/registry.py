@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_queries, retrieval_queries, rule_queries, text_queries, warehouse_queries
+from . import context_queries, io_queries, retrieval_queries, rule_queries, text_queries, warehouse_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (retrieval_queries, rule_queries, text_queries, warehouse_queries, context_queries)
+_MODULES = (retrieval_queries, rule_queries, text_queries, warehouse_queries, context_queries, io_queries)
 
 
 def queries() -> dict[str, Query]:
