@@ -9,7 +9,10 @@ place and the position, so a row's sample does not depend on partitions or batch
 A piece's probability follows Zipf's law on its rank in the vocabulary, raised to ALPHA; the
 vocabulary itself is not trained or changed. Decoding joins the pieces' bytes and takes the first
 blank away: it gives back any text exactly. A null text is encoded as null, an empty text as one
-blank; a null key is hashed as a key of its own; equal rows get equal samples.
+blank; a null key is hashed as a key of its own; equal rows get equal samples, so ties change
+nothing. Texts of any length are encoded whole, in time that grows with their length; a chunk without
+a blank or a place where no piece reaches across is held as one lattice, position by position. Only
+doc_id and text are read; other columns may have any name. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -47,3 +47,51 @@ def test_stages():
     import corpus_pipeline as C
 
     assert [n for n, _ in C.STAGES] == ["quality", "near_copies", "mixing", "encoding"] and C.ORACLE_SQL is None
+
+
+ODD_NAMES = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, node string, copy string, skey string, size bigint, finish double, _keep_0 string, ids string"
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and long texts, repeated rows, ties and names that the operators use."""
+    good = "plain words of a text that reads well, again and again "
+    rows = [(1, good), (1, good), (2, good), (3, None), (4, ""), (5, " \n "), (None, good), (None, None), (6, good * 20_000), (7, "junk " * 60), (8, good + "with an end of its own that is long enough to count"), (9, "x" * 30_000)]
+    rest = lambda i: ("en", "s") if i % 3 else (None, None)
+    return spark.createDataFrame([(*r, *rest(i), None, None, None, "c", "k", None, None, "z", None) for i, r in enumerate(rows)], ODD_NAMES)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline as C
+
+    docs = odd_documents(spark)
+    labels = [(i, int(i != 7), 0, "clash") for i in range(1, 10)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int, text string").write.parquet(str(tmp_path / "labels.parquet"))
+    good = C.quality(spark, docs, str(tmp_path))
+    assert good.columns == docs.columns
+    texts = {r["text"] for r in good.collect()}
+    assert all(r["text"] in texts or r not in good.collect() for r in docs.collect())
+    once = C.near_copies(spark, docs, str(tmp_path))
+    assert once.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in once.collect()), key=repr)
+    want = {(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] != 2}
+    want.discard((6, next(r["text"] for r in docs.collect() if r["doc_id"] == 6)))  # its set of shingles is near that of 1
+    assert {x for x in got if x[0] != 6} == want and len(got) == len(set(got))
+    mixed = C.mixing(spark, docs, str(tmp_path))
+    assert mixed.columns == docs.columns
+    counts = {}
+    for r in mixed.collect():
+        counts[(r["doc_id"], r["text"])] = counts.get((r["doc_id"], r["text"]), 0) + 1
+    assert all(n <= 2 * sum((d["doc_id"], d["text"]) == k for d in docs.collect()) for k, n in counts.items())
+    coded = C.encoding(spark, docs, str(tmp_path)).collect()
+    assert len(coded) == docs.count() and all(r["lossless"] for r in coded)
+    assert {r["doc_id"]: r["n_tokens"] for r in coded}[3] == 0 and all(r["n_tokens"] > 0 for r in coded if r["doc_id"] in (4, 5, 6, 9))
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline as C
+
+    docs = odd_documents(spark).limit(0)
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in C.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (name == "encoding" or out.columns == docs.columns)
