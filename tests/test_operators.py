@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnbridge.functions.text import title_words
-from tarnbridge.operators import events, judging, metrics, nearest, parsing, rerank, retrieval, search, sync
+from tarnbridge.operators import events, index, judging, metrics, nearest, parsing, rerank, retrieval, search, sync
 
 
 def test_nearest_is_exact(spark):
@@ -239,3 +239,21 @@ def test_final_rank(spark):
     of = lambda asked: [r["owner_id"] for r in search.final_rank(owners, 7, asked).orderBy("place").collect()]
     assert of(F.lit(False)) == [2, 5, 8, 4, 3, 1, 6]
     assert of(None) == [2, 1, 5, 8, 4, 3, 6]
+
+
+def test_index_recall_and_exactness(spark, monkeypatch, tmp_path):
+    """Recall of the probed lists is at least 0.9, all lists give the exact answer, every row is indexed."""
+    monkeypatch.setattr(nearest, "BLOCK", 64)
+    r = np.random.default_rng(6)
+    x = (r.normal(size=(30, 16))[r.integers(0, 30, 1500)] + 0.4 * r.normal(size=(1500, 16))).tolist()
+    v = spark.createDataFrame([*enumerate(x), (9000, None), (9001, [0.0] * 16), (9002, [1.0]), (None, x[0])], "id bigint, vector array<double>").filter("id is not null")
+    queries = v.filter("id % 25 = 0")
+    exact = {(h["query_id"], h["id"]) for h in nearest.nearest(v, queries, 10).filter("similarity is not null").collect()}
+    centres = index.fit(v, 24, sample=600)
+    lists = index.assigned(v, centres)
+    assert centres.shape == (24, 16) and lists.count() == 1500
+    found = lambda rows, probes: {(h["query_id"], h["id"]) for h in index.search(rows, queries, centres, 10, probes).collect()}
+    assert len(found(lists, 4) & exact) >= 0.9 * len(exact)
+    index.write(v, centres, str(tmp_path / "index"))
+    assert found(spark.read.parquet(str(tmp_path / "index")), 24) == exact
+    assert index.fit(v.limit(0), 5).shape == (1, 1) and index.search(lists.limit(0), queries, centres, 3, 2).count() == 0

@@ -31,3 +31,30 @@ def test_nothing_imports_the_training_data_package():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert "tarnbridge.llm" not in path.read_text() and "from .llm" not in path.read_text(), path
+
+
+def test_index_search_recall(spark, data):
+    from tarnbridge.plans import retrieval_queries as Q
+
+    pairs = lambda df: {(r["query_id"], r["chunk_id"]) for r in df.collect()}
+    exact = pairs(Q._hits(spark, data, 10))
+    assert len(pairs(Q.index_search(spark, data)) & exact) >= 0.9 * len(exact)
+
+
+def test_context_pages_against_plain_python(spark, data):
+    """Every page is a candidate, with its own text."""
+    import re
+
+    from tarnbridge.operators.parsing import parse_article
+    from tarnbridge.plans import context_queries as C
+
+    texts = {}
+    for r in spark.read.parquet(f"{data}/pages.parquet").collect():
+        text = parse_article(r["html"])[2]
+        if text.strip():
+            url = re.sub(r"[?#].*$", "", r["url"])
+            texts[url] = min(texts.get(url, text), text)
+    rows = C.context_pages(spark, data).collect()
+    assert rows and all(r["text"] == texts[r["page_url"]][:12_000] for r in rows)
+    chosen = {r["event"]: r["url"] for r in C.site_candidates(spark, data).filter("place = 1").collect()}
+    assert {r["event"] for r in rows} == {e for e, u in chosen.items() if u in texts or any(x.startswith(re.match(r"https?://[^/]+", u)[0]) for x in texts if x.rsplit("/", 1)[-1] in ("rules", "route", "faq"))}
