@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import time
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,27 @@ def hashed_words(dim: int = 64) -> Embed:
     return embed
 
 
+#: Seconds to wait after each failed call of a model; one call for each.
+WAITS = (0.2, 0.5, 1.0)
+
+
+def with_retries(embed: Embed, waits: Sequence[float] = WAITS) -> Embed:
+    """The same function, called again where it fails, once for each wait; then its last error is raised."""
+
+    def call(texts: list[str]) -> np.ndarray:
+        error: Exception | None = None
+        for i, wait in enumerate(waits):
+            try:
+                return embed(texts)
+            except Exception as e:  # whatever a model's client raises
+                error = e
+                if i + 1 < len(waits):
+                    time.sleep(wait)
+        raise RuntimeError(f"no embedding after {len(waits)} calls") from error
+
+    return call
+
+
 def embedded(rows: DataFrame, key: str, text: str, embed: Embed, dim: int, batch: int = 128) -> DataFrame:
     """key and embedding of every row, in batches; a blank text or a vector of another size is an error."""
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tarnbridge.functions.text import contains_any, count_of
+from tarnbridge.operators.event_names import is_event_name
 
 #: Terms of roads and of gravel in queries, and markers in texts about riders.
 ROAD_TERMS = ("road race", "road ultra", "endurance road", "road bikepacking", "all road", "transiberica")
@@ -46,6 +47,26 @@ FLAG_WORDS = {
     "mountain": "mountainous long climbs", "desert": "desert arid", "remote": "remote minimal resupply",
     "night": "night riding", "navigation": "navigation GPS route", "cold_hot": "temperature swings",
 }
+#: What is said of known events, and kinds of event that are near each other.
+EVENT_HINTS = {
+    "transiberica": ("road ultra race", "endurance road bikepacking", "long distance across Spain or Europe", "lightweight setup", "heat"),
+    "atlas mountain race": ("mountainous", "off-road", "remote", "night riding", "long climbs"),
+    "gb duro": ("off-road bikepacking ultra", "mountainous", "remote", "rough terrain"),
+    "silk road mountain race": ("mountainous", "mtb ultra", "remote", "high altitude", "rough terrain"),
+    "tour divide": ("off-road bikepacking ultra", "long distance", "remote", "mixed dirt roads"),
+    "badlands": ("gravel ultra race", "arid", "heat", "remote"),
+}
+ADJACENT = {
+    "mountain_gravel_ultra": ("gravel_ultra", "mountain_offroad_ultra"), "gravel_ultra": ("mountain_gravel_ultra", "offroad_bikepacking_ultra"), "mountain_road_ultra": ("road_ultra",), "road_ultra": ("mountain_road_ultra",),
+    "desert_mtb_ultra": ("mountain_mtb_ultra", "desert_offroad_ultra"), "mountain_mtb_ultra": ("mtb_ultra", "mountain_offroad_ultra"), "mtb_ultra": ("mountain_mtb_ultra", "offroad_bikepacking_ultra"),
+    "desert_offroad_ultra": ("mountain_offroad_ultra", "desert_mtb_ultra"), "mountain_offroad_ultra": ("offroad_bikepacking_ultra", "mountain_mtb_ultra"),
+}
+#: What flags say of terrain, environment and format; every event is an ultra.
+DETAILS = {
+    "terrain": (("mountain", "mountainous"),),
+    "environment": (("desert", "desert"), ("remote", "remote"), ("cold_hot", "temperature_swings")),
+    "format": ((None, "ultra"), ("remote", "self_supported"), ("night", "night_riding"), ("navigation", "navigation_heavy")),
+}
 FIRST_WORDS = "self-supported ultra endurance bikepacking race"
 #: Patterns of setup details, the first that matches counts.
 SETUP = {
@@ -103,22 +124,41 @@ def archetype(f: dict[str, Column]) -> Column:
     )
 
 
+def archetype_details(f: dict[str, Column]) -> dict[str, Column]:
+    """terrain, environment and format as lists, and the kinds of event next to the one that the flags tell of."""
+    listed = lambda items: F.array_compact(F.array(*[F.lit(w) if flag is None else F.when(f[flag], w) for flag, w in items]))
+    near = F.coalesce(*[F.when(archetype(f) == k, F.array(*map(F.lit, v))) for k, v in ADJACENT.items()], F.array().cast("array<string>"))
+    return {name: listed(items) for name, items in DETAILS.items()} | {"adjacent": near}
+
+
+def event_hints(event: Column) -> Column:
+    """What is known of an event, by its name; an empty list for others."""
+    name = F.lower(F.trim(event))
+    return F.coalesce(*[F.when(name == k, F.array(*map(F.lit, v))) for k, v in EVENT_HINTS.items()], F.array().cast("array<string>"))
+
+
 def metric(text: Column, pattern: str) -> Column:
     return F.regexp_extract(text, pattern, 1).try_cast("int")
 
 
 def descriptors(f: dict[str, Column], hint: Column, distance_km: Column, elevation_m: Column, event: Column | None = None) -> Column:
-    """Distinct descriptors in order, joined by commas: the query for a broad search."""
+    """Distinct descriptors in order, joined by commas: the query for a broad search.
+
+    event is a name; one that isn't an event's name adds nothing.
+    """
     family = surface_family(f)
     for_hint = lambda name, *words: [F.when(hint == name, w) for w in words]
-    parts = [
-        F.lit(FIRST_WORDS), *([event] if event is not None else []),
+    named = event if event is not None else F.lit(None).cast("string")
+    first = [
+        F.lit(FIRST_WORDS), F.when(is_event_name(named), F.trim(named)),
         *for_hint("road", "road event", "road-oriented setup", "faster rolling tyres", "avoid MTB-style tyre widths"), *for_hint("gravel", "gravel event", "gravel-oriented setup"),
         *for_hint("trail", "trail event", "trail-oriented setup"),
+    ]
+    rest = [
         *[F.when(family == name, w) for name, words in SURFACE_WORDS.items() for w in words], *[F.when(f[name], w) for name, w in FLAG_WORDS.items()],
         F.when(distance_km > 0, F.concat(distance_km.cast("string"), F.lit(" km"))), F.when(elevation_m > 0, F.concat(elevation_m.cast("string"), F.lit(" m climbing"))),
     ]
-    return F.array_join(F.array_distinct(F.array_compact(F.array(*parts))), ", ")
+    return F.array_join(F.array_distinct(F.array_compact(F.concat(F.array(*first), event_hints(named), F.array(*rest)))), ", ")
 
 
 def component_counts(query: Column, terms: dict[str, Sequence[str]] | None = None) -> Column:

@@ -38,6 +38,23 @@ def metrics(ranked: DataFrame, relevant: DataFrame, ks: list[int]) -> DataFrame:
     )
 
 
+def report(queries: DataFrame, labelled: DataFrame, latency: DataFrame) -> DataFrame:
+    """One row: how many queries and labelled ones, means of the metrics that count, mean latencies, fallbacks and regressions.
+
+    queries has query_id; labelled is of safe_fallback(); latency has query_id, retrieval_ms and rerank_ms. A
+    regression is a query whose reranked list is worse than the base, whether or not it fell back.
+    Means over nothing are 0.
+    """
+    rows = queries.select("query_id").distinct().join(labelled, "query_id", "left").join(latency, "query_id", "left")
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    worse = (F.col("reranked_hitrate") < F.col("base_hitrate")) | (F.col("reranked_mrr") + 1e-12 < F.col("base_mrr"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_queries"), F.count("final_mrr").alias("n_labelled"), mean("final_hitrate").alias("hitrate"), mean("final_mrr").alias("mrr"),
+        mean("retrieval_ms").alias("retrieval_ms"), mean("rerank_ms").alias("rerank_ms"), mean(F.col("retrieval_ms") + F.col("rerank_ms")).alias("total_ms"),
+        F.count_if("fallback").alias("n_fallback"), F.count_if(worse).alias("n_regressed"),
+    )
+
+
 def safe_fallback(base: DataFrame, other: DataFrame) -> DataFrame:
     """Per query whether the other ranking is worse than the base, and the metrics that count.
 

@@ -143,6 +143,14 @@ def rerank_safe_fallback(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "fallback", *[tidy(F.col(c)).alias(c) for c in out.columns if c not in ("query_id", "fallback")])
 
 
+def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report over all queries, with latencies made of their ids."""
+    q = _vectors(spark, d).filter(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"))
+    latency = q.select("query_id", (F.col("query_id") % 700 / 10).alias("retrieval_ms"), (F.col("query_id") % 300 / 100).alias("rerank_ms"))
+    out = M.report(q, rerank_safe_fallback(spark, d), latency)
+    return out.select(*[tidy(F.col(c), 5).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes])
+
+
 def worst_queries(spark: SparkSession, d: str) -> DataFrame:
     """The ten queries with the least reciprocal rank (a top-k report)."""
     m = M.metrics(_lists(spark, d), _qrels(spark, d), [10])
@@ -243,7 +251,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_rank_global, chunk_rank_scoped, chunk_rank_for_ids, scope_merge_weighted, vector_topk_meta_left, index_search, vector_filtered_or_global, hits_grouped, hits_deduped, cosine_guarded, metrics_at_ks,
-        metrics_summary, rerank_safe_fallback, worst_queries, overlap_jaccard, overlap_average, top_frequent, qrels_from_labels, similar_events, event_scope, event_grounding, final_rank_tuple,
+        metrics_summary, rerank_safe_fallback, evaluation_report, worst_queries, overlap_jaccard, overlap_average, top_frequent, qrels_from_labels, similar_events, event_scope, event_grounding, final_rank_tuple,
     )
 }
 
@@ -380,3 +388,8 @@ SELECT query_id, hint, exact_articles, exact_owners, needs_similar, CASE WHEN ne
 SELECT query_id, owner_id, scope, row_number() OVER (PARTITION BY query_id ORDER BY same_event DESC, scope = 'exact' DESC, hit DESC, known DESC, round(final, 9) DESC, coverage DESC, year DESC, coalesce(n_chars, 0) DESC, owner_id)::INTEGER AS place,
   same_event, coverage::INTEGER AS coverage, {_R('final')} AS final FROM f QUALIFY place <= 5""",
 }
+ORACLES["evaluation_report"] = f"""
+WITH s AS ({ORACLES["rerank_safe_fallback"]}), q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % {EVERY} = 0), r AS (SELECT * FROM q LEFT JOIN s USING (query_id))
+SELECT count(*) AS n_queries, count(final_mrr) AS n_labelled, {_R('coalesce(avg(final_hitrate), 0)', 5)} AS hitrate, {_R('coalesce(avg(final_mrr), 0)', 5)} AS mrr, {_R('avg(query_id % 700 / 10.0::DOUBLE)', 5)} AS retrieval_ms,
+  {_R('avg(query_id % 300 / 100.0::DOUBLE)', 5)} AS rerank_ms, {_R('avg(query_id % 700 / 10.0::DOUBLE + query_id % 300 / 100.0::DOUBLE)', 5)} AS total_ms, count(*) FILTER (WHERE fallback) AS n_fallback,
+  count(*) FILTER (WHERE reranked_hitrate < base_hitrate OR reranked_mrr + 1e-12 < base_mrr) AS n_regressed FROM r"""

@@ -32,6 +32,7 @@ PHRASES = (
     "", "what to pack", "all road 45mm - 50mm tyres, garmin only, no electronic, mullet",
 )
 FRAMES = ("", "hardtail suspension", "rigid steel", "full suspension")
+EVENTS = ("Badlands", "", " Atlas Mountain Race ", "Unknown event", "What race is it", "Tour Divide", "Some Other Race")
 WIDTHS = ("", "50mm+", "28mm - 32mm", "45-50mm", "40mm", "wide")
 
 
@@ -66,10 +67,15 @@ def query_intent(spark: SparkSession, d: str) -> DataFrame:
 
 def descriptor_query(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    out = I.descriptors(I.flags(t), I.surface_hint(t), I.metric(t, r"(\d{2,4})\s*km"), I.metric(t, r"(\d{3,5})\s*m\b"))
+    out = I.descriptors(I.flags(t), I.surface_hint(t), I.metric(t, r"(\d{2,4})\s*km"), I.metric(t, r"(\d{3,5})\s*m\b"), chosen(EVENTS, F.col("doc_id")))
     return _texts(spark, d).select("doc_id", out.alias("descriptor"))
 
 
+def archetype_details(spark: SparkSession, d: str) -> DataFrame:
+    f = I.flags(F.col("text"))
+    return _texts(spark, d).select("doc_id", I.archetype(f).alias("archetype"), *[F.array_join(c, ",").alias(n) for n, c in I.archetype_details(f).items()])
+
+
 def component_hits(spark: SparkSession, d: str) -> DataFrame:
     rows = _texts(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
     return rows.groupBy("source").agg(*[F.count_if(I.component_hit(F.col("text"), t)).alias(n) for n, t in I.COMPONENTS.items()])
@@ -116,7 +122,7 @@ def rerank_effect(spark: SparkSession, d: str) -> DataFrame:
     return before.unionByName(after).groupBy("ranking").agg(F.count(F.lit(1)).alias("queries"), *[tidy(F.avg(n), 5).alias(n) for n in ("hitrate", "precision", "mrr")])
 
 
-QUERIES = {f.__name__: f for f in (keyword_flags, surface_rules, setup_hints, query_intent, descriptor_query, component_hits, alias_detect, rerank_rules, rerank_effect)}
+QUERIES = {f.__name__: f for f in (keyword_flags, surface_rules, setup_hints, query_intent, descriptor_query, archetype_details, component_hits, alias_detect, rerank_rules, rerank_effect)}
 
 
 def _quoted(x: str) -> str:
@@ -144,8 +150,9 @@ _KIND = """CASE family WHEN 'mtb' THEN CASE WHEN desert THEN 'desert_mtb_ultra'
 _BIAS = f"CASE WHEN {_count('l', I.ROAD_TERMS)} > {_count('l', I.GRAVEL_TERMS)} THEN 'road' WHEN {_count('l', I.GRAVEL_TERMS)} > {_count('l', I.ROAD_TERMS)} THEN 'gravel' ELSE 'neutral' END"
 _HINT = f"CASE WHEN {_has('(chr(32) || l || chr(32))', [' road ', ' all-road ', ' all road '])} THEN 'road' WHEN contains(' ' || l || ' ', ' gravel ') THEN 'gravel' WHEN {_has('(chr(32) || l || chr(32))', [' trail ', ' mtb ', ' mountain bike '])} THEN 'trail' END"
 _WORDS = [
-    _quoted(I.FIRST_WORDS), *[f"CASE WHEN hint = 'road' THEN {_quoted(w)} END" for w in ("road event", "road-oriented setup", "faster rolling tyres", "avoid MTB-style tyre widths")],
+    _quoted(I.FIRST_WORDS), "CASE WHEN e NOT IN ('', 'Unknown event') AND NOT starts_with(lower(e), 'what ') THEN e END", *[f"CASE WHEN hint = 'road' THEN {_quoted(w)} END" for w in ("road event", "road-oriented setup", "faster rolling tyres", "avoid MTB-style tyre widths")],
     *[f"CASE WHEN hint = '{h}' THEN {_quoted(w)} END" for h in ("gravel", "trail") for w in (f"{h} event", f"{h}-oriented setup")],
+    *[f"CASE WHEN lower(e) = '{n}' THEN {_quoted(w)} END" for n, ws in I.EVENT_HINTS.items() for w in ws],
     *[f"CASE WHEN family = '{n}' THEN {_quoted(w)} END" for n, ws in I.SURFACE_WORDS.items() for w in ws], *[f"CASE WHEN {n} THEN {_quoted(w)} END" for n, w in I.FLAG_WORDS.items()],
     "CASE WHEN km > 0 THEN km || ' km' END", "CASE WHEN m > 0 THEN m || ' m climbing' END",
 ]
@@ -185,8 +192,11 @@ SELECT doc_id, bias, hint, CASE WHEN bias = 'road' THEN CASE WHEN r AND NOT g TH
     "query_intent": f"""WITH {_T}, m AS (SELECT *, {_MOST} AS most FROM t)
 SELECT doc_id, CASE WHEN trim(l) = '' OR most = 0 THEN 'full_setup' {' '.join(f"WHEN {_count('l', t)} = most THEN '{n}'" for n, t in I.COMPONENTS.items())} END AS component,
   (round(CASE WHEN trim(l) = '' THEN 0.0 WHEN most = 0 THEN 0.25 ELSE least(1.0, 0.35 + 0.15 * most) END::DOUBLE, 6) + 0.0) AS confidence FROM m""",
-    "descriptor_query": rf"""WITH {_T}, {_F}, g AS (SELECT *, {_FAMILY} AS family, {_HINT} AS hint, {_RX('text', r'(\d{2,4})\s*km', 1)} AS km, {_RX('text', r'(\d{3,5})\s*m\b', 1)} AS m FROM f),
+    "descriptor_query": rf"""WITH {_T}, {_F}, g AS (SELECT *, {_FAMILY} AS family, {_HINT} AS hint, trim({_choose(EVENTS, 'doc_id')}) AS e, {_RX('text', r'(\d{2,4})\s*km', 1)} AS km, {_RX('text', r'(\d{3,5})\s*m\b', 1)} AS m FROM f),
 x AS (SELECT doc_id, list_filter([{', '.join(_WORDS)}], lambda w: w IS NOT NULL) AS ws FROM g) SELECT doc_id, array_to_string(list_filter(ws, lambda w, i: list_position(ws, w) = i), ', ') AS descriptor FROM x""",
+    "archetype_details": f"""WITH {_T}, {_F}, g AS (SELECT *, {_FAMILY} AS family FROM f), k AS (SELECT *, {_KIND} AS archetype FROM g)
+SELECT doc_id, archetype, {', '.join(f"concat_ws(',', {', '.join(_quoted(w) if flag is None else f'CASE WHEN {flag} THEN {_quoted(w)} END' for flag, w in items)}) AS {n}" for n, items in I.DETAILS.items())},
+  CASE archetype {' '.join(f"WHEN '{n}' THEN '{','.join(v)}'" for n, v in I.ADJACENT.items())} ELSE '' END AS adjacent FROM k""",
     "component_hits": f"WITH {_T} SELECT source, {', '.join(f'count(*) FILTER (WHERE {_has("l", t)}) AS {n}' for n, t in I.COMPONENTS.items())} FROM t GROUP BY source",
     "alias_detect": f"""WITH {_T}, x AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{k}', '{a}')" for i, (k, a) in enumerate(_LEXICON))}) v(ord, key, alias)),
 h AS (SELECT doc_id, l, ord, key, alias FROM t LEFT JOIN x ON contains(l, alias))

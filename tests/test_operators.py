@@ -257,3 +257,30 @@ def test_index_recall_and_exactness(spark, monkeypatch, tmp_path):
     index.write(v, centres, str(tmp_path / "index"))
     assert found(spark.read.parquet(str(tmp_path / "index")), 24) == exact
     assert index.fit(v.limit(0), 5).shape == (1, 1) and index.search(lists.limit(0), queries, centres, 3, 2).count() == 0
+
+
+def test_retries():
+    from tarnbridge.operators.embedding import with_retries
+
+    calls = []
+
+    def twice(texts):
+        calls.append(texts)
+        if len(calls) < 3:
+            raise OSError("no answer")
+        return np.zeros((len(texts), 2))
+
+    assert with_retries(twice, (0.0, 0.0, 0.0))(["a"]).shape == (1, 2) and len(calls) == 3
+    with pytest.raises(RuntimeError, match="after 2 calls"):
+        calls.clear()
+        with_retries(twice, (0.0, 0.0))(["a"])
+
+
+def test_event_hints(spark):
+    from tarnbridge.operators import intent
+
+    f = intent.flags(F.lit("a remote gravel race in the desert mountain"))
+    none = F.lit(None).cast("string")
+    out = spark.range(1).select(intent.descriptors(f, none, none.cast("int"), none.cast("int"), F.lit(" Badlands ")).alias("d"), *[c.alias(n) for n, c in intent.archetype_details(f).items()]).collect()[0]
+    assert out["d"].startswith(f"{intent.FIRST_WORDS}, Badlands, gravel ultra race, arid, heat, remote, mixed dirt roads") and out["adjacent"] == ["gravel_ultra", "mountain_offroad_ultra"]
+    assert (out["terrain"], out["environment"], out["format"]) == (["mountainous"], ["desert", "remote"], ["ultra", "self_supported"])
