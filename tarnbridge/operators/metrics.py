@@ -16,20 +16,19 @@ def metrics(ranked: DataFrame, relevant: DataFrame, ks: list[int]) -> DataFrame:
     A query of ranked without relevant documents has 0 in all. Documents count once in recall.
     """
     queries = ranked.select("query_id").distinct()
-    spark = ranked.sparkSession
-    cuts = F.broadcast(spark.createDataFrame([(int(k),) for k in ks], "k int"))
+    cuts = F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k")
     judged = ranked.join(relevant, ["query_id", "doc_id"], "left").select("query_id", "doc_id", "pos", F.coalesce("rel", F.lit(0)).alias("rel"))
     hit = F.col("rel") > 0
     so_far = Window.partitionBy("query_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     judged = judged.withColumns({"hits": F.sum(hit.cast("int")).over(so_far), "gain": (F.pow(F.lit(2.0), F.col("rel")) - 1) / F.log2(F.col("pos") + 1)})
     ideal = relevant.filter("rel > 0").withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rel"), "doc_id")))
     n_relevant = relevant.filter("rel > 0").groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_rel"))
-    at = judged.crossJoin(cuts).filter("pos <= k").groupBy("query_id", "k").agg(
+    at = judged.select("*", cuts).filter("pos <= k").groupBy("query_id", "k").agg(
         F.max(hit.cast("int")).cast("double").alias("hitrate"), F.countDistinct(F.when(hit, F.col("doc_id"))).alias("found"), F.min(F.when(hit, F.col("pos"))).alias("first_hit"),
         F.sum(F.when(hit, F.col("hits") / F.col("pos")).otherwise(0.0)).alias("precision_sum"), F.sum("gain").alias("dcg"),
     )
-    best = ideal.crossJoin(cuts).filter("place <= k").groupBy("query_id", "k").agg(F.sum((F.pow(F.lit(2.0), F.col("rel")) - 1) / F.log2(F.col("place") + 1)).alias("idcg"))
-    rows = queries.crossJoin(cuts).join(at, ["query_id", "k"], "left").join(best, ["query_id", "k"], "left").join(n_relevant, "query_id", "left")
+    best = ideal.select("*", cuts).filter("place <= k").groupBy("query_id", "k").agg(F.sum((F.pow(F.lit(2.0), F.col("rel")) - 1) / F.log2(F.col("place") + 1)).alias("idcg"))
+    rows = queries.select("*", cuts).join(at, ["query_id", "k"], "left").join(best, ["query_id", "k"], "left").join(n_relevant, "query_id", "left")
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     return rows.select(
         "query_id", "k", zero(F.col("hitrate")).alias("hitrate"), zero(F.col("found") / F.col("n_rel")).alias("recall"),
@@ -47,7 +46,7 @@ def report(queries: DataFrame, labelled: DataFrame, latency: DataFrame) -> DataF
     """
     rows = queries.select("query_id").distinct().join(labelled, "query_id", "left").join(latency, "query_id", "left")
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
-    worse = (F.col("reranked_hitrate") < F.col("base_hitrate")) | (F.col("reranked_mrr") + 1e-12 < F.col("base_mrr"))
+    worse = (F.col("reranked_hitrate") < F.col("base_hitrate")) | ((F.col("reranked_hitrate") == F.col("base_hitrate")) & (F.col("reranked_mrr") + 1e-12 < F.col("base_mrr")))
     return rows.agg(
         F.count(F.lit(1)).alias("n_queries"), F.count("final_mrr").alias("n_labelled"), mean("final_hitrate").alias("hitrate"), mean("final_mrr").alias("mrr"),
         mean("retrieval_ms").alias("retrieval_ms"), mean("rerank_ms").alias("rerank_ms"), mean(F.col("retrieval_ms") + F.col("rerank_ms")).alias("total_ms"),
