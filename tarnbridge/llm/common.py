@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -40,6 +41,15 @@ def written(df: DataFrame) -> Iterator[DataFrame]:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let shuffle files and checkpoints that no frame needs any more go now.
+
+    Spark removes them when the driver collects the frames that made them, which can be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like this that the frame, whatever the case of its names, doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, forget
+
+#: Rounds after which the files of those before are removed.
+FORGET = 3
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,10 +32,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     without edges, null ends and loops are left out. Rounds are cut by checkpoints.
     """
     edges = checkpointed(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct())
-    seen = None
+    seen, rounds = None, 0
     while True:
         state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).collect()[0]
         if state == seen or not state[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         seen = state
         edges = checkpointed(_small_star(_large_star(edges)))
+        rounds += 1
+        if rounds % FORGET == 0:
+            forget(edges.sparkSession)

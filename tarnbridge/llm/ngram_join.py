@@ -36,14 +36,14 @@ from pyspark.sql.window import Window
 
 from tarnbridge.sources.tables import spread
 
-from .common import checkpointed, release, table, unused, written
+from .common import checkpointed, forget, release, table, unused, written
 from .graph import components
 from .shingles import WORDS, chunks, mix, shingle_sets
 
 #: Sets link when PERCENT of their union is common to both.
 PERCENT = 80
 #: Documents a bucket of signatures; signatures held by a task before they are sent.
-BUCKET_DOCS = 500
+BUCKET_DOCS = 2000
 HELD = 1_000_000
 #: Bits of a bucket's number at most: a signature has 64, of which 40 are kept beside it.
 MOST_BITS = 24
@@ -379,7 +379,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     sets = checkpointed(texts.join(ids, "doc_id", "left_semi").repartition("doc_id").mapInArrow(_shingle_arrays, "doc_id bigint, node bigint, shingles array<bigint>"))
     both = pairs.join(sets.select(_key().alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(_key().alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return checkpointed(both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+    out = checkpointed(both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+    del pairs, ids, texts, sets, both
+    forget(out.sparkSession)
+    return out
 
 
 _PAIR = "a struct<doc_id: bigint, node: bigint>, b struct<doc_id: bigint, node: bigint>"
@@ -514,6 +517,7 @@ def _labelled(docs: DataFrame, percent: int) -> DataFrame:
     bits = min(MOST_BITS, (buckets - 1).bit_length())
     packed = spread(named).mapInArrow(_packed(bits, percent), _PACKED).repartition(F.col("bucket")).sortWithinPartitions("bucket")
     with written(packed.mapInArrow(_shared, _SHARED)) as found:
+        forget(found.sparkSession)
         keys = found.filter("doc_id is not null")
         classes = keys.filter("n > 0").groupBy("node", "node2", "n").agg(F.min("doc_id").alias("rep"), F.min("parity").alias("parity"))
         classes = checkpointed(classes.withColumn("key", _key("rep")).drop("rep"))
@@ -527,6 +531,7 @@ def _labelled(docs: DataFrame, percent: int) -> DataFrame:
         near = checkpointed(near.mapInArrow(_near(percent), _PAIR).distinct())
         links = _verified(near, named, percent)
         joined = checkpointed(components(links))
+        forget(found.sparkSession)
 
         # classes of a run that aren't connected yet
         labelled = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
