@@ -1,7 +1,7 @@
 """Op 6: document fingerprints by a homomorphic multiset hash.
 
 Each paragraph (line) is hashed to a wide vector and a document's fingerprint begins with the sum of
-its paragraphs' vectors, each lane modulo 2**48. Hence the order of the paragraphs doesn't matter,
+its paragraphs' vectors, each lane modulo 2**56. Hence the order of the paragraphs doesn't matter,
 equal texts have equal fingerprints, and a paragraph is put in or taken out by adding or subtracting
 its vector (``insert``, ``delete``).
 
@@ -27,11 +27,13 @@ from pyspark.sql.window import Window
 from .common import hex_int, table
 
 #: Lanes of a paragraph's vector, and hexadecimal digits of each.
-DENSE, DIGITS = 21, 12
+DENSE, DIGITS = 18, 14
 MOD = 16**DIGITS
 #: Lanes of each level, levels, and what a level's share of the one before is; units that a level should have at most.
-SPARSE, LEVELS, RATE, UNITS = 64, 6, 4, 32
+SPARSE, LEVELS, RATE, UNITS = 256, 6, 4, 128
 SPARSE_MOD = 2**16
+#: Bits of a unit's hash that tell its lane and what it adds; those above draw its levels.
+LANE_BITS = 24
 #: What ends a unit.
 ENDS = "[.!?\n]"
 #: Rows a bucket of neighbouring doc_ids, and the most buckets (a square, for two-step lookup).
@@ -51,10 +53,10 @@ def _vector(paragraph: Column) -> Column:
 
 
 def _picked(text: Column) -> Column:
-    """(lane, v) of every unit at every level that takes it; lanes are numbered through all levels."""
+    """lane * SPARSE_MOD + v of every unit at every level that takes it; lanes are numbered through all levels."""
     units = F.filter(F.split(text, ENDS, -1), lambda u: u != "")
-    hashed = F.transform(units, lambda u: _named(F.md5(u), lambda d: F.struct((hex_int(d, 1, 2) % SPARSE).alias("lane"), hex_int(d, 3, 4).alias("v"), hex_int(d, 7, 8).alias("draw"))))
-    return F.flatten(F.transform(hashed, lambda u: F.transform(F.sequence(F.lit(0), _last_level(u["draw"])), lambda j: F.struct((u["lane"] + j * SPARSE).alias("lane"), u["v"].alias("v")))))
+    taken = lambda x: F.transform(F.sequence(F.lit(0), _last_level(F.shiftright(x, LANE_BITS))), lambda j: (x % (SPARSE * SPARSE_MOD)) + j * (SPARSE * SPARSE_MOD))
+    return F.flatten(F.transform(F.transform(units, lambda u: hex_int(F.md5(u), 1, 14)), taken))
 
 
 def _last_level(draw: Column) -> Column:
@@ -67,13 +69,12 @@ def _last_level(draw: Column) -> Column:
 
 def _summed(picked: Column) -> Column:
     """lane * SPARSE_MOD + sum, in order, for the lanes whose sum isn't 0."""
-    none = F.array().cast("array<bigint>")
-    start = F.struct(none.alias("done"), F.lit(-1).cast("bigint").alias("lane"), F.lit(0).cast("bigint").alias("sum"))
+    start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(-1).cast("bigint").alias("lane"), F.lit(0).cast("bigint").alias("sum"))
     closed = lambda a: F.when(a["sum"] == 0, a["done"]).otherwise(F.array_append(a["done"], a["lane"] * SPARSE_MOD + a["sum"]))
 
     def add(a: Column, x: Column) -> Column:
-        same = F.struct(a["done"].alias("done"), a["lane"].alias("lane"), ((a["sum"] + x["v"]) % SPARSE_MOD).alias("sum"))
-        return F.when(a["lane"] == x["lane"], same).otherwise(F.struct(closed(a).alias("done"), x["lane"].cast("bigint").alias("lane"), (x["v"] % SPARSE_MOD).alias("sum")))
+        same = F.struct(a["done"].alias("done"), a["lane"].alias("lane"), ((a["sum"] + x) % SPARSE_MOD).alias("sum"))
+        return F.when(a["lane"] == F.shiftright(x, 16), same).otherwise(F.struct(closed(a).alias("done"), F.shiftright(x, 16).alias("lane"), (x % SPARSE_MOD).alias("sum")))
 
     return F.aggregate(F.array_sort(picked), start, add, closed)
 
@@ -83,14 +84,15 @@ def lanes(text: Column) -> Column:
     zeros = F.array_repeat(F.lit(0).cast("bigint"), DENSE)
     vectors = F.transform(F.split(text, "\n", -1), _vector)
     dense = F.aggregate(vectors, zeros, lambda a, v: F.zip_with(a, v, lambda x, y: (x + y) % MOD))
-    return _named(_picked(text), lambda p: F.struct(dense.alias("dense"), F.size(F.filter(p, lambda x: x["lane"] < SPARSE)).cast("bigint").alias("units"), _summed(p).alias("sparse")))
+    return _named(_picked(text), lambda p: F.struct(dense.alias("dense"), F.size(F.filter(p, lambda x: x < SPARSE * SPARSE_MOD)).cast("bigint").alias("units"), _summed(p).alias("sparse")))
 
 
 def _combined(vector: Column, text: Column, sign: int) -> Column:
-    of = lambda codes, factor: F.transform(codes, lambda c: F.struct(F.floor(c / SPARSE_MOD).alias("lane"), (c % SPARSE_MOD * factor + (SPARSE_MOD if factor < 0 else 0)).alias("v")))
+    """The lanes with those of a text added or, with their negatives, taken away."""
+    signed = lambda codes: codes if sign > 0 else F.transform(codes, lambda c: c - c % SPARSE_MOD + (SPARSE_MOD - c % SPARSE_MOD) % SPARSE_MOD)
     both = lambda own: F.struct(
         F.zip_with(vector["dense"], own["dense"], lambda a, b: (a + sign * b + MOD) % MOD).alias("dense"), (vector["units"] + sign * own["units"]).alias("units"),
-        _summed(F.concat(of(vector["sparse"], 1), of(own["sparse"], sign))).alias("sparse"),
+        _summed(F.concat(vector["sparse"], signed(own["sparse"]))).alias("sparse"),
     )
     return _named(lanes(text), both)
 
@@ -189,7 +191,7 @@ _LEVEL = "CASE " + " ".join(f"WHEN greatest({{0}}.units, {{1}}.units) <= {UNITS
 def _lanes_sql(text: str) -> str:
     """A struct of dense, units and sparse, as lanes() has them."""
     hashed = f"list_transform(list_filter(string_split_regex({text}, '{ENDS}'), lambda u: u <> ''), lambda u: md5(u))"
-    units = f"list_transform({hashed}, lambda d: {{lane: ('0x' || d[1:2])::BIGINT % {SPARSE}, v: ('0x' || d[3:6])::BIGINT, draw: ('0x' || d[7:14])::BIGINT}})"
+    units = f"list_transform(list_transform({hashed}, lambda d: ('0x' || d[1:14])::BIGINT), lambda x: {{lane: x % {SPARSE * SPARSE_MOD} // {SPARSE_MOD}, v: x % {SPARSE_MOD}, draw: x >> {LANE_BITS}}})"
     picked = f"flatten(list_transform({units}, lambda u: list_transform(range(CASE {_TAKEN} ELSE {LEVELS - 1} END + 1), lambda j: {{lane: u.lane + j * {SPARSE}, v: u.v}})))"
     total = f"(list_sum(list_transform(list_filter(p, lambda x: x.lane = l), lambda x: x.v)) % {SPARSE_MOD})::BIGINT"
     sparse = f"list_filter(list_transform(list_sort(list_distinct(list_transform(p, lambda x: x.lane))), lambda l: l * {SPARSE_MOD} + {total}), lambda c: c % {SPARSE_MOD} <> 0)"

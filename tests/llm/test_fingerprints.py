@@ -18,10 +18,10 @@ def plain_lanes(text):
         dense = [(x + int(d[P.DIGITS * i : P.DIGITS * (i + 1)], 16)) % P.MOD for i, x in enumerate(dense)]
     units, sums = [u for u in re.split(P.ENDS, text or "") if u], Counter()
     for u in units:
-        d = hashlib.md5(u.encode()).hexdigest()
-        draw, level = int(d[6:14], 16), 0
+        x = int(hashlib.md5(u.encode()).hexdigest()[:14], 16)
+        draw, level = x >> P.LANE_BITS, 0
         while True:
-            sums[level * P.SPARSE + int(d[:2], 16) % P.SPARSE] += int(d[2:6], 16)
+            sums[level * P.SPARSE + x // P.SPARSE_MOD % P.SPARSE] += x % P.SPARSE_MOD
             level += 1
             if level == P.LEVELS or draw % P.RATE**level:
                 break
@@ -31,7 +31,7 @@ def plain_lanes(text):
 
 def plain_written(lanes):
     dense, units, sparse = lanes
-    return ".".join(["".join(f"{x:012x}" for x in dense), f"{units:x}", "".join(f"{x:07x}" for x in sparse)])
+    return ".".join(["".join(f"{x:014x}" for x in dense), f"{units:x}", "".join(f"{x:07x}" for x in sparse)])
 
 
 def plain(row):
