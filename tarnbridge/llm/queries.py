@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, fingerprints, html_text, mixing, ngram_join, pieces, quality, sharding, token_counts
+from . import chat, embedding_dedup, fingerprints, html_text, mixing, ngram_join, pieces, quality, runs, sharding, token_counts
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_html_extraction": html_text.op10_html_extraction,
+    "op11_runs": runs.op11_runs,
 }
 
 ORACLES = {
