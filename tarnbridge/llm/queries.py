@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, fingerprints, html_text, mixing, ngram_join, pieces, quality, runs, sharding, token_counts
+from . import chat, embedding_dedup, fingerprints, html_text, mixing, ngram_join, pieces, quality, runs, sharding, token_counts, token_files, vector_codes
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_html_extraction": html_text.op10_html_extraction,
     "op11_runs": runs.op11_runs,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_token_files": token_files.op13_token_files,
 }
 
 ORACLES = {
@@ -24,4 +26,5 @@ ORACLES = {
     "op5_embedding_dedup": embedding_dedup.ORACLE,
     "op6_fingerprints": fingerprints.ORACLE,
     "op7_mixing": mixing.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
 }
