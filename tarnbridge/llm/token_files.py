@@ -61,13 +61,14 @@ REMEMBERED = 400_000
 #: Characters of a piece that isn't remembered.
 LONG = 60
 #: Marks that end a word of the tokenizer where they follow a letter.
-MARKS = tuple(".,;:!?")
+MARKS = frozenset(".,;:!?")
 #: Characters of texts encoded together; a longer text is taken alone.
 TOGETHER = 1 << 20
 
 _U = np.uint64
 _HEAD = 8
 _LIMITS = np.array([1 << b for b in BITS], np.uint64)
+_CLASSES = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.int8)
 
 
 def packed(ids: np.ndarray) -> np.ndarray:
@@ -78,7 +79,7 @@ def packed(ids: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     # least selector by bits of each id; more than any selector has behind the end
     least = np.full(n + COUNTS[0], len(BITS) + 1, np.int8)
-    least[:n] = np.searchsorted(_LIMITS, ids, side="right")
+    least[:n] = _CLASSES[ids] if int(ids.max()) < len(_CLASSES) else np.searchsorted(_LIMITS, ids, side="right")
     choice = np.zeros(n, np.int8)
     most, width = least, 1  # the greatest of so many ids from each place on
     for selector in range(len(COUNTS), 0, -1):
@@ -104,9 +105,10 @@ def packed(ids: np.ndarray) -> np.ndarray:
             out[to[own] + 1] = ids[start[own]]
             continue
         count, bits = COUNTS[selector - 1], BITS[selector - 1]
-        word = np.full(int(own.sum()), selector << 60, np.uint64)
+        first = start[own]
+        word = np.full(len(first), selector << 60, np.uint64)
         for k in range(count):
-            word |= ids[start[own] + k] << _U(k * bits)
+            word |= ids[first + k] << _U(k * bits)
         out[to[own]] = word
     return out
 
@@ -148,7 +150,6 @@ class Encoder:
     """
 
     _CUT = re.compile(r"(?<=\S)(?= \S)")
-    _ODD = re.compile(r"\s\s|\A\s|\s\Z|\0")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has the cores
@@ -158,43 +159,63 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}  # what was known before; what is asked for again is known again
 
-    def _pieces(self, text: str) -> list[str]:
-        if self._ODD.search(text):
-            return self._CUT.split(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    def _encoded(self, pieces: list[str]) -> Iterator[bytes]:
+        """Ids of pieces. Those without line breaks go to the library as lines of one text."""
+        lines = [p for p in pieces if "\n" not in p]
+        others = [p for p in pieces if "\n" in p]
+        (whole,), *_ = [self.tokenizer.encode_batch_fast(["\n".join(["", *lines, ""])], add_special_tokens=False)]
+        ids = np.array(whole.ids, "<u4")
+        ends = np.flatnonzero(ids == ids[0])
+        if len(ends) != len(lines) + 1:  # a line break has become part of a longer token
+            ids, ends = None, None
+        raw = ids.tobytes() if ids is not None else b""
+        of_lines = iter([raw[4 * a + 4 : 4 * z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]) if ids is not None else map(self._one, lines)
+        of_others = map(self._one, others)
+        for p in pieces:
+            yield next(of_others if "\n" in p else of_lines)
+
+    def _one(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._pieces(t) for t in texts]
+        cut = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in t else self._CUT.split(t) for t in texts]
         wanted: set[str] = set()
         for pieces in cut:
             wanted.update(pieces)
         known, old = self.known, self.old
-        new = wanted.difference(known)
+        new = [p for p in wanted if p not in known]
+        # white space beside white space: such texts are cut with more care, their odd pieces are never known
+        odd = {p for p in new if not p or (p != "\n" and _has_odd_ends(p))}
+        if odd:
+            cut = [pieces if odd.isdisjoint(pieces) else self._CUT.split(t) for pieces, t in zip(cut, texts, strict=True)]
+            wanted = set().union(*cut)
+            new = [p for p in wanted if p not in known]
         if old:
-            again = new.intersection(old)
-            known.update((p, old[p]) for p in again)
-            new -= again
+            known.update((p, old[p]) for p in new if p in old)
+            new = [p for p in new if p not in known]
         marked = [p for p in new if p[-1:] in MARKS and p[-2:-1].isascii() and p[-2:-1].isalpha()]
-        new.difference_update(marked)
-        new.update(p for m in marked for p in (m[:-1], m[-1]) if p not in known)
-        asked = list(new)
-        for p, e in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
+        asked = set(new).difference(marked)
+        asked.update(p for m in marked for p in (m[:-1], m[-1]) if p not in known)
+        known.update(zip(asked, self._encoded(list(asked)), strict=True))
         for p in marked:
             known[p] = known[p[:-1]] + known[p[-1]]
-        ids = known.__getitem__
+        ids = {p: known[p] for p in wanted}.__getitem__  # few, so that they stay near the processor
         out = [b"".join(map(ids, pieces)) for pieces in cut]
-        for p in asked:
-            if len(p) > LONG:
-                del known[p]
-        for p in marked:
-            if len(p) > LONG:
-                del known[p]
+        gone = [p for p in (*asked, *marked) if len(p) > LONG]
+        if odd:
+            gone += [p for p in (*asked, *marked) if not p or (p != "\n" and _has_odd_ends(p))]
+        for p in gone:
+            known.pop(p, None)
         if len(known) > REMEMBERED:
             self.old, self.known = known, {}
         return out
 
 
+def _has_odd_ends(piece: str) -> bool:
+    """White space at an end, but for one blank before the rest."""
+    return piece[-1].isspace() or piece[1:2].isspace() or (piece[0] != " " and piece[0].isspace())
+
+
 @cache
 def encoder(path: str) -> Encoder:
     return Encoder(path)
