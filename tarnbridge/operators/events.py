@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnbridge.functions.text import title_exact, title_words
-from tarnbridge.sources.tables import BROADCAST_ROWS, is_small
+from tarnbridge.operators.lexicon import matches
+from tarnbridge.sources.tables import small_side
 
 #: Shares of a curated link, of the cosine and of the common words in a likeness.
 SHARES = (0.5, 0.3, 0.2)
@@ -16,41 +17,6 @@ ENOUGH_EXACT = 4
 MOST_SIMILAR = 4
 
 
-#: Characters of an alias by which it is looked up in texts where the lexicon is large.
-GRAM = 8
-
-
-def occurrences(texts: DataFrame, text: str, lexicon: DataFrame, alias: str, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Every pair of a text and an alias, not empty, that occurs in it.
-
-    A small lexicon is broadcast and each text meets every alias. A larger one is joined by its
-    aliases' first characters with the runs of characters of the texts.
-    """
-    lexicon = lexicon.filter(F.col(alias) != "")
-    if is_small(lexicon, most):
-        return texts.join(F.broadcast(lexicon), F.col(text).contains(F.col(alias)))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.transform(starts, lambda i: F.substring(F.col(text), i, n))))
-    rows = texts.withColumn("_gram", F.explode(F.array_distinct(grams)))
-    keyed = lexicon.withColumn("_gram", F.substring(alias, 1, GRAM))
-    return rows.join(keyed, "_gram").filter(F.col(text).contains(F.col(alias))).drop("_gram")
-
-
-def first_in_lexicon(texts: DataFrame, lexicon: DataFrame, text: str = "text", longest: bool = False, whole: bool = False, key: str = "doc_id") -> DataFrame:
-    """key and alias of the entry of a lexicon (ord, key, alias) that occurs in each text: the least ord, or the longest alias.
-
-    whole asks for aliases between blanks or at an end of the text, as normalised texts have them.
-    Equally long aliases go by the alphabet, then by ord. Texts without an entry have nulls.
-    """
-    bounded = lambda c: F.concat(F.lit(" "), c, F.lit(" ")) if whole else c
-    entries = lexicon.filter("alias <> ''").select(F.col("ord").alias("_ord"), F.col("key").alias("_key"), bounded(F.col("alias")).alias("_alias"))
-    rows = texts.select(F.col(key).alias("_id"), bounded(F.col(text)).alias("_text"))
-    pick = F.struct(-F.length("_alias"), "_alias", "_ord", "_key") if longest else F.struct("_ord", "_alias", "_key")
-    best = occurrences(rows, "_text", entries, "_alias").groupBy("_id").agg(F.min(pick).alias("_best"))
-    best = best.select(F.col("_id").alias(key), F.col("_best._key").alias("key"), (F.trim("_best._alias") if whole else F.col("_best._alias")).alias("alias"))
-    return texts.drop(text).join(best, key, "left")
-
-
 def whole_alias(text: Column, alias: Column) -> Column:
     """The alias occurs between blanks or at an end of a normalised text."""
     return F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), alias, F.lit(" ")))
@@ -96,7 +62,7 @@ def ground(queries: DataFrame, articles: DataFrame, owners: DataFrame, similar:
     asked = queries.select("query_id", "hint", title_words(F.col("query")).alias("q"))
     names = kept.filter("norm <> ''").select("title", "norm").distinct()
     pick = F.min(F.struct((-F.length("title")).alias("l"), "title"))
-    named = occurrences(asked.select("query_id", "q"), "q", names, "norm").groupBy("query_id").agg(pick.alias("n")).select("query_id", F.col("n.title").alias("from_title"))
+    named = matches(asked, names, "q", "query_id", "norm").join(small_side(names.withColumnRenamed("norm", "alias")), "alias").groupBy("query_id").agg(pick.alias("n")).select("query_id", F.col("n.title").alias("from_title"))
     asked = asked.join(named, "query_id", "left").select("query_id", F.col("hint").alias("given"), F.coalesce("from_title", F.nullif("hint", F.lit(""))).alias("hint"))
 
     # a hint is looked up by its first word among the words of the titles

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tarnbridge.functions.vectors import tidy
 from tarnbridge.operators import events as E
 from tarnbridge.operators import intent as I
+from tarnbridge.operators import lexicon as L
 from tarnbridge.operators import rerank as R
 from tarnbridge.operators.metrics import metrics
 from tarnbridge.plans import retrieval_queries as Q
@@ -88,13 +89,27 @@ def alias_detect(spark: SparkSession, d: str) -> DataFrame:
     """The first and the longest alias of a lexicon in each text."""
     lexicon = spark.createDataFrame([(i, *x) for i, x in enumerate(_LEXICON)], "ord int, key string, alias string")
     texts = _texts(spark, d).withColumn("text", F.lower("text"))
-    first = E.first_in_lexicon(texts, lexicon).select("doc_id", F.col("key").alias("first_key"))
-    longest = E.first_in_lexicon(texts, lexicon, longest=True).select("doc_id", F.col("alias").alias("longest_alias"))
+    first = L.first_in_lexicon(texts, lexicon).select("doc_id", F.col("key").alias("first_key"))
+    longest = L.first_in_lexicon(texts, lexicon, longest=True).select("doc_id", F.col("alias").alias("longest_alias"))
     words = F.trim(F.regexp_replace("text", "[^a-z0-9]+", " "))
     whole = texts.select("doc_id", E.whole_alias(words, F.lit("mountain bike")).alias("whole"))
     return first.join(longest, "doc_id").join(whole, "doc_id")
 
 
+def lexicon_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of one to four words of the benchmark, tens of thousands, found as whole words in every document."""
+    normal = lambda name, key: table(spark, d, name).select(F.col(key).alias("id"), F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")).alias("text"))
+    words = F.split("text", " ")
+    runs = F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.when(i + n <= F.size(words), F.array_join(F.slice(words, i + 1, n), " "))))
+    lexicon = normal("benchmark", "item_id").filter("text <> ''").select(F.explode(F.flatten(runs)).alias("alias")).filter("alias is not null").distinct()
+    found = L.matches(normal("documents", "doc_id"), lexicon, key="id", whole=True)
+    longest = F.min(F.struct((-F.length("alias")).alias("l"), "alias"))
+    first = F.min(F.struct("first", F.length("alias").alias("l"), "alias"))
+    return found.groupBy(F.col("id").alias("doc_id")).agg(
+        F.count(F.lit(1)).alias("aliases"), F.sum("times").alias("times"), longest.getField("alias").alias("longest"), first.getField("first").alias("first"), first.getField("alias").alias("first_alias")
+    )
+
+
 def _hit_columns(by: Column) -> dict[str, Column]:
     return {
         "text": chosen(PHRASES, by), "event_key": F.lit(""), "frame_type": chosen(FRAMES, by), "tyre_width": chosen(WIDTHS, by), "wheel_size": F.lit(""),
@@ -122,7 +137,7 @@ def rerank_effect(spark: SparkSession, d: str) -> DataFrame:
     return before.unionByName(after).groupBy("ranking").agg(F.count(F.lit(1)).alias("queries"), *[tidy(F.avg(n), 5).alias(n) for n in ("hitrate", "precision", "mrr")])
 
 
-QUERIES = {f.__name__: f for f in (keyword_flags, surface_rules, setup_hints, query_intent, descriptor_query, archetype_details, component_hits, alias_detect, rerank_rules, rerank_effect)}
+QUERIES = {f.__name__: f for f in (keyword_flags, surface_rules, setup_hints, query_intent, descriptor_query, archetype_details, component_hits, alias_detect, lexicon_matches, rerank_rules, rerank_effect)}
 
 
 def _quoted(x: str) -> str:
@@ -202,6 +217,13 @@ SELECT doc_id, archetype, {', '.join(f"concat_ws(',', {', '.join(_quoted(w) if f
 h AS (SELECT doc_id, l, ord, key, alias FROM t LEFT JOIN x ON contains(l, alias))
 SELECT doc_id, arg_min(key, ord) AS first_key, arg_min(alias, -length(alias) * 1000 + ord) AS longest_alias,
   any_value(contains(' ' || trim(regexp_replace(l, '[^a-z0-9]+', ' ', 'g')) || ' ', ' mountain bike ')) AS whole FROM h GROUP BY doc_id""",
+    "lexicon_matches": r"""WITH b AS (SELECT string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM benchmark),
+x AS (SELECT DISTINCT array_to_string(w[i:i + n - 1], ' ') AS alias FROM b, range(1, 5) s(n), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i) WHERE w[1] <> ''),
+t AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents), w AS (SELECT doc_id, string_split(t, ' ') AS w FROM t WHERE t <> ''),
+g AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS alias FROM w, range(1, 5) s(n), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)),
+o AS (SELECT doc_id, i, (sum(length(y) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(y) - 1)::BIGINT AS pl FROM (SELECT doc_id, unnest(w) AS y, generate_subscripts(w, 1) AS i FROM w)),
+m AS (SELECT doc_id, alias, count(*) AS times, min(pl) AS first FROM g SEMI JOIN x USING (alias) JOIN o USING (doc_id, i) GROUP BY doc_id, alias)
+SELECT doc_id, count(*) AS aliases, sum(times)::BIGINT AS times, min({l: -length(alias), a: alias}).a AS longest, min(first) AS first, min({f: first, l: length(alias), a: alias}).a AS first_alias FROM m GROUP BY doc_id""",
     "rerank_rules": f"WITH {_RERANKED} SELECT query_id, chunk_id, pos::INTEGER AS pos, place::INTEGER AS place, {Q._R('delta')} AS delta, {Q._R('total')} AS total FROM y",
     "rerank_effect": f"""WITH {_RERANKED}, u AS (SELECT 'dense' AS ranking, query_id, pos, label = q_label AS hit FROM y UNION ALL SELECT 'reranked', query_id, place, label = q_label FROM y),
 z AS (SELECT ranking, query_id, max(hit::INTEGER) AS hitrate, sum(hit::INTEGER) / 10.0::DOUBLE AS precision, coalesce(1.0::DOUBLE / min(CASE WHEN hit THEN pos END), 0) AS mrr FROM u WHERE pos <= 10 GROUP BY ALL)

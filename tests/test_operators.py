@@ -3,10 +3,12 @@ import math
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarnbridge.functions.text import title_words
-from tarnbridge.operators import events, index, judging, metrics, nearest, parsing, rerank, retrieval, search, sync
+from tarnbridge.operators import events, index, judging, lexicon, metrics, nearest, parsing, rerank, retrieval, search, sync
 
 
 def test_nearest_is_exact(spark):
@@ -191,17 +193,54 @@ def test_event_rule_applies(spark):
     assert {r["pos"]: r["place"] for r in out.collect()} == {1: 2, 2: 1}
 
 
-@pytest.mark.parametrize("most", [10_000, 2])
-def test_lexicon_small_and_large(spark, monkeypatch, most):
-    """Order of the entries, the longest alias and whole words, by either way of joining."""
-    monkeypatch.setattr(events.occurrences, "__defaults__", (most,))
+@pytest.mark.parametrize("chars", [1_000_000, 13])
+def test_lexicon_in_one_and_several_automata(spark, chars):
+    """Order of the entries, the longest alias and whole words."""
     texts = spark.createDataFrame([(1, "a mountain bike race"), (2, "mountains of mountain bikes"), (3, "nothing"), (4, ""), (5, None), (6, "ab")], "doc_id int, text string")
-    lexicon = spark.createDataFrame([(0, "m", "mountain"), (1, "b", "mountain bike"), (2, "r", "race"), (3, "a", "ab"), (4, "e", "")], "ord int, key string, alias string")
-    got = lambda **k: {r["doc_id"]: r["alias"] for r in events.first_in_lexicon(texts, lexicon, **k).collect()}
+    entries = spark.createDataFrame([(0, "m", "mountain"), (1, "b", "mountain bike"), (2, "r", "race"), (3, "a", "ab"), (4, "e", "")], "ord int, key string, alias string")
+    assert len(lexicon.automata(entries, chars=chars)) == (1 if chars > 13 else 3)
+    got = lambda **k: {r["doc_id"]: r["alias"] for r in lexicon.first_in_lexicon(texts, entries, chars=chars, **k).collect()}
     none = {3: None, 4: None, 5: None, 6: "ab"}
     assert got() == {1: "mountain", 2: "mountain"} | none
     assert got(longest=True) == {1: "mountain bike", 2: "mountain bike"} | none
     assert got(longest=True, whole=True) == {1: "mountain bike", 2: "mountain"} | none
+    assert {r["alias"] for r in lexicon.first_in_lexicon(texts, entries.limit(0)).collect()} == {None}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab é", max_size=40), st.sets(st.text("abé ", min_size=1, max_size=5), max_size=8), st.booleans())
+def test_aliases_of_a_text_against_plain_search(text, aliases, whole):
+    import pickle
+
+    names = sorted(aliases)
+    got = lexicon._in_text(text, *pickle.loads(lexicon._automaton(names)), whole) if names else {}
+    want = {}
+    for number, name in enumerate(names):
+        at = [i for i in range(len(text)) if text.startswith(name, i)]
+        if whole:
+            at = [i for i in at if (i == 0 or text[i - 1] == " ") and (i + len(name) == len(text) or text[i + len(name)] == " ")]
+        if at:
+            want[number] = [at[0], len(at)]
+    assert got == want
+
+
+def test_a_lexicon_of_many_aliases_takes_time_by_length_of_text(spark):
+    """20,000 aliases, each text in one pass: four times the text takes about four times as long."""
+    import pickle
+    import time
+
+    names = sorted({f"event {i} of {i % 7}" for i in range(20_000)})
+    automaton = pickle.loads(lexicon._automaton(names))
+    spent = []
+    for n in (30_000, 120_000):
+        text = "a ride and event 77 of 0 then event 5 of 5 more " * (n // 48)
+        begin = time.process_time()
+        found = lexicon._in_text(text, *automaton, True)
+        spent.append(time.process_time() - begin)
+        assert {names[k]: v[1] for k, v in found.items()} == {"event 77 of 0": n // 48, "event 5 of 5": n // 48}
+    assert spent[1] < 12 * spent[0] + 0.1
+    with pytest.raises(ValueError, match="characters"):
+        lexicon.automata(spark.createDataFrame([("x" * 20,), ("y" * 20,)], "alias string"), chars=2)
 
 
 def test_grounding(spark):
