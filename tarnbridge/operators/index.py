@@ -3,6 +3,9 @@
 The centres are fitted on a bounded sample; every vector is put into the list of its nearest centre.
 A search compares a query with the vectors of its nearest lists only, so it can miss neighbours in
 others: recall rises with the lists that are probed, and all of them give the exact answer.
+
+Beside it there are product-quantised codes: a vector as a byte a part. A search then compares codes,
+and reads the vectors of its last candidates only.
 """
 
 from __future__ import annotations
@@ -15,11 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnbridge.functions.vectors import cosine
 from tarnbridge.operators import nearest as N
 
 #: Vectors that the centres are fitted on at most, and rounds of fitting.
 SAMPLE = 20_000
 ROUNDS = 12
+#: Parts of a vector's code, a byte each, and entries of a part's codebook.
+PARTS, ENTRIES = 16, 256
+#: Tasks that the vectors of a list are coded in.
+SALTS = 16
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -32,10 +40,7 @@ def fit(vectors: DataFrame, lists: int, sample: int = SAMPLE, seed: int = 1) ->
     vectors has id and vector; null, empty and zero vectors, and those of another length than most, aren't used.
     """
     rows = vectors.filter(F.exists("vector", lambda v: v != 0)).select(F.col("vector").cast("array<double>").alias("v"), F.xxhash64(F.lit(seed), "id").alias("h"))
-    picked = [r["v"] for r in rows.orderBy("h").limit(sample).select("v").collect()]
-    sizes = [len(v) for v in picked]
-    x = np.array([v for v in picked if len(v) == max(set(sizes), key=sizes.count)], float) if picked else np.zeros((0, 1))
-    x = _unit(x[np.isfinite(x).all(axis=1)])
+    x = _sampled(vectors, sample, seed)
     if not len(x):
         return np.zeros((1, 1))
     random = np.random.default_rng(seed)
@@ -50,6 +55,115 @@ def fit(vectors: DataFrame, lists: int, sample: int = SAMPLE, seed: int = 1) ->
     return centres
 
 
+def _sampled(vectors: DataFrame, sample: int, seed: int) -> np.ndarray:
+    """Unit vectors that a hash of id picks, of the most frequent length; so many come to the driver, by Arrow."""
+    rows = vectors.filter(F.exists("vector", lambda v: v != 0)).select(F.col("vector").cast("array<double>").alias("v"), F.xxhash64(F.lit(seed), "id").alias("h"))
+    picked = rows.orderBy("h").limit(sample).select("v").toArrow().column("v").combine_chunks()
+    sizes = picked.value_lengths().to_numpy(zero_copy_only=False)
+    if not len(sizes):
+        return np.zeros((0, 1))
+    usual = np.bincount(sizes).argmax()
+    x = np.array(picked.filter(pa.array(sizes == usual)).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, usual)
+    return _unit(x[np.isfinite(x).all(axis=1)])
+
+
+def fit_codes(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, sample: int = SAMPLE, seed: int = 1) -> np.ndarray:
+    """Codebooks [part, entry, number] of the parts of unit vectors, by k-means on a sample; a part is filled up with zeros."""
+    x = _cut(_sampled(vectors, sample, seed), parts)
+    random = np.random.default_rng(seed)
+    books = np.zeros((parts, min(entries, max(1, len(x))), x.shape[2]))
+    for p in range(parts if len(x) else 0):
+        own = np.ascontiguousarray(x[:, p])
+        book = own[random.choice(len(own), books.shape[1], replace=False)]
+        for _ in range(ROUNDS):
+            near = _nearest_entry(own, book)
+            sums, count = np.zeros_like(book), np.bincount(near, minlength=len(book))
+            np.add.at(sums, near, own)
+            book = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], own[random.choice(len(own), len(book))])
+        books[p] = book
+    return books
+
+
+def _cut(x: np.ndarray, parts: int) -> np.ndarray:
+    """Vectors as [row, part, number]."""
+    width = -(-x.shape[1] // parts)
+    return np.pad(x, ((0, 0), (0, parts * width - x.shape[1]))).reshape(len(x), parts, width)
+
+
+def _nearest_entry(x: np.ndarray, book: np.ndarray) -> np.ndarray:
+    return ((book**2).sum(axis=1) - 2 * (x @ book.T)).argmin(axis=1)
+
+
+_CODES = "list int, ids binary, codes binary"
+
+
+def coded(lists: DataFrame, books: np.ndarray) -> DataFrame:
+    """list, ids and codes: blocks of up to BLOCK vectors of a list, each a byte a part; lists as assigned() leaves them.
+
+    A block is a row, so a list of any size goes over several tasks and a search reads codes, not vectors.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _cut(_unit(np.array(batch.column(2).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1)), len(books))
+            code = np.stack([_nearest_entry(x[:, p], books[p]) for p in range(len(books))], axis=1).astype(np.uint8)
+            of, ids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            order = np.argsort(of, kind="stable")
+            cuts = [0, *(np.flatnonzero(np.diff(of[order])) + 1).tolist(), len(of)]
+            groups = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(of[g[0]]) for g in groups], pa.int32()), pa.array([ids[g].astype("<i8").tobytes() for g in groups], pa.binary()), pa.array([code[g].tobytes() for g in groups], pa.binary())], ["list", "ids", "codes"]
+            )
+
+    spread = lists.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    return spread.repartition("list", "_part").select("list", "id", "vector").mapInArrow(run, _CODES)
+
+
+def write_codes(vectors: DataFrame, centres: np.ndarray, books: np.ndarray, path: str) -> None:
+    """The index as two tables: codes, and vectors to rank the last candidates by, both with the lists as folders."""
+    write(vectors, centres, f"{path}/vectors")
+    coded(assigned(vectors, centres), books).write.mode("overwrite").partitionBy("list").parquet(f"{path}/codes")
+
+
+def search_codes(codes: DataFrame, lists: DataFrame, queries: DataFrame, centres: np.ndarray, books: np.ndarray, k: int, probes: int, candidates: int) -> DataFrame:
+    """query_id, id, similarity and pos (1 to k), as search() has them.
+
+    For each query a table of products with all entries of the codebooks gives the approximate cosine of a code
+    as a sum of a number a part. The best so many candidates of the probed lists are then ranked by their vectors,
+    which are looked up by list and id. With as many candidates as vectors, and all lists, the answer is exact.
+    """
+    asked = assigned(queries, centres, probes).select(F.col("list").alias("q_list"), F.col("id").alias("query_id"), "vector")
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _cut(_unit(np.array(batch.column(2).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1)), len(books))
+            made = np.einsum("rpw,pew->rpe", x, books).astype("<f4")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.tobytes() for t in made], pa.binary())], ["q_list", "query_id", "table"])
+
+    asked_tables = asked.mapInArrow(tables, "q_list int, query_id bigint, table binary")
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for of, ids, codes_, query, table in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                table = np.frombuffer(table, "<f4").reshape(len(books), -1)
+                ids, code = np.frombuffer(ids, "<i8"), np.frombuffer(codes_, np.uint8).reshape(-1, len(books))
+                score = np.zeros(len(ids), np.float32)
+                for p in range(len(books)):
+                    score += table[p][code[:, p]]
+                best = np.argpartition(-score, candidates - 1)[:candidates] if len(score) > candidates else np.arange(len(score))
+                n = len(best)
+                yield pa.RecordBatch.from_arrays([pa.array([of] * n, pa.int32()), pa.array([query] * n, pa.int64()), pa.array(ids[best]), pa.array(score[best])], ["list", "query_id", "id", "about"])
+
+    met = codes.select("list", "ids", "codes").join(asked_tables, F.col("list") == F.col("q_list")).select("list", "ids", "codes", "query_id", "table")
+    about = met.mapInArrow(scored, "list int, query_id bigint, id bigint, about float")
+    nearest_codes = Window.partitionBy("query_id").orderBy(F.desc("about"), "id")
+    few = about.withColumn("n", F.row_number().over(nearest_codes)).filter(F.col("n") <= candidates).select("list", "query_id", "id")
+    of_query = queries.select(F.col("id").cast("bigint").alias("query_id"), F.col("vector").alias("q"))
+    ranked = few.join(lists.select("list", "id", F.col("vector").alias("v")), ["list", "id"]).join(of_query, "query_id").select("query_id", "id", cosine(F.col("q"), F.col("v")).alias("similarity"))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "id")
+    return ranked.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= k)
+
+
 def assigned(vectors: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame:
     """A row (list, id, vector) for each of the nearest lists of a vector; those without a direction have none.
 

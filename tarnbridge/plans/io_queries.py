@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnbridge.functions.vectors import tidy
-from tarnbridge.operators import chunks, parsing, recommend, search
+from tarnbridge.operators import chunks, json_stream, recommend, search
 from tarnbridge.operators import sync as S
 from tarnbridge.plans import retrieval_queries as Q
 from tarnbridge.session import shared_folder
@@ -58,7 +58,21 @@ def json_object_stream(spark: SparkSession, d: str) -> DataFrame:
     def use(folder: str) -> DataFrame:
         one = F.concat(F.lit('{"qid":\n  "'), "n_name", F.lit('",\n\n "n": '), F.col("n_nationkey").cast("string"), F.lit("}\n\n"))
         table(spark, d, "nation").select(one.alias("o"), "n_nationkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "o"))), lambda x: x["o"]), "").alias("value")).write.text(folder)
-        return parsing.read_objects(files.whole_texts(spark, folder), "qid string, n int")
+        return json_stream.read_stream(spark, folder, "qid string, n int").select(F.col("pos").cast("int").alias("pos"), "qid", "n")
+
+    return _through(spark, use)
+
+
+def json_object_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as objects within objects, over several lines and side by side, with braces, quotes and backslashes in strings."""
+
+    def use(folder: str) -> DataFrame:
+        o = table(spark, d, "orders")
+        odd = F.concat(F.col("o_orderpriority"), F.lit(r' } \\ \" { \\'))
+        one = F.concat(F.lit('{"id": '), F.col("o_orderkey").cast("string"), F.lit(', "of":\n {"who": {"cust": '), F.col("o_custkey").cast("string"), F.lit('}, "note": "'), odd, F.lit('"}}'))
+        o.select(F.concat(one, F.when(F.col("o_orderkey") % 2 == 0, " \n").otherwise(","))).write.option("lineSep", " ").text(folder)
+        rows = json_stream.read_stream(spark, folder, "id bigint, of struct<who: struct<cust: bigint>, note: string>")
+        return rows.select("id", F.col("of.who.cust").alias("cust"), F.col("of.note").alias("note"))
 
     return _through(spark, use)
 
@@ -195,7 +209,7 @@ def trace_events(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        json_lines, json_wrapped, json_object_stream, latest_snapshot, qrels_last_wins, listed_lines, rows_prefix, title_by_id, repeated_keys, missing_tables, articles_normalised, riders_normalised,
+        json_lines, json_wrapped, json_object_stream, json_object_ranges, latest_snapshot, qrels_last_wins, listed_lines, rows_prefix, title_by_id, repeated_keys, missing_tables, articles_normalised, riders_normalised,
         writer_texts, dry_run_counts, log_of_useful, snapshot_runs, grounding_payload, checked_vectors, candidate_lists, trace_events,
     )
 }
@@ -206,6 +220,7 @@ ORACLES = {
     "json_lines": "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer",
     "json_wrapped": "SELECT n_nationkey, n_name FROM nation",
     "json_object_stream": "SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::INTEGER AS pos, n_name AS qid, n_nationkey::INTEGER AS n FROM nation",
+    "json_object_ranges": r"""SELECT o_orderkey AS id, o_custkey AS cust, o_orderpriority || ' } \ " { \' AS note FROM orders""",
     "latest_snapshot": f"""WITH f AS (SELECT o_orderkey, o_orderdate AS modified, CASE WHEN o_orderkey % 50 = 0 THEN {_RUN} ELSE '' END AS run FROM orders),
 p AS (SELECT *, CASE WHEN run <> '' THEN 'raw_' || run || '_' || o_orderkey || '.json' ELSE 'z' || o_orderkey || '.txt' END AS path FROM f)
 SELECT path, run AS run_id, (SELECT max(path) FROM p WHERE path LIKE '%.json') AS last FROM p ORDER BY run <> '' DESC, run DESC, modified DESC, path DESC LIMIT 1""",

@@ -6,6 +6,8 @@ are the chunks of one owner, labels are the scopes.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,12 +20,15 @@ from tarnbridge.operators import metrics as M
 from tarnbridge.operators import retrieval as R
 from tarnbridge.operators import search as S
 from tarnbridge.operators.nearest import nearest
+from tarnbridge.session import shared_folder
 from tarnbridge.sources.tables import is_small, table
 
 OWNER = 5
 EVERY = 100
 #: Lists of the index and how many a search looks into: many, as the table's vectors form no clusters (recall 0.94 at sf0.01, 0.965 at sf0.1).
 LISTS, PROBES = 32, 22
+#: Vectors that a search by codes ranks at last.
+CANDIDATES = 60
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -82,6 +87,24 @@ def index_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", F.col("id").alias("chunk_id"), "pos", tidy(F.col("similarity")).alias("similarity"))
 
 
+def _code_index(spark: SparkSession, d: str) -> DataFrame:
+    """What a search finds in an index of codes that is written and read again."""
+    v = _vectors(spark, d)
+    centres, books = X.fit(v, LISTS), X.fit_codes(v)
+    path = f"{shared_folder(spark)}/codes-{uuid.uuid4().hex}"
+    X.write_codes(v, centres, books, path)
+    codes, lists = spark.read.parquet(f"{path}/codes"), spark.read.parquet(f"{path}/vectors")
+    found = X.search_codes(codes, lists, v.filter(F.col("id") % EVERY == 0), centres, books, 10, LISTS, CANDIDATES).checkpoint()
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return found
+
+
+def code_search(spark: SparkSession, d: str) -> DataFrame:
+    """Each query's nearest by codes of 16 bytes in all lists, the best CANDIDATES of which are ranked by their vectors."""
+    return _code_index(spark, d).select("query_id", F.col("id").alias("chunk_id"), "pos", tidy(F.col("similarity")).alias("similarity"))
+
+
 def vector_filtered_or_global(spark: SparkSession, d: str) -> DataFrame:
     """Queries of even labels are held to their label; the others to one that has no vectors."""
     v = _vectors(spark, d)
@@ -251,7 +274,7 @@ def event_grounding(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_rank_global, chunk_rank_scoped, chunk_rank_for_ids, scope_merge_weighted, vector_topk_meta_left, index_search, vector_filtered_or_global, hits_grouped, hits_deduped, cosine_guarded, metrics_at_ks,
+        chunk_rank_global, chunk_rank_scoped, chunk_rank_for_ids, scope_merge_weighted, vector_topk_meta_left, index_search, code_search, vector_filtered_or_global, hits_grouped, hits_deduped, cosine_guarded, metrics_at_ks,
         metrics_summary, rerank_safe_fallback, evaluation_report, worst_queries, overlap_jaccard, overlap_average, top_frequent, qrels_from_labels, similar_events, event_scope, event_grounding, final_rank_tuple,
     )
 }

@@ -323,3 +323,24 @@ def test_event_hints(spark):
     out = spark.range(1).select(intent.descriptors(f, none, none.cast("int"), none.cast("int"), F.lit(" Badlands ")).alias("d"), *[c.alias(n) for n, c in intent.archetype_details(f).items()]).collect()[0]
     assert out["d"].startswith(f"{intent.FIRST_WORDS}, Badlands, gravel ultra race, arid, heat, remote, mixed dirt roads") and out["adjacent"] == ["gravel_ultra", "mountain_offroad_ultra"]
     assert (out["terrain"], out["environment"], out["format"]) == (["mountainous"], ["desert", "remote"], ["ultra", "self_supported"])
+
+
+def test_code_search_recall_and_exactness(spark, monkeypatch, tmp_path):
+    """Codes of all lists and few vectors find 0.9 of the nearest; with every vector as a candidate the answer is exact."""
+    r = np.random.default_rng(7)
+    x = (r.normal(size=(40, 24))[r.integers(0, 40, 2000)] + 0.6 * r.normal(size=(2000, 24))).tolist()
+    v = spark.createDataFrame([*enumerate(x), (9000, None), (9001, [0.0] * 24), (9002, [1.0])], "id bigint, vector array<double>")
+    queries = v.filter("id % 40 = 0 and id < 2000")
+    exact = {(h["query_id"], h["id"]) for h in nearest.nearest(v, queries, 10).collect()}
+    centres, books = index.fit(v, 8), index.fit_codes(v, parts=8)
+    assert books.shape == (8, 256, 3)
+    index.write_codes(v, centres, books, str(tmp_path / "index"))
+    codes, lists = (spark.read.parquet(str(tmp_path / "index" / n)) for n in ("codes", "vectors"))
+    assert sum(len(row["ids"]) // 8 for row in codes.collect()) == 2000 and sum(len(row["codes"]) for row in codes.collect()) == 2000 * 8
+    found = lambda probes, most: {(h["query_id"], h["id"]) for h in index.search_codes(codes, lists, queries, centres, books, 10, probes, most).collect()}
+    got = found(8, 80)
+    read = 8 / (4 * 24) + 80 / 2000  # of the bytes of all vectors as 32-bit numbers
+    assert len(got & exact) >= 0.9 * len(exact) and read <= 0.25
+    assert found(8, 2000) == exact
+    assert len(found(3, 80) & exact) >= 0.6 * len(exact)
+    assert index.fit_codes(v.limit(0)).shape[:2] == (16, 1)

@@ -41,6 +41,17 @@ def test_index_search_recall(spark, data):
     assert len(pairs(Q.index_search(spark, data)) & exact) >= 0.9 * len(exact)
 
 
+def test_code_search_recall(spark, data):
+    from tarnbridge.operators import index
+    from tarnbridge.plans import retrieval_queries as Q
+
+    pairs = lambda df: {(r["query_id"], r["chunk_id"]) for r in df.collect()}
+    exact = pairs(Q._hits(spark, data, 10))
+    assert len(pairs(Q.code_search(spark, data)) & exact) >= 0.9 * len(exact)
+    n = spark.read.parquet(f"{data}/embeddings.parquet").count()
+    assert index.PARTS / (4 * 64) + Q.CANDIDATES / n <= 0.25  # bytes of codes and candidates to those of all vectors
+
+
 def test_context_pages_against_plain_python(spark, data):
     """Every page is a candidate, with its own text."""
     import re
