@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,9 @@ from tarnbridge.operators import sync as S
 from tarnbridge.operators.retrieval import mode
 from tarnbridge.session import shared_folder
 from tarnbridge.sources.tables import small_side, table
+from tarnbridge.streaming.expiring import fresh_by_key, keyed_state
 from tarnbridge.streaming.incremental import ingest, windowed_counts
+from tarnbridge.streaming.upserts import UpsertTable
 
 NOW, TTL = 1_706_745_600.0, 7 * 86_400.0
 
@@ -162,19 +166,60 @@ def parsed_riders(spark: SparkSession, d: str) -> DataFrame:
 def incremental_stream(spark: SparkSession, d: str) -> DataFrame:
     """Events read by a stream once, then counted by day; the same as over the table."""
     schema = table(spark, d, "events").schema
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-    ingest(spark, d, "events.parquet", ddl, f"{folder}/checkpoint", lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}"))
-    rows = spark.read.parquet(f"{folder}/rows").withColumn("ts", F.col("ts").cast("timestamp"))
-    counted = windowed_counts(rows, "ts", "1 day", "1 day", "event_type")
-    return counted.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", tidy(F.col("value"), 3).alias("value"))
+    with _stream_folder(spark) as folder:
+        ingest(spark, d, "events.parquet", ddl, f"{folder}/checkpoint", lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}"))
+        rows = spark.read.parquet(f"{folder}/rows").withColumn("ts", F.col("ts").cast("timestamp"))
+        counted = windowed_counts(rows, "ts", "1 day", "1 day", "event_type")
+        return counted.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", tidy(F.col("value"), 3).alias("value")).checkpoint()
+
+
+@contextlib.contextmanager
+def _stream_folder(spark: SparkSession) -> Iterator[str]:
+    """A new folder in the shared one, which goes when the block ends."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def articles_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Two states of the pages come one after the other as a stream that keeps a table up to date; size and version as in articles_upsert."""
+    old, new = _slices(spark, d)
+    with _stream_folder(spark) as folder:
+        known = UpsertTable(spark, f"{folder}/table", ["page_id"], lambda: F.col("size"), keep=["version", "url"], buckets=8)
+        for state in (old, new):
+            state.write.mode("append").parquet(f"{folder}/in")
+            ingest(spark, f"{folder}/in", "*.parquet", "page_id bigint, url string, size int, version int", f"{folder}/checkpoint", known.merge)
+        return known.read().select("page_id", "url", "size", "version").checkpoint()
+
+
+#: Seconds that an event stays fresh in the streamed cache.
+STREAM_TTL = 12 * 3600
+
+
+def cache_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's last event with a value of use, while it is fresh, kept by a stream that forgets users in time."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    middle = e.select(F.percentile_approx(F.unix_micros("ts"), 0.5)).collect()[0][0]
+    with _stream_folder(spark) as folder, keyed_state(spark):
+        known = UpsertTable(spark, f"{folder}/table", ["user_id"], lambda: F.struct("fresh", "ts", "event_id"), buckets=8)
+        for part in (F.unix_micros("ts") <= middle, F.unix_micros("ts") > middle):
+            e.filter(part).write.mode("append").parquet(f"{folder}/in")
+            log = spark.readStream.schema(e.schema).parquet(f"{folder}/in").select("user_id", "ts", "event_id", "value")
+            changes = fresh_by_key(log, "user_id", "ts", "event_id", STREAM_TTL, valid=F.col("value") > 10)
+            query = changes.writeStream.outputMode("update").foreachBatch(known.merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+            query.awaitTermination()
+        return known.read().filter("fresh").select("user_id", "event_id").checkpoint()
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         articles_upsert, merge_existing_wins, new_urls_only, riders_delete_cascade, missing_chunks, event_articles, distinct_count, rider_hydration, dedupe_by_name_key, mode_first_seen,
-        cache_latest_valid, gt_priority_join, resume_rows, tool_calls, web_used_pct, judge_verdicts, html_article, clean_bodies, parsed_riders, incremental_stream,
+        cache_latest_valid, gt_priority_join, resume_rows, tool_calls, web_used_pct, judge_verdicts, html_article, clean_bodies, parsed_riders, incremental_stream, articles_stream, cache_stream,
     )
 }
 
@@ -209,5 +254,8 @@ SELECT doc_id, text_hash FROM h WHERE doc_id NOT IN (SELECT doc_id FROM x) AND t
   CASE WHEN toxic = 1 THEN 'a|b' WHEN doc_id % 2 = 0 THEN 'x|y' ELSE '' END AS tags, true AS valid FROM labels""",
     "clean_bodies": r"SELECT doc_id, regexp_replace(regexp_replace(text, '^([\s]*(Results|Features|Event Commentary|Event Calendar|About Us)?[ \t]*\n)+', ''), '\s+$', '') AS body FROM documents",
     "parsed_riders": "SELECT c_custkey, c_name AS name, (c_custkey % 60 + 20)::VARCHAR AS age, c_mktsegment AS location, c_acctbal > 0 AS electronic, 'tent' || chr(10) || 'stove' AS key_items FROM customer",
+    "articles_stream": f"WITH {_P} SELECT page_id, coalesce(o.url, n.url) AS url, coalesce(n.size, o.size)::INTEGER AS size, coalesce(o.version, n.version)::INTEGER AS version FROM o FULL JOIN n USING (page_id)",
+    "cache_stream": f"""WITH v AS (SELECT user_id, event_id, value, ts, epoch_ms(ts) AS t, epoch_ms(max(ts) OVER ()) AS newest FROM events),
+k AS (SELECT * FROM v WHERE user_id IS NOT NULL AND value > 10 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT user_id, event_id FROM k WHERE t + {1000 * STREAM_TTL} > newest""",
     "incremental_stream": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, (round(sum(value), 3) + 0.0) AS value FROM events GROUP BY ALL",
 }
