@@ -97,7 +97,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]
                 bias += (new - dual[i]) * y[i]
                 dual[i] = new
     mean = float(np.abs(w[seen]).mean())
-    model = FITTED * w + (1 - FITTED) * mean * np.sign(w)
+    model = np.where(seen, FITTED * w + (1 - FITTED) * mean, 0.0)
     return np.stack([model * ratio, ratio]).astype(np.float32), bias
 
 
