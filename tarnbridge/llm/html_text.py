@@ -4,7 +4,7 @@ A page is parsed into a tree. Scripts, controls and the like are left out. Eleme
 boilerplate by their nature (menus, page headers and footers, sidebars, notices, adverts, forms,
 comments and the like, by tag, role, or whole words of class or id) are left out, too, unless they
 hold the main element, the page's only article, or, where no such element is left otherwise, most
-of the page's characters outside links. Every other node gets its composite text density, characters per tag
+of the page's characters outside links. Inside an article, blocks of prose stay whose names may be those of a story, too (related, share). Every other node gets its composite text density, characters per tag
 adjusted for the share of links. The least density on the path from the body to the node whose
 children's densities sum to the most is the threshold. From the body down, every subtree at or
 above it counts, by its node of the greatest sum. What lies between two such siblings, headings
@@ -57,6 +57,10 @@ DROPPED_NAMES = frozenset(
     "navigation menu menus breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar share sharing social related recommended "
     "recommendations comment comments commentlist disqus respond replies reply widget widgets".split()
 )
+#: Names that, inside an article, blocks of prose have, too.
+PROSE_NAMES = frozenset("notice notices promo promotion recommendations recommended related reply replies share sharing social".split())
+#: Characters outside links from which such a block is prose, where links don't have most of it.
+PROSE = 80
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 FLOW = HEADINGS | frozenset("p blockquote pre ul ol dl table figure".split())
 HEADER_NAMES = frozenset(("header",))
@@ -65,8 +69,10 @@ PASSAGES = HEADINGS | frozenset("p blockquote pre li dt dd td th figcaption a ab
 #: Parts that a word of a class or id may have beside a listed one: cookie-notice and sidebar-left are listed, has-sidebar is not.
 NEUTRAL_PARTS = frozenset("area block body bottom box button container form global inner item items left link links list main outer page right section site text title top wrap wrapper".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
+#: An attribute: a quotation mark opens a value right after the sign of equality only.
+_PAIR = r"""(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+"""
+_TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_PAIR})*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+_ATTRIBUTE = re.compile(r"""(=[^\s/>=]*|[^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?)?""")
 _NAME = re.compile(r"[a-z]+")
 
 
@@ -79,7 +85,7 @@ def _listed(value: str, names: frozenset) -> bool:
     return False
 
 
-def _doubtful(tag: str, attributes: str, in_article: bool) -> bool:
+def _doubtful(tag: str, attributes: str, in_article: bool, names: frozenset = DROPPED_NAMES) -> bool:
     if tag in DOUBTFUL or (tag == "header" and not in_article):
         return True
     if not attributes or tag in ("html", "body", "main"):
@@ -92,8 +98,8 @@ def _doubtful(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if re.search(r"display\s*:\s*none", found.get("style", "")):
         return True
-    names = DROPPED_NAMES if in_article else DROPPED_NAMES | HEADER_NAMES
-    own_id = "" if tag in PASSAGES and any(c.isdigit() for c in found.get("id", "")) else found.get("id", "")
+    names = names if in_article else names | HEADER_NAMES
+    own_id = "" if tag in PASSAGES and (in_article or any(c.isdigit() for c in found.get("id", ""))) else found.get("id", "")
     return _listed(found.get("class", ""), names) or _listed(own_id, names)
 
 
@@ -103,10 +109,27 @@ class Page:
     def __init__(self, source: str):
         self.tags, self.parents, self.pieces = ["#root"], [-1], []
         self.doubtful: set[int] = set()
+        self.perhaps: set[int] = set()  # doubtful by a name that prose in an article has, too
         stack, dropped_at, at, end = [0], 0, 0, len(source)
-        articles = 0
+        depths: dict[str, list[int]] = {}  # of the open elements of each name
+        endless: set[str] = set()  # names without an end tag from here on
+        last = source.rfind(">")
+
+        def close(depth: int) -> None:
+            nonlocal dropped_at
+            while len(stack) > depth:
+                depths[self.tags[stack.pop()]].pop()
+            dropped_at = dropped_at if len(stack) > dropped_at else 0
+
+        def implied(tags: tuple, scope: tuple) -> None:
+            """An open element that the next one ends, unless another element holds it."""
+            deepest = lambda names: max((depths[t][-1] for t in names if depths.get(t)), default=0)
+            depth = deepest(tags)
+            if depth > deepest(scope):
+                close(depth)
+
         while at < end:
-            m = _TAG.search(source, at)
+            m = _TAG.search(source, at) if at <= last or source.find("<!--", at) >= 0 else None
             if m is None:
                 if not dropped_at:
                     self.pieces.append((stack[-1], source[at:]))
@@ -119,17 +142,13 @@ class Page:
                 continue
             tag = tag.lower()
             if m[1] or m[4]:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if self.tags[stack[i]] == tag), 0)
-                if depth:
-                    articles -= sum(self.tags[n] in ("article", "main") for n in stack[depth:])
-                    del stack[depth:]
-                    dropped_at = dropped_at if len(stack) > dropped_at else 0
+                if depths.get(tag):
+                    close(depths[tag][-1])
                 continue
             if tag in CLOSES_P:
-                self._close(stack, ("p",), ("table", "td", "th", "button", "div", "section", "article"))
+                implied(("p",), ("table", "td", "th", "button", "div", "section", "article"))
             if tag in SAME:
-                self._close(stack, SAME[tag], SCOPE[tag])
-            dropped_at = dropped_at if len(stack) > dropped_at else 0
+                implied(SAME[tag], SCOPE[tag])
             self.tags.append(tag)
             self.parents.append(stack[-1])
             if not dropped_at and (tag == "br" or tag in BLOCK):  # a line break is white space; a block ends the text before it
@@ -137,17 +156,22 @@ class Page:
             if tag in VOID:
                 continue
             if tag in RAW:
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-                at = close.end() if close else (end if tag in ("script", "style") else at)
+                found = None if tag in endless else re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
+                if found is None:
+                    endless.add(tag)
+                at = found.end() if found else (end if tag in ("script", "style") else at)
                 continue
             stack.append(len(self.tags) - 1)
-            articles += tag in ("article", "main")
+            depths.setdefault(tag, []).append(len(stack) - 1)
             if dropped_at:
                 continue
+            in_article = bool(depths.get("article") or depths.get("main"))
             if tag in DROPPED:
                 dropped_at = len(stack) - 1
-            elif _doubtful(tag, m[3] or m[6] or "", articles > 0):
+            elif _doubtful(tag, m[3] or m[6] or "", in_article):
                 self.doubtful.add(stack[-1])
+                if in_article and not _doubtful(tag, m[3] or m[6] or "", in_article, DROPPED_NAMES - PROSE_NAMES):
+                    self.perhaps.add(stack[-1])
         if self.doubtful:
             self._settle()
 
@@ -171,6 +195,7 @@ class Page:
             counts = chars[i] and i not in self.doubtful
             mains[p] += mains[i] + (counts and self.tags[i] == "main")
             articles[p] += articles[i] + (counts and self.tags[i] == "article")
+        self.doubtful -= {i for i in self.perhaps if plain[i] >= PROSE and 2 * plain[i] > chars[i]}
         holds = {i for i in self.doubtful if mains[i] or (articles[i] and articles[0] == 1 and not mains[0])}
         gone = self._below(self.doubtful - holds)
         if not any(chars[i] and not gone[i] for i, t in enumerate(self.tags) if t in ("article", "main")):
@@ -185,15 +210,6 @@ class Page:
             inside[i] = i in tops or inside[self.parents[i]]
         return inside
 
-    def _close(self, stack: list[int], tags: tuple, scope: tuple) -> None:
-        """An open element that the next one ends, unless another element holds it."""
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tags[stack[i]] in tags:
-                del stack[i:]
-                return
-            if self.tags[stack[i]] in scope:
-                return
-
 
 def densities(page: Page) -> tuple[list[float], list[float], list[int], list[int]]:
     """Per node: composite text density, sum of its children's, characters and link characters."""

@@ -89,6 +89,44 @@ def test_listed_attributes_still_count(attributes):
     assert H.extract(f"<body><div><p>One two three.</p><p {attributes}>Four.</p></div></body>") == "One two three."
 
 
+@pytest.mark.parametrize("source, text", [
+    ("<p data-a=it's>Hello it's me</p><p>second para here</p>", "Hello it's me\n\nsecond para here"), ("<p a='x>y' b=\"p>q\">One</p>", "One"), ("<p a=>One</p>", "One"), ("<p =x>One</p>", "One"), ("<p a = 'b>'c>One</p>", "One"),
+    ("<a href=/x/>One</a>", "One"), ("<p a=\"x>One</p>", "One"), ("<p a=\"b\"class=advert>One</p><p>Two</p>", "Two"), ("<p title=\"it's\">One <b class='x'y>two</b></p>", "One two"), ("x<a <b", "x<a <b"), ("x<!-- y", "x"),
+])
+def test_attributes_by_the_states_of_a_tag(source, text):
+    assert H.extract("<article>" + source) == text
+
+
+PROSE = "This block has a whole paragraph of prose, which a reader of the article would miss. " * 2
+
+
+@pytest.mark.parametrize("block", ['<section class="share"><p>{}</p></section>', '<div class="related work"><p>{}</p></div>', '<p id="comments">{}</p>'])
+def test_prose_in_an_article_stays(block):
+    assert H.extract(f"<article><h1>Title</h1><p>One two three.</p>{block.format(PROSE)}<p>End.</p></article>") == f"Title\n\nOne two three.\n\n{PROSE.strip()}\n\nEnd."
+
+
+@pytest.mark.parametrize("block", [
+    '<div class="share">Share this</div>', '<div class="related"><a href=/a>' + PROSE + "</a></div>", '<section class="comments"><p>' + PROSE + "</p></section>", '<div class="advert">' + PROSE + "</div>", '<div class="share newsletter">' + PROSE + "</div>",
+])
+def test_boilerplate_in_an_article_goes(block):
+    assert H.extract(f"<article><h1>Title</h1><p>One two three.</p>{block}<p>End.</p></article>") == "Title\n\nOne two three.\n\nEnd."
+
+
+@pytest.mark.parametrize("page", [
+    lambda n: "<div>" * n + "</q>" * n + "text", lambda n: "<title>" * n + "text", lambda n: "<p><table>" + "<font>" * n + "<div>x" * n, lambda n: "<a " * n, lambda n: "<ul><li>" * n + "<li>x" * n, lambda n: '<a b="' * n + ">x", lambda n: "<!-" * n,
+])
+def test_time_grows_with_the_length(page):
+    """Eight times the page takes far less than the square of that."""
+    import time
+
+    spent = []
+    for n in (2000, 16_000):
+        begin = time.process_time()
+        H.extract(page(n))
+        spent.append(time.process_time() - begin)
+    assert spent[1] < 24 * spent[0] + 0.2
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 5000 + "deep text here" + "</div>" * 5000
     assert H.extract(deep) == "deep text here"
