@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnbridge.functions.text import blank, squeezed
+from tarnbridge.operators.calls import WAITS, WINDOW, called, parted
+from tarnbridge.session import shared_folder
 
 Embed = Callable[[list[str]], np.ndarray]
 
@@ -32,8 +34,8 @@ def hashed_words(dim: int = 64) -> Embed:
     return embed
 
 
-#: Seconds to wait after each failed call of a model; one call for each.
-WAITS = (0.2, 0.5, 1.0)
+#: Digits of a text's hash that name a folder of the store.
+PREFIX = 2
 
 
 def with_retries(embed: Embed, waits: Sequence[float] = WAITS) -> Embed:
@@ -83,3 +85,32 @@ def embedded_once(rows: DataFrame, key: str, text: str, embed: Embed, dim: int)
     normal = rows.withColumn("_normal", squeezed(F.col(text))).withColumn("_id", F.sha2("_normal", 256))
     vectors = embedded(normal.dropDuplicates(["_id"]), "_id", "_normal", embed, dim)
     return normal.select(key, "_id").join(vectors, "_id").select(key, "embedding")
+
+
+def embedded_with_store(rows: DataFrame, key: str, text: str, embed: Embed, dim: int, store: str, window: int = WINDOW, waits: Sequence[float] = WAITS) -> tuple[DataFrame, DataFrame]:
+    """key and embedding of the rows, and the rejects (id, the text's hash, and error); texts that the store has are not embedded again.
+
+    The store is a folder that stays from run to run: a vector by the SHA-256 of the text, in folders by the hash's
+    first digits, so a run reads the folders that its texts fall into. Texts that are the same but for case and
+    blanks are one; blank ones have no vector. Calls are in flight together, and what fails is a reject. A run that dies
+    before its vectors are in the store makes their calls again.
+    """
+    spark = rows.sparkSession
+    shared_folder(spark)
+    normal = rows.filter(~blank(F.col(text))).select(F.col(key).alias("_key"), squeezed(F.col(text)).alias("_normal")).withColumn("id", F.sha2("_normal", 256)).withColumn("prefix", F.substring("id", 1, PREFIX))
+    schema = "id string, embedding array<float>, prefix string"
+    place = spark._jvm.org.apache.hadoop.fs.Path(store)
+    has = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    known = spark.read.schema(schema).parquet(store) if has else spark.createDataFrame([], schema)
+    new = normal.select("prefix", "id", "_normal").dropDuplicates(["id"]).join(known.select("prefix", "id"), ["prefix", "id"], "left_anti")
+
+    def checked(texts: list[str]) -> list[np.ndarray]:
+        vectors = np.asarray(embed(texts), np.float32)
+        if vectors.shape != (len(texts), dim):
+            raise ValueError(f"the embedding gave {vectors.shape}, not {(len(texts), dim)}")
+        return list(vectors)
+
+    good, rejects = parted(called(new, "id", "_normal", checked, "array<float>", window=window, waits=waits).checkpoint())
+    good.select("id", F.col("answer").alias("embedding"), F.substring("id", 1, PREFIX).alias("prefix")).repartition("prefix").write.mode("append").partitionBy("prefix").parquet(store)
+    vectors = spark.read.schema(schema).parquet(store)
+    return normal.select("_key", "prefix", "id").join(vectors, ["prefix", "id"]).select(F.col("_key").alias(key), "embedding"), rejects

@@ -137,6 +137,10 @@ def event_hints(event: Column) -> Column:
     return F.coalesce(*[F.when(name == k, F.array(*map(F.lit, v))) for k, v in EVENT_HINTS.items()], F.array().cast("array<string>"))
 
 
+#: How a distance and an elevation are written, in any case.
+KM, METRES = r"(?i)(\d{2,4})\s*km\b", r"(?i)(\d{3,5})\s*m\b"
+
+
 def metric(text: Column, pattern: str) -> Column:
     return F.regexp_extract(text, pattern, 1).try_cast("int")
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tarnbridge.functions.hashing import clamp
 from tarnbridge.functions.text import json_inside, without_thoughts
+from tarnbridge.operators.calls import WAITS, WINDOW, called, parted
+from tarnbridge.session import shared_folder
 
 MESSAGE = "array<struct<tool_name:string,name:string,tool:string,tool_calls:array<struct<function:struct<name:string>>>>>"
 LEAST, MOST = 0, 6
@@ -72,6 +74,17 @@ def judged(rows: DataFrame, prompt: Column, judge) -> DataFrame:
     return rows.withColumn("raw", ask(prompt)).withColumns(verdict(F.col("raw")))
 
 
+def judged_in_flight(rows: DataFrame, key: str, prompt: Column, judge, batch: int = 1, window: int = WINDOW, waits: Sequence[float] = WAITS) -> tuple[DataFrame, DataFrame]:
+    """The key of each row with the verdict's columns, and the rejects: rows whose call failed, with the error.
+
+    Calls of ``batch`` prompts are in flight together, ``window`` a worker, each tried again for itself. Each is made once: answers are kept in the shared folder.
+    """
+    shared_folder(rows.sparkSession)
+    answers = called(rows.withColumn("_prompt", prompt), key, "_prompt", judge, "string", batch, window, waits).checkpoint()
+    good, rejects = parted(answers)
+    return good.withColumnRenamed("answer", "raw").withColumns(verdict(F.col("raw"))), rejects
+
+
 def serialized(value: Column) -> Column:
     """A record or list as JSON, a text as it is."""
     return F.to_json(value)

@@ -128,6 +128,33 @@ def article_of(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_article(x) for x in html], columns=ARTICLE.names)
 
 
+class _Links(HTMLParser):
+    """Targets of the links of a page, in page order."""
+
+    def __init__(self):
+        super().__init__()
+        self.found: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            target = next((v for n, v in attrs if n == "href"), None)
+            if target:
+                self.found.append(target)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def links_of(html: pd.Series) -> pd.Series:
+    """Targets of the links of each page, whatever the order and quoting of the attributes."""
+
+    def links(page: str | None) -> list[str]:
+        parser = _Links()
+        parser.feed(page or "")
+        parser.close()
+        return parser.found
+
+    return html.map(links)
+
+
 def json_objects(text: str) -> Iterator[str]:
     """Objects that follow each other in a text, by the depth of braces outside strings."""
     depth, start, quoted, escaped = 0, -1, False, False

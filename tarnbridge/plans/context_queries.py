@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from tarnbridge.operators import chunks as C
 from tarnbridge.operators import embedding as B
 from tarnbridge.operators import event_names as N
 from tarnbridge.operators import intent as I
+from tarnbridge.operators import judging
 from tarnbridge.operators import recommend as R
 from tarnbridge.operators import search as P
 from tarnbridge.operators import synthesis as S
@@ -18,6 +22,7 @@ from tarnbridge.operators import web_context as W
 from tarnbridge.operators.parsing import article_of
 from tarnbridge.plans import retrieval_queries as Q
 from tarnbridge.plans import rule_queries as U
+from tarnbridge.session import shared_folder
 from tarnbridge.sources.tables import table
 
 #: Ten pages in a row are the results of one search; kinds of sites by their names.
@@ -79,6 +84,33 @@ def embed_missing(spark: SparkSession, d: str) -> DataFrame:
     return B.embedded_once(rows, "doc_id", "text", B.hashed_words(64), 64).select("doc_id", F.size("embedding").alias("dim"), tidy(norm(F.col("embedding")), 4).alias("length"))
 
 
+def embed_store(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of the names of parts in two runs over a store; the second embeds only what the first has not."""
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    store = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    counted = lambda texts: np.array([[len(t), t.count("a")] for t in texts])
+    try:
+        B.embedded_with_store(p.filter("p_partkey % 2 = 0"), "p_partkey", "p_name", counted, 2, store)
+        rows, _ = B.embedded_with_store(p, "p_partkey", "p_name", counted, 2, store)
+        return rows.select("p_partkey", F.col("embedding")[0].cast("int").alias("n"), F.col("embedding")[1].cast("int").alias("a")).checkpoint()
+    finally:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def judged_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts on documents by a judge that fails for some of them; these are rejects."""
+
+    def judge(prompts: list[str]) -> list[str]:
+        if any(x.endswith("00") for x in prompts):
+            raise TimeoutError("no answer")
+        return [f'{{"score": {int(x) % 9}, "tags": "t"}}' for x in prompts]
+
+    docs = table(spark, d, "documents").select("doc_id")
+    good, rejects = judging.judged_in_flight(docs, "doc_id", F.col("doc_id").cast("string"), judge, batch=16, waits=(0.0,))
+    return good.select("doc_id", F.col("score").cast("int").alias("score"), F.lit(False).alias("rejected")).unionByName(rejects.select("doc_id", F.lit(None).cast("int").alias("score"), F.lit(True).alias("rejected")))
+
+
 def event_names(spark: SparkSession, d: str) -> DataFrame:
     """The event that each question is about; the cascade has no SQL form."""
     known = {"tour of spain": "Tour of Spain", "tos": "Tour of Spain", "big divide": "Big Divide"}
@@ -164,7 +196,7 @@ def coverage_counters(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (rider_chunk_rows, ranked_candidates, similar_search, coverage_counters, search_merge, site_candidates, context_pages, context_texts, unproven_contexts, embed_missing, event_names, two_attempts, default_setup, fill_component, postprocess, gt_expectations, gt_questions)
+    for f in (rider_chunk_rows, ranked_candidates, similar_search, coverage_counters, search_merge, site_candidates, context_pages, context_texts, unproven_contexts, embed_missing, embed_store, judged_calls, event_names, two_attempts, default_setup, fill_component, postprocess, gt_expectations, gt_questions)
 }
 
 _RES = "r AS (SELECT page_id // 10 AS event, (page_id % 10)::INTEGER AS rank, regexp_replace(url, '[?#].*$', '') AS url FROM pages)"
@@ -191,6 +223,8 @@ _UNIQUE = "list_filter(list_filter({0}, lambda v: v IS NOT NULL), lambda v, i: l
 
 _RR = U._RERANKED.replace(Q._h(30), Q._dedup(50)).replace("FROM h\n), c AS", "FROM (SELECT * EXCLUDE (pos, place), place AS pos FROM l)\n), c AS")
 ORACLES = {
+    "embed_store": "SELECT p_partkey, length(p_name)::INTEGER AS n, (length(p_name) - length(replace(lower(p_name), 'a', '')))::INTEGER AS a FROM part WHERE trim(p_name) <> ''",
+    "judged_calls": "SELECT doc_id, CASE WHEN doc_id::VARCHAR NOT LIKE '%00' THEN least(6, doc_id % 9) END::INTEGER AS score, doc_id::VARCHAR LIKE '%00' AS rejected FROM documents",
     "rider_chunk_rows": f"""WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment || ' bike' END AS bike, c_name, c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN 'frame_material=steel' END AS fm, c_acctbal > 0 AS el FROM customer),
 t AS (SELECT c_custkey, 'bike' AS chunk_kind, 0 AS chunk_ix, 'Bike: ' || bike || ' (' || concat_ws(', ', fm, 'electronic_shifting=' || CASE WHEN el THEN 'True' ELSE 'False' END) || ')' AS chunk_text FROM r WHERE bike IS NOT NULL
   UNION ALL SELECT c_custkey, 'key_items', 0, 'Key items: ' || c_name || '; ' || c_mktsegment FROM r) SELECT *, greatest(1, length(chunk_text) // 4)::BIGINT AS chunk_tokens FROM t""",

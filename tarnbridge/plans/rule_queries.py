@@ -68,7 +68,7 @@ def query_intent(spark: SparkSession, d: str) -> DataFrame:
 
 def descriptor_query(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    out = I.descriptors(I.flags(t), I.surface_hint(t), I.metric(t, r"(\d{2,4})\s*km"), I.metric(t, r"(\d{3,5})\s*m\b"), chosen(EVENTS, F.col("doc_id")))
+    out = I.descriptors(I.flags(t), I.surface_hint(t), I.metric(t, I.KM), I.metric(t, I.METRES), chosen(EVENTS, F.col("doc_id")))
     return _texts(spark, d).select("doc_id", out.alias("descriptor"))
 
 
@@ -207,7 +207,7 @@ SELECT doc_id, bias, hint, CASE WHEN bias = 'road' THEN CASE WHEN r AND NOT g TH
     "query_intent": f"""WITH {_T}, m AS (SELECT *, {_MOST} AS most FROM t)
 SELECT doc_id, CASE WHEN trim(l) = '' OR most = 0 THEN 'full_setup' {' '.join(f"WHEN {_count('l', t)} = most THEN '{n}'" for n, t in I.COMPONENTS.items())} END AS component,
   (round(CASE WHEN trim(l) = '' THEN 0.0 WHEN most = 0 THEN 0.25 ELSE least(1.0, 0.35 + 0.15 * most) END::DOUBLE, 6) + 0.0) AS confidence FROM m""",
-    "descriptor_query": rf"""WITH {_T}, {_F}, g AS (SELECT *, {_FAMILY} AS family, {_HINT} AS hint, trim({_choose(EVENTS, 'doc_id')}) AS e, {_RX('text', r'(\d{2,4})\s*km', 1)} AS km, {_RX('text', r'(\d{3,5})\s*m\b', 1)} AS m FROM f),
+    "descriptor_query": rf"""WITH {_T}, {_F}, g AS (SELECT *, {_FAMILY} AS family, {_HINT} AS hint, trim({_choose(EVENTS, 'doc_id')}) AS e, {_RX('text', r'(?i)(\d{2,4})\s*km\b', 1)} AS km, {_RX('text', r'(?i)(\d{3,5})\s*m\b', 1)} AS m FROM f),
 x AS (SELECT doc_id, list_filter([{', '.join(_WORDS)}], lambda w: w IS NOT NULL) AS ws FROM g) SELECT doc_id, array_to_string(list_filter(ws, lambda w, i: list_position(ws, w) = i), ', ') AS descriptor FROM x""",
     "archetype_details": f"""WITH {_T}, {_F}, g AS (SELECT *, {_FAMILY} AS family FROM f), k AS (SELECT *, {_KIND} AS archetype FROM g)
 SELECT doc_id, archetype, {', '.join(f"concat_ws(',', {', '.join(_quoted(w) if flag is None else f'CASE WHEN {flag} THEN {_quoted(w)} END' for flag, w in items)}) AS {n}" for n, items in I.DETAILS.items())},

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnbridge.functions import hashing as H
 from tarnbridge.functions import text as X
+from tarnbridge.operators.parsing import links_of
 from tarnbridge.sources.tables import spread, table
 
 
@@ -118,7 +119,7 @@ def title_match(spark: SparkSession, d: str) -> DataFrame:
 
 def html_links(spark: SparkSession, d: str) -> DataFrame:
     """Links of pages below a prefix, canonical, distinct in page order."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(r'<a href="(/[^"]*)"'), 1), X.canonical_url))
+    found = F.array_distinct(F.transform(F.filter(links_of("html"), lambda u: u.startswith("/")), X.canonical_url))
     return table(spark, d, "pages").select("page_id", F.posexplode(found).alias("pos", "link"))
 
 

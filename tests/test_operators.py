@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarnbridge.functions.text import title_words
-from tarnbridge.operators import events, index, judging, lexicon, metrics, nearest, parsing, rerank, retrieval, search, sync
+from tarnbridge.operators import events, index, intent, judging, lexicon, metrics, nearest, parsing, rerank, retrieval, search, sync
 
 
 def test_nearest_is_exact(spark):
@@ -344,3 +344,12 @@ def test_code_search_recall_and_exactness(spark, monkeypatch, tmp_path):
     assert found(8, 2000) == exact
     assert len(found(3, 80) & exact) >= 0.6 * len(exact)
     assert index.fit_codes(v.limit(0)).shape[:2] == (16, 1)
+
+
+def test_links_and_metrics_in_any_spelling(spark):
+    page = """<A class=x HREF='/one?a=1'>1</A><a title="a > b" href = /two>2</a><a name="n">3</a><!-- <a href="/no"> --><p data-x='<a href="/no">'>x</p><a href="/three"/>"""
+    rows = spark.createDataFrame([(page,), (None,), ("",)], "html string")
+    assert [r[0] for r in rows.select(parsing.links_of("html")).collect()] == [["/one?a=1", "/two", "/three"], [], []]
+    texts = spark.createDataFrame([("1200 KM and 900 M",), ("20 kmh, 300 mm",), ("45km 1500m",), ("1 km 20 m",)], "t string")
+    got = texts.select(intent.metric(F.col("t"), intent.KM).alias("km"), intent.metric(F.col("t"), intent.METRES).alias("m")).collect()
+    assert [tuple(r) for r in got] == [(1200, 900), (None, None), (45, 1500), (None, None)]
