@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tarnbridge.sources.tables import spread
 
-from .common import table
+from .common import release, table
 from .shingles import mix, word_hashes
 
 #: Numbers that n-grams of characters are hashed to, and as many of words; shapes come after these.
@@ -130,12 +130,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
 
     def extract(batches):
         for batch in batches:
-            ids = [features(t).tolist() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "label", "ids"])
+            ids = [features(t).astype("<i4").tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["doc_id", "label", "ids"])
 
-    found = texts.mapInArrow(extract, "doc_id bigint, label int, ids array<int>")
+    found = texts.mapInArrow(extract, "doc_id bigint, label int, ids binary")  # bytes: a list of numbers takes many times as much in the driver
     rows = sorted(((r["doc_id"], r["label"], r["ids"]) for r in found.toLocalIterator()), key=lambda r: r[0])
-    return fit([np.asarray(r[2], np.int32) for r in rows], np.asarray([r[1] for r in rows], int))
+    model = fit([np.frombuffer(r[2], "<i4") for r in rows], np.asarray([r[1] for r in rows], int))
+    release()
+    return model
 
 
 def score_column(model: tuple[np.ndarray, float], text: str = "text") -> Column:
