@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tarnbridge.functions.hashing import stable_id
@@ -80,14 +84,52 @@ def questions(events: DataFrame, templates: Sequence[str], suffixes: Sequence[st
     return rows.withColumn("id", stable_id("gt", F.concat_ws("|", "event", "year", "question"))).drop("_key", "_normal", "form", "template")
 
 
+#: Rounds of the keyed permutation.
+ROUNDS = 6
+
+
+def permuted(n: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
+    """A permutation of 0 to size - 1 for each key, at places n: a Feistel network over an even number of bits, walked until it is in the range.
+
+    The walk from a place in the range comes back to the range, as the network is a permutation of all numbers of so many bits.
+    """
+    half = max(1, -(-max(1, size - 1).bit_length() // 2))
+    mask = np.uint64((1 << half) - 1)
+    x, key = n.astype(np.uint64), key.astype(np.uint64)
+    out, open_ = x.copy(), np.arange(len(x))
+    while len(open_):
+        left, right, k = out[open_] >> np.uint64(half), out[open_] & mask, key[open_]
+        for r in range(ROUNDS):
+            mixed = (right + k + np.uint64(0x9E3779B97F4A7C15 * (r + 1) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(29)) ^ (k >> np.uint64(7 * r))) * np.uint64(0x94D049BB133111EB)
+            left, right = right, left ^ ((mixed >> np.uint64(33)) & mask)
+        out[open_] = (left << np.uint64(half)) | right
+        open_ = open_[out[open_] >= np.uint64(size)]
+    return out.astype(np.int64)
+
+
 def eval_queries(events: DataFrame, pools: dict[str, Sequence[str]], forms: Sequence[str], per_event: int, seed: int) -> DataFrame:
-    """qid, event and query: per_event queries for each event, every part chosen by a hash.
+    """qid, event and query: per_event queries for each event, all of them chosen differently.
 
-    A form holds {event} and the names of pools; the hash is of event, number, pool and seed.
+    A form holds {event} and the names of pools. Forms and pools have a product of choices, of which each event takes
+    the first per_event in an order of its own, by a permutation keyed by event and seed, so none
+    comes twice and nothing is drawn again. There are no more queries an event than choices; choices that read the same, as
+    a form need not hold every pool, stay once (the first).
     """
-    rows = events.select("event").distinct().withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(per_event))))
-    pick = lambda name, pool: F.element_at(F.array(*map(F.lit, pool)), (F.pmod(F.xxhash64(F.lit(seed), "event", "n", F.lit(name)), F.lit(len(pool))) + 1).cast("int"))
-    query = F.replace(pick("form", forms), F.lit("{event}"), F.col("event"))
-    for name, pool in pools.items():
-        query = F.replace(query, F.lit("{" + name + "}"), pick(name, pool))
-    return rows.withColumn("query", query).withColumn("qid", stable_id("q", F.concat_ws("|", "event", F.col("n").cast("string"), "query"))).select("qid", "event", "query")
+    sizes = [len(forms), *(len(p) for p in pools.values())]
+    total = math.prod(sizes)
+
+    @F.pandas_udf(T.LongType())
+    def choice(n: pd.Series, key: pd.Series) -> pd.Series:
+        with np.errstate(over="ignore"):
+            return pd.Series(permuted(n.to_numpy(), key.to_numpy(), total))
+
+    rows = events.select("event").filter("event is not null").distinct().withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(total - 1))) if total <= per_event else F.explode(F.sequence(F.lit(0), F.lit(per_event - 1))))
+    rows = rows.withColumn("_choice", choice(F.col("n").cast("bigint"), F.xxhash64(F.lit(seed), "event")))
+    query, step = None, 1
+    for name, pool in {"": forms, **pools}.items():
+        own = F.element_at(F.array(*map(F.lit, pool)), (F.pmod(F.floor(F.col("_choice") / step), F.lit(len(pool))) + 1).cast("int"))
+        query = F.replace(own, F.lit("{event}"), F.col("event")) if query is None else F.replace(query, F.lit("{" + name + "}"), own)
+        step *= len(pool)
+    rows = first_by(rows.withColumn("query", query), ["event", "query"], F.col("n"))
+    return rows.withColumn("qid", stable_id("q", F.concat_ws("|", "event", F.col("n").cast("string"), "query"))).select("qid", "event", "query")

@@ -111,6 +111,14 @@ def judged_calls(spark: SparkSession, d: str) -> DataFrame:
     return good.select("doc_id", F.col("score").cast("int").alias("score"), F.lit(False).alias("rejected")).unionByName(rejects.select("doc_id", F.lit(None).cast("int").alias("score"), F.lit(True).alias("rejected")))
 
 
+def eval_queries(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the queries made for each nation's event differ: all."""
+    events = table(spark, d, "nation").select(F.concat(F.col("n_name"), F.lit(" Ultra")).alias("event"))
+    rows = S.eval_queries(events, {"year": [str(y) for y in range(2015, 2026)], "suffix": SUFFIXES}, [t + " {suffix}" for t in TEMPLATES], 40, 7)
+    whole = F.count_if(F.contains("query", F.col("event")) & ~F.contains("query", F.lit("{")))
+    return rows.groupBy("event").agg(F.count_distinct("query").alias("queries"), F.count_distinct("qid").alias("ids"), whole.alias("whole"))
+
+
 def event_names(spark: SparkSession, d: str) -> DataFrame:
     """The event that each question is about; the cascade has no SQL form."""
     known = {"tour of spain": "Tour of Spain", "tos": "Tour of Spain", "big divide": "Big Divide"}
@@ -196,7 +204,7 @@ def coverage_counters(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (rider_chunk_rows, ranked_candidates, similar_search, coverage_counters, search_merge, site_candidates, context_pages, context_texts, unproven_contexts, embed_missing, embed_store, judged_calls, event_names, two_attempts, default_setup, fill_component, postprocess, gt_expectations, gt_questions)
+    for f in (rider_chunk_rows, ranked_candidates, similar_search, coverage_counters, search_merge, site_candidates, context_pages, context_texts, unproven_contexts, embed_missing, embed_store, judged_calls, eval_queries, event_names, two_attempts, default_setup, fill_component, postprocess, gt_expectations, gt_questions)
 }
 
 _RES = "r AS (SELECT page_id // 10 AS event, (page_id % 10)::INTEGER AS rank, regexp_replace(url, '[?#].*$', '') AS url FROM pages)"
@@ -224,6 +232,7 @@ _UNIQUE = "list_filter(list_filter({0}, lambda v: v IS NOT NULL), lambda v, i: l
 _RR = U._RERANKED.replace(Q._h(30), Q._dedup(50)).replace("FROM h\n), c AS", "FROM (SELECT * EXCLUDE (pos, place), place AS pos FROM l)\n), c AS")
 ORACLES = {
     "embed_store": "SELECT p_partkey, length(p_name)::INTEGER AS n, (length(p_name) - length(replace(lower(p_name), 'a', '')))::INTEGER AS a FROM part WHERE trim(p_name) <> ''",
+    "eval_queries": "SELECT n_name || ' Ultra' AS event, 40 AS queries, 40 AS ids, 40 AS whole FROM nation",
     "judged_calls": "SELECT doc_id, CASE WHEN doc_id::VARCHAR NOT LIKE '%00' THEN least(6, doc_id % 9) END::INTEGER AS score, doc_id::VARCHAR LIKE '%00' AS rejected FROM documents",
     "rider_chunk_rows": f"""WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment || ' bike' END AS bike, c_name, c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN 'frame_material=steel' END AS fm, c_acctbal > 0 AS el FROM customer),
 t AS (SELECT c_custkey, 'bike' AS chunk_kind, 0 AS chunk_ix, 'Bike: ' || bike || ' (' || concat_ws(', ', fm, 'electronic_shifting=' || CASE WHEN el THEN 'True' ELSE 'False' END) || ')' AS chunk_text FROM r WHERE bike IS NOT NULL

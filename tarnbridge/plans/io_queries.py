@@ -172,7 +172,7 @@ def snapshot_runs(spark: SparkSession, d: str) -> DataFrame:
 
     def use(folder: str) -> DataFrame:
         rows = table(spark, d, "part").select("p_partkey", "p_brand")
-        told = [sinks.write_snapshot(rows.filter(f"p_partkey % 3 = {k}"), folder, f"2024010{k}_000000") for k in (0, 1, 7)]
+        told = [sinks.write_snapshot(rows.filter(f"p_partkey % 3 = {k}"), folder, f"2024010{k}_000000") for k in (0, 1, 2, 7)]
         return spark.read.schema("p_partkey bigint, p_brand string, run_id string").parquet(folder).withColumn("runs", F.lit(sum(told)))
 
     return _through(spark, use)
@@ -240,7 +240,7 @@ SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'Bo' ELSE (c_custkey + a)::VA
   concat_ws(chr(10), 'Event: ' || source, lang, CASE WHEN doc_id % 2 = 0 THEN 'bike: steel' END, CASE WHEN doc_id % 3 = 0 THEN 'tyres: 45mm' END) AS answer, {_BULLET} AS line FROM documents""",
     "dry_run_counts": "SELECT count(*) AS rows, count(lang) AS lang, count(*) FILTER (WHERE doc_id % 3 = 0) AS mark FROM documents",
     "log_of_useful": "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0",
-    "snapshot_runs": "SELECT p_partkey, p_brand, '2024010' || (p_partkey % 3) || '_000000' AS run_id, 2 AS runs FROM part WHERE p_partkey % 3 < 2",
+    "snapshot_runs": "SELECT p_partkey, p_brand, '2024010' || (p_partkey % 3) || '_000000' AS run_id, 3 AS runs FROM part",
     "grounding_payload": """SELECT c_nationkey, count(*)::INTEGER AS n, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS keys, coalesce(string_agg(c_name, ',' ORDER BY c_custkey) FILTER (WHERE c_custkey % 2 = 0), '') AS names, false AS has_null
 FROM customer GROUP BY c_nationkey""",
     "checked_vectors": "SELECT label, count(*) AS n FROM embeddings WHERE len(embedding) = (SELECT max(len(embedding)) FROM embeddings) GROUP BY label",

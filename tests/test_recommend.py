@@ -146,6 +146,25 @@ def test_eval_queries(spark):
     assert make(3) == make(3) and len({q for q, _, _ in make(3)}) == 10 and all("{" not in t for _, _, t in make(3))
 
 
+def test_a_keyed_permutation_takes_each_place_once():
+    for size in (1, 2, 3, 12, 100, 1000):
+        orders = []
+        for key in (0, 5, 2**63 - 1, -7):
+            got = synthesis.permuted(np.arange(size), np.full(size, key), size).tolist()
+            assert sorted(got) == list(range(size))
+            orders.append(tuple(got))
+        assert size < 12 or len(set(orders)) == 4
+
+
+def test_eval_queries_of_an_event_are_distinct(spark):
+    pools = {"kit": [f"k{i}" for i in range(7)], "goal": ["fast", "slow", "far"]}
+    make = lambda n, seed=1: synthesis.eval_queries(spark.createDataFrame([("A",), ("B",), (None,)], "event string"), pools, ["{event}: {kit}, {goal}", "for {event} {goal} {kit}"], n, seed).collect()
+    rows = make(30)
+    assert len({(r["event"], r["query"]) for r in rows}) == len(rows) == 60
+    assert {r["query"] for r in rows} != {r["query"] for r in make(30, 2)} and sorted(map(tuple, rows)) == sorted(map(tuple, make(30)))
+    assert len(make(1000)) == 2 * 42  # no more than there are choices
+
+
 def test_counters_and_evidence(spark):
     rows = spark.createDataFrame([(1, 2, "x", None), (1, 2, " ", "y"), (2, 0, "z", "z")], "query_id int, cov int, a string, b string")
     out = recommend.counters(rows, ["a", "b"]).collect()[0]
