@@ -175,6 +175,25 @@ def title_words(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"[^a-z0-9]+", " "), " +", " "))
 
 
+def letters_key(text: Column) -> Column:
+    """Text that is equal to others but for case and accents; for joins, groups and comparisons, not to be shown.
+
+    The comparison is the collation's, inside the JVM: unlike without_accents it takes a sharp s for two of them. Null stays null.
+    """
+    return F.collate(text, "UNICODE_CI_AI")
+
+
+def title_key(title: Column) -> Column:
+    """A key under which titles are equal but for accents, case, years, apostrophes and punctuation.
+
+    As title_words, without a Python worker; letters of all scripts count, where title_words keeps a to z only. Null is as empty.
+    """
+    inside = r"[\p{L}\p{M}\p{N}_]"
+    x = F.regexp_replace(F.coalesce(title, F.lit("")), rf"(?<!{inside})(?:19|20)\d{{2}}(?!{inside})", " ")
+    x = F.regexp_replace(x, r"['’`]", "")
+    return letters_key(F.trim(F.regexp_replace(x, r"[^\p{L}\p{M}\p{N}]+", " ")))
+
+
 def tokens(words: Column) -> Column:
     return F.array_distinct(F.filter(F.split(words, " ", -1), lambda t: t != ""))
 

@@ -16,7 +16,7 @@ from tarnbridge.operators import chunks, json_stream, recommend, search
 from tarnbridge.operators import sync as S
 from tarnbridge.plans import retrieval_queries as Q
 from tarnbridge.session import shared_folder
-from tarnbridge.sources import files, sinks, tables
+from tarnbridge.sources import files, layouts, sinks, tables
 from tarnbridge.sources.tables import table
 from tarnbridge.tracing import Trace
 
@@ -198,6 +198,58 @@ def candidate_lists(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", F.size("candidates").alias("n"), F.array_join(F.transform("candidates", lambda x: x["chunk_id"].cast("string")), ",").alias("ids"))
 
 
+#: Buckets of the tables below; at 100 TB some thousands, so that a bucket fits a task.
+BUCKETS = 8
+
+
+def _bucketed(spark: SparkSession, use: Callable[..., DataFrame], *tables: tuple[DataFrame, list[str], dict]) -> DataFrame:
+    """Rows that use(tables) makes of some tables that are written in buckets of their keys; they go afterwards."""
+    names = [f"laid_{uuid.uuid4().hex}" for _ in tables]
+
+    def written(folder: str) -> DataFrame:
+        for name, (rows, keys, more) in zip(names, tables, strict=True):
+            layouts.write_bucketed(rows, name, f"{folder}/{name}", keys, BUCKETS, **more)
+        return use(*map(spark.table, names)).checkpoint()
+
+    try:
+        return _through(spark, written)
+    finally:
+        layouts.dropped(spark, *names)
+
+
+def bucketed_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without a vector, of tables in buckets of the id."""
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return _bucketed(spark, lambda a, b: layouts.joined(a, b, ["doc_id"], "left_anti"), (docs, ["doc_id"], {}), (vectors, ["doc_id"], {}))
+
+
+def bucketed_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Line items that stay when the orders of one priority go, of tables in buckets of the order."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), "o_orderpriority")
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), "l_linenumber", "l_quantity")
+    left = lambda o, i: layouts.joined(i, o.filter("o_orderpriority is null or o_orderpriority <> '1-URGENT'"), ["key"], "left_semi")
+    return _bucketed(spark, left, (orders, ["key"], {}), (items, ["key"], {}))
+
+
+def bucketed_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as chunks with a key of three parts: later ones replace or join earlier ones and get their time."""
+    key = ["l_orderkey", "l_returnflag", "l_linenumber"]
+    items = table(spark, d, "lineitem").groupBy(*key).agg(F.max("l_quantity").cast("int").alias("size")).withColumn("updated_at", F.lit("first"))
+    old, new = items.filter("l_linenumber < 6"), items.filter("l_orderkey % 2 = 0").withColumn("size", F.col("size") + 1).drop("updated_at")
+    both = lambda a, b: S.upsert(a.hint("merge"), b.hint("merge"), key, stamp={"updated_at": F.lit("later")})
+    return _bucketed(spark, both, (old, key, {}), (new, key, {}))
+
+
+def page_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """The pages of the first and the last url, by the bucket key, and of the greatest id, by its Bloom filter."""
+    pages = table(spark, d, "pages").select("page_id", "url", F.length("html").alias("size"))
+    first, last, most = pages.agg(F.min("url"), F.max("url"), F.max("page_id")).collect()[0]
+    by_url = lambda p: p.filter(F.col("url").isin([u for u in (first, last) if u is not None])).withColumn("by", F.lit("url"))
+    by_page = lambda p: p.filter(F.col("page_id") == F.lit(most)).withColumn("by", F.lit("id"))
+    return _bucketed(spark, lambda p: by_url(p).unionByName(by_page(p)), (pages, ["url"], {"bloom": {"page_id": 1_000_000}}))
+
+
 def trace_events(spark: SparkSession, d: str) -> DataFrame:
     trace = Trace()
     count = trace.traced("count")(lambda name: table(spark, d, name).count())
@@ -210,13 +262,21 @@ QUERIES = {
     f.__name__: f
     for f in (
         json_lines, json_wrapped, json_object_stream, json_object_ranges, latest_snapshot, qrels_last_wins, listed_lines, rows_prefix, title_by_id, repeated_keys, missing_tables, articles_normalised, riders_normalised,
-        writer_texts, dry_run_counts, log_of_useful, snapshot_runs, grounding_payload, checked_vectors, candidate_lists, trace_events,
+        writer_texts, dry_run_counts, log_of_useful, snapshot_runs, grounding_payload, checked_vectors, candidate_lists, trace_events, bucketed_missing,
+        bucketed_cascade, bucketed_upsert, page_lookups,
     )
 }
 
 _RUN = "strftime(o_orderdate, '%Y%m%d_%H%M%S')"
 _BULLET = "regexp_replace('•: - ' || source, '^[:\\-–—•\\s]+', '')"
 ORACLES = {
+    "bucketed_missing": "SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = d.doc_id)",
+    "bucketed_cascade": "SELECT l_orderkey AS key, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority IS DISTINCT FROM '1-URGENT')",
+    "bucketed_upsert": """WITH i AS (SELECT l_orderkey, l_returnflag, l_linenumber, max(l_quantity)::INTEGER AS size FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, l_returnflag, l_linenumber, CASE WHEN l_orderkey % 2 = 0 THEN size + 1 ELSE size END::INTEGER AS size, CASE WHEN l_orderkey % 2 = 0 THEN 'later' ELSE 'first' END AS updated_at
+FROM i WHERE l_linenumber < 6 OR l_orderkey % 2 = 0""",
+    "page_lookups": """SELECT page_id, url, length(html)::INTEGER AS size, 'url' AS by FROM pages WHERE url IN ((SELECT min(url) FROM pages), (SELECT max(url) FROM pages))
+UNION ALL SELECT page_id, url, length(html)::INTEGER, 'id' FROM pages WHERE page_id = (SELECT max(page_id) FROM pages)""",
     "json_lines": "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer",
     "json_wrapped": "SELECT n_nationkey, n_name FROM nation",
     "json_object_stream": "SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::INTEGER AS pos, n_name AS qid, n_nationkey::INTEGER AS n FROM nation",

@@ -107,6 +107,14 @@ def event_text_norm(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", X.title_words(t).alias("title_words"), X.letters_and_digits(t).alias("letters"))
 
 
+def words_by_letters(spark: SparkSession, d: str) -> DataFrame:
+    """Each language's words but for case and accents: how often, in how many spellings, and the first of these."""
+    words = _docs(spark, d).select("lang", F.explode(F.split("text", r"[^\p{L}\p{N}]+")).alias("word")).filter("word <> ''")
+    spelt = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))  # far fewer rows than words reach the collated key
+    groups = spelt.groupBy("lang", X.letters_key(F.col("word")).alias("key")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("spellings"), F.min("word").alias("first"))
+    return groups.select("lang", "first", "n", "spellings")
+
+
 def title_match(spark: SparkSession, d: str) -> DataFrame:
     """Parts' names as titles, matched with the types of the same size as events."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
@@ -137,7 +145,7 @@ _TOK = "list_distinct(list_filter(string_split({0}, ' '), lambda t: t <> ''))"
 QUERIES = {
     "phrases_split": phrases_split, "list_items": list_items, "pack_chunks": pack_chunks, "chunk_tokens": chunk_tokens, "embedding_text": embedding_text, "payload_summary": payload_summary,
     "rider_chunk_text": rider_chunk_text, "year_extract": year_extract, "redact_logs": redact_logs, "stable_ids": stable_ids, "point_ids": point_ids, "url_parts": url_parts,
-    "event_text_norm": event_text_norm, "title_match": title_match, "html_links": html_links,
+    "event_text_norm": event_text_norm, "title_match": title_match, "words_by_letters": words_by_letters, "html_links": html_links,
 }
 
 ORACLES = {
@@ -186,6 +194,8 @@ SELECT doc_id, sha256({_STRIP.format("coalesce(source, '')")} || chr(10) || {_ST
 WITH u AS (SELECT page_id, url, lower(split_part(regexp_replace(url, '^https?://', ''), '/', 1)) AS domain, coalesce(nullif(regexp_extract(url, '^(https?://[^/]+)', 1), ''), url) AS base FROM pages)
 SELECT page_id, regexp_replace(url, '[?#].*$', '') AS canonical, domain, base, regexp_replace(base, '/+$', '') || '/rules' AS rules_url,
   {' OR '.join(f"contains(domain, '{s}')" for s in SOCIAL)} AS social FROM u""",
+    "words_by_letters": r"""WITH w AS (SELECT lang, unnest(regexp_split_to_array(text, '[^\p{L}\p{N}]+')) AS word FROM documents)
+SELECT lang, min(word) AS first, count(*) AS n, count(DISTINCT word) AS spellings FROM w WHERE word <> '' GROUP BY lang, replace(strip_accents(lower(word)), 'ß', 'ss')""",
     "title_match": f"""
 WITH n AS (SELECT p_partkey, p_size, {_NORM.format('p_name')} AS a, {_NORM.format('p_type')} AS b FROM part), p AS (
   SELECT p_partkey, a, y.b FROM n JOIN (SELECT DISTINCT p_size, b FROM n) y USING (p_size)
