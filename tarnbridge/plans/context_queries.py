@@ -23,7 +23,7 @@ from tarnbridge.operators.parsing import article_of
 from tarnbridge.plans import retrieval_queries as Q
 from tarnbridge.plans import rule_queries as U
 from tarnbridge.session import shared_folder
-from tarnbridge.sources.tables import table
+from tarnbridge.sources.tables import spread, table
 
 #: Ten pages in a row are the results of one search; kinds of sites by their names.
 KINDS = {"social": ("m.",), "listings": (".example.net",), "trackers": (".example.org",)}
@@ -119,12 +119,32 @@ def eval_queries(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("event").agg(F.count_distinct("query").alias("queries"), F.count_distinct("qid").alias("ids"), whole.alias("whole"))
 
 
+#: Questions, the events that they are about, and whether they would pass as names themselves.
+ASKED = {
+    "Which tyres for the Tour Divide?": ("Tour Divide", False), "is the silk road a mountain race": ("Silk Road Mountain Race", True), "TCR setup": ("Transcontinental Race", True),
+    "I am doing Long Ridge Trail 300 next week": ("Long Ridge Trail 300", False), "what now": ("Unknown event", False), "Which bags for the Gran Sasso Odyssey?": ("Gran Sasso Odyssey", False),
+    "use Alpen Dash website rules": ("Alpen Dash", True), "Show 3 riders": ("Unknown event", True), "lights at Sierra y Mar, please": ("Sierra y Mar", True),
+}
+
+
 def event_names(spark: SparkSession, d: str) -> DataFrame:
-    """The event that each question is about; the cascade has no SQL form."""
-    known = {"tour of spain": "Tour of Spain", "tos": "Tour of Spain", "big divide": "Big Divide"}
-    forms = ("Which tyres for the Tour of Spain?", "is the divide big", "I am doing Long Ridge Trail 300 next week", "what now", "TOS setup")
-    q = U.chosen(forms, F.col("doc_id"))
-    return table(spark, d, "documents").select("doc_id", N.event_names(q, known).alias("event"), N.is_event_name(q).alias("reads_as_name"))
+    """The event that each question is about."""
+    q = U.chosen(tuple(ASKED), F.col("doc_id"))
+    return spread(table(spark, d, "documents").select("doc_id")).select("doc_id", N.event_names(q).alias("event"), N.is_event_name(q).alias("reads_as_name"))
+
+
+def enough_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Sources as queries: whether two documents of theirs at least have two of language, quality and toxicity."""
+    both = table(spark, d, "documents").select("doc_id", "source", "lang").join(table(spark, d, "labels"), "doc_id", "left")
+    covered = sum((F.coalesce(c, F.lit(False)).cast("int") for c in (F.col("lang") != "", F.col("quality").isNotNull(), F.col("toxic").isNotNull())), F.lit(0))
+    return R.enough_evidence(both.select(F.concat_ws("/", "source", "lang").alias("query_id"), covered.alias("covered")), "covered", of=3)
+
+
+def intent_searches(spark: SparkSession, d: str) -> DataFrame:
+    """Both searches for each document's component, its whole text being the question."""
+    component = U.chosen(("full_setup", "bags", "tyres", "cockpit"), F.col("doc_id"))
+    first, second = R.intent_queries(F.col("source"), F.col("text"), component, {"bags": "bags, packs", "tyres": "tyre width"})
+    return table(spark, d, "documents").select("doc_id", first.alias("first"), second.alias("second"))
 
 
 def two_attempts(spark: SparkSession, d: str) -> DataFrame:
@@ -204,7 +224,7 @@ def coverage_counters(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (rider_chunk_rows, ranked_candidates, similar_search, coverage_counters, search_merge, site_candidates, context_pages, context_texts, unproven_contexts, embed_missing, embed_store, judged_calls, eval_queries, event_names, two_attempts, default_setup, fill_component, postprocess, gt_expectations, gt_questions)
+    for f in (enough_evidence, intent_searches, rider_chunk_rows, ranked_candidates, similar_search, coverage_counters, search_merge, site_candidates, context_pages, context_texts, unproven_contexts, embed_missing, embed_store, judged_calls, eval_queries, event_names, two_attempts, default_setup, fill_component, postprocess, gt_expectations, gt_questions)
 }
 
 _RES = "r AS (SELECT page_id // 10 AS event, (page_id % 10)::INTEGER AS rank, regexp_replace(url, '[?#].*$', '') AS url FROM pages)"
@@ -231,6 +251,13 @@ _UNIQUE = "list_filter(list_filter({0}, lambda v: v IS NOT NULL), lambda v, i: l
 
 _RR = U._RERANKED.replace(Q._h(30), Q._dedup(50)).replace("FROM h\n), c AS", "FROM (SELECT * EXCLUDE (pos, place), place AS pos FROM l)\n), c AS")
 ORACLES = {
+    "event_names": f"""SELECT doc_id, {U._choose([e for e, _ in ASKED.values()], 'doc_id')} AS event, ([{', '.join(str(n).lower() for _, n in ASKED.values())}])[doc_id % {len(ASKED)} + 1] AS reads_as_name FROM documents""",
+    "enough_evidence": """SELECT concat_ws('/', source, lang) AS query_id, count(*) FILTER (WHERE coalesce(lang <> '', false)::INTEGER + (quality IS NOT NULL)::INTEGER + (toxic IS NOT NULL)::INTEGER >= 3) >= 2 AS enough
+FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""",
+    "intent_searches": f"""WITH c AS (SELECT doc_id, source, text, {U._choose(('full_setup', 'bags', 'tyres', 'cockpit'), 'doc_id')} AS c FROM documents),
+p AS (SELECT *, CASE c WHEN 'bags' THEN 'bags, packs' WHEN 'tyres' THEN 'tyre width' ELSE c END AS phrase FROM c)
+SELECT doc_id, CASE WHEN c = 'full_setup' THEN source ELSE source || '. Focus: ' || phrase END AS first,
+  CASE WHEN c <> 'full_setup' OR text IS NULL OR trim(text) = '' THEN source ELSE source || '. Question focus: ' || trim(text) END AS second FROM p""",
     "embed_store": "SELECT p_partkey, length(p_name)::INTEGER AS n, (length(p_name) - length(replace(lower(p_name), 'a', '')))::INTEGER AS a FROM part WHERE trim(p_name) <> ''",
     "eval_queries": "SELECT n_name || ' Ultra' AS event, 40 AS queries, 40 AS ids, 40 AS whole FROM nation",
     "judged_calls": "SELECT doc_id, CASE WHEN doc_id::VARCHAR NOT LIKE '%00' THEN least(6, doc_id % 9) END::INTEGER AS score, doc_id::VARCHAR LIKE '%00' AS rejected FROM documents",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnbridge.functions import hashing as H
 from tarnbridge.functions import text as X
+from tarnbridge.operators.judging import serialized
 from tarnbridge.operators.parsing import links_of
 from tarnbridge.sources.tables import spread, table
 
@@ -115,6 +116,14 @@ def words_by_letters(spark: SparkSession, d: str) -> DataFrame:
     return groups.select("lang", "first", "n", "spellings")
 
 
+def text_details(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's text as a title, its source and language as a login and as a record, and the start of its text for a trace."""
+    title = X.clean_title(F.concat(F.lit(" Bikes of "), F.coalesce("text", F.lit("")), F.lit(" bikes OF")))
+    login = F.concat(F.lit("postgresql://u:"), F.coalesce("source", F.lit("")), F.lit("@"), F.coalesce("lang", F.lit("")), F.lit("/db"))
+    record = serialized(F.struct("doc_id", F.array(F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))).alias("of")))
+    return _docs(spark, d).select("doc_id", title.alias("title"), X.masked_dsn(login).alias("login"), record.alias("record"), X.clipped(F.col("text"), 80).alias("clip"))
+
+
 def title_match(spark: SparkSession, d: str) -> DataFrame:
     """Parts' names as titles, matched with the types of the same size as events."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
@@ -145,7 +154,7 @@ _TOK = "list_distinct(list_filter(string_split({0}, ' '), lambda t: t <> ''))"
 QUERIES = {
     "phrases_split": phrases_split, "list_items": list_items, "pack_chunks": pack_chunks, "chunk_tokens": chunk_tokens, "embedding_text": embedding_text, "payload_summary": payload_summary,
     "rider_chunk_text": rider_chunk_text, "year_extract": year_extract, "redact_logs": redact_logs, "stable_ids": stable_ids, "point_ids": point_ids, "url_parts": url_parts,
-    "event_text_norm": event_text_norm, "title_match": title_match, "words_by_letters": words_by_letters, "html_links": html_links,
+    "event_text_norm": event_text_norm, "title_match": title_match, "words_by_letters": words_by_letters, "text_details": text_details, "html_links": html_links,
 }
 
 ORACLES = {
@@ -194,6 +203,8 @@ SELECT doc_id, sha256({_STRIP.format("coalesce(source, '')")} || chr(10) || {_ST
 WITH u AS (SELECT page_id, url, lower(split_part(regexp_replace(url, '^https?://', ''), '/', 1)) AS domain, coalesce(nullif(regexp_extract(url, '^(https?://[^/]+)', 1), ''), url) AS base FROM pages)
 SELECT page_id, regexp_replace(url, '[?#].*$', '') AS canonical, domain, base, regexp_replace(base, '/+$', '') || '/rules' AS rules_url,
   {' OR '.join(f"contains(domain, '{s}')" for s in SOCIAL)} AS social FROM u""",
+    "text_details": """SELECT doc_id, trim(regexp_replace(' Bikes of ' || coalesce(text, '') || ' bikes OF', 'bikes of', '', 'gi')) AS title, CASE WHEN coalesce(source, '') = '' THEN 'postgresql://u:@' ELSE 'postgresql://u:***@' END || coalesce(lang, '') || '/db' AS login,
+  to_json({doc_id: doc_id, of: [coalesce(source, ''), coalesce(lang, '')]})::VARCHAR AS record, CASE WHEN length(text) > 80 THEN substring(text, 1, 80) || '...' ELSE text END AS clip FROM documents""",
     "words_by_letters": r"""WITH w AS (SELECT lang, unnest(regexp_split_to_array(text, '[^\p{L}\p{N}]+')) AS word FROM documents)
 SELECT lang, min(word) AS first, count(*) AS n, count(DISTINCT word) AS spellings FROM w WHERE word <> '' GROUP BY lang, replace(strip_accents(lower(word)), 'ß', 'ss')""",
     "title_match": f"""

@@ -24,7 +24,8 @@ def write_snapshot(rows: DataFrame, path: str, run_id: str) -> bool:
 def swap(rows: DataFrame, path: str) -> None:
     """Replace a table by rows that may be read from it: written beside it, then renamed.
 
-    A reader sees the old table or the new one; what fails before the renaming leaves the old one.
+    What fails before the renaming leaves the old table. Between the two renames a reader that starts finds none for a
+    moment; streaming.upserts.UpsertTable publishes by one rename, where readers come at any time.
     """
     spark = rows.sparkSession
     rows.write.mode("overwrite").parquet(f"{path}.new")

@@ -74,6 +74,10 @@ def test_json_inside(spark):
     assert one(spark, X.json_inside(X.without_thoughts(F.col("t"))), t='<think>{"a": 0}</think> so {"a": {"b": 1}} done') == '{"a": {"b": 1}}'
 
 
+def test_clean_title(spark):
+    assert [one(spark, X.clean_title(F.col("t")), t=t) for t in ("Bikes of Badlands 2023", "The BIKES OF bikes of x ", "", "bikesof")] == ["Badlands 2023", "The   x", "", "bikesof"]
+
+
 def test_masked(spark):
     assert one(spark, X.masked_dsn(F.col("t")), t="postgresql://me:secret@host/db") == "postgresql://me:***@host/db"
     assert one(spark, X.clipped(F.col("t"), 3), t="abcd") == "abc..." and one(spark, X.clipped(F.col("t"), 4), t="abcd") == "abcd"

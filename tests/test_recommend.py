@@ -16,6 +16,21 @@ def test_event_name(question, name):
     assert event_names.event_name(question, KNOWN) == name
 
 
+@pytest.mark.parametrize("question, name", [
+    ("srmr or the ht550?", "Highland Trail 550"), ("bags for GB-Duro", "GB Duro"), ("Recommend 3", "Unknown event"), ("Which bags for Trans Pyrenees & Back official rules?", "Trans Pyrenees & Back"),
+    ("riding the coast to Lands End, quickly", "coast to Lands End"), ("doing Odyssey", "Odyssey"), ("set up for the Rally of Tales", "Rally of Tales"), ("Best Lights", "Unknown event"), ("Show 3 riders", "Unknown event"), ("show 3 riders", "3"), ("for abc", "Unknown event"),
+])
+def test_event_name_of_known_events_and_by_the_words_before(question, name):
+    assert event_names.event_name(question, event_names.KNOWN_EVENTS) == name
+
+
+def test_parts_of_the_event_cascade():
+    assert event_names.trimmed(" (for the  Big Loop setup, and more) ") == "the Big Loop" and event_names.trimmed("?!") == ""
+    assert list(event_names.spans("Ride La Ruta de los Conquistadores, or AB & C no")) == ["Ride La Ruta de", "Conquistadores", "AB & C no"]
+    assert [n for n in ("", "Give Race", "my bike", "Ride", "Abc", "abcd", "4x", "big tour", "a b c d e f g h 9") if event_names.reads_as_event(n)] == ["Ride", "4x", "big tour"]
+    assert event_names.score("Tour Divide", event_names.KNOWN_EVENTS) == 18 and event_names.score("Loop 300", {}) == 7 and event_names.event_name("anything", {}) == "Unknown event"
+
+
 @pytest.mark.parametrize("name, good", [("Big Divide", True), ("what is it", False), ("", False), (None, False), ("unknown event", False), ("a b c d e f g h i", False)])
 def test_is_event_name(spark, name, good):
     assert spark.range(1).select(event_names.is_event_name(F.lit(name).cast("string"))).collect()[0][0] is good
