@@ -186,9 +186,9 @@ def assigned(vectors: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFr
     return vectors.select(F.col("id").cast("bigint").alias("id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "list int, id bigint, vector array<double>")
 
 
-def write(vectors: DataFrame, centres: np.ndarray, path: str) -> None:
-    """The index as a table whose folders are the lists, so that a search reads those that it probes."""
-    assigned(vectors, centres).repartition("list").write.mode("overwrite").partitionBy("list").parquet(path)
+def write(vectors: DataFrame, centres: np.ndarray, path: str, files: int = 8) -> None:
+    """The index as a table whose folders are the lists, so that a search reads those that it probes; a list's rows are dealt to some files."""
+    assigned(vectors, centres).repartition("list", F.pmod(F.xxhash64("id"), F.lit(files))).write.mode("overwrite").partitionBy("list").parquet(path)
 
 
 def search(index: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, probes: int) -> DataFrame:
@@ -203,9 +203,9 @@ def search(index: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, pr
         return salted.repartition("list", "part").sortWithinPartitions("list", "part").select("list", "part", "id", "vector").mapInArrow(_list_blocks, f"list int, {N._BLOCK}")
 
     asked = packed(assigned(queries, centres, probes))
-    asked = asked.select("list", F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("scopes").alias("q_scopes"), F.col("matrix").alias("q_matrix"))
-    met = packed(index).join(asked, "list").filter("dim = q_dim").drop("list", "dim", "q_dim")
-    hits = met.mapInArrow(N._best(k, False), N._HIT)
+    asked = asked.withColumnsRenamed({"ids": "q_ids", "matrix": "q_matrix"})
+    met = packed(index).join(asked, ["list", "dim", "scope"])
+    hits = met.select("q_ids", "ids", "q_matrix", "matrix").mapInArrow(N._best(k), N._HIT)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "id")
     return hits.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= k)
 
@@ -219,8 +219,8 @@ def _list_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = _unit(np.array(lists.flatten().to_numpy(zero_copy_only=False), float).reshape(len(whole), -1))
         ids = whole.column("id").to_numpy().astype(np.int64)
         return pa.RecordBatch.from_arrays([
-            pa.array([whole.column("list")[0].as_py()], pa.int32()), pa.array([x.shape[1]], pa.int32()), pa.array([ids.tobytes()]), pa.array([np.zeros(len(ids), np.int64).tobytes()]), pa.array([x.tobytes()]),
-        ], ["list", "dim", "ids", "scopes", "matrix"])
+            pa.array([whole.column("list")[0].as_py()], pa.int32()), pa.array([x.shape[1]], pa.int32()), pa.array([0], pa.int64()), pa.array([ids.tobytes()]), pa.array([x.tobytes()]),
+        ], ["list", "dim", "scope", "ids", "matrix"])
 
     held, key, count = [], None, 0
     for batch in batches:

@@ -27,6 +27,35 @@ def test_nearest_is_exact(spark):
             assert [found[q][p] for p in range(1, 6)] == [i for _, i in sorted(s)[:5]]
 
 
+@pytest.mark.parametrize("scope", [None, "label"])
+def test_nearest_for_many_queries(spark, scope, monkeypatch):
+    """Blocks meet by scope and share: no product of all blocks, the same rows, also of a scope that most vectors have."""
+    r = np.random.default_rng(5)
+    rows = [(i, v.tolist(), None if i % 50 == 49 else 0 if i % 3 else i % 7) for i, v in enumerate(r.normal(size=(600, 6)))]
+    rows += [(900 + i, rows[i][1], 0) for i in range(20)] + [(950, None, 0), (951, [0.0] * 6, 0), (952, [float("nan")] * 6, 0), (953, [None] * 6, 0), (954, [1.0, 2.0], 0)]
+    v = spark.createDataFrame(rows, "id bigint, vector array<double>, label int").repartition(6)
+    q = v.filter("id % 4 = 0")
+    few = nearest.nearest(v, q, 5, scope)
+    monkeypatch.setattr(nearest, "FEW", 10)
+    monkeypatch.setattr(nearest, "SHARE", 50)
+    many = nearest.nearest(v, q, 5, scope)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    plain = lambda df: sorted((x["query_id"], x["pos"], x["id"], round(x["similarity"], 9)) for x in df.collect())
+    assert plain(many) == plain(few)
+    label, unit = {i: w for i, _, w in rows}, {i: np.array(x) / np.linalg.norm(x) for i, x, _ in rows if x and len(x) == 6 and x[0] and np.isfinite(x[0])}
+    found = [(a, i) for a, p, i, _ in plain(many) if p == 1]
+    assert len(found) == sum(i % 4 == 0 for i in unit)
+    for a, p, i, s in plain(many):
+        better = sum(round(float(unit[a] @ u), 9) > s for j, u in unit.items() if scope is None or label[j] == label[a])
+        assert better < p and (scope is None or label[a] == label[i])
+
+
+def test_nearest_of_nothing(spark):
+    v = spark.createDataFrame([], "id bigint, vector array<double>, label int")
+    assert nearest.nearest(v, v, 3).count() == nearest.nearest(v, v, 3, "label").count() == 0
+
+
 def _metrics(ids, rel, k):
     top = ids[:k]
     hit = [i for i in top if rel.get(i, 0) > 0]
