@@ -34,6 +34,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,8 +63,8 @@ REMEMBERED = 400_000
 LONG = 60
 #: Marks that end a word of the tokenizer where they follow a letter.
 MARKS = frozenset(".,;:!?")
-#: Characters of texts encoded together; a longer text is taken alone.
-TOGETHER = 1 << 20
+#: Bytes of texts encoded together, the last of them whole; a longer text is taken alone.
+TOGETHER = 2 << 20
 
 _U = np.uint64
 _HEAD = 8
@@ -80,15 +81,15 @@ def packed(ids: np.ndarray) -> np.ndarray:
     # least selector by bits of each id; more than any selector has behind the end
     least = np.full(n + COUNTS[0], len(BITS) + 1, np.int8)
     least[:n] = _CLASSES[ids] if int(ids.max()) < len(_CLASSES) else np.searchsorted(_LIMITS, ids, side="right")
-    choice = np.zeros(n, np.int8)
+    fitting = np.zeros(n, np.int8)  # selectors that fit at each place; where one fits, so do all after it
     most, width = least, 1  # the greatest of so many ids from each place on
     for selector in range(len(COUNTS), 0, -1):
         count = COUNTS[selector - 1]
         while 2 * width <= count:
             most = np.maximum(most[:-width], most[width:])
             width *= 2
-        fits = np.maximum(most[:n], most[count - width : count - width + n]) < selector
-        choice[fits] = selector
+        fitting += (np.maximum(most[:n], most[count - width : count - width + n]) < selector).view(np.int8)
+    choice = (len(COUNTS) + 1 - fitting) % (len(COUNTS) + 1)
     takes = np.array([1, *COUNTS])[choice].tolist()
     starts, at = [], 0
     while at < n:
@@ -159,51 +160,74 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}  # what was known before; what is asked for again is known again
 
-    def _encoded(self, pieces: list[str]) -> Iterator[bytes]:
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces. Those without line breaks go to the library as lines of one text."""
         lines = [p for p in pieces if "\n" not in p]
-        others = [p for p in pieces if "\n" in p]
-        (whole,), *_ = [self.tokenizer.encode_batch_fast(["\n".join(["", *lines, ""])], add_special_tokens=False)]
+        whole = self.tokenizer.encode_batch_fast(["\n".join(["", *lines, ""])], add_special_tokens=False)[0]
         ids = np.array(whole.ids, "<u4")
-        ends = np.flatnonzero(ids == ids[0])
-        if len(ends) != len(lines) + 1:  # a line break has become part of a longer token
-            ids, ends = None, None
-        raw = ids.tobytes() if ids is not None else b""
-        of_lines = iter([raw[4 * a + 4 : 4 * z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]) if ids is not None else map(self._one, lines)
-        of_others = map(self._one, others)
-        for p in pieces:
-            yield next(of_others if "\n" in p else of_lines)
+        ends = (4 * np.flatnonzero(ids == ids[0])).tolist()
+        if len(ends) == len(lines) + 1:
+            raw = ids.tobytes()
+            found = [raw[a + 4 : z] for a, z in zip(ends, ends[1:], strict=False)]
+        else:  # a line break has become part of a longer token
+            found = list(map(self._one, lines))
+        if len(lines) == len(pieces):
+            return found
+        of_lines = iter(found)
+        return [self._one(p) if "\n" in p else next(of_lines) for p in pieces]
 
     def _one(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in t else self._CUT.split(t) for t in texts]
-        wanted: set[str] = set()
-        for pieces in cut:
-            wanted.update(pieces)
+    def _learn(self, new: list[str]) -> list[str]:
+        """Makes pieces that aren't known known, and gives those that the library was asked for."""
         known, old = self.known, self.old
-        new = [p for p in wanted if p not in known]
-        # white space beside white space: such texts are cut with more care, their odd pieces are never known
-        odd = {p for p in new if not p or (p != "\n" and _has_odd_ends(p))}
-        if odd:
-            cut = [pieces if odd.isdisjoint(pieces) else self._CUT.split(t) for pieces, t in zip(cut, texts, strict=True)]
-            wanted = set().union(*cut)
-            new = [p for p in wanted if p not in known]
         if old:
-            known.update((p, old[p]) for p in new if p in old)
-            new = [p for p in new if p not in known]
+            again = {p: own for p, own in zip(new, map(old.get, new), strict=True) if own is not None}
+            known.update(again)
+            new = [p for p in new if p not in again]
         marked = [p for p in new if p[-1:] in MARKS and p[-2:-1].isascii() and p[-2:-1].isalpha()]
         asked = set(new).difference(marked)
         asked.update(p for m in marked for p in (m[:-1], m[-1]) if p not in known)
         known.update(zip(asked, self._encoded(list(asked)), strict=True))
         for p in marked:
             known[p] = known[p[:-1]] + known[p[-1]]
-        ids = {p: known[p] for p in wanted}.__getitem__  # few, so that they stay near the processor
-        out = [b"".join(map(ids, pieces)) for pieces in cut]
-        gone = [p for p in (*asked, *marked) if len(p) > LONG]
-        if odd:
-            gone += [p for p in (*asked, *marked) if not p or (p != "\n" and _has_odd_ends(p))]
+        return [*asked, *marked]
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each text. Arrow cuts the texts, numbers their different pieces and puts the ids together."""
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0"), "\0")
+        first = np.asarray(cut.offsets)
+        coded = cut.flatten().dictionary_encode()
+        pieces, codes = _strings(coded.dictionary), np.asarray(coded.indices)
+        del cut
+        known = self.known
+        ids = list(map(known.get, pieces))
+        missing = [i for i, own in enumerate(ids) if own is None]
+        # white space beside white space: such texts are cut with more care, their odd pieces are never known
+        odd = np.zeros(len(pieces), bool)
+        odd[[i for i in missing if not pieces[i] or (pieces[i] != "\n" and _has_odd_ends(pieces[i]))]] = True
+        careful = np.asarray(pc.match_substring(texts, "\0"))
+        if odd.any():
+            careful = careful | (np.diff(np.append(0, np.cumsum(odd[codes]))[first]) > 0)
+        with_care = {i: self._CUT.split(texts[i].as_py()) for i in np.flatnonzero(careful).tolist()}
+        missing = [i for i in missing if not odd[i]]
+        new = {pieces[i] for i in missing}
+        new.update(p for cut in with_care.values() for p in cut if p not in known)
+        learned = self._learn(list(new)) if new else []
+        for i in missing:
+            ids[i] = known[pieces[i]]
+        whole = pa.array(ids, pa.large_binary()).take(coded.indices)  # odd pieces have none; their texts are left out
+        _, ends, data = whole.buffers()
+        ends = np.frombuffer(ends, np.int64, len(whole) + 1)[first].tolist()
+        raw = memoryview(data or b"")
+        out = [bytes(raw[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)]
+        for i, cut in with_care.items():
+            out[i] = b"".join(map(known.__getitem__, cut))
+        gone = [p for p in learned if len(p) > LONG]
+        if with_care:
+            gone += [p for p in learned if not p or (p != "\n" and _has_odd_ends(p))]
         for p in gone:
             known.pop(p, None)
         if len(known) > REMEMBERED:
@@ -211,6 +235,14 @@ class Encoder:
         return out
 
 
+def _strings(values: pa.Array) -> list[str]:
+    """The values, none of which has a null character: one string for all is made much faster than a string each."""
+    if not len(values):
+        return []
+    all_of_them = pa.LargeListArray.from_arrays(pa.array([0, len(values)], pa.int64()), values)
+    return pc.binary_join(all_of_them, pa.scalar("\0", values.type))[0].as_py().split("\0")
+
+
 def _has_odd_ends(piece: str) -> bool:
     """White space at an end, but for one blank before the rest."""
     return piece[-1].isspace() or piece[1:2].isspace() or (piece[0] != " " and piece[0].isspace())
@@ -255,18 +287,13 @@ def _parts(docs: DataFrame) -> int:
     return max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
 
 
-def _together(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+def _together(batch: pa.RecordBatch) -> Iterator[tuple[list, pa.Array]]:
     """Ids and texts of some rows at a time."""
-    docs, texts, size = [], [], 0
-    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        docs.append(doc)
-        texts.append(text.as_py())
-        size += len(texts[-1])
-        if size > TOGETHER:
-            yield docs, texts
-            docs, texts, size = [], [], 0
-    if docs:
-        yield docs, texts
+    size, at = np.cumsum(pc.binary_length(batch.column(1)).to_numpy()), 0
+    while at < len(size):
+        end = min(len(size), 1 + int(np.searchsorted(size, (size[at - 1] if at else 0) + TOGETHER)))
+        yield batch.column(0)[at:end].to_pylist(), batch.column(1)[at:end]
+        at = end
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> None:
