@@ -15,8 +15,11 @@ at any size of set.
 
 Rows with one set of shingles are one class. Classes with a common signature are first linked
 along the sorted members of the signature, linked pairs are verified against the whole sets, and
-only classes that are not connected yet are then compared with each other, all of them. The
-classes of a group of copies are thus never expanded into pairs.
+only classes that are not connected yet are then compared with each other, all of them. Of the
+pairs that parities can't tell apart the workers give back a spanning forest. Its trees hold all
+such pairs; within a tree whole sets are compared, and again a spanning forest of the links comes
+back. The classes of a group of copies are thus never expanded into pairs, and rows are as many as
+classes in signatures at most, not as pairs.
 
 Empty and null texts, or texts without words, have no shingles and link with nothing. Rows that
 repeat a doc_id count as copies where the sets are equal and as documents of their own where they
@@ -51,9 +54,12 @@ MOST_BITS = 24
 FILTER_WORDS = 1 << 17
 #: Parity words of a set at least.
 PARITY = 8
-#: Members of a run that a worker holds while the others stream past; pairs compared at a time.
+#: Members of a run that a worker holds while the others stream past, and shingles of such members; pairs compared at a time.
 BLOCK = 4096
+BLOCK_SHINGLES = 1 << 22
 PAIRS = 1 << 18
+#: Runs of a class, the first by name, that go with it, so that few pairs are told in several runs.
+FIRST_RUNS = 32
 
 _U = np.uint64
 
@@ -371,16 +377,21 @@ def _key(doc_id: str = "doc_id"):
     return F.struct(F.col(doc_id).alias("doc_id"), F.col("node").alias("node"))
 
 
+def _whole_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, node and shingles of the documents of some doc_ids; texts are read again for these only."""
+    texts = docs.mapInArrow(_sets(_filter_of(ids)), "doc_id bigint, text string")
+    return texts.join(ids, "doc_id", "left_semi").repartition("doc_id").mapInArrow(_shingle_arrays, "doc_id bigint, node bigint, shingles array<bigint>")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough; texts are read again for these only."""
+    """The pairs (a, b) whose whole sets are similar enough."""
     pairs = checkpointed(pairs)
     ids = pairs.select(F.explode(F.array("a.doc_id", "b.doc_id")).alias("doc_id")).distinct()
-    texts = docs.mapInArrow(_sets(_filter_of(ids)), "doc_id bigint, text string")
-    sets = checkpointed(texts.join(ids, "doc_id", "left_semi").repartition("doc_id").mapInArrow(_shingle_arrays, "doc_id bigint, node bigint, shingles array<bigint>"))
+    sets = checkpointed(_whole_sets(ids, docs))
     both = pairs.join(sets.select(_key().alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(_key().alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     out = checkpointed(both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
-    del pairs, ids, texts, sets, both
+    del pairs, ids, sets, both
     forget(out.sparkSession)
     return out
 
@@ -400,14 +411,36 @@ def _near(percent: int):
     return run
 
 
+class Forest:
+    """Which classes are connected by the edges so far."""
+
+    def __init__(self):
+        self.above: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def root(self, x: tuple[int, int]) -> tuple[int, int]:
+        path = []
+        while (up := self.above.get(x, x)) != x:
+            path.append(x)
+            x = up
+        for y in path:
+            self.above[y] = x
+        return x
+
+    def connects(self, a: tuple[int, int], b: tuple[int, int]) -> bool:
+        """Put an edge in; whether it connects what was apart."""
+        a, b = self.root(a), self.root(b)
+        self.above[max(a, b)] = min(a, b)
+        return a != b
+
+
 class _Members:
-    """Keys, components, sets and short parities of some members of a run."""
+    """Keys, components, sets and short parities of some members of a run; their first runs, or their shingles."""
 
-    def __init__(self, key: np.ndarray, component: np.ndarray, in_top: np.ndarray, sets: Sets, short: np.ndarray):
-        self.key, self.component, self.in_top, self.sets, self.short = key, component, in_top, sets, short
+    def __init__(self, key: np.ndarray, component: np.ndarray, in_top: np.ndarray, sets: Sets, short: np.ndarray, more: np.ndarray):
+        self.key, self.component, self.in_top, self.sets, self.short, self.more = key, component, in_top, sets, short, more
 
     def __getitem__(self, some: slice) -> _Members:
-        return _Members(self.key[:, some], self.component[:, some], self.in_top[some], self.sets[some], self.short[:, some])
+        return _Members(self.key[:, some], self.component[:, some], self.in_top[some], self.sets[some], self.short[:, some], self.more[some])
 
     def __len__(self) -> int:
         return len(self.in_top)
@@ -418,11 +451,11 @@ class _Members:
         own = [getattr(p.sets, k) for k in ("n", "words") for p in parts]
         n, words, at = np.concatenate(own[: len(parts)]), np.concatenate(own[len(parts) :]), np.concatenate([p.sets.at + b for p, b in zip(parts, base, strict=True)])
         sets = Sets(n, words, at, np.concatenate([p.sets.odd for p in parts]))
-        return cls(*(np.concatenate([getattr(p, k) for p in parts], axis=-1) for k in ("key", "component", "in_top")), sets, np.concatenate([p.short for p in parts], axis=1))
+        return cls(*(np.concatenate([getattr(p, k) for p in parts], axis=-1) for k in ("key", "component", "in_top")), sets, np.concatenate([p.short for p in parts], axis=1), np.concatenate([p.more for p in parts]))
 
 
-def _candidates(x: _Members, y: _Members, percent: int) -> np.ndarray | None:
-    """Pairs of a member of x, none of which is in the largest component, and one of y of another component."""
+def _candidates(x: _Members, y: _Members, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (places) of a member of x, none of which is in the largest component, and one of y of another component."""
     differ = np.zeros((len(x), len(y)), np.uint16)
     for u, v in zip(x.short, y.short, strict=True):
         differ += np.bitwise_count(u[:, None] ^ v)
@@ -431,32 +464,41 @@ def _candidates(x: _Members, y: _Members, percent: int) -> np.ndarray | None:
     a, b = x.component[:, i], y.component[:, j]
     after = y.in_top[j] | (a[0] < b[0]) | ((a[0] == b[0]) & (a[1] < b[1]))
     i, j = i[after], j[after]
-    if not len(i):
-        return None
     near = can_be_similar(x.sets, i, y.sets, j, percent)
-    a, b = x.key[:, i[near]], y.key[:, j[near]]
-    swap = (a[0] > b[0]) | ((a[0] == b[0]) & (a[1] > b[1]))
-    return np.concatenate([np.where(swap, b, a), np.where(swap, a, b)])
+    return i[near], j[near]
 
 
-def _apart(percent: int):
-    """Pairs of different components that can be similar, from rows sorted by run, block and side.
+def _first_met(x: _Members, i: np.ndarray, y: _Members, j: np.ndarray, run: int) -> np.ndarray:
+    """Whether no run before this one is known to have both of a pair; in the first that has them it is true."""
+    out = np.ones(len(i), bool)
+    for at in range(0, len(i), PAIRS // 16):
+        some = slice(at, at + PAIRS // 16)
+        both = np.sort(np.concatenate([x.more[i[some]], y.more[j[some]]], axis=1), axis=1)
+        out[some] = ~((both[:, 1:] == both[:, :-1]) & (both[:, 1:] < run)).any(axis=1)
+    return out
+
 
-    A block's rows of side 0 are held, those of side 1 stream past them. A pair of components
-    outside the run's largest one counts in one of its two directions.
+def _met(percent: int, more, chosen):
+    """Edges (a, b) that connect classes, from rows sorted by run, block and side.
+
+    A block's rows of side 0 are held, those of side 1 stream past them. Of their pairs, by different
+    components that can be similar, chosen(forest, run, x, i, y, j) gives those that are meant; a pair
+    of components outside the run's largest one counts in one of its two directions. A task tells no
+    edge between what its edges connect, so it tells fewer than it has classes.
     """
 
-    def told(found: list[np.ndarray]) -> pa.RecordBatch:
-        ends = np.unique(np.concatenate(found, axis=1), axis=1)
-        keys = [pa.StructArray.from_arrays([pa.array(ends[k]), pa.array(ends[k + 1])], ["doc_id", "node"]) for k in (0, 2)]
+    def told(found: list[tuple]) -> pa.RecordBatch:
+        ends = [[min(e) for e in found], [max(e) for e in found]]
+        kinds = pa.struct([("doc_id", pa.int64()), ("node", pa.int64())])
+        keys = [pa.array([dict(zip(("doc_id", "node"), k, strict=True)) for k in end], kinds) for end in ends]
         return pa.RecordBatch.from_arrays(keys, ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, found, count = None, [], [], 0
+        key, held, found, forest = None, [], [], Forest()
         for batch in batches:
             column = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(9)]
             sets = Sets.of(column[8], batch.column(9))
-            rows = _Members(np.stack(column[3:5]), np.stack(column[5:7]), column[7].astype(bool), sets, sets.short())
+            rows = _Members(np.stack(column[3:5]), np.stack(column[5:7]), column[7].astype(bool), sets, sets.short(), more(batch.column(10)))
             group = np.stack([c.astype(np.int64) for c in column[:3]])
             cuts = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -466,38 +508,119 @@ def _apart(percent: int):
                     held.append(rows[a:b])
                     continue
                 held = [_Members.joined(held)] if len(held) > 1 else held
-                for at in range(a, b, max(1, PAIRS // max(1, len(held[0])))) if held else ():
-                    pairs = _candidates(held[0], rows[at : min(b, at + max(1, PAIRS // len(held[0])))], percent)
-                    if pairs is not None:
-                        found.append(pairs)
-                        count += pairs.shape[1]
-            if count > PAIRS:
+                step = max(1, PAIRS // max(1, len(held[0]))) if held else 1
+                for at in range(a, b, step) if held else ():
+                    x, y = held[0], rows[at : min(b, at + step)]
+                    i, j = _candidates(x, y, percent)
+                    found += chosen(forest, key[0], x, i, y, j)
+            if len(found) > HELD // 16:
                 yield told(found)
-                found, count = [], 0
-        if count:
+                found = []
+        if found:
             yield told(found)
         release()
 
     return run
 
 
+def _edge(x: _Members, i: int, y: _Members, j: int) -> tuple:
+    return tuple(x.key[:, i].tolist()), tuple(y.key[:, j].tolist())
+
+
+def _apart(percent: int):
+    """A spanning forest of the pairs of different components that the parities don't tell apart.
+
+    Each class that is in such a pair is in an edge. Pairs that an earlier run has are left to it.
+    """
+
+    def first_runs(lists: pa.Array) -> np.ndarray:
+        out = np.full((len(lists), FIRST_RUNS), np.iinfo(np.int64).max)
+        size = lists.value_lengths().to_numpy(zero_copy_only=False)
+        out[np.arange(FIRST_RUNS) < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+        return out
+
+    def chosen(forest: Forest, run: int, x: _Members, i: np.ndarray, y: _Members, j: np.ndarray) -> list[tuple]:
+        new = _first_met(x, i, y, j, run)
+        edges = (_edge(x, p, y, q) for p, q in zip(i[new], j[new], strict=True))
+        return [e for e in edges if forest.connects(*e)]
+
+    return _met(percent, first_runs, chosen)
+
+
+def _linked(percent: int):
+    """A spanning forest of the links between different components, by whole sets."""
+
+    def shingles(lists: pa.Array) -> np.ndarray:
+        out = np.empty(len(lists), object)
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1]
+        out[:] = np.split(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), ends)
+        return out
+
+    def chosen(forest: Forest, run: int, x: _Members, i: np.ndarray, y: _Members, j: np.ndarray) -> list[tuple]:
+        out = []
+        for p in np.unique(i).tolist():
+            own, name = x.more[p], tuple(x.component[:, p].tolist())
+            for q in j[i == p].tolist():
+                other = tuple(y.component[:, q].tolist())
+                if forest.root(name) == forest.root(other):
+                    continue
+                others = y.more[q]
+                common = int((own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others).sum())
+                if 100 * common >= percent * (len(own) + len(others) - common):
+                    forest.connects(name, other)
+                    out.append(_edge(x, p, y, q))
+        return out
+
+    return _met(percent, shingles, chosen)
+
+
+_AT = ("run", "at.block", "at.side", "key.doc_id", "key.node", "component.doc_id", "component.node", "in_top", "n", "parity")
+
+
+def _dealt(members: DataFrame, more: str, edges) -> DataFrame:
+    """Edges of members with run, blocks, key, component, in_top, n, parity and one column more.
+
+    A member outside the run's largest component is held in one block; each member is compared with all blocks.
+    """
+    place = lambda block, side: F.struct(block.alias("block"), F.lit(side).alias("side"))
+    as_right = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: place(b, 1))
+    as_left = F.array(place(F.pmod(F.xxhash64("key", "run"), F.col("blocks")).cast("int"), 0))
+    dealt = members.withColumn("at", F.explode(F.when(F.col("in_top"), as_right).otherwise(F.concat(as_left, as_right))))
+    names = ("run", "block", "side", "doc_id", "node", "c_doc", "c_node", "in_top", "n", "parity")
+    dealt = dealt.select(*[F.col(c).alias(n) for c, n in zip(_AT, names, strict=True)], more)
+    return dealt.repartition("run", "block").sortWithinPartitions("run", "block", "side").mapInArrow(edges, _PAIR).distinct()
+
+
 def _compared(runs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of a run whose components differ and that can be similar.
+    """Edges (a, b) between the classes of a run whose components differ and that can be similar.
 
     classes have node, key, n, parity and component. Within a run only the members outside its
     largest component are compared with all members. They are dealt out in blocks of BLOCK; the
-    workers give back the pairs that the parities don't tell apart.
+    workers give back edges that connect all pairs that the parities don't tell apart.
     """
     component = runs.join(classes.select("node", "key", "component"), "node")
     sizes = component.groupBy("run", "component").count().groupBy("run").agg(F.sum("count").alias("k"), F.max(F.struct("count", "component")).alias("top"))
     several = sizes.filter(F.col("k") > F.col("top.count")).select("run", F.col("top.component").alias("top"), F.ceil((F.col("k") - F.col("top.count")) / BLOCK).cast("int").alias("blocks"))
-    member = runs.join(several, "run").join(classes, "node").withColumn("in_top", F.col("component") == F.col("top"))
-    place = lambda block, side: F.struct(block.alias("block"), F.lit(side).alias("side"))
-    as_right = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: place(b, 1))
-    as_left = F.array(place(F.pmod(F.xxhash64("key", "run"), F.col("blocks")).cast("int"), 0))
-    dealt = member.withColumn("at", F.explode(F.when(F.col("in_top"), as_right).otherwise(F.concat(as_left, as_right))))
-    dealt = dealt.select("run", "at.block", "at.side", "key.doc_id", "key.node", F.col("component.doc_id").alias("c_doc"), F.col("component.node").alias("c_node"), "in_top", "n", "parity")
-    return dealt.repartition("run", "block").sortWithinPartitions("run", "block", "side").mapInArrow(_apart(percent), _PAIR).distinct()
+    own = runs.join(several, "run")
+    first = own.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("run")), 1, FIRST_RUNS).alias("runs"))
+    member = own.join(classes.join(first, "node"), "node").withColumn("in_top", F.col("component") == F.col("top"))
+    return _dealt(member, "runs", _apart(percent))
+
+
+def _links_within(edges: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect the components whose classes are linked, among classes that edges connect.
+
+    Each class is in one tree of edges, and so is each pair that was not told apart: its whole set goes
+    to the blocks of its tree.
+    """
+    edges = checkpointed(edges)
+    trees = components(edges)
+    trees = trees.unionAll(trees.select(F.col("component").alias("node"), "component").distinct()).withColumnsRenamed({"node": "key", "component": "tree"})
+    inside = checkpointed(classes.drop("node").join(trees, "key").withColumn("run", F.xxhash64("tree")))
+    counts = inside.groupBy("run").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sets = _whole_sets(inside.select("key.doc_id").distinct(), docs).select(_key().alias("key"), "shingles")
+    member = inside.join(counts, "run").join(sets, "key").withColumn("in_top", F.lit(False))
+    return _dealt(member, "shingles", _linked(percent))
 
 
 def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -535,8 +658,9 @@ def _labelled(docs: DataFrame, percent: int) -> DataFrame:
 
         # classes of a run that aren't connected yet
         labelled = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        apart = _compared(runs, labelled.select("node", "key", "n", "parity", "component"), percent).join(near, ["a", "b"], "left_anti")
-        joined = checkpointed(components(links.unionAll(_verified(apart, named, percent))))
+        labelled = labelled.select("node", "key", "n", "parity", "component")
+        apart = _compared(runs, labelled, percent)
+        joined = checkpointed(components(links.unionAll(_links_within(apart, labelled, named, percent))))
 
         label = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").select("node", "node2", "n", F.coalesce("component", "key").alias("component"))
         rows = keys.select("doc_id", "node", "node2", "n").join(label, ["node", "node2", "n"], "left")

@@ -165,3 +165,14 @@ def test_clashing_names(spark):
     rows = [(1, "a b c d e f", 1, "p"), (2, "a b c d e f", 2, "q"), (3, None, 3, "r")]
     kept = N.first_of_each(spark.createDataFrame(rows, "doc_id bigint, text string, _copy int, node string").withColumnRenamed("_copy", "copy"))
     assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+def test_edges_not_pairs():
+    """Texts that the parities can't tell apart, in two runs: as many edges as connect them, not all their pairs."""
+    n, runs = 60, [3, 8]
+    rows = [(run, 0, side, i, i, i, i, False, 40, b"\0" * 8 * N.PARITY, runs) for run in runs for side in (0, 1) for i in range(n)]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.bool_(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [str(k) for k in range(11)])
+    edges = [(r["a"]["doc_id"], r["b"]["doc_id"]) for out in N._apart(80)(iter([batch])) for r in out.to_pylist()]
+    assert len(edges) == n - 1 and {x for e in edges for x in e} == set(range(n))
+    later = [out for out in N._apart(80)(iter([batch.slice(2 * n)]))]
+    assert not later  # a task with the second run only: its pairs are the first run's
