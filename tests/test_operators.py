@@ -382,3 +382,26 @@ def test_links_and_metrics_in_any_spelling(spark):
     texts = spark.createDataFrame([("1200 KM and 900 M",), ("20 kmh, 300 mm",), ("45km 1500m",), ("1 km 20 m",)], "t string")
     got = texts.select(intent.metric(F.col("t"), intent.KM).alias("km"), intent.metric(F.col("t"), intent.METRES).alias("m")).collect()
     assert [tuple(r) for r in got] == [(1200, 900), (None, None), (45, 1500), (None, None)]
+
+
+def test_flags_are_found_once_a_row(spark, data):
+    """What is built on flags names them; before, each use searched the text again."""
+    from tarnbridge.plans import rule_queries
+
+    for query in (rule_queries.descriptor_query, rule_queries.archetype_details, rule_queries.keyword_flags):
+        plan = query(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("no services") == 1
+
+
+def test_setup_patterns_match_only_where_their_plain_part_is():
+    import re
+
+    from tarnbridge.plans.rule_queries import PHRASES
+
+    made = ["Enve ses 4.5 WHEELS", "ninth wave x wheel", "29er", "29", "27.5", "conti gp", "Continental GP", "650x47b", "700x40C", "105 RD-R7000 |", "1 x 12", "2x11-40", "50-34/11-34", "apidura bag", "restrap frame bags", "40 mm"]
+    for patterns in intent.SETUP.values():
+        for p in patterns:
+            plain = intent.always_there(p)
+            assert plain.strip()
+            assert all(plain in t.lower() for t in [*PHRASES, *made] if re.search(p, t, re.I))
+    assert intent.always_there(r"\b\d{2}\s?mm\b") == "mm"
