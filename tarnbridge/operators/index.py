@@ -28,6 +28,8 @@ ROUNDS = 12
 PARTS, ENTRIES = 16, 256
 #: Tasks that the vectors of a list are coded in.
 SALTS = 16
+#: Candidates that a task holds before it leaves out those beyond a query's best.
+HITS = 1 << 20
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -116,7 +118,7 @@ def coded(lists: DataFrame, books: np.ndarray) -> DataFrame:
             )
 
     spread = lists.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    return spread.repartition("list", "_part").select("list", "id", "vector").mapInArrow(run, _CODES)
+    return spread.repartition("list", "_part").sortWithinPartitions("list", "_part").select("list", "id", "vector").mapInArrow(run, _CODES)
 
 
 def write_codes(vectors: DataFrame, centres: np.ndarray, books: np.ndarray, path: str) -> None:
@@ -129,32 +131,44 @@ def search_codes(codes: DataFrame, lists: DataFrame, queries: DataFrame, centres
     """query_id, id, similarity and pos (1 to k), as search() has them.
 
     For each query a table of products with all entries of the codebooks gives the approximate cosine of a code
-    as a sum of a number a part. The best so many candidates of the probed lists are then ranked by their vectors,
-    which are looked up by list and id. With as many candidates as vectors, and all lists, the answer is exact.
+    as a sum of a number a part. The tables are made where a block of queries meets a block of codes, so that
+    only the queries' vectors are joined. The best so many candidates of the probed lists are then ranked by their
+    vectors, which are looked up by list and id. With as many candidates as vectors, and all lists, the answer is exact.
     """
-    asked = assigned(queries, centres, probes).select(F.col("list").alias("q_list"), F.col("id").alias("query_id"), "vector")
+    asked = assigned(queries, centres, probes).mapInArrow(_query_blocks, _QUERIES)
 
-    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _cut(_unit(np.array(batch.column(2).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1)), len(books))
-            made = np.einsum("rpw,pew->rpe", x, books).astype("<f4")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.tobytes() for t in made], pa.binary())], ["q_list", "query_id", "table"])
-
-    asked_tables = asked.mapInArrow(tables, "q_list int, query_id bigint, table binary")
+    def best(hits: list[tuple]) -> list[np.ndarray]:
+        """list, query_id, id and about of the best candidates of each query so far."""
+        of, query, ids, about = (np.concatenate(x) for x in zip(*hits, strict=True))
+        order = np.lexsort((ids, -about, query))
+        start = np.flatnonzero(np.diff(query[order], prepend=query[order[:1]] - 1))
+        rank = np.arange(len(order)) - np.repeat(start, np.diff(start, append=len(order)))
+        return [x[order[rank < candidates]] for x in (of, query, ids, about)]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits, count = [], 0
+        told = lambda x: pa.RecordBatch.from_arrays([pa.array(c) for c in x], ["list", "query_id", "id", "about"])
         for batch in batches:
-            for of, ids, codes_, query, table in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                table = np.frombuffer(table, "<f4").reshape(len(books), -1)
-                ids, code = np.frombuffer(ids, "<i8"), np.frombuffer(codes_, np.uint8).reshape(-1, len(books))
-                score = np.zeros(len(ids), np.float32)
+            for n in range(batch.num_rows):
+                of, ids, codes_, q_ids, matrix = (batch.column(i)[n].as_py() for i in range(5))
+                ids, code, q_ids = np.frombuffer(ids, "<i8"), np.frombuffer(codes_, np.uint8).reshape(-1, len(books)), np.frombuffer(q_ids, "<i8")
+                tables = np.einsum("rpw,pew->rpe", _cut(_unit(np.frombuffer(matrix, "<f8").reshape(len(q_ids), -1)), len(books)), books).astype("<f4")
+                score = np.zeros((len(q_ids), len(ids)), np.float32)
                 for p in range(len(books)):
-                    score += table[p][code[:, p]]
-                best = np.argpartition(-score, candidates - 1)[:candidates] if len(score) > candidates else np.arange(len(score))
-                n = len(best)
-                yield pa.RecordBatch.from_arrays([pa.array([of] * n, pa.int32()), pa.array([query] * n, pa.int64()), pa.array(ids[best]), pa.array(score[best])], ["list", "query_id", "id", "about"])
-
-    met = codes.select("list", "ids", "codes").join(asked_tables, F.col("list") == F.col("q_list")).select("list", "ids", "codes", "query_id", "table")
+                    score += tables[:, p][:, code[:, p]]
+                some = np.argpartition(-score, candidates - 1, axis=1)[:, :candidates] if len(ids) > candidates else np.tile(np.arange(len(ids)), (len(q_ids), 1))
+                hits.append((np.full(some.size, of, np.int32), np.repeat(q_ids, some.shape[1]), ids[some].reshape(-1), np.take_along_axis(score, some, axis=1).reshape(-1)))
+                count += some.size
+                if count > HITS:
+                    hits = [best(hits)]
+                    count = len(hits[0][0])
+                    if count > HITS // 2:
+                        yield told(hits[0])
+                        hits, count = [], 0
+        if count:
+            yield told(best(hits))
+
+    met = codes.select("list", "ids", "codes").join(asked, F.col("list") == F.col("q_list")).select("list", "ids", "codes", "q_ids", "q_matrix")
     about = met.mapInArrow(scored, "list int, query_id bigint, id bigint, about float")
     nearest_codes = Window.partitionBy("query_id").orderBy(F.desc("about"), "id")
     few = about.withColumn("n", F.row_number().over(nearest_codes)).filter(F.col("n") <= candidates).select("list", "query_id", "id")
@@ -164,6 +178,20 @@ def search_codes(codes: DataFrame, lists: DataFrame, queries: DataFrame, centres
     return ranked.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= k)
 
 
+_QUERIES = "q_list int, q_ids binary, q_matrix binary"
+
+
+def _query_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (list, id, vector) to blocks of one list."""
+    for batch in batches:
+        of, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        x = np.array(batch.column(2).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1)
+        groups = [np.flatnonzero(of == n) for n in np.unique(of)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([of[g[0]] for g in groups], pa.int32()), pa.array([ids[g].astype("<i8").tobytes() for g in groups], pa.binary()), pa.array([x[g].astype("<f8").tobytes() for g in groups], pa.binary())], ["q_list", "q_ids", "q_matrix"]
+        )
+
+
 def assigned(vectors: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame:
     """A row (list, id, vector) for each of the nearest lists of a vector; those without a direction have none.
 

@@ -405,3 +405,17 @@ def test_setup_patterns_match_only_where_their_plain_part_is():
             assert plain.strip()
             assert all(plain in t.lower() for t in [*PHRASES, *made] if re.search(p, t, re.I))
     assert intent.always_there(r"\b\d{2}\s?mm\b") == "mm"
+
+
+def test_a_list_has_its_queries_in_one_row():
+    """Codes meet blocks of queries' vectors: before, a row of 16 kB for each query and list."""
+    import pyarrow as pa
+
+    from tarnbridge.operators import index
+
+    rows = [(i % 3, i, [1.0 * i, 2.0]) for i in range(12)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["list", "id", "vector"])
+    (out,) = index._query_blocks(iter([batch]))
+    assert out.column(0).to_pylist() == [0, 1, 2]
+    assert [np.frombuffer(b, "<i8").tolist() for b in out.column(1).to_pylist()] == [[0, 3, 6, 9], [1, 4, 7, 10], [2, 5, 8, 11]]
+    assert sum(len(b) for b in out.column(2).to_pylist()) == 12 * 2 * 8
