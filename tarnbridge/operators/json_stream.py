@@ -11,7 +11,8 @@ same whatever came before, as outside objects all bytes but an opening brace cou
 greater depths it only changes the depth.
 
 Files are split by Spark at closing braces, as lines are at line breaks, so a file without line breaks is
-split like any other.
+split like any other. A worker holds some megabytes of a range at a time, whatever its size: the first
+reading gives a function for each such part, the second carries the state from part to part.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ PLAIN, QUOTED, ESCAPED = 0, 1, 2
 MOST_DEPTH = 900
 #: Ranges whose states are broadcast at most, some hundred bytes each.
 FEW_RANGES = 100_000
+#: Bytes of a range that a worker holds at a time.
+HELD = 1 << 22
 
 _REST = re.compile(rb'[^"\\]*(?:\\.[^"\\]*)*', re.S)
 _NEXT = re.compile(rb'[{}"]')
@@ -74,9 +77,13 @@ class Range:
     def __init__(self, data: bytes):
         self.data = data
         self._from: dict[int, list] = {}
+        self.left = (0, PLAIN)
 
     def ends(self, at: int, kind: int, depth: int) -> Iterator[tuple[int, int]]:
-        """(start or -1, end) of each object that ends in the range; then (start or -1, -1) of one that is left open. Raises where it is too deep."""
+        """(start or -1, end) of each object that ends in the range; then (start or -1, -1) of one that is left open. Raises where it is too deep.
+
+        When all are read, left is the state (depth, kind) after the range.
+        """
         start = -1
         if depth:
             at = yield from self._object(at, kind, depth, start)
@@ -93,6 +100,7 @@ class Range:
                 return to
             if depth > MOST_DEPTH:
                 raise ValueError(f"more than {MOST_DEPTH} braces within each other")
+        self.left = (depth, kind)
         yield start, -1
         return -1
 
@@ -142,14 +150,19 @@ def after(function: list, depth: int, kind: int) -> list:
     return [depth + change, last, 0, -1]
 
 
-def _ranges(lines: DataFrame, use, schema: str) -> DataFrame:
-    """use(bytes, *other columns) for each range: the rows, in order, that are equal in the columns path and start, which come second and third."""
+def _ranges(lines: DataFrame, begin, schema: str) -> DataFrame:
+    """use(bytes, part, whether it is the last part, *other columns) for each part of a range, in order; begin() gives a task its use.
+
+    A range is the rows, in order, that are equal in the columns path and start, which come second and third.
+    """
+    most = HELD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rest, held = None, (), []
+        key, rest, held, size, part = None, (), [], 0, 0
+        use = begin()
 
-        def told() -> Iterator[pa.RecordBatch]:
-            yield from use(b"}".join([*held, b""]), *rest)
+        def told(final: bool) -> Iterator[pa.RecordBatch]:
+            yield from use(b"}".join([*held, b""]), part, final, *rest)
 
         for batch in batches:
             name = lambda i, batch=batch: (batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
@@ -160,18 +173,23 @@ def _ranges(lines: DataFrame, use, schema: str) -> DataFrame:
                     to = next(i for i in range(at + 1, to) if name(i) != name(at))
                 if name(at) != key:
                     if held:
-                        yield from told()
-                    key, held = name(at), []
+                        yield from told(True)
+                    key, held, size, part = name(at), [], 0, 0
                     rest = tuple(batch.column(i)[at].as_py() for i in range(1, batch.num_columns))
-                held += batch.column(0).slice(at, to - at).to_pylist()
+                elif size >= most:
+                    yield from told(False)
+                    held, size, part = [], 0, part + 1
+                new = batch.column(0).slice(at, to - at).to_pylist()
+                held += new
+                size += sum(map(len, new)) + len(new)
                 at = to
         if held:
-            yield from told()
+            yield from told(True)
 
     return lines.mapInArrow(run, schema)
 
 
-_FUNCTION = "path string, start bigint, size bigint, file_size bigint, function string"
+_FUNCTION = "path string, start bigint, part bigint, size bigint, file_size bigint, function string"
 _STATE = "path string, start bigint, depth int, kind int, objects bigint, at bigint, size bigint, opened bigint, last boolean, extra boolean"
 _PIECE = "path string, pos bigint, part bigint, json binary"
 
@@ -182,8 +200,8 @@ def _rows(schema: str, rows: list[tuple], kinds: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, columns, strict=True)], names)
 
 
-def _function(data: bytes, path: str, start: int, file_size: int) -> Iterator[pa.RecordBatch]:
-    row = (path, start, len(data), file_size, json.dumps(Range(data).function()))
+def _function(data: bytes, part: int, final: bool, path: str, start: int, file_size: int) -> Iterator[pa.RecordBatch]:
+    row = (path, start, part, len(data), file_size, json.dumps(Range(data).function()))
     yield _rows(_FUNCTION, [row], {"path": pa.string(), "function": pa.string()})
 
 
@@ -191,8 +209,10 @@ def _states(rows: pd.DataFrame) -> pd.DataFrame:
     """The state before each range of a file: depth, kind, objects that have ended, bytes, start of the open object."""
     depth, kind, objects, at, opened = 0, PLAIN, 0, 0, -1
     out = []
-    for path, start, size, function in rows.sort_values("start")[["path", "start", "size", "function"]].itertuples(index=False):
-        out.append([path, start, depth, kind, objects, at, size, opened, False, False])
+    for path, start, part, size, function in rows.sort_values(["start", "part"])[["path", "start", "part", "size", "function"]].itertuples(index=False):
+        if part == 0:
+            out.append([path, start, depth, kind, objects, at, 0, opened, False, False])
+        out[-1][6] += size
         depth, kind, n, first = after(json.loads(function), depth, kind)
         objects += n
         opened = at + first if first >= 0 else (opened if depth else -1)
@@ -205,20 +225,29 @@ def _states(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[c.split()[0] for c in _STATE.split(", ")])
 
 
-def _cut(data: bytes, path: str, start: int, depth: int | None, kind: int, objects: int, at: int, size: int, opened: int, last: bool, extra: bool) -> Iterator[pa.RecordBatch]:
-    """The objects, or parts of objects, of a range with a known state."""
-    if depth is None or size != len(data):
-        raise ValueError(f"{path} was not split as before at byte {start}")
-    rows = []
-    data = data[:-1] if extra else data
-    for first, end in Range(data).ends(0, kind, depth):
-        whole = first >= 0 and end >= 0
-        rows.append((path, objects, -1 if whole else at, data[max(first, 0) : end if end >= 0 else len(data)]))
-        objects += end >= 0
-        if end < 0 and last:
-            raise ValueError(f"{path} ends within an object that starts at byte {at + first if first >= 0 else opened}")
-    if rows:
-        yield _rows(_PIECE, rows, {"path": pa.string(), "json": pa.binary()})
+class _Cut:
+    """The objects, or parts of objects, of ranges whose states before them are known."""
+
+    def __call__(self, data: bytes, part: int, final: bool, path: str, start: int, depth: int | None, kind: int, objects: int, at: int, size: int, opened: int, last: bool, extra: bool) -> Iterator[pa.RecordBatch]:
+        if part == 0:
+            self.depth, self.kind, self.objects, self.at, self.opened, self.read = depth, kind, objects, at, opened, 0
+        self.read += len(data)
+        if depth is None or (final and size != self.read):
+            raise ValueError(f"{path} was not split as before at byte {start}")
+        rows = []
+        data = data[:-1] if final and extra else data
+        own = Range(data)
+        for first, end in own.ends(0, self.kind, self.depth):
+            whole = first >= 0 and end >= 0
+            rows.append((path, self.objects, -1 if whole else self.at, data[max(first, 0) : end if end >= 0 else len(data)]))
+            self.objects += end >= 0
+            if end < 0:
+                self.opened = self.at + first if first >= 0 else self.opened
+                if last and final:
+                    raise ValueError(f"{path} ends within an object that starts at byte {self.opened}")
+        (self.depth, self.kind), self.at = own.left, self.at + len(data)
+        if rows:
+            yield _rows(_PIECE, rows, {"path": pa.string(), "json": pa.binary()})
 
 
 def objects(spark: SparkSession, path: str) -> DataFrame:
@@ -233,7 +262,7 @@ def objects(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("lineSep", "}").text(path).select(
         F.col("value").cast("binary").alias("value"), meta["file_path"].alias("path"), meta["file_block_start"].alias("start"), meta["file_size"].alias("file_size")
     )
-    functions = _ranges(lines, _function, _FUNCTION)
+    functions = _ranges(lines, lambda: _function, _FUNCTION)
     states = functions.groupBy("path").applyInPandas(_states, _STATE).checkpoint()
     columns = [c.split()[0] for c in _STATE.split(", ")][2:]
     if is_small(states, FEW_RANGES):  # the rows of a range stay where they are, in order
@@ -241,7 +270,7 @@ def objects(spark: SparkSession, path: str) -> DataFrame:
     else:
         order = lines.drop("file_size").withColumn("row", F.monotonically_increasing_id())
         told = order.join(states, ["path", "start"], "left").repartition("path", "start").sortWithinPartitions("path", "start", "row")
-    pieces = _ranges(told.select("value", "path", "start", *columns), _cut, _PIECE)
+    pieces = _ranges(told.select("value", "path", "start", *columns), _Cut, _PIECE)
     whole = pieces.filter("part < 0").select("path", "pos", F.col("json").cast("string").alias("json"))
     parts = pieces.filter("part >= 0").groupBy("path", "pos").agg(F.array_sort(F.collect_list(F.struct("part", "json"))).alias("parts"))
     joined = F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["json"]))

@@ -1,5 +1,6 @@
 import json
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -98,3 +99,22 @@ def test_read_stream(spark, tmp_path):
         J.read_stream(spark, str(tmp_path), "qid string").collect()
     with pytest.raises(ValueError, match="braces"):
         list(J.Range(b"{" * 2000).ends(0, 0, 0))
+
+
+def test_a_range_in_parts(spark, tmp_path, monkeypatch):
+    """A worker holds a few bytes of a range at a time: before, the whole range."""
+    from tarnbridge.operators import json_stream
+
+    monkeypatch.setattr(json_stream, "HELD", 50)
+    want = [json.dumps({"a": i, "b": {"c": 'x } " { \\ ' * (i % 5)}}) for i in range(3000)]
+    (tmp_path / "x.json").write_text(" \n,".join(want))
+    got = {r["pos"]: r["json"] for r in json_stream.objects(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(3000)] == want
+
+    class Longest:
+        def __call__(self, data, *rest):
+            yield pa.RecordBatch.from_arrays([pa.array([len(data)])], ["n"])
+
+    lines = spark.read.option("lineSep", "}").text(str(tmp_path)).selectExpr("cast(value as binary) value", "'x' path", "0L start")
+    sizes = [r["n"] for r in json_stream._ranges(lines, Longest, "n bigint").collect()]
+    assert len(sizes) > 1 and max(sizes) < sum(sizes)
