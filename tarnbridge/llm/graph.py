@@ -11,18 +11,18 @@ from .common import checkpointed, forget
 FORGET = 3
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every neighbour above a node is linked to the least of the node and its neighbours."""
+def _round(edges: DataFrame) -> DataFrame:
+    """A large star and a small star; rows may repeat, the next round takes them once.
+
+    Large star: every neighbour above a node is linked to the least of the node and its neighbours. Small star: a node and its
+    neighbours below are linked to the least of these, the node in the row of the least. Each star deals its rows out by one column.
+    """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    both = both.repartition("u").distinct()
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """A node and its neighbours below are linked to the least of these."""
-    down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    down = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u").distinct()
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(least, "u").select(F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    return down.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -34,11 +34,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = checkpointed(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct())
     seen, rounds = None, 0
     while True:
-        state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).collect()[0]
+        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20, 0)"))).collect()[0]
         if state == seen or not state[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         seen = state
-        edges = checkpointed(_small_star(_large_star(edges)))
+        edges = checkpointed(_round(edges))
         rounds += 1
         if rounds % FORGET == 0:
             forget(edges.sparkSession)

@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -548,7 +548,7 @@ def _apart(percent: int):
 
 
 def _linked(percent: int):
-    """A spanning forest of the links between different components, by whole sets."""
+    """A spanning forest of the links between different components, by whole sets: edges of components."""
 
     def shingles(lists: pa.Array) -> np.ndarray:
         out = np.empty(len(lists), object)
@@ -568,7 +568,7 @@ def _linked(percent: int):
                 common = int((own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others).sum())
                 if 100 * common >= percent * (len(own) + len(others) - common):
                     forest.connects(name, other)
-                    out.append(_edge(x, p, y, q))
+                    out.append((name, other))
         return out
 
     return _met(percent, shingles, chosen)
@@ -608,7 +608,7 @@ def _compared(runs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _links_within(edges: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect the components whose classes are linked, among classes that edges connect.
+    """Components (a, b), as edges that connect those whose classes are linked, among classes that edges connect.
 
     Each class is in one tree of edges, and so is each pair that was not told apart: its whole set goes
     to the blocks of its tree.
@@ -657,12 +657,12 @@ def _labelled(docs: DataFrame, percent: int) -> DataFrame:
         forget(found.sparkSession)
 
         # classes of a run that aren't connected yet
-        labelled = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        labelled = labelled.select("node", "key", "n", "parity", "component")
+        whole = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        labelled = whole.select("node", "key", "n", "parity", "component")
         apart = _compared(runs, labelled, percent)
-        joined = checkpointed(components(links.unionAll(_links_within(apart, labelled, named, percent))))
+        tops = components(_links_within(apart, labelled, named, percent)).withColumnsRenamed({"component": "top", "node": "component"})
 
-        label = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").select("node", "node2", "n", F.coalesce("component", "key").alias("component"))
+        label = whole.join(tops, "component", "left").select("node", "node2", "n", F.coalesce("top", "component").alias("component"))
         rows = keys.select("doc_id", "node", "node2", "n").join(label, ["node", "node2", "n"], "left")
         return checkpointed(rows.select("doc_id", "node", "n", F.coalesce("component", _key()).alias("component")))
 
@@ -675,7 +675,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([none, pa.array(n, pa.int64()), none], ["doc_id", "n_shingles", "component_id"])
 
 
-def _nodes(text: str):
+def _nodes(text: Column):
     """The hash of the set of shingles of a text column."""
 
     @F.arrow_udf("bigint")
@@ -683,7 +683,7 @@ def _nodes(text: str):
         parts = [set_keys(*shingle_sets(data, ends), len(ends))[0].view(np.int64) for _, data, ends in chunks(texts)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
 
-    return node(F.col(text))
+    return node(text)
 
 
 def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -691,17 +691,18 @@ def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Of a doc_id with several sets, each set counts for itself; their rows are told apart by hashing again.
     """
-    rows = checkpointed(_labelled(docs, percent).select("doc_id", "node", (F.col("component") == _key()).alias("first")).distinct())
-    each = rows.groupBy("doc_id").agg((F.min("node") != F.max("node")).alias("several"), F.max("first").alias("any"))
-    named = docs.filter("doc_id is not null")
-    node, copy = unused(docs, "node"), unused(docs, "copy")
-    plain = named.join(each.filter("any and not several").select("doc_id"), "doc_id", "left_semi")
-    mixed = named.join(each.filter("any and several").select("doc_id"), "doc_id", "left_semi").withColumn(node, _nodes("text"))
-    mixed = mixed.join(rows.filter("first").select("doc_id", F.col("node").alias(node)), ["doc_id", node], "left_semi").drop(node)
-    whole = plain.unionByName(mixed)
+    rows = _labelled(docs, percent).select("doc_id", "node", (F.col("component") == _key()).alias("first"))
+    node, copy, several = unused(docs, "node"), unused(docs, "copy"), unused(docs, "several")
+    each = rows.groupBy("doc_id").agg((F.min("node") != F.max("node")).alias(several), F.max("first").alias("any"))
+    # texts are dealt out by doc_id once, for this join and the windows
+    kept = docs.filter("doc_id is not null").join(each.filter("any").drop("any"), "doc_id")
+    firsts = rows.filter("first").select("doc_id", F.col("node").alias(node)).distinct()
+    # the condition keeps the hashing above the join, so only texts of doc_ids with several are hashed again
+    mixed = kept.filter(F.col(several)).withColumn(node, _nodes(F.when(F.col(several), F.col("text")))).join(firsts, ["doc_id", node]).drop(node)
     once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.col("text"))
-    whole = whole.withColumn(copy, F.row_number().over(once)).filter(F.col(copy) == 1).drop(copy)
-    return whole.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    first = lambda some: some.withColumn(copy, F.row_number().over(once)).filter(F.col(copy) == 1)
+    whole = first(kept.filter(~F.col(several))).unionByName(first(mixed))
+    return whole.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

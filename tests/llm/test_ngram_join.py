@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from tarnbridge.llm import ngram_join as N
+from tarnbridge.llm import graph
 from tarnbridge.llm.graph import components
 from tarnbridge.llm.shingles import chunks, shingle_sets
 
@@ -176,3 +177,36 @@ def test_edges_not_pairs():
     assert len(edges) == n - 1 and {x for e in edges for x in e} == set(range(n))
     later = [out for out in N._apart(80)(iter([batch.slice(2 * n)]))]
     assert not later  # a task with the second run only: its pairs are the first run's
+
+
+def _dealt(df):
+    """What the plan deals out by hash, as it was in the end: the columns of each exchange that isn't used again."""
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [c for line in final.splitlines() if "ReusedExchange" not in line for c in re.findall(r"Exchange hashpartitioning\(([^)]*)", line)]
+
+
+def test_texts_are_dealt_out_once(docs, monkeypatch, spark, tmp_path):
+    one, two = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    labels = spark.createDataFrame([(5, 1, (5, 1)), (5, 2, (5, 2)), (7, 1, (5, 1))], "doc_id bigint, node bigint, component struct<doc_id: bigint, node: bigint>")
+    labels.write.parquet(f"{tmp_path}/labels")
+    docs([(5, one), (5, two), (7, one)]).write.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(N, "checkpointed", lambda df: df)
+    monkeypatch.setattr(N, "_labelled", lambda docs, percent: spark.read.parquet(f"{tmp_path}/labels"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        dealt = _dealt(N.first_of_each(spark.read.parquet(f"{tmp_path}/docs")))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # labels and texts by doc_id, first sets by key; only texts of ids with several sets go on, by key and for their window
+    assert len(dealt) == 5, dealt
+
+
+def test_a_round_of_stars_deals_edges_out_by_nodes_only(spark, tmp_path):
+    spark.createDataFrame([(i, i + 1) for i in range(30)], "a bigint, b bigint").write.parquet(f"{tmp_path}/edges")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        dealt = _dealt(graph._round(spark.read.parquet(f"{tmp_path}/edges")))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(dealt) <= 3, dealt
