@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnbridge.functions.text import or_null, strip
+from tarnbridge.sources.tables import parts_for
 
 
 def first_by(rows: DataFrame, keys: Sequence[str | Column], *order: Column, last: bool = False) -> DataFrame:
@@ -71,9 +72,14 @@ def merge_existing_wins(old: DataFrame, new: DataFrame, key: str, order: Column)
 
 
 def delete_cascade(parents: DataFrame, children: DataFrame, gone: DataFrame, parent_key: str, child_key: str) -> tuple[DataFrame, DataFrame]:
-    """Parents that aren't gone, and the children of those."""
-    left = parents.join(gone, parent_key, "left_anti")
-    return left, children.join(left.select(F.col(parent_key).alias(child_key)).distinct(), child_key, "left_semi")
+    """Parents that aren't gone, and the children of those.
+
+    All are dealt out by their key into parts for the children's rows and meet there in order: nothing is broadcast.
+    """
+    parts = parts_for(children)
+    parents, gone = parents.repartition(parts, parent_key), gone.repartition(parts, parent_key)
+    left = parents.join(gone.hint("merge"), parent_key, "left_anti")
+    return left, children.repartition(parts, child_key).join(left.select(F.col(parent_key).alias(child_key)).hint("merge"), child_key, "left_semi")
 
 
 def unnamed_once(rows: DataFrame, keys: Sequence[str], name: str, order: Column) -> DataFrame:

@@ -52,7 +52,7 @@ def new_urls_only(spark: SparkSession, d: str) -> DataFrame:
 def riders_delete_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Orders of one priority go, with their line items; what is left is counted by flag."""
     orders, items = table(spark, d, "orders"), table(spark, d, "lineitem")
-    gone = orders.filter("o_orderpriority = '1-URGENT'").select("o_orderkey").distinct()
+    gone = orders.filter("o_orderpriority = '1-URGENT'").select("o_orderkey")
     _, left = S.delete_cascade(orders, items, gone, "o_orderkey", "l_orderkey")
     return left.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_items"), F.countDistinct("l_orderkey").alias("n_orders"))
 

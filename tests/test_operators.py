@@ -419,3 +419,13 @@ def test_a_list_has_its_queries_in_one_row():
     assert out.column(0).to_pylist() == [0, 1, 2]
     assert [np.frombuffer(b, "<i8").tolist() for b in out.column(1).to_pylist()] == [[0, 3, 6, 9], [1, 4, 7, 10], [2, 5, 8, 11]]
     assert sum(len(b) for b in out.column(2).to_pylist()) == 12 * 2 * 8
+
+
+def test_delete_cascade_deals_rows_out_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr("tarnbridge.sources.tables.DEALT_ROWS", 10)
+    parents, children = spark.range(60).withColumnRenamed("id", "p"), spark.range(200).selectExpr("id % 70 AS c", "id")
+    left, rows = sync.delete_cascade(parents, children, spark.createDataFrame([(3,), (3,), (9,), (None,)], "p bigint"), "p", "c")
+    assert sorted(r["p"] for r in left.collect()) == [i for i in range(60) if i not in (3, 9)]
+    assert sorted(r["id"] for r in rows.collect()) == [i for i in range(200) if i % 70 < 60 and i % 70 not in (3, 9)]
+    assert rows.rdd.getNumPartitions() == 20
+    assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
