@@ -14,15 +14,19 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 #: Rows in an Arrow batch: texts can be long, and a batch is held as a whole on both sides.
 BATCH_ROWS = "1000"
+#: Bytes in an Arrow batch: blocks of vectors are some hundred kB a row, and each worker holds a batch or two.
+BATCH_BYTES = "8m"
 
 
 def prepared(spark: SparkSession) -> SparkSession:
     """Let the executors' Python workers find this package where the driver has it.
 
-    Arrow batches get BATCH_ROWS rows, unless the session has set another number than the default.
+    Arrow batches get BATCH_ROWS rows and BATCH_BYTES, unless the session has set another number than the default.
     """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64MB").upper() in ("64MB", "67108864", "67108864B"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(":")
     if ROOT not in paths:

@@ -429,3 +429,13 @@ def test_delete_cascade_deals_rows_out_by_their_number(spark, monkeypatch):
     assert sorted(r["id"] for r in rows.collect()) == [i for i in range(200) if i % 70 < 60 and i % 70 not in (3, 9)]
     assert rows.rdd.getNumPartitions() == 20
     assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_come_in_small_batches(spark):
+    """Rows of a megabyte, as blocks of vectors are: a worker gets a few at a time."""
+    import pyarrow as pa
+
+    rows = spark.range(0, 40, 1, 1).selectExpr("id", "repeat('x', 1000000) AS matrix")
+    count = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["id"]) for b in batches)
+    sizes = [r["id"] for r in rows.mapInArrow(count, "id bigint").collect()]
+    assert sum(sizes) == 40 and max(sizes) <= 10
